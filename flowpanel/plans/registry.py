@@ -29,14 +29,24 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-def rounded(df: DataFrame, places: int = 4) -> DataFrame:
-    """Round every floating column (the oracle SQL rounds the same columns)."""
+def rounded(df: DataFrame, places: int = 4, fine=()) -> DataFrame:
+    """Round every floating column (the oracle SQL rounds the same columns).
+
+    Columns in ``fine`` (interpolated quantiles of exact 4-decimal data, which
+    can sit exactly on a 4-place tie) are rounded to 6 places.  ``+ 0.0`` turns
+    a rounded ``-0.0`` into ``0.0``.
+    """
     return df.select(*[
-        F.round(F.col(f.name), places).alias(f.name)
+        (F.round(F.col(f.name), 6 if f.name in fine else places) + F.lit(0.0)).alias(f.name)
         if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name)
         for f in df.schema.fields])
 
 
+def R(expr: str, places: int = 4) -> str:
+    """Oracle-side rounding twin of :func:`rounded`."""
+    return f"(ROUND({expr}, {places}) + 0.0)"
+
+
 def load_all() -> None:
     """Import the modules that register queries."""
     from . import q_core, q_stats, q_models  # noqa: F401
