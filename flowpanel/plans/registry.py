@@ -32,12 +32,18 @@ def query(name: str, sql: str | None = None):
 def rounded(df: DataFrame, places: int = 4, fine=()) -> DataFrame:
     """Round every floating column (the oracle SQL rounds the same columns).
 
-    Columns in ``fine`` (interpolated quantiles of exact 4-decimal data, which
-    can sit exactly on a 4-place tie) are rounded to 6 places.  ``+ 0.0`` turns
-    a rounded ``-0.0`` into ``0.0``.
+    Rounding is done as round-half-away-from-zero of ``x · 10^p`` divided by
+    ``10^p`` — the same IEEE operations DuckDB's ``ROUND(x, p)`` performs — so
+    an identical double renders identically even when it sits on a decimal tie.
+    Columns in ``fine`` (interpolated quantiles) are rounded to 6 places.
+    ``+ 0.0`` turns a rounded ``-0.0`` into ``0.0``.
     """
+    def rnd(c, p):
+        m = float(10 ** p)
+        return F.round(F.col(c) * F.lit(m), 0) / F.lit(m) + F.lit(0.0)
+
     return df.select(*[
-        (F.round(F.col(f.name), 6 if f.name in fine else places) + F.lit(0.0)).alias(f.name)
+        rnd(f.name, 6 if f.name in fine else places).alias(f.name)
         if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name)
         for f in df.schema.fields])
 
@@ -49,4 +55,4 @@ def R(expr: str, places: int = 4) -> str:
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from . import q_core, q_stats, q_models  # noqa: F401
+    from . import q_core, q_stats, q_prep, q_models  # noqa: F401
