@@ -55,4 +55,4 @@ def R(expr: str, places: int = 4) -> str:
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from . import q_core, q_stats, q_prep, q_graph, q_models  # noqa: F401
+    from . import q_core, q_stats, q_prep, q_graph, q_spatial, q_models  # noqa: F401
