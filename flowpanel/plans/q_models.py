@@ -1 +1,308 @@
-"""Model queries."""
+"""Model queries: clustering, PCA / adequacy, regression, spatial regression, composites.
+
+Fits whose result is a model summary (eigenvalues, centroids, coefficients)
+return small DataFrames built from those summaries; these have no SQL oracle
+(rows-only check).  Cluster quality and regression metrics are aggregates and
+carry DuckDB oracles.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators import cluster, predict, reduce, spatial
+from ..operators.ranking import top_entities
+from ..session import ensure_checkpoint_dir
+from ..sources import loaders
+from ..sources import testviews as tv
+from .registry import R, query, rounded
+
+CL_COLS = [f"f{i}" for i in range(1, 11)]
+PROFILE_COLS = [f"f{i}" for i in range(1, 6)]
+PCA_COLS = tv.PARTFEAT_COLS
+ML_X = ["qty", "p_retailprice", "avg_disc", "n_lines", "p_size"]
+
+
+def _vec(spark, sf):
+    return tv.vec(spark, sf)
+
+
+# --- cluster quality (SQL oracles) ------------------------------------------
+
+PROFILE_SQL = tv.with_views("""
+SELECT label, COUNT(*) AS n, """ + R("COUNT(*) * 100.0 / SUM(COUNT(*)) OVER ()") + " AS pct, " + ", ".join(
+    f"{R(f'AVG({c})')} AS {c}_mean, {R(f'STDDEV_SAMP({c})')} AS {c}_std" for c in PROFILE_COLS)
+    + " FROM vec WHERE label <> -1 GROUP BY label", tv.VEC_SQL)
+
+
+@query("cluster_profile", PROFILE_SQL)
+def q_cluster_profile(spark, sf):
+    return rounded(cluster.profile(_vec(spark, sf), PROFILE_COLS, "label"))
+
+
+def _quality_sql():
+    m = ", ".join(f"AVG({c}) AS m_{c}" for c in CL_COLS)
+    g = ", ".join(f"AVG({c}) AS g_{c}" for c in CL_COLS)
+    d2 = " + ".join(f"power(v.{c} - c.m_{c}, 2)" for c in CL_COLS)
+    cd = " + ".join(f"power(a.m_{c} - b.m_{c}, 2)" for c in CL_COLS)
+    bt = " + ".join(f"power(m_{c} - g_{c}, 2)" for c in CL_COLS)
+    return tv.with_views(f"""
+, c AS (SELECT label, COUNT(*) AS n, {m} FROM vec GROUP BY label)
+, g AS (SELECT COUNT(*) AS nn, {g} FROM vec)
+, p AS (SELECT v.label, {d2} AS d2 FROM vec v JOIN c ON v.label = c.label)
+, per AS (SELECT label, SUM(d2) AS w, AVG(sqrt(d2)) AS s FROM p GROUP BY label)
+, cc AS (SELECT c.*, per.w, per.s FROM c JOIN per ON c.label = per.label)
+, db AS (SELECT a.label, MAX((a.s + b.s) / sqrt({cd})) AS r FROM cc a JOIN cc b ON a.label <> b.label GROUP BY 1)
+, t AS (SELECT COUNT(*) AS k, MAX(nn) AS n, SUM(w) AS inertia, SUM(cc.n * ({bt})) AS b,
+               (SELECT AVG(r) FROM db) AS dbi FROM cc, g)
+SELECT k, n, {R('inertia')} AS inertia, {R('(b / (k - 1)) / (inertia / (n - k))')} AS calinski_harabasz,
+       {R('dbi')} AS davies_bouldin FROM t""", tv.VEC_SQL)
+
+
+@query("inertia_ch_db", _quality_sql())
+def q_quality(spark, sf):
+    return rounded(cluster.quality(_vec(spark, sf), CL_COLS, "label"))
+
+
+def _silhouette_sql():
+    d2 = " + ".join(f"power(a.{c} - b.{c}, 2)" for c in CL_COLS)
+    return tv.with_views(f"""
+, pr AS (SELECT a.vec_id, a.label AS la, b.label AS lb, {d2} AS d2 FROM vec a JOIN vec b ON a.vec_id <> b.vec_id)
+, m AS (SELECT vec_id, la, lb, AVG(d2) AS md FROM pr GROUP BY 1, 2, 3)
+, ab AS (SELECT vec_id, la, MAX(CASE WHEN la = lb THEN md END) AS a, MIN(CASE WHEN la <> lb THEN md END) AS b
+         FROM m GROUP BY 1, 2)
+SELECT v.vec_id, v.label,
+       {R('CASE WHEN ab.a IS NULL THEN 0.0 ELSE (ab.b - ab.a) / greatest(ab.a, ab.b) END')} AS silhouette
+FROM vec v LEFT JOIN ab ON v.vec_id = ab.vec_id""", tv.VEC_SQL)
+
+
+@query("silhouette_exact", _silhouette_sql())
+def q_silhouette(spark, sf):
+    return rounded(cluster.silhouette_sq(_vec(spark, sf), CL_COLS, "label", "vec_id"))
+
+
+REG_METRICS_SQL = tv.with_views("""
+, f AS (SELECT regr_slope(revenue, qty) AS b, regr_intercept(revenue, qty) AS a FROM partfeat
+        WHERE revenue IS NOT NULL AND qty IS NOT NULL)
+, p AS (SELECT revenue AS y, a + b * qty AS yhat FROM partfeat, f WHERE revenue IS NOT NULL AND qty IS NOT NULL)
+SELECT """ + R("AVG((y - yhat) * (y - yhat))", 0) + " AS mse, " + R("sqrt(AVG((y - yhat) * (y - yhat)))") + " AS rmse, "
+    + R("AVG(abs(y - yhat))") + " AS mae, " + R("1 - SUM((y - yhat) * (y - yhat)) / (VAR_POP(y) * COUNT(*))")
+    + " AS r2, " + R("CASE WHEN COUNT(*) FILTER (WHERE y = 0) = 0 THEN AVG(abs((y - yhat) / y)) * 100 END")
+    + " AS mape FROM p", tv.PARTFEAT_SQL)
+
+
+@query("regression_metrics", REG_METRICS_SQL)
+def q_reg_metrics(spark, sf):
+    p = tv.partfeat(spark, sf).select(F.col("revenue").alias("label"), "qty").dropna()
+    fit = p.agg(F.regr_slope("label", "qty").alias("_b"), F.regr_intercept("label", "qty").alias("_a"))
+    pred = (p.withColumn("_k", F.lit(1)).join(F.broadcast(fit.withColumn("_k", F.lit(1))), "_k")
+            .withColumn("prediction", F.col("_a") + F.col("_b") * F.col("qty")))
+    return rounded(predict.metrics(pred), coarse=("mse",))
+
+
+SUMMARY_SQL = tv.with_views("""
+, t AS (SELECT nation, AVG(revenue) AS m FROM panel GROUP BY 1 ORDER BY m DESC, nation LIMIT 3)
+SELECT (SELECT COUNT(*) FROM panel) AS n_rows, (SELECT COUNT(DISTINCT nation) FROM panel) AS n_entities,
+       (SELECT COUNT(DISTINCT year) FROM panel) AS n_periods, (SELECT MIN(year) FROM panel) AS first_period,
+       (SELECT MAX(year) FROM panel) AS last_period, """ + R("(SELECT AVG(revenue) FROM panel)") + """ AS mean_revenue,
+       (SELECT string_agg(CAST(nation AS VARCHAR), ', ' ORDER BY m DESC, nation) FROM t) AS top3""", tv.PANEL_SQL)
+
+
+@query("simple_summary", SUMMARY_SQL)
+def q_simple_summary(spark, sf):
+    p = tv.panel(spark, sf)
+    base = p.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("nation").alias("n_entities"),
+                 F.countDistinct("year").alias("n_periods"), F.min("year").alias("first_period"),
+                 F.max("year").alias("last_period"), F.avg("revenue").alias("mean_revenue"))
+    top = top_entities(p, "nation", "revenue", 3).agg(
+        F.array_sort(F.collect_list(F.struct("rank", "nation"))).alias("_t"))
+    top = top.select(F.concat_ws(", ", F.transform("_t", lambda s: s["nation"].cast("string"))).alias("top3"))
+    k = F.lit(1)
+    return rounded(base.withColumn("_k", k).join(top.withColumn("_k", k), "_k").drop("_k"))
+
+
+# --- rows-only: clustering ------------------------------------------------------
+
+@query("kmeans")
+def q_kmeans(spark, sf):
+    lab, _ = cluster.kmeans(_vec(spark, sf), CL_COLS, "vec_id", k=10, restarts=10)
+    return lab
+
+
+@query("kmeans_sweep")
+def q_kmeans_sweep(spark, sf):
+    return cluster.kmeans_sweep(_vec(spark, sf), CL_COLS, "vec_id", range(2, 11), restarts=10)
+
+
+@query("gmm_sweep")
+def q_gmm_sweep(spark, sf):
+    return cluster.gmm_sweep(tv.geo(spark, sf), ["x", "y"], range(2, 11))
+
+
+@query("dbscan")
+def q_dbscan(spark, sf):
+    return cluster.dbscan(tv.geo(spark, sf), "vec_id", ["x", "y"], eps=0.03, min_samples=5)
+
+
+@query("cluster_compare")
+def q_cluster_compare(spark, sf):
+    """C14: k-means vs Gaussian mixture at the same k, compared by silhouette."""
+    from pyspark.ml.clustering import GaussianMixture
+    v = _vec(spark, sf)
+    k = 10
+    lab, _ = cluster.kmeans(v, CL_COLS, "vec_id", k=k, restarts=10)
+    from ..operators.prep import scale
+    zs, _ = scale(v.select("vec_id", *CL_COLS), CL_COLS, "standard")
+    km = cluster.silhouette_sq(zs.join(lab, "vec_id"), CL_COLS, "label", "vec_id").agg(F.avg("silhouette")).first()[0]
+    g = GaussianMixture(k=k, seed=42).fit(cluster._assemble(zs, CL_COLS))
+    gl = g.transform(cluster._assemble(zs, CL_COLS)).select("vec_id", F.col("prediction").alias("label"))
+    gm = cluster.silhouette_sq(zs.join(gl, "vec_id"), CL_COLS, "label", "vec_id").agg(F.avg("silhouette")).first()[0]
+    out = spark.createDataFrame([("kmeans", float(km)), ("gmm", float(gm))], "method string, silhouette double")
+    return out.withColumn("best", F.col("silhouette") == max(km, gm))
+
+
+@query("cluster_evolution")
+def q_cluster_evolution(spark, sf):
+    """Per-period k-means (k = 3) of the panel, periods with < 5 rows skipped;
+    labels aligned across periods by centroid order."""
+    p = tv.panel(spark, sf).withColumn("key", F.col("nation") * 10000 + F.col("year"))
+    cols = ["revenue", "qty", "avg_disc", "n_lines", "n_cust"]
+    years = [r[0] for r in p.groupBy("year").count().where(F.col("count") >= 5).select("year").orderBy("year").collect()]
+    parts = []
+    for y in years:
+        lab, _ = cluster.kmeans(p.where(F.col("year") == y), cols, "key", k=3, restarts=5)
+        parts.append(lab.withColumn("year", F.lit(y)))
+    out = loaders.union_by_name(parts)
+    return out.select((F.col("key") / 10000).cast("int").alias("nation"), "year", "label")
+
+
+# --- rows-only: PCA / factor adequacy --------------------------------------------
+
+def _pca(spark, sf):
+    return reduce.pca_fit(tv.partfeat(spark, sf), PCA_COLS)
+
+
+@query("pca_summary")
+def q_pca_summary(spark, sf):
+    return reduce.pca_summary(spark, _pca(spark, sf))
+
+
+@query("pca_loadings")
+def q_pca_loadings(spark, sf):
+    return reduce.pca_loadings(spark, _pca(spark, sf))
+
+
+@query("pca_scores")
+def q_pca_scores(spark, sf):
+    pf = tv.partfeat(spark, sf)
+    return reduce.pca_scores(pf, reduce.pca_fit(pf, PCA_COLS), "p_partkey", k=3)
+
+
+@query("component_rules")
+def q_component_rules(spark, sf):
+    r = reduce.component_rules(_pca(spark, sf))
+    return spark.createDataFrame([tuple(r.values())], ", ".join(f"{k} int" for k in r))
+
+
+@query("kmo_bartlett")
+def q_kmo_bartlett(spark, sf):
+    r = reduce.kmo_bartlett(tv.partfeat(spark, sf), PCA_COLS)
+    rows = [(v, float(k)) for v, k in r["kmo_per_variable"].items()]
+    out = spark.createDataFrame(rows, "variable string, kmo_variable double")
+    return out.select("*", F.lit(r["kmo"]).alias("kmo"), F.lit(r["bartlett_chi2"]).alias("bartlett_chi2"),
+                      F.lit(r["bartlett_df"]).alias("bartlett_df"), F.lit(r["bartlett_p"]).alias("bartlett_p"))
+
+
+# --- rows-only: regression ------------------------------------------------------------
+
+@query("linear_models")
+def q_linear_models(spark, sf):
+    return predict.train_all(tv.partfeat(spark, sf), "p_partkey", "revenue", ML_X,
+                             ["linear_regression", "ridge", "lasso", "elastic_net"])
+
+
+@query("tree_models")
+def q_tree_models(spark, sf):
+    return predict.train_all(tv.partfeat(spark, sf), "p_partkey", "revenue", ML_X,
+                             ["decision_tree", "random_forest", "gradient_boosting"])
+
+
+@query("boosting")
+def q_boosting(spark, sf):
+    return predict.train_all(tv.partfeat(spark, sf), "p_partkey", "revenue", ML_X, ["xgboost", "lightgbm"])
+
+
+@query("cross_val")
+def q_cross_val(spark, sf):
+    return predict.cross_validate(tv.partfeat(spark, sf), "p_partkey", "revenue", ML_X)
+
+
+@query("grid_search")
+def q_grid_search(spark, sf):
+    return predict.grid_search(tv.partfeat(spark, sf), "p_partkey", "revenue", ML_X)
+
+
+@query("model_summary")
+def q_model_summary(spark, sf):
+    return predict.train_all(tv.partfeat(spark, sf), "p_partkey", "revenue", ML_X,
+                             ["linear_regression", "ridge", "decision_tree", "random_forest"])
+
+
+# --- rows-only: spatial regression -------------------------------------------------------
+
+def _slm(spark, sf):
+    g = tv.geo(spark, sf)
+    w = spatial.knn_weights(g, "vec_id", ["x", "y"], 4)
+    lag = spatial.spatial_lag(w, g, "vec_id", "v").withColumnRenamed("i", "vec_id")
+    d = g.join(lag, "vec_id")
+    return predict.ols(d, "v", ["x", "y", "lag"])
+
+
+@query("slm")
+def q_slm(spark, sf):
+    r = _slm(spark, sf)
+    rows = [("intercept", r["intercept"])] + [(k, v) for k, v in r["coefs"].items()]
+    return spark.createDataFrame(rows, "term string, coef double").select(
+        "*", F.lit(r["r2"]).alias("r2"), F.lit(r["mse"]).alias("mse"), F.lit(r["n"]).alias("n"))
+
+
+@query("spatial_models")
+def q_spatial_models(spark, sf):
+    """X11 + X12: summary over the requested models; SEM / SDM are metadata rows
+    (as in the analysed project), SLM carries its fit."""
+    r = _slm(spark, sf)
+    rows = [("SLM", "spatial lag OLS", r["r2"], r["mse"], r["n"], r["k"]),
+            ("SEM", "metadata only", None, None, r["n"], r["k"]),
+            ("SDM", "metadata only", None, None, r["n"], r["k"])]
+    return spark.createDataFrame(rows, "model string, note string, r2 double, mse double, n long, k long")
+
+
+# --- rows-only: sink, composites ---------------------------------------------------------
+
+@query("write_read")
+def q_write_read(spark, sf):
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/flowpanel-out/panel-{uuid.uuid4().hex}"
+    loaders.write_table(tv.panel(spark, sf), path, "parquet", partition_by=["year"])
+    return spark.read.parquet(path)
+
+
+@query("full_pipeline")
+def q_full_pipeline(spark, sf):
+    """Q1: latest period → cap + standard scale → PCA (components by the max rule)
+    → k-means (k = 3) on the component scores."""
+    from ..operators.prep import prep_pipeline
+    from ..operators.ranking import latest_period
+    cols = ["revenue", "qty", "avg_disc", "n_lines", "n_cust"]
+    cur = latest_period(tv.panel(spark, sf), "year")
+    z = prep_pipeline(cur.select("nation", *cols), cols, impute_method="mean", cap=True,
+                      scale_method="standard")
+    ensure_checkpoint_dir(spark)
+    z = z.checkpoint()  # reused by the PCA aggregate, the scores and every k-means restart
+    res = reduce.pca_fit(z, cols)
+    k = reduce.component_rules(res)["n_components"]
+    sc = reduce.pca_scores(z, res, "nation", k=k)
+    lab, _ = cluster.kmeans(sc, [f"PC{i + 1}" for i in range(k)], "nation", k=3, restarts=10)
+    return sc.join(lab, "nation")

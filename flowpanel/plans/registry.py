@@ -29,13 +29,14 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-def rounded(df: DataFrame, places: int = 4, fine=()) -> DataFrame:
+def rounded(df: DataFrame, places: int = 4, fine=(), coarse=()) -> DataFrame:
     """Round every floating column (the oracle SQL rounds the same columns).
 
     Rounding is done as round-half-away-from-zero of ``x · 10^p`` divided by
     ``10^p`` — the same IEEE operations DuckDB's ``ROUND(x, p)`` performs — so
     an identical double renders identically even when it sits on a decimal tie.
-    Columns in ``fine`` (interpolated quantiles) are rounded to 6 places.
+    Columns in ``fine`` (interpolated quantiles) are rounded to 6 places,
+    columns in ``coarse`` (sums of squares of money, ~1e10) to 0 places.
     ``+ 0.0`` turns a rounded ``-0.0`` into ``0.0``.
     """
     def rnd(c, p):
@@ -43,7 +44,7 @@ def rounded(df: DataFrame, places: int = 4, fine=()) -> DataFrame:
         return F.round(F.col(c) * F.lit(m), 0) / F.lit(m) + F.lit(0.0)
 
     return df.select(*[
-        rnd(f.name, 6 if f.name in fine else places).alias(f.name)
+        rnd(f.name, 6 if f.name in fine else (0 if f.name in coarse else places)).alias(f.name)
         if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name)
         for f in df.schema.fields])
 
