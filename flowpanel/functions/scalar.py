@@ -60,15 +60,12 @@ def ratio_cols(nums, dens) -> dict[str, Column]:
     return {f"{n}_per_{d}": safe_div(n, d) for n in nums for d in dens}
 
 
-def poly_cols(cols, degree: int = 2, interaction_only: bool = False) -> dict[str, Column]:
-    """F8: polynomial terms of degree 2..degree, named like ``a^2`` and ``a b``.
-
-    Terms are generated in graded lexicographic order (combinations with
-    replacement of the input order); degree-1 terms are the inputs themselves.
-    """
+def poly_terms(cols, degree: int = 2, interaction_only: bool = False) -> list[tuple[str, tuple]]:
+    """F8 term list: (name, column indices) of degree 2..degree, graded
+    lexicographic order (combinations with replacement of the input order)."""
     from itertools import combinations, combinations_with_replacement
 
-    out: dict[str, Column] = {}
+    out = []
     for d in range(2, degree + 1):
         gen = combinations(range(len(cols)), d) if interaction_only else \
             combinations_with_replacement(range(len(cols)), d)
@@ -77,10 +74,19 @@ def poly_cols(cols, degree: int = 2, interaction_only: bool = False) -> dict[str
             for i in combo:
                 counts[i] = counts.get(i, 0) + 1
             name = " ".join(cols[i] if k == 1 else f"{cols[i]}^{k}" for i, k in counts.items())
-            expr = None
-            for i in combo:
-                expr = F.col(cols[i]) if expr is None else expr * F.col(cols[i])
-            out[name] = expr
+            out.append((name, combo))
+    return out
+
+
+def poly_cols(cols, degree: int = 2, interaction_only: bool = False) -> dict[str, Column]:
+    """F8: polynomial terms of degree 2..degree, named like ``a^2`` and ``a b``;
+    degree-1 terms are the inputs themselves."""
+    out: dict[str, Column] = {}
+    for name, combo in poly_terms(cols, degree, interaction_only):
+        expr = None
+        for i in combo:
+            expr = F.col(cols[i]) if expr is None else expr * F.col(cols[i])
+        out[name] = expr
     return out
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalar import format_loading, gated_log, gated_sqrt, lisa_label, poly_cols
+from ..functions.scalar import format_loading, gated_log, gated_sqrt, lisa_label, poly_terms
 from ..operators import features, prep
 from ..sources import loaders
 from ..sources import testviews as tv
@@ -102,9 +102,8 @@ POLY_COLS = ["p_size", "p_retailprice", "avg_disc"]
 
 
 def _poly_sql():
-    exprs = poly_cols(POLY_COLS, 2)
     parts = []
-    for name in exprs:
+    for name, _ in poly_terms(POLY_COLS, 2):
         terms = []
         for tok in name.split(" "):
             if "^" in tok:

@@ -18,13 +18,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def _positive_zero(sql: str) -> str:
+    """Wrap every ``ROUND(...)`` of the oracle SQL as ``(ROUND(...) + 0.0)`` so a
+    value rounded to ``-0.0`` renders as ``0.0``, like the Spark side."""
+    out, i, key = [], 0, "ROUND("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len(key) - 1
+        while True:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = _positive_zero(sql[j + len(key):k])
+        out.append(sql[i:j] + "(" + key + inner + ") + 0.0)")
+        i = k + 1
+
+
 def query(name: str, sql: str | None = None):
     def deco(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql
+            ORACLE[name] = _positive_zero(sql)
         return fn
     return deco
 
