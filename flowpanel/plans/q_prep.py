@@ -413,3 +413,74 @@ def q_nearest(spark, sf):
     p = tv.panel(spark, sf)
     return rounded(features.nearest_entity(p, ["revenue", "qty", "avg_disc", "n_lines", "n_cust"],
                                            "nation", "year"))
+
+
+# --- E2: the full feature pipeline ------------------------------------------------
+
+FP_COLS = ["revenue", "qty", "avg_disc", "n_lines", "n_cust"]
+_INT_COLS = {"n_lines", "n_cust"}
+
+
+def _feature_pipeline_sql():
+    w = "(PARTITION BY nation ORDER BY year)"
+    wsel = []
+    for c in FP_COLS:
+        for k in (1, 2, 3):
+            e = f"LAG({c}, {k}) OVER {w}"
+            wsel.append(f"{e} AS {c}_lag{k}" if c in _INT_COLS else f"{R(e)} AS {c}_lag{k}")
+    for c in FP_COLS:
+        for k in (3, 5):
+            fr = f"(PARTITION BY nation ORDER BY year ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
+            wsel.append(f"{R(f'AVG({c}) OVER {fr}')} AS {c}_rolling_mean_{k}")
+            wsel.append(f"{R(f'STDDEV_SAMP({c}) OVER {fr}')} AS {c}_rolling_std_{k}")
+            mx = f"MAX({c}) OVER {fr}"
+            wsel.append(f"{mx} AS {c}_rolling_max_{k}" if c in _INT_COLS else f"{R(mx)} AS {c}_rolling_max_{k}")
+    for c in FP_COLS:
+        cur = f"last_value({c} IGNORE NULLS) OVER (PARTITION BY nation ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+        prev = f"last_value({c} IGNORE NULLS) OVER (PARTITION BY nation ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        g = f"{cur} / NULLIF({prev}, 0) - 1"
+        wsel += [f"{R(g)} AS {c}_growth", f"{R(g)} AS {c}_yoy"]
+    wnames = [x.rsplit(" AS ", 1)[1] for x in wsel]
+    sel = ["p.nation", "p.year"] + [f"p.{c}" if c in _INT_COLS else f"{R('p.' + c)} AS {c}" for c in FP_COLS]
+    sel += [f"wf.{n}" for n in wnames]
+    stats = {"mean": "AVG(CAST({c} AS DOUBLE))", "std": "STDDEV_SAMP({c})", "min": "CAST(MIN({c}) AS DOUBLE)",
+             "max": "CAST(MAX({c}) AS DOUBLE)", "median": "quantile_cont({c}, 0.5)", "skew": "skewness({c})",
+             "kurtosis": "kurtosis({c})"}
+    gsel = ", ".join(f"ROUND({e.format(c=c)}, {6 if s == 'median' else 4}) AS {c}_{s}"
+                     for c in FP_COLS for s, e in stats.items())
+    sel += [f"g.{c}_{s}" for c in FP_COLS for s in stats]
+    sel += [f"{R('p.revenue * p.qty')} AS revenue_x_qty", f"{R('p.avg_disc * p.n_lines')} AS avg_disc_x_n_lines"]
+    sel += [f"{R(f'p.{n} / NULLIF(p.{d}, 0)')} AS {n}_per_{d}" for n in ("revenue", "qty") for d in ("avg_disc", "n_lines")]
+    sel += [f"{R('nn.dist')} AS distance_to_nearest_euclidean", "nn.nearest_city"]
+    sel += ["pos.out_degree", "pos.in_degree", "pos.total_degree", f"{R('pos.out_strength')} AS out_strength",
+            f"{R('pos.in_strength')} AS in_strength", f"{R('pos.total_strength')} AS total_strength",
+            f"{R('pos.net_flow')} AS net_flow", f"{R('pos.betweenness_centrality')} AS betweenness_centrality"]
+    dist = " + ".join(f"power(a.{c} - b.{c}, 2)" for c in FP_COLS)
+    return tv.with_views(f"""
+, wf AS (SELECT nation, year, {', '.join(wsel)} FROM panel)
+, g AS (SELECT nation, {gsel} FROM panel GROUP BY nation)
+, cur AS (SELECT * FROM panel WHERE year = (SELECT MAX(year) FROM panel))
+, pr AS (SELECT a.nation, b.nation AS nb, sqrt({dist}) AS dist FROM cur a JOIN cur b ON a.nation <> b.nation)
+, nn AS (SELECT nation, arg_min(nb, (dist, nb)) AS nearest_city, MIN(dist) AS dist FROM pr GROUP BY 1)
+, o AS (SELECT src AS city, COUNT(*) AS d, SUM(value) AS s FROM od GROUP BY 1)
+, i AS (SELECT dst AS city, COUNT(*) AS d, SUM(value) AS s FROM od GROUP BY 1)
+, nodes AS (SELECT city FROM o UNION SELECT city FROM i)
+, t AS (SELECT n.city, COUNT(*) AS touch FROM nodes n JOIN od ON od.src = n.city OR od.dst = n.city GROUP BY 1)
+, pos AS (SELECT nodes.city, CAST(o.d AS BIGINT) AS out_degree, CAST(i.d AS BIGINT) AS in_degree,
+                 CAST(o.d + i.d AS BIGINT) AS total_degree, o.s AS out_strength, i.s AS in_strength,
+                 o.s + i.s AS total_strength, o.s - i.s AS net_flow,
+                 t.touch / (SELECT COUNT(*) FROM od) AS betweenness_centrality
+          FROM nodes LEFT JOIN o ON nodes.city = o.city LEFT JOIN i ON nodes.city = i.city
+          LEFT JOIN t ON nodes.city = t.city)
+SELECT {', '.join(sel)}
+FROM panel p JOIN wf ON p.nation = wf.nation AND p.year = wf.year
+LEFT JOIN g ON p.nation = g.nation LEFT JOIN nn ON p.nation = nn.nation
+LEFT JOIN pos ON p.nation = pos.city""", tv.PANEL_SQL, tv.OD_SQL)
+
+
+@query("feature_pipeline", _feature_pipeline_sql())
+def q_feature_pipeline(spark, sf):
+    from ..operators.flows import od_position_features
+    out = features.feature_pipeline(tv.panel(spark, sf), "nation", "year", exclude=("year",),
+                                    od_features=od_position_features(tv.od(spark, sf)))
+    return rounded(out, fine=tuple(f"{c}_median" for c in FP_COLS))
