@@ -157,3 +157,70 @@ def prep_pipeline(df: DataFrame, cols, impute_method: str | None = "mean", cap:
     if scale_method:
         out, _ = scale(out, cols, scale_method)
     return out
+
+
+def boxcox_lambda(df: DataFrame, cols, lo: float = -3.0, hi: float = 3.0) -> dict:
+    """maximum-likelihood Box-Cox λ per column (positive values only).
+
+    The profile log-likelihood (λ − 1)·Σ ln x − n/2 · ln var(y_λ) is evaluated
+    for a grid of λ in one aggregate (Σ y_λ, Σ y_λ² per λ), then on a 100×
+    finer grid around the best value: two passes over the data, p·|grid| sums.
+    """
+    import numpy as np
+
+    def best(c, grid):
+        x = F.col(c).cast("double")
+        aggs = [F.count(x).alias("n"), F.sum(F.log(x)).alias("sl")]
+        for i, lam in enumerate(grid):
+            y = F.log(x) if abs(lam) < 1e-12 else (F.pow(x, float(lam)) - 1) / float(lam)
+            aggs += [F.sum(y).alias(f"s{i}"), F.sum(y * y).alias(f"q{i}")]
+        row = df.where(F.col(c) > 0).agg(*aggs).first()
+        n = row["n"]
+        ll = []
+        for i, lam in enumerate(grid):
+            var = row[f"q{i}"] / n - (row[f"s{i}"] / n) ** 2
+            ll.append((lam - 1) * row["sl"] - n / 2 * np.log(var) if var > 0 else -np.inf)
+        return grid[int(np.argmax(ll))]
+
+    out = {}
+    for c in cols:
+        coarse = list(np.round(np.arange(lo, hi + 1e-9, 0.05), 10))
+        b = best(c, coarse)
+        fine = list(np.round(np.arange(b - 0.05, b + 0.05 + 1e-9, 0.0005), 10))
+        out[c] = float(best(c, fine))
+    return out
+
+
+def boxcox(df: DataFrame, cols, lambdas: dict | None = None) -> DataFrame:
+    """``{c}_boxcox`` = (x^λ − 1)/λ (ln x when λ = 0) with the MLE λ."""
+    lambdas = lambdas or boxcox_lambda(df, cols)
+    new = {}
+    for c, lam in lambdas.items():
+        x = F.col(c).cast("double")
+        y = F.log(x) if abs(lam) < 1e-12 else (F.pow(x, lam) - 1) / lam
+        new[f"{c}_boxcox"] = F.when(x > 0, y)
+    return df.withColumns(new)
+
+
+def auto_transform(df: DataFrame, cols) -> DataFrame:
+    """For columns flagged non-normal by R14–R16, append ``_log`` (all > 0),
+    ``_sqrt`` (all >= 0) and ``_boxcox`` (all > 0 and n > 10)."""
+    from .stats import normality
+    rep = {r["variable"]: r["is_normal"] for r in normality(df, cols).select("variable", "is_normal").collect()}
+    bad = [c for c in cols if rep.get(c) is False]
+    if not bad:
+        return df
+    st = df.agg(*[F.min(c).alias(f"{c}__min") for c in bad], *[F.count(c).alias(f"{c}__n") for c in bad]).first()
+    out = df
+    new = {}
+    pos = []
+    for c in bad:
+        mn, n = st[f"{c}__min"], st[f"{c}__n"]
+        if mn is not None and mn > 0:
+            new[f"{c}_log"] = F.log(F.col(c).cast("double"))
+            if n > 10:
+                pos.append(c)
+        if mn is not None and mn >= 0:
+            new[f"{c}_sqrt"] = F.sqrt(F.col(c).cast("double"))
+    out = out.withColumns(new) if new else out
+    return boxcox(out, pos) if pos else out

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import pairs
@@ -126,3 +126,93 @@ def moran_local(w: DataFrame, df: DataFrame, id_col: str, value: str) -> DataFra
     return j.select(F.col("id").alias(id_col), "z", "lag_z",
                     ((F.col("_n") - 1) * F.col("z") * F.col("lag_z") / F.col("_den")).alias("Is"),
                     q.alias("q"))
+
+
+def _dense_ids(df: DataFrame, id_col: str) -> DataFrame:
+    """id → dense index 0..n−1 in id order (distributed ranking, no single partition)."""
+    from ..functions.ranks import ranked_values
+    return ranked_values(df.select(id_col), [], id_col).select(id_col, F.col("below").alias("d"))
+
+
+def _affine_perms(n: int, permutations: int, seed: int):
+    """Deterministic permutations of 0..n−1 as i ↦ (a·i + b) mod n with gcd(a, n) = 1."""
+    import random
+    rnd = random.Random(seed)
+    out = []
+    while len(out) < permutations:
+        a = rnd.randrange(1, max(n, 2))
+        if math.gcd(a, n) == 1:
+            out.append((a, rnd.randrange(0, n)))
+    return out
+
+
+def moran_permutation(w: DataFrame, df: DataFrame, id_col: str, value: str,
+                      permutations: int = 999, seed: int = 42) -> DataFrame:
+    """Permutation inference for global Moran's I (z_sim, p_sim, significant).
+
+    Each draw moves the value of dense point d to position (a·d + b) mod n — a
+    seeded bijection computed per row, so draws are an ``explode`` of the points
+    (no sort, no cross join); the statistic per draw is one W join + aggregate.
+    p_sim = (min(#sim ≥ I, draws − #sim ≥ I) + 1) / (draws + 1).
+    """
+    y = df.select(id_col, F.col(value).cast("double").alias("y")).where(F.col("y").isNotNull())
+    st = y.agg(F.avg("y").alias("_mu"), F.count(F.lit(1)).alias("_n")).first()
+    n, mu = int(st["_n"]), float(st["_mu"])
+    dense = _dense_ids(y, id_col)
+    z = y.join(dense, id_col).select(id_col, "d", (F.col("y") - mu).alias("z"))
+    wd = (w.join(dense.select(F.col(id_col).alias("i"), F.col("d").alias("di")), "i")
+          .join(dense.select(F.col(id_col).alias("j"), F.col("d").alias("dj")), "j").select("di", "dj", "w"))
+    s = wd.agg(F.sum("w").alias("S0")).first()["S0"]
+    zz = z.agg(F.sum(F.col("z") ** 2)).first()[0]
+    perms = _affine_perms(n, permutations, seed)
+    arr = F.array(*[F.struct(F.lit(k).alias("p"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"))
+                    for k, (a, b) in enumerate(perms)])
+    moved = z.select("z", "d", F.explode(arr).alias("_p")).select(
+        F.col("_p.p").alias("perm"), F.pmod(F.col("_p.a") * F.col("d") + F.col("_p.b"), F.lit(n)).alias("q"), "z")
+    zi = moved.select("perm", F.col("q").alias("di"), F.col("z").alias("zi"))
+    zj = moved.select("perm", F.col("q").alias("dj"), F.col("z").alias("zj"))
+    sims = (wd.join(zi, "di").join(zj, ["perm", "dj"])
+            .groupBy("perm").agg((n / s * F.sum(F.col("w") * F.col("zi") * F.col("zj")) / zz).alias("I_sim")))
+    obs = moran_global(w, df, id_col, [value]).select("I")
+    j = sims.withColumn("_k", F.lit(1)).join(F.broadcast(obs.withColumn("_k", F.lit(1))), "_k")
+    agg = j.agg(F.first("I").alias("I"), F.avg("I_sim").alias("EI_sim"), F.stddev_pop("I_sim").alias("seI_sim"),
+                F.count_if(F.col("I_sim") >= F.col("I")).alias("_larger"), F.count(F.lit(1)).alias("_m"))
+    larger = F.least(F.col("_larger"), F.col("_m") - F.col("_larger"))
+    return agg.select("I", "EI_sim", "seI_sim",
+                      ((F.col("I") - F.col("EI_sim")) / F.col("seI_sim")).alias("z_sim"),
+                      ((larger + 1) / (F.col("_m") + 1)).alias("p_sim")) \
+              .withColumn("significant", F.col("p_sim") < 0.05)
+
+
+def local_permutation(w: DataFrame, df: DataFrame, id_col: str, value: str,
+                      permutations: int = 999, seed: int = 42) -> DataFrame:
+    """X8 + X9: conditional-permutation p-values for local Moran and LISA labels.
+
+    For draw p and point i, each neighbour slot s of i receives the value of a
+    pseudo-random other point (xxhash64(seed, p, i, s) mod (n − 1), skipping i);
+    the simulated I_i uses i's own weights.  Slots are drawn independently
+    (with replacement across slots).
+    """
+    from ..functions.scalar import lisa_label
+    loc = moran_local(w, df, id_col, value)
+    n = loc.count()
+    dense = _dense_ids(loc, id_col)
+    zt = loc.join(dense, id_col).select(F.col("d").alias("r"), F.col("z").alias("zr"))
+    den = loc.agg(F.sum(F.col("z") ** 2)).first()[0]
+    slot = Window.partitionBy("i").orderBy("j")
+    ws = (w.withColumn("s", F.row_number().over(slot))
+          .join(dense.select(F.col(id_col).alias("i"), F.col("d").alias("di")), "i"))
+    pr = F.array(*[F.lit(k) for k in range(permutations)])
+    draw = ws.select("i", "di", "s", "w", F.explode(pr).alias("perm"))
+    raw = F.pmod(F.xxhash64(F.lit(seed), F.col("perm"), F.col("i"), F.col("s")), F.lit(max(n - 1, 1)))
+    draw = draw.withColumn("r", F.when(raw >= F.col("di"), raw + 1).otherwise(raw))
+    lag = (draw.join(zt, "r").groupBy("i", "perm").agg(F.sum(F.col("w") * F.col("zr")).alias("lag_sim")))
+    obs = loc.select(F.col(id_col).alias("i"), "z", "Is", "q")
+    j = lag.join(obs, "i").withColumn("I_sim", (n - 1) * F.col("z") * F.col("lag_sim") / den)
+    agg = j.groupBy("i").agg(F.count_if(F.col("I_sim") >= F.col("Is")).alias("_larger"),
+                             F.count(F.lit(1)).alias("_m"))
+    larger = F.least(F.col("_larger"), F.col("_m") - F.col("_larger"))
+    res = agg.select("i", ((larger + 1) / (F.col("_m") + 1)).alias("p_sim"))
+    return (obs.join(res, "i", "left")
+            .select(F.col("i").alias(id_col), "z", "Is", "q", "p_sim",
+                    lisa_label(F.col("q"), F.col("p_sim")).alias("label")))

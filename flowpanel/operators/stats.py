@@ -8,6 +8,8 @@ which never puts a whole column into one task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -269,3 +271,84 @@ def moments_flag(df: DataFrame, cols) -> DataFrame:
     m = moments(df, cols)
     return m.select("variable", F.col("g1").alias("skewness"), F.col("g2").alias("kurtosis"),
                     ((F.abs(F.col("g1")) < 2) & (F.abs(F.col("g2")) < 7)).alias("shape_ok"))
+
+
+def norm_ppf(p):
+    """Inverse standard normal CDF as a column expression (rational approximation
+    with relative error < 1.2e-9 over (0, 1))."""
+    # fixed coefficients of the published rational approximation
+    a = [-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
+         1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00]
+    b = [-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
+         6.680131188771972e+01, -1.328068155833342e+01]
+    c = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
+         -2.549671010139134e+00, 4.374664141464968e+00, 2.938163982698783e+00]
+    d = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00,
+         3.754408661907416e+00]
+    lo = 0.02425
+
+    def horner(coefs, x):
+        e = F.lit(coefs[0])
+        for k in coefs[1:]:
+            e = e * x + k
+        return e
+
+    q_lo = F.sqrt(-2 * F.log(p))
+    tail_lo = horner(c, q_lo) / (horner(d, q_lo) * q_lo + 1)
+    q = p - 0.5
+    r = q * q
+    central = horner(a, r) * q / (horner(b, r) * r + 1)
+    q_hi = F.sqrt(-2 * F.log(1 - p))
+    tail_hi = -horner(c, q_hi) / (horner(d, q_hi) * q_hi + 1)
+    return F.when(p < lo, tail_lo).when(p <= 1 - lo, central).otherwise(tail_hi)
+
+
+def normality(df: DataFrame, cols, min_n: int = 8) -> DataFrame:
+    """Per variable Kolmogorov–Smirnov against N(mean, sd n−1)
+    (spark.ml), Shapiro–Francia W' (squared correlation of the sorted values with
+    Blom normal scores, from the distributed ranks) with Royston's normal
+    approximation of ln(1 − W'), population skewness / excess kurtosis, and
+    ``is_normal`` = p > .05 and |skew| < 2 and |kurt| < 7.
+
+    W' replaces the Shapiro–Wilk W (whose coefficients need an n×n covariance);
+    it is the standard large-sample approximation of W.
+    """
+    from pyspark.ml.stat import KolmogorovSmirnovTest
+    from ..operators.spatial import erfc
+    long = to_long(df, cols)
+    r = ranked_values(long, ["variable"], "value")
+    n = F.col("n").cast("double")
+    pos = F.col("below") + (F.col("cnt") + 1) / 2.0
+    m = norm_ppf((pos - 0.375) / (n + 0.25))
+    sf = (r.withColumn("m", m).groupBy("variable")
+          .agg(F.max("n").alias("n"),
+               F.sum(F.col("cnt") * F.col("value")).alias("sx"), F.sum(F.col("cnt") * F.col("m")).alias("sm"),
+               F.sum(F.col("cnt") * F.col("value") ** 2).alias("sxx"), F.sum(F.col("cnt") * F.col("m") ** 2).alias("smm"),
+               F.sum(F.col("cnt") * F.col("value") * F.col("m")).alias("sxm")))
+    nn = F.col("n").cast("double")
+    cov = F.col("sxm") - F.col("sx") * F.col("sm") / nn
+    w = cov * cov / ((F.col("sxx") - F.col("sx") ** 2 / nn) * (F.col("smm") - F.col("sm") ** 2 / nn))
+    lnn = F.log(nn)
+    mu = -1.2725 + 1.0521 * (F.log(lnn) - lnn)
+    sd = 1.0308 - 0.26758 * (F.log(lnn) + 2 / lnn)
+    zsf = (F.log(1 - w) - mu) / sd
+    sf = sf.select("variable", "n", w.alias("shapiro_francia_w"),
+                   (0.5 * erfc(zsf / math.sqrt(2.0))).alias("shapiro_francia_p"))
+    mom = moments(df, cols).select("variable", F.col("mean"), F.col("std"),
+                                   F.col("g1").alias("skewness"), F.col("g2").alias("kurtosis"))
+    # KS: one spark.ml test per column, parameters from the moments (p rows)
+    ks_rows = []
+    params = {row["variable"]: (row["mean"], row["std"]) for row in mom.collect()}
+    spark = df.sparkSession
+    for c in cols:
+        mu_c, sd_c = params[c]
+        if mu_c is None or not sd_c:
+            ks_rows.append((c, None, None))
+            continue
+        t = KolmogorovSmirnovTest.test(df.select(F.col(c).cast("double").alias(c)).dropna(), c, "norm",
+                                       float(mu_c), float(sd_c)).first()
+        ks_rows.append((c, float(t.statistic), float(t.pValue)))
+    ks = spark.createDataFrame(ks_rows, "variable string, ks_stat double, ks_p double")
+    out = sf.join(ks, "variable").join(mom.drop("mean", "std"), "variable").where(F.col("n") >= min_n)
+    return out.withColumn("is_normal", (F.col("shapiro_francia_p") > 0.05)
+                          & (F.abs(F.col("skewness")) < 2) & (F.abs(F.col("kurtosis")) < 7))

@@ -132,3 +132,15 @@ def q_moran_local(spark, sf):
     loc = spatial.moran_local(_w(spark, sf), tv.geo(spark, sf), "vec_id", "v")
     # label with p = 0 (significance is the permutation operator's job)
     return rounded(loc.withColumn("label", lisa_label(F.col("q"), F.lit(0.0))))
+
+
+# --- rows-only: permutation inference ------------------------------------------
+
+@query("moran_perm")
+def q_moran_perm(spark, sf):
+    return spatial.moran_permutation(_w(spark, sf), tv.geo(spark, sf), "vec_id", "v", permutations=999)
+
+
+@query("lisa")
+def q_lisa(spark, sf):
+    return spatial.local_permutation(_w(spark, sf), tv.geo(spark, sf), "vec_id", "v", permutations=999)

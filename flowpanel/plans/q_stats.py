@@ -214,3 +214,23 @@ FROM c""", tv.PARTFEAT_SQL, _long_sql("partfeat", COLS))
 @query("moments_flag", MOMENTS_FLAG_SQL)
 def q_moments_flag(spark, sf):
     return rounded(stats.moments_flag(tv.partfeat(spark, sf), COLS))
+
+
+# --- rows-only: normality and transforms ---------------------------------------
+
+@query("normality")
+def q_normality(spark, sf):
+    return stats.normality(tv.partfeat(spark, sf), COLS)
+
+
+@query("boxcox")
+def q_boxcox(spark, sf):
+    from ..operators.prep import boxcox
+    cols = ["p_retailprice", "qty", "revenue"]
+    return boxcox(tv.partfeat(spark, sf).select("p_partkey", *cols), cols)
+
+
+@query("auto_transform")
+def q_auto_transform(spark, sf):
+    from ..operators.prep import auto_transform
+    return auto_transform(tv.partfeat(spark, sf), COLS)
