@@ -179,3 +179,127 @@ def kmo_bartlett(df: DataFrame, cols) -> dict:
     dof = p * (p - 1) / 2
     return {"kmo": kmo_all, "kmo_per_variable": dict(zip(cols, map(float, kmo_var))),
             "bartlett_chi2": chi2, "bartlett_df": dof, "bartlett_p": _chi2_sf(chi2, dof), "n": n}
+
+
+# --- factor analysis (D15–D18) ------------------------------------------------------
+
+def factor_fit(df: DataFrame, cols, k: int, max_iter: int = 500, tol: float = 1e-9, rotate: bool = True):
+    """Minimum-residual (ULS) factor extraction by iterated principal axes
+    on the correlation matrix (the fixed point of the iteration minimises the
+    off-diagonal residuals), then varimax with Kaiser normalisation.
+
+    Only the p×p correlation matrix comes from the data (one aggregate).
+    Returns (loadings p×k, correlation matrix, n).
+    """
+    n, r = correlation_matrix(df, cols)
+    p = len(cols)
+    inv = np.linalg.pinv(r)
+    h2 = np.clip(1 - 1 / np.diag(inv), 0.005, 1.0)  # squared multiple correlations
+    for _ in range(max_iter):
+        rr = r.copy()
+        np.fill_diagonal(rr, h2)
+        vals, vecs = np.linalg.eigh(rr)
+        order = np.argsort(vals)[::-1][:k]
+        lam = np.clip(vals[order], 0, None)
+        load = vecs[:, order] * np.sqrt(lam)
+        new = np.clip((load ** 2).sum(axis=1), 0.0, 1.0)
+        if np.max(np.abs(new - h2)) < tol:
+            h2 = new
+            break
+        h2 = new
+    if rotate and k > 1:
+        load = varimax(load)
+    for j in range(k):
+        if load[np.argmax(np.abs(load[:, j])), j] < 0:
+            load[:, j] = -load[:, j]
+    return load, r, n
+
+
+def varimax(load: np.ndarray, max_iter: int = 1000, tol: float = 1e-8) -> np.ndarray:
+    """Varimax rotation with Kaiser normalisation (p×k, driver side)."""
+    h = np.sqrt((load ** 2).sum(axis=1))
+    h[h == 0] = 1.0
+    a = load / h[:, None]
+    p, k = a.shape
+    rot = np.eye(k)
+    d = 0.0
+    for _ in range(max_iter):
+        lam = a @ rot
+        u, s, vt = np.linalg.svd(a.T @ (lam ** 3 - lam @ np.diag((lam ** 2).sum(axis=0)) / p))
+        rot = u @ vt
+        d_new = s.sum()
+        if d_new < d * (1 + tol):
+            break
+        d = d_new
+    return (a @ rot) * h[:, None]
+
+
+def factor_count(df: DataFrame, cols) -> int:
+    """Number of correlation-matrix eigenvalues above 1 (at least 1)."""
+    _, r = correlation_matrix(df, cols)
+    return max(1, int((np.linalg.eigvalsh(r) > 1).sum()))
+
+
+def factor_scores(df: DataFrame, cols, id_col: str, k: int | None = None, weights: str = "variance") -> DataFrame:
+    """D17 + D18: regression factor scores Z·R⁻¹·L (population z-scores) as k
+    column expressions, the composite score (variance-weighted or simple mean of
+    the factor scores) and its average descending rank (truncated to int)."""
+    from ..operators.features import avg_rank_desc
+    k = k or factor_count(df, cols)
+    load, r, _ = factor_fit(df, cols, k)
+    coef = np.linalg.solve(r, load)  # R⁻¹ L
+    z, _ = scale(df.select(id_col, *cols).dropna(), list(cols), "standard")
+    exprs = []
+    for j in range(k):
+        e = None
+        for i, c in enumerate(cols):
+            t = F.col(c) * float(coef[i, j])
+            e = t if e is None else e + t
+        exprs.append(e.alias(f"Factor{j + 1}_Score"))
+    sc = z.select(id_col, *exprs)
+    var = (load ** 2).sum(axis=0)
+    wts = var / var.sum() if weights == "variance" else np.full(k, 1.0 / k)
+    comp = sum(F.col(f"Factor{j + 1}_Score") * float(wts[j]) for j in range(k))
+    sc = sc.withColumn("composite_score", comp)
+    return avg_rank_desc(sc, "composite_score", out="rank")
+
+
+def parallel_analysis(df: DataFrame, cols, id_col: str, permutations: int = 100, seed: int = 42,
+                      percentile: float = 95.0) -> dict:
+    """Horn's parallel analysis.  Each draw permutes every column
+    independently with a seeded bijection of the dense row index
+    ((a·d + b) mod n, per draw and column) — an ``explode``, no sort; the
+    p×p cross-products of all draws come from one aggregate keyed by draw.
+    Returns the count of real eigenvalues above the percentile of the
+    permuted ones, plus both eigenvalue lists."""
+    from ..operators.spatial import _affine_perms, _dense_ids
+    cols = list(cols)
+    z, _ = scale(df.select(id_col, *cols).dropna(), cols, "standard")
+    n = z.count()
+    dense = _dense_ids(z, id_col)
+    zd = z.join(dense, id_col)
+    perms = _affine_perms(n, permutations * len(cols), seed)
+    long = zd.select("d", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("col"), F.col(c).alias("z")) for c in cols])).alias("_c")).select("d", "_c.*")
+    # per column: the array of its (draw, a, b) bijections, looked up by column name
+    by_col = F.create_map(*[x for ci, c in enumerate(cols) for x in (
+        F.lit(c), F.array(*[F.struct(F.lit(p).alias("perm"), F.lit(perms[p * len(cols) + ci][0]).cast("long").alias("a"),
+                                     F.lit(perms[p * len(cols) + ci][1]).cast("long").alias("b"))
+                            for p in range(permutations)]))])
+    moved = (long.select("d", "col", "z", F.explode(F.element_at(by_col, F.col("col"))).alias("_p"))
+             .select(F.col("_p.perm").alias("perm"), "col",
+                     F.pmod(F.col("_p.a") * F.col("d") + F.col("_p.b"), F.lit(n)).alias("q"), "z"))
+    wide = moved.groupBy("perm", "q").agg(*[F.max(F.when(F.col("col") == c, F.col("z"))).alias(c) for c in cols])
+    aggs = [F.sum(F.col(a) * F.col(b)).alias(f"{a}__{b}") for i, a in enumerate(cols) for b in cols[i:]]
+    rows = wide.groupBy("perm").agg(*aggs).collect()
+    p = len(cols)
+    sims = []
+    for row in rows:
+        m = np.zeros((p, p))
+        for i, a in enumerate(cols):
+            for j in range(i, p):
+                m[i, j] = m[j, i] = row[f"{a}__{cols[j]}"]
+        sims.append(np.sort(np.linalg.eigvalsh(m / (n - 1)))[::-1])
+    thr = np.percentile(np.array(sims), percentile, axis=0)
+    real = pca_fit(df, cols).eigenvalues
+    return {"n_components": int((real > thr).sum()), "real": real.tolist(), "threshold": thr.tolist()}

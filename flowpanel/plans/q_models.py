@@ -306,3 +306,17 @@ def q_full_pipeline(spark, sf):
     sc = reduce.pca_scores(z, res, "nation", k=k)
     lab, _ = cluster.kmeans(sc, [f"PC{i + 1}" for i in range(k)], "nation", k=3, restarts=10)
     return sc.join(lab, "nation")
+
+
+# --- rows-only: factor analysis, parallel analysis -----------------------------------
+
+@query("factor_scores")
+def q_factor_scores(spark, sf):
+    return reduce.factor_scores(tv.partfeat(spark, sf), PCA_COLS, "p_partkey")
+
+
+@query("parallel_analysis")
+def q_parallel_analysis(spark, sf):
+    r = reduce.parallel_analysis(tv.partfeat(spark, sf), PCA_COLS, "p_partkey", permutations=100)
+    rows = [(f"PC{i + 1}", float(a), float(b), bool(a > b)) for i, (a, b) in enumerate(zip(r["real"], r["threshold"]))]
+    return spark.createDataFrame(rows, "pc string, eigenvalue double, threshold_95 double, retained boolean")
