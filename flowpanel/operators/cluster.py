@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
@@ -204,3 +205,127 @@ def dbscan(df: DataFrame, id_col: str, cols, eps: float = 0.5, min_samples: int
     grp_lab = grp.select("i", *cols).join(lab.unionByName(border), "i", "left")
     return (pts.join(grp_lab, cols)
             .select(F.col("_id").alias(id_col), F.coalesce(F.col("label"), F.lit(-1)).cast("long").alias("label")))
+
+
+def _ward_tree(cent: np.ndarray, wts: np.ndarray):
+    """Weighted Ward agglomeration of m items (driver side, m is bounded).
+
+    Merge cost Δ(A, B) = n_A·n_B/(n_A + n_B)·|μ_A − μ_B|²; returns the merge list
+    [(a, b)] in order, items numbered 0..m−1 and merged clusters m, m+1, ..."""
+    m = len(wts)
+    cen = cent.astype(float).copy()
+    cnt = wts.astype(float).copy()
+    ids = list(range(m))
+    active = np.ones(m, dtype=bool)
+    d2 = ((cen[:, None, :] - cen[None, :, :]) ** 2).sum(axis=2)
+    cost = (cnt[:, None] * cnt[None, :]) / (cnt[:, None] + cnt[None, :]) * d2
+    np.fill_diagonal(cost, np.inf)
+    merges = []
+    nxt = m
+    for _ in range(m - 1):
+        idx = np.argmin(cost)
+        a, b = divmod(int(idx), m)
+        merges.append((ids[a], ids[b]))
+        na, nb = cnt[a], cnt[b]
+        cen[a] = (na * cen[a] + nb * cen[b]) / (na + nb)
+        cnt[a] = na + nb
+        ids[a] = nxt
+        nxt += 1
+        active[b] = False
+        cost[b, :] = np.inf
+        cost[:, b] = np.inf
+        row = (cnt[a] * cnt) / (cnt[a] + cnt) * ((cen - cen[a]) ** 2).sum(axis=1)
+        row[~active] = np.inf
+        row[a] = np.inf
+        cost[a, :] = row
+        cost[:, a] = row
+    return merges
+
+
+def _cut(merges, m: int, k: int) -> np.ndarray:
+    """Flat labels of the m items when the tree is cut into k clusters."""
+    parent = list(range(2 * m))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for t, (a, b) in enumerate(merges[: m - k]):
+        new = m + t
+        parent[find(a)] = new
+        parent[find(b)] = new
+    roots = [find(i) for i in range(m)]
+    order = {}
+    for r in roots:  # canonical: clusters numbered by their first item
+        order.setdefault(r, len(order))
+    return np.array([order[r] for r in roots])
+
+
+def ward(df: DataFrame, cols, id_col: str, k_values=(3,), max_items: int = 500, seed: int = 42):
+    """C3 + C4: Ward hierarchical clustering.
+
+    Up to ``max_items`` rows the tree is exact on the points; above it the data
+    is first summarised by k-means micro-clusters (distributed), and Ward merges
+    their weighted centroids.  Only the ≤ ``max_items`` centroids reach the
+    driver; labels go back through a join with the bounded item → cluster map.
+    Returns {k: DataFrame(id, label)}.
+    """
+    cols = list(cols)
+    x = df.select(id_col, *cols).dropna()
+    z, _ = scale(x, cols, "standard")
+    n = z.count()
+    spark = df.sparkSession
+    if n <= max_items:
+        rows = z.select(id_col, *cols).collect()  # bounded by max_items
+        item = spark.createDataFrame([(r[id_col], i) for i, r in enumerate(rows)], f"{id_col} {dict(z.dtypes)[id_col]}, item int")
+        cent = np.array([[r[c] for c in cols] for r in rows])
+        wts = np.ones(len(rows))
+    else:
+        lab, _ = kmeans(z, cols, id_col, k=max_items, restarts=1, seed=seed, standardize=False)
+        item = lab.select(id_col, F.col("label").alias("item"))
+        cs = (z.join(item, id_col).groupBy("item")
+              .agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(c) for c in cols]).orderBy("item").collect())
+        cent = np.array([[r[c] for c in cols] for r in cs])
+        wts = np.array([r["_n"] for r in cs], dtype=float)
+        remap = {r["item"]: i for i, r in enumerate(cs)}
+        item = item.withColumn("item", F.create_map(*[x for a, b in remap.items() for x in (F.lit(a), F.lit(b))])[F.col("item")])
+    merges = _ward_tree(cent, wts)
+    out = {}
+    for k in k_values:
+        labels = _cut(merges, len(wts), k)
+        m = spark.createDataFrame([(i, int(l)) for i, l in enumerate(labels)], "item int, label int")
+        out[k] = item.join(F.broadcast(m), "item").select(id_col, "label")
+    return out
+
+
+def ward_sweep(df: DataFrame, cols, id_col: str, k_values=range(2, 11), max_items: int = 500) -> DataFrame:
+    """C4: one Ward tree, cut at every k, with silhouette (squared), CH and DB."""
+    cols = list(cols)
+    z, _ = scale(df.select(id_col, *cols).dropna(), cols, "standard")
+    z = z.cache()
+    cuts = ward(z, cols, id_col, list(k_values), max_items)
+    rows = []
+    for k, lab in cuts.items():
+        j = z.join(lab, id_col)
+        q = quality(j, cols, "label").first()
+        sil = silhouette_sq(j, cols, "label", id_col).agg(F.avg("silhouette")).first()[0]
+        rows.append((int(k), float(sil), float(q["calinski_harabasz"]), float(q["davies_bouldin"])))
+    z.unpersist()
+    out = df.sparkSession.createDataFrame(rows, "k int, silhouette double, calinski_harabasz double, davies_bouldin double")
+    return out.withColumn("best", F.row_number().over(Window.orderBy(F.col("silhouette").desc(), "k")) == 1)
+
+
+def spectral(df: DataFrame, cols, id_col: str, k: int, n_neighbors: int = 10, gamma: float = 1.0,
+             max_iter: int = 30) -> DataFrame:
+    """Spectral clustering re-aimed to power iteration clustering on a
+    kNN-sparsified RBF affinity graph (exact grid kNN, symmetrised)."""
+    from pyspark.ml.clustering import PowerIterationClustering
+    cols = list(cols)
+    z, _ = scale(df.select(id_col, *cols).dropna(), cols, "standard")
+    nn = pairs.knn(z, id_col, cols, k=n_neighbors)
+    e = nn.select(F.col(id_col).cast("long").alias("src"), F.col("nbr").cast("long").alias("dst"),
+                  F.exp(-gamma * F.col("dist") ** 2).alias("weight"))
+    pic = PowerIterationClustering(k=k, maxIter=max_iter, weightCol="weight", initMode="degree")
+    return pic.assignClusters(e).select(F.col("id").alias(id_col), F.col("cluster").alias("label"))

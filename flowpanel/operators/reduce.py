@@ -303,3 +303,81 @@ def parallel_analysis(df: DataFrame, cols, id_col: str, permutations: int = 100,
     thr = np.percentile(np.array(sims), percentile, axis=0)
     real = pca_fit(df, cols).eigenvalues
     return {"n_components": int((real > thr).sum()), "real": real.tolist(), "threshold": thr.tolist()}
+
+
+# --- kernel and robust PCA (D10–D12) -----------------------------------------------
+
+def kernel_pca(df: DataFrame, cols, id_col: str, gamma: float | None = None, n_features: int = 100,
+               k: int = 3, seed: int = 42):
+    """D10 re-aimed: RBF kernel PCA through seeded random Fourier features
+    z(x) = √(2/D)·cos(Wx + b), W ~ N(0, 2γ), computed as D column expressions on
+    the standardised data; spark.ml ``PCA`` then forms the D×D covariance with a
+    distributed tree aggregate and decomposes it on the driver (D is a parameter).
+    Returns (explained-variance ratios, scores DataFrame with KPC1..KPCk)."""
+    from pyspark.ml.feature import PCA, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    cols = list(cols)
+    p = len(cols)
+    gamma = gamma or 1.0 / p
+    rng = np.random.default_rng(seed)
+    w = rng.normal(scale=math.sqrt(2 * gamma), size=(p, n_features))
+    b = rng.uniform(0, 2 * math.pi, size=n_features)
+    z, _ = scale(df.select(id_col, *cols).dropna(), cols, "standard")
+    feats = []
+    for j in range(n_features):
+        lin = sum(F.col(c) * float(w[i, j]) for i, c in enumerate(cols)) + float(b[j])
+        feats.append((math.sqrt(2.0 / n_features) * F.cos(lin)).alias(f"rff{j}"))
+    names = [f"rff{j}" for j in range(n_features)]
+    zf = VectorAssembler(inputCols=names, outputCol="_rff").transform(z.select(id_col, *feats))
+    model = PCA(k=k, inputCol="_rff", outputCol="_kpc").fit(zf)
+    arr = vector_to_array(F.col("_kpc"))
+    scores = model.transform(zf).select(id_col, *[arr[j].alias(f"KPC{j + 1}") for j in range(k)])
+    return [float(v) for v in model.explainedVariance], scores
+
+
+def robust_pca(df: DataFrame, cols, max_steps: int = 20, support: float | None = None) -> tuple:
+    """PCA of the minimum covariance determinant estimate, by concentration
+    steps: mean and covariance on the current subset (one aggregate), squared
+    Mahalanobis distance as a column expression, keep the h smallest (exact
+    distributed quantile), repeat until the determinant stops decreasing.
+    Returns (PcaResult on the robust correlation, classical PcaResult)."""
+    from ..functions.ranks import quantiles_wide
+    cols = list(cols)
+    z, _ = scale(df.select(*cols).dropna(), cols, "standard")
+    n = z.count()
+    p = len(cols)
+    h = int(support * n) if support else (n + p + 1) // 2
+    sub = z
+    det_old = np.inf
+    for _ in range(max_steps):
+        m = sub.agg(*[F.avg(c).alias(c) for c in cols]).first()
+        mu = np.array([m[c] for c in cols])
+        cen = sub.select(*[(F.col(c) - float(mu[i])).alias(c) for i, c in enumerate(cols)])
+        cnt, xtx = cross_products(cen, cols)
+        cov = xtx / max(cnt - 1, 1)
+        sign, logdet = np.linalg.slogdet(cov)
+        inv = np.linalg.pinv(cov)
+        d2 = sum((F.col(a) - float(mu[i])) * (F.col(b) - float(mu[j])) * float(inv[i, j])
+                 for i, a in enumerate(cols) for j, b in enumerate(cols))
+        scored = z.withColumn("_d2", d2)
+        cut = quantiles_wide(scored, [], "_d2", {"q": min(1.0, (h - 1) / max(n - 1, 1))}).first()["q"]
+        sub = scored.where(F.col("_d2") <= cut).drop("_d2")
+        if not logdet < det_old - 1e-10:
+            break
+        det_old = logdet
+    sd = np.sqrt(np.diag(cov))
+    corr = cov / np.outer(sd, sd)
+    vals, vecs = np.linalg.eigh(corr)
+    order = np.argsort(vals)[::-1]
+    vals, vecs = np.clip(vals[order], 0, None), vecs[:, order]
+    for j in range(p):
+        if vecs[np.argmax(np.abs(vecs[:, j])), j] < 0:
+            vecs[:, j] = -vecs[:, j]
+    return PcaResult(cols, vals, vecs, h), pca_fit(df, cols)
+
+
+def loading_agreement(a: PcaResult, b: PcaResult, k: int = 2) -> list:
+    """Correlation of the PC loadings of two fits, per component."""
+    la = a.vectors * np.sqrt(a.eigenvalues)
+    lb = b.vectors * np.sqrt(b.eigenvalues)
+    return [float(np.corrcoef(la[:, j], lb[:, j])[0, 1]) for j in range(k)]

@@ -320,3 +320,31 @@ def q_parallel_analysis(spark, sf):
     r = reduce.parallel_analysis(tv.partfeat(spark, sf), PCA_COLS, "p_partkey", permutations=100)
     rows = [(f"PC{i + 1}", float(a), float(b), bool(a > b)) for i, (a, b) in enumerate(zip(r["real"], r["threshold"]))]
     return spark.createDataFrame(rows, "pc string, eigenvalue double, threshold_95 double, retained boolean")
+
+
+# --- rows-only: Ward, spectral, kernel / robust PCA ------------------------------------
+
+@query("ward")
+def q_ward(spark, sf):
+    return cluster.ward_sweep(_vec(spark, sf), CL_COLS, "vec_id", range(2, 11))
+
+
+@query("spectral")
+def q_spectral(spark, sf):
+    return cluster.spectral(tv.geo(spark, sf), ["x", "y"], "vec_id", k=5)
+
+
+@query("kernel_pca")
+def q_kernel_pca(spark, sf):
+    res, scores = reduce.kernel_pca(_vec(spark, sf), CL_COLS, "vec_id", k=3)
+    return scores
+
+
+@query("robust_pca")
+def q_robust_pca(spark, sf):
+    rob, cls = reduce.robust_pca(tv.partfeat(spark, sf), PCA_COLS)
+    agree = reduce.loading_agreement(rob, cls, 2)
+    rows = [(f"PC{j + 1}", float(rob.eigenvalues[j]), float(rob.ratios[j]), float(cls.eigenvalues[j]),
+             agree[j] if j < 2 else None) for j in range(len(PCA_COLS))]
+    return spark.createDataFrame(rows, "pc string, robust_eigenvalue double, robust_ratio double, "
+                                       "classical_eigenvalue double, loading_corr double")
