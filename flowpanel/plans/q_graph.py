@@ -193,3 +193,8 @@ SELECT {R(f'CASE WHEN pairs = {n} * ({n} - 1) THEN av END')} AS avg_path_length,
 def q_path_stats(spark, sf):
     e = graph.build(tv.od(spark, sf), directed=False, threshold=COMP_THRESHOLD)
     return rounded(graph.path_stats(e))
+
+
+@query("betweenness")
+def q_betweenness(spark, sf):
+    return graph.betweenness(_edges(spark, sf, COMP_THRESHOLD), pivots=20)

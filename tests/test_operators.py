@@ -152,3 +152,12 @@ def test_pca_eigenvalues_sum(spark):
     df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double")
     res = pca_fit(df, ["a", "b", "c"])
     assert res.eigenvalues.sum() == pytest.approx(3 * 50 / 49)
+
+
+def test_betweenness_path_graph(spark):
+    from flowpanel.operators.graph import betweenness
+    # directed path 1→2→3→4 plus a shortcut 1→3 that is longer than 1→2→3
+    e = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (3, 4, 1.0), (1, 3, 5.0)], "src int, dst int, w double")
+    got = dict(_rows(betweenness(e, pivots=10, normalized=False), "id", "betweenness"))
+    # pairs through 2: (1,3), (1,4); through 3: (1,4), (2,4)
+    assert got == {1: 0.0, 2: 2.0, 3: 2.0, 4: 0.0}
