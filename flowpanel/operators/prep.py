@@ -162,33 +162,42 @@ def prep_pipeline(df: DataFrame, cols, impute_method: str | None = "mean", cap:
 def boxcox_lambda(df: DataFrame, cols, lo: float = -3.0, hi: float = 3.0) -> dict:
     """maximum-likelihood Box-Cox λ per column (positive values only).
 
-    The profile log-likelihood (λ − 1)·Σ ln x − n/2 · ln var(y_λ) is evaluated
-    for a grid of λ in one aggregate (Σ y_λ, Σ y_λ² per λ), then on a 100×
-    finer grid around the best value: two passes over the data, p·|grid| sums.
+    The profile log-likelihood (λ − 1)·Σ ln x − n/2 · ln var(y_λ) needs Σ y_λ and
+    Σ y_λ² per (column, λ): the values are unpivoted, each row is exploded over
+    the λ grid (a literal array) and one aggregate keyed by (column, λ) sums
+    them — the partial aggregate leaves one row per key and partition.  A
+    coarse grid is followed by a 100× finer grid around each column's best λ.
     """
     import numpy as np
-
-    def best(c, grid):
-        x = F.col(c).cast("double")
-        aggs = [F.count(x).alias("n"), F.sum(F.log(x)).alias("sl")]
-        for i, lam in enumerate(grid):
-            y = F.log(x) if abs(lam) < 1e-12 else (F.pow(x, float(lam)) - 1) / float(lam)
-            aggs += [F.sum(y).alias(f"s{i}"), F.sum(y * y).alias(f"q{i}")]
-        row = df.where(F.col(c) > 0).agg(*aggs).first()
-        n = row["n"]
-        ll = []
-        for i, lam in enumerate(grid):
-            var = row[f"q{i}"] / n - (row[f"s{i}"] / n) ** 2
-            ll.append((lam - 1) * row["sl"] - n / 2 * np.log(var) if var > 0 else -np.inf)
-        return grid[int(np.argmax(ll))]
-
-    out = {}
-    for c in cols:
-        coarse = list(np.round(np.arange(lo, hi + 1e-9, 0.05), 10))
-        b = best(c, coarse)
-        fine = list(np.round(np.arange(b - 0.05, b + 0.05 + 1e-9, 0.0005), 10))
-        out[c] = float(best(c, fine))
-    return out
+    from .stats import to_long
+
+    long = to_long(df, cols).where(F.col("value") > 0)
+
+    def best(grids: dict) -> dict:
+        by_col = F.create_map(*[x for c, g in grids.items()
+                                for x in (F.lit(c), F.array(*[F.lit(float(v)) for v in g]))])
+        e = long.select("variable", "value", F.explode(F.element_at(by_col, F.col("variable"))).alias("lam"))
+        x, lam = F.col("value"), F.col("lam")
+        y = F.when(F.abs(lam) < 1e-12, F.log(x)).otherwise((F.pow(x, lam) - 1) / lam)
+        rows = (e.groupBy("variable", "lam")
+                .agg(F.count(F.lit(1)).alias("n"), F.sum(F.log(x)).alias("sl"),
+                     F.sum(y).alias("s"), F.sum(y * y).alias("q")).collect())  # |cols| × |grid| rows
+        out = {}
+        for c in grids:
+            cand = []
+            for r in rows:
+                if r["variable"] != c:
+                    continue
+                var = r["q"] / r["n"] - (r["s"] / r["n"]) ** 2
+                ll = (r["lam"] - 1) * r["sl"] - r["n"] / 2 * np.log(var) if var > 0 else -np.inf
+                cand.append((ll, -abs(r["lam"]), r["lam"]))
+            out[c] = max(cand)[2]
+        return out
+
+    coarse = list(np.round(np.arange(lo, hi + 1e-9, 0.05), 10))
+    b1 = best({c: coarse for c in cols})
+    fine = {c: list(np.round(np.arange(b1[c] - 0.05, b1[c] + 0.05 + 1e-9, 0.0005), 10)) for c in cols}
+    return {c: float(v) for c, v in best(fine).items()}
 
 
 def boxcox(df: DataFrame, cols, lambdas: dict | None = None) -> DataFrame:
