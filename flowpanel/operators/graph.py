@@ -321,3 +321,92 @@ def betweenness(edges: DataFrame, pivots: int = 20, normalized: bool = True, see
     if normalized and n > 2:
         scale = 1.0 / ((n - 1) * (n - 2)) * (n / k)
     return v.join(bc, "id", "left").select("id", (F.coalesce(F.col("_b"), F.lit(0.0)) * scale).alias("betweenness"))
+
+
+def _undirected_both(edges: DataFrame) -> DataFrame:
+    """Undirected weighted graph as both-direction rows (self loops once)."""
+    u = to_undirected(edges)
+    return u.unionByName(u.where(F.col("src") != F.col("dst"))
+                         .select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+
+
+def modularity(edges: DataFrame, labels: DataFrame) -> float:
+    """Weighted modularity of a partition (labels: id, community) on the undirected graph."""
+    b = _undirected_both(edges)
+    deg = b.groupBy(F.col("src").alias("id")).agg(
+        F.sum(F.when(F.col("src") == F.col("dst"), 2 * F.col("w")).otherwise(F.col("w"))).alias("k"))
+    two_m = deg.agg(F.sum("k")).first()[0]
+    lab = labels.select("id", "community")
+    inside = (b.join(lab.withColumnRenamed("id", "src").withColumnRenamed("community", "cs"), "src")
+              .join(lab.withColumnRenamed("id", "dst").withColumnRenamed("community", "cd"), "dst")
+              .where(F.col("cs") == F.col("cd"))
+              .groupBy("cs").agg(F.sum(F.when(F.col("src") == F.col("dst"), 2 * F.col("w"))
+                                       .otherwise(F.col("w"))).alias("_in")))
+    tot = deg.join(lab, "id").groupBy(F.col("community").alias("cs")).agg(F.sum("k").alias("_tot"))
+    q = tot.join(inside, "cs", "left").agg(
+        F.sum(F.coalesce(F.col("_in"), F.lit(0.0)) / two_m - (F.col("_tot") / two_m) ** 2)).first()[0]
+    return float(q)
+
+
+def louvain(edges: DataFrame, max_levels: int = 10, max_rounds: int = 50, seed: int = 42) -> DataFrame:
+    """Louvain communities on the undirected weighted graph.
+
+    Local moving is synchronous but split by a seeded hash parity per round (only
+    half of the nodes may move in a round, so two neighbours never swap into
+    each other's community at once); a node moves to the neighbouring community
+    with the largest positive modularity gain (ties → smaller community id).
+    After a level converges the graph is contracted by ``groupBy`` of community
+    pairs and the next level starts.  Returns (id, community) with communities
+    named by their smallest member id.
+    """
+    g = _materialize(to_undirected(edges))
+    labels = _materialize(vertices(g).select("id", F.col("id").alias("community")))  # original id → community
+    for level in range(max_levels):
+        b = _materialize(_undirected_both(g))
+        deg = _materialize(b.groupBy(F.col("src").alias("id")).agg(
+            F.sum(F.when(F.col("src") == F.col("dst"), 2 * F.col("w")).otherwise(F.col("w"))).alias("k")))
+        two_m = deg.agg(F.sum("k")).first()[0]
+        if not two_m:
+            break
+        m = two_m / 2.0
+        comm = deg.select("id", F.col("id").alias("c"))
+        moved_any = False
+        for rnd in range(max_rounds):
+            tot = deg.join(comm, "id").groupBy("c").agg(F.sum("k").alias("tot"))
+            nb = (b.where(F.col("src") != F.col("dst"))
+                  .join(comm.withColumnRenamed("id", "dst").withColumnRenamed("c", "cj"), "dst")
+                  .groupBy(F.col("src").alias("id"), "cj").agg(F.sum("w").alias("k_ic")))
+            me = comm.join(deg, "id")
+            cand = (nb.join(me, "id").join(tot.withColumnRenamed("c", "cj").withColumnRenamed("tot", "tot_c"), "cj")
+                    .join(tot.withColumnRenamed("tot", "tot_d"), "c"))
+            own = (nb.join(comm, "id").where(F.col("cj") == F.col("c"))
+                   .select("id", F.col("k_ic").alias("k_id")))
+            cand = cand.join(own, "id", "left").withColumn("k_id", F.coalesce("k_id", F.lit(0.0)))
+            tot_d_wo = F.col("tot_d") - F.col("k")
+            gain = ((F.col("k_ic") - F.col("k_id")) / m
+                    - F.col("k") * (F.col("tot_c") - tot_d_wo) / (2 * m * m))
+            cand = cand.where(F.col("cj") != F.col("c")).withColumn("gain", gain).where(F.col("gain") > 1e-12)
+            parity = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.lit(rnd), F.col("id")), F.lit(2)) == 0
+            best = (cand.where(parity).groupBy("id")
+                    .agg(F.min_by("cj", F.struct(-F.col("gain"), F.col("cj"))).alias("new_c")))
+            nc = _materialize(comm.join(best, "id", "left")
+                              .select("id", F.coalesce("new_c", "c").alias("c")))
+            changed = not nc.join(comm.withColumnRenamed("c", "_o"), "id").where(F.col("c") != F.col("_o")).isEmpty()
+            comm = nc
+            if changed:
+                moved_any = True
+            elif rnd > 0:
+                break
+        if not moved_any:
+            break
+        # name communities by their smallest node, compose with the original labels, contract
+        name = comm.groupBy("c").agg(F.min("id").alias("cn"))
+        comm = _materialize(comm.join(name, "c").select("id", F.col("cn").alias("c")))
+        labels = _materialize(labels.join(comm.withColumnRenamed("id", "community"), "community")
+                              .select("id", F.col("c").alias("community")))
+        g = _materialize(g.join(comm.withColumnRenamed("id", "src").withColumnRenamed("c", "cs"), "src")
+                         .join(comm.withColumnRenamed("id", "dst").withColumnRenamed("c", "cd"), "dst")
+                         .select(F.least("cs", "cd").alias("src"), F.greatest("cs", "cd").alias("dst"), "w")
+                         .groupBy("src", "dst").agg(F.sum("w").alias("w")))
+    name = labels.groupBy("community").agg(F.min("id").alias("_n"))
+    return labels.join(name, "community").select("id", F.col("_n").alias("community"))

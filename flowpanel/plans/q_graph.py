@@ -198,3 +198,12 @@ def q_path_stats(spark, sf):
 @query("betweenness")
 def q_betweenness(spark, sf):
     return graph.betweenness(_edges(spark, sf, COMP_THRESHOLD), pivots=20)
+
+
+@query("louvain")
+def q_louvain(spark, sf):
+    e = _edges(spark, sf, COMP_THRESHOLD)
+    lab = graph.louvain(e)
+    q = graph.modularity(e, lab)
+    n_c = lab.select("community").distinct().count()
+    return lab.select("id", "community", F.lit(q).alias("modularity"), F.lit(n_c).alias("n_communities"))

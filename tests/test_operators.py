@@ -161,3 +161,15 @@ def test_betweenness_path_graph(spark):
     got = dict(_rows(betweenness(e, pivots=10, normalized=False), "id", "betweenness"))
     # pairs through 2: (1,3), (1,4); through 3: (1,4), (2,4)
     assert got == {1: 0.0, 2: 2.0, 3: 2.0, 4: 0.0}
+
+
+def test_louvain_two_cliques(spark):
+    from flowpanel.operators.graph import louvain, modularity
+    a = [(i, j, 1.0) for i in range(1, 6) for j in range(i + 1, 6)]
+    b = [(i, j, 1.0) for i in range(11, 16) for j in range(i + 1, 16)]
+    e = spark.createDataFrame(a + b + [(5, 11, 0.1)], "src int, dst int, w double")
+    lab = louvain(e)
+    got = dict(_rows(lab, "id", "community"))
+    assert {got[i] for i in range(1, 6)} == {1}
+    assert {got[i] for i in range(11, 16)} == {11}
+    assert modularity(e, lab) > 0.45
