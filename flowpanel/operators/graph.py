@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
+_DEBUG = False  # print Louvain progress
 CHECKPOINT_EVERY = 1  # state is referenced twice per round: cut lineage every round
 
 
@@ -118,15 +119,20 @@ def small_world(edges: DataFrame, directed: bool = True) -> DataFrame:
 
 
 def _materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage before an iteration: write to the reliable checkpoint dir."""
+    """Cut lineage before an iteration: write to the reliable checkpoint dir.
+
+    The frame is cached first so that the checkpoint write reads the cached
+    blocks instead of recomputing the plan a second time."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    c = df.cache()
+    out = c.checkpoint()
+    c.unpersist()
+    return out
 
 
 def _maybe_checkpoint(df: DataFrame, i: int) -> DataFrame:
     if (i + 1) % CHECKPOINT_EVERY == 0:
-        ensure_checkpoint_dir(df.sparkSession)
-        return df.checkpoint()
+        return _materialize(df)
     return df
 
 
@@ -348,7 +354,7 @@ def modularity(edges: DataFrame, labels: DataFrame) -> float:
     return float(q)
 
 
-def louvain(edges: DataFrame, max_levels: int = 10, max_rounds: int = 50, seed: int = 42) -> DataFrame:
+def louvain(edges: DataFrame, max_levels: int = 5, max_rounds: int = 12, seed: int = 42) -> DataFrame:
     """Louvain communities on the undirected weighted graph.
 
     Local moving is synchronous but split by a seeded hash parity per round (only
@@ -393,6 +399,8 @@ def louvain(edges: DataFrame, max_levels: int = 10, max_rounds: int = 50, seed:
                               .select("id", F.coalesce("new_c", "c").alias("c")))
             changed = not nc.join(comm.withColumnRenamed("c", "_o"), "id").where(F.col("c") != F.col("_o")).isEmpty()
             comm = nc
+            if _DEBUG:
+                print("louvain level", level, "round", rnd, "changed", changed, flush=True)
             if changed:
                 moved_any = True
             elif rnd > 0:
