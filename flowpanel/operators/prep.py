@@ -233,3 +233,82 @@ def auto_transform(df: DataFrame, cols) -> DataFrame:
             new[f"{c}_sqrt"] = F.sqrt(F.col(c).cast("double"))
     out = out.withColumns(new) if new else out
     return boxcox(out, pos) if pos else out
+
+
+def knn_impute(df: DataFrame, cols, id_col: str, k: int = 5) -> DataFrame:
+    """kNN imputation (uniform weights).  For a row missing column c, the
+    donors are rows having c and every coordinate the row has; the distance is
+    the NaN-Euclidean one, sqrt(p/|shared| · Σ shared Δ²), which for a fixed
+    missing pattern ranks donors like the plain Euclidean distance on the shared
+    coordinates — so the exact grid kNN does the search.  Donors that miss one
+    of the row's coordinates are not considered (they would be with a shared
+    subset in the single-machine definition).  One search per (column, pattern);
+    patterns are the distinct NULL masks (at most 2^(p−1) per column).
+    """
+    from .pairs import knn
+    cols = list(cols)
+    base = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in cols])
+    mask = F.concat(*[F.when(F.col(c).isNull(), F.lit("0")).otherwise(F.lit("1")) for c in cols])
+    patterns = [r[0] for r in base.select(mask.alias("m")).distinct().collect()]  # ≤ 2^p strings
+    fills = []
+    for ci, c in enumerate(cols):
+        for pat in patterns:
+            if pat[ci] != "0":
+                continue
+            present = [o for oi, o in enumerate(cols) if oi != ci and pat[oi] == "1"]
+            if not present:
+                continue
+            q = base.where(mask == pat).select(id_col, *present)
+            donors = base.where(F.col(c).isNotNull())
+            for o in present:
+                donors = donors.where(F.col(o).isNotNull())
+            nn = knn(q, id_col, present, k=k, candidates=donors.select(id_col, *present))
+            vals = donors.select(F.col(id_col).alias("nbr"), F.col(c).alias("_v"))
+            fills.append(nn.join(vals, "nbr").groupBy(id_col).agg(F.avg("_v").alias("_fill"))
+                         .withColumn("_col", F.lit(c)))
+    out = df
+    if fills:
+        from functools import reduce as _reduce
+        allf = _reduce(lambda a, b: a.unionByName(b), fills)
+        wide = allf.groupBy(id_col).agg(*[F.max(F.when(F.col("_col") == c, F.col("_fill"))).alias(f"_f_{c}")
+                                          for c in cols])
+        out = out.join(wide, id_col, "left").withColumns({
+            c: F.coalesce(F.col(c).cast("double"), F.col(f"_f_{c}")) for c in cols}).drop(*[f"_f_{c}" for c in cols])
+    return out
+
+
+def mice_impute(df: DataFrame, cols, id_col: str, rounds: int = 10, alpha: float = 1e-6) -> DataFrame:
+    """Iterative (chained-equation) imputation.  Start from the column means;
+    each round, for every column with missing values, fit a ridge regression of
+    it on the other columns over the rows where it is observed (one Gramian
+    aggregate, (p)² numbers to the driver) and replace its missing entries by
+    the prediction.  The working table is checkpointed every round."""
+    import numpy as np
+    from .graph import _materialize
+    cols = list(cols)
+    base = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in cols])
+    miss = base.select(id_col, *[F.col(c).isNull().alias(f"_m_{c}") for c in cols])
+    cur = _materialize(impute(base, cols, "mean").join(miss, id_col))
+    todo = [c for c in cols if cur.where(F.col(f"_m_{c}")).limit(1).count() > 0]
+    for _ in range(rounds):
+        for c in todo:
+            xs = [o for o in cols if o != c]
+            obs = cur.where(~F.col(f"_m_{c}"))
+            terms = ["_one"] + xs
+            fr = obs.select(F.lit(1.0).alias("_one"), *xs, c)
+            aggs = [F.sum(F.col(a) * F.col(b)).alias(f"g{i}_{j}") for i, a in enumerate(terms)
+                    for j, b in enumerate(terms) if j >= i]
+            aggs += [F.sum(F.col(a) * F.col(c)).alias(f"r{i}") for i, a in enumerate(terms)]
+            row = fr.agg(*aggs).first()
+            m = len(terms)
+            g = np.zeros((m, m))
+            for i in range(m):
+                for j in range(i, m):
+                    g[i, j] = g[j, i] = row[f"g{i}_{j}"]
+            g[1:, 1:] += alpha * np.eye(m - 1)
+            beta = np.linalg.solve(g, np.array([row[f"r{i}"] for i in range(m)]))
+            pred = float(beta[0]) + sum(F.col(o) * float(b) for o, b in zip(xs, beta[1:]))
+            cur = cur.withColumn(c, F.when(F.col(f"_m_{c}"), pred).otherwise(F.col(c)))
+        cur = _materialize(cur)
+    rest = [c for c in df.columns if c not in cols and c != id_col]
+    return df.select(id_col, *rest).join(cur.select(id_col, *cols), id_col)

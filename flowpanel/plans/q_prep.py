@@ -484,3 +484,17 @@ def q_feature_pipeline(spark, sf):
     out = features.feature_pipeline(tv.panel(spark, sf), "nation", "year", exclude=("year",),
                                     od_features=od_position_features(tv.od(spark, sf)))
     return rounded(out, fine=tuple(f"{c}_median" for c in FP_COLS))
+
+
+# --- rows-only: model-based imputation ------------------------------------------------
+
+@query("impute_knn")
+def q_impute_knn(spark, sf):
+    p = tv.partfeat_null(spark, sf).select("p_partkey", *NULL_COLS)
+    return prep.knn_impute(p, NULL_COLS, "p_partkey", k=5)
+
+
+@query("impute_mice")
+def q_impute_mice(spark, sf):
+    p = tv.partfeat_null(spark, sf).select("p_partkey", *NULL_COLS)
+    return prep.mice_impute(p, NULL_COLS, "p_partkey", rounds=10)

@@ -173,3 +173,25 @@ def test_louvain_two_cliques(spark):
     assert {got[i] for i in range(1, 6)} == {1}
     assert {got[i] for i in range(11, 16)} == {11}
     assert modularity(e, lab) > 0.45
+
+
+def test_knn_impute_bruteforce(spark):
+    from flowpanel.operators.prep import knn_impute
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 3))
+    miss = [(5, 0), (17, 1), (33, 2), (40, 0)]
+    rows = []
+    for i in range(60):
+        r = [float(v) for v in x[i]]
+        for mi, mc in miss:
+            if mi == i:
+                r[mc] = None
+        rows.append((i, *r))
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double")
+    got = {r["id"]: r for r in knn_impute(df, ["a", "b", "c"], "id", k=3).collect()}
+    complete = [i for i in range(60) if i not in {m for m, _ in miss}]
+    for i, c in miss:
+        present = [j for j in range(3) if j != c]
+        d = sorted((float(np.sqrt(((x[j, present] - x[i, present]) ** 2).sum())), j) for j in complete)[:3]
+        expect = np.mean([x[j, c] for _, j in d])
+        assert got[i]["abc"[c]] == pytest.approx(expect, abs=1e-12)
