@@ -336,12 +336,15 @@ def _undirected_both(edges: DataFrame) -> DataFrame:
                          .select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
 
 
-def modularity(edges: DataFrame, labels: DataFrame) -> float:
-    """Weighted modularity of a partition (labels: id, community) on the undirected graph."""
+def modularity(edges: DataFrame, labels: DataFrame) -> float | None:
+    """Weighted modularity of a partition (labels: id, community) on the undirected
+    graph; None for a graph without edge weight."""
     b = _undirected_both(edges)
     deg = b.groupBy(F.col("src").alias("id")).agg(
         F.sum(F.when(F.col("src") == F.col("dst"), 2 * F.col("w")).otherwise(F.col("w"))).alias("k"))
     two_m = deg.agg(F.sum("k")).first()[0]
+    if not two_m:
+        return None
     lab = labels.select("id", "community")
     inside = (b.join(lab.withColumnRenamed("id", "src").withColumnRenamed("community", "cs"), "src")
               .join(lab.withColumnRenamed("id", "dst").withColumnRenamed("community", "cd"), "dst")

@@ -206,4 +206,5 @@ def q_louvain(spark, sf):
     lab = graph.louvain(e)
     q = graph.modularity(e, lab)
     n_c = lab.select("community").distinct().count()
-    return lab.select("id", "community", F.lit(q).alias("modularity"), F.lit(n_c).alias("n_communities"))
+    return lab.select("id", "community", F.lit(q).cast("double").alias("modularity"),
+                      F.lit(n_c).cast("long").alias("n_communities"))
