@@ -145,16 +145,22 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: fl
     outw = edges.groupBy("src").agg(F.sum("w").alias("_ow"))
     tr = edges.join(outw, "src").select("src", "dst", (F.col("w") / F.col("_ow")).alias("p"))
     x = v.select("id", F.lit(1.0 / n).alias("x"))
-    dangling_ids = v.join(outw.withColumnRenamed("src", "id"), "id", "left_anti")
+    dangling_ids = _materialize(v.join(outw.withColumnRenamed("src", "id"), "id", "left_anti"))
+    has_dangling = not dangling_ids.isEmpty()
     for i in range(max_iter):
-        dm = x.join(dangling_ids, "id").agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("_dm"))
         contrib = (tr.join(x.withColumnRenamed("id", "src"), "src")
                    .groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("x") * F.col("p")).alias("_c")))
-        nx = (v.join(contrib, "id", "left").withColumn("_k", F.lit(1))
-              .join(F.broadcast(dm.withColumn("_k", F.lit(1))), "_k")
-              .select("id", (alpha * F.coalesce(F.col("_c"), F.lit(0.0)) + (1 - alpha) / n
-                             + alpha * F.col("_dm") / n).alias("x")))
-        nx = _maybe_checkpoint(nx, i)
+        base = v.join(contrib, "id", "left")
+        if has_dangling:
+            dm = x.join(dangling_ids, "id").agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("_dm"))
+            base = base.withColumn("_k", F.lit(1)).join(F.broadcast(dm.withColumn("_k", F.lit(1))), "_k")
+            dterm = alpha * F.col("_dm") / n
+        else:
+            dterm = F.lit(0.0)
+        nx = base.select("id", (alpha * F.coalesce(F.col("_c"), F.lit(0.0)) + (1 - alpha) / n + dterm).alias("x"))
+        # the state is read twice per round only when there is dangling mass
+        every = CHECKPOINT_EVERY if has_dangling else 5
+        nx = _materialize(nx) if (i + 1) % every == 0 or tol > 0 else nx
         if tol > 0:
             err = nx.join(x.withColumnRenamed("x", "_old"), "id").agg(
                 F.sum(F.abs(F.col("x") - F.col("_old")))).first()[0]
