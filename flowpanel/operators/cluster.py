@@ -25,7 +25,7 @@ def _assemble(df: DataFrame, cols, out: str = "features") -> DataFrame:
 
 
 def kmeans(df: DataFrame, cols, id_col: str, k: int, restarts: int = 10, seed: int = 42,
-           standardize: bool = True, max_iter: int = 300, parallelism: int = 4) -> tuple[DataFrame, float]:
+           standardize: bool = True, max_iter: int = 300, parallelism: int = 8) -> tuple[DataFrame, float]:
     """K-means with ``restarts`` seeded runs, keeping the lowest cost.
 
     Labels are canonical: clusters are numbered by the order of their centroids
