@@ -146,7 +146,7 @@ class Words:
             live = live[length[live] > k]
         for i in live:  # long words, one by one
             rest = self.mapped[self.start[i] + k:self.end[i]].astype(U)
-            total[i] += (rest * power[k:k + len(rest)]).sum(dtype=U)
+            total[i:i + 1] += (rest * power[k:k + len(rest)]).sum(dtype=U)
         return mix(total + length.astype(U))
 
 
