@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, quality, sharding
+from . import ann, bpe, decontaminate, langid, quality, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -127,3 +127,27 @@ def op7(spark, sf_dir):
         held_out=lambda c: crc_mod(c, 4) == 2, fold=lambda c: (crc_mod(c, 4) == 3).cast("int"))
     return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score",
                         (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op8_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+first AS (SELECT html, min(page_id) AS first FROM p GROUP BY html),
+d AS (SELECT page_id, first, html, sha1(html) AS hex FROM p JOIN first USING (html))
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + CAST((CAST('0x' || substr(hex, CAST(1 + 10 * (i // 8) AS INTEGER), 10) AS BIGINT)
+                   >> CAST(35 - 5 * (i % 8) AS BIGINT)) & 31 AS INTEGER), 1) FOR i IN range(32)], '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+""")
+def op8(spark, sf_dir):
+    back = warc.read(warc.write(table(spark, sf_dir, "pages"), least_bytes=0), payloads=False)
+    return back.where("kind = 'record'").select(
+        F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"))
+
+
+@query("op9_ann")
+def op9(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
