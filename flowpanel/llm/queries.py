@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, langid, quality, sharding, warc
+from . import ann, bpe, decontaminate, langid, quality, sharding, substring_dedup, suffix_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -151,3 +151,50 @@ def op8(spark, sf_dir):
 @query("op9_ann")
 def op9(spark, sf_dir):
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query("op3_suffix_dedup", """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+pos AS (SELECT doc_id, unnest(range(0, n)) AS p FROM d),
+win AS (SELECT pos.doc_id, p, substr(h, 2 * p + 1, 100) AS w FROM pos JOIN d USING (doc_id) WHERE p + 50 <= n),
+first AS (SELECT w, min(doc_id) AS first FROM win GROUP BY w),
+hit AS (SELECT win.doc_id, win.p FROM win JOIN first USING (w) WHERE first.first < win.doc_id),
+marked AS (
+  SELECT pos.doc_id, pos.p,
+         max(hit.p) OVER (PARTITION BY pos.doc_id ORDER BY pos.p) AS last
+  FROM pos LEFT JOIN hit ON pos.doc_id = hit.doc_id AND pos.p = hit.p),
+flags AS (SELECT doc_id, p, coalesce(last + 50 > p, false) AS gone FROM marked),
+runs AS (SELECT *, lag(gone, 1, false) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM flags),
+agg AS (
+  SELECT r.doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (gone AND NOT before) AS n_spans,
+         string_agg(CASE WHEN NOT gone THEN substr(d.h, 2 * p + 1, 2) END, '' ORDER BY p) AS kept
+  FROM runs r JOIN d USING (doc_id) GROUP BY r.doc_id)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN agg USING (doc_id)
+""")
+def op3(spark, sf_dir):
+    out = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op10_substring_dedup", """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+pos AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p FROM d),
+win AS (SELECT pos.doc_id, p, list_slice(w, p, p + 34) AS win FROM pos JOIN d USING (doc_id) WHERE p + 34 <= len(w)),
+many AS (SELECT win FROM win GROUP BY win HAVING count(*) > 1),
+hit AS (SELECT doc_id, p FROM win JOIN many USING (win)),
+marked AS (
+  SELECT pos.doc_id, pos.p, max(hit.p) OVER (PARTITION BY pos.doc_id ORDER BY pos.p) AS last
+  FROM pos LEFT JOIN hit ON pos.doc_id = hit.doc_id AND pos.p = hit.p),
+agg AS (
+  SELECT m.doc_id, count(*) FILTER (last + 35 > p) AS n_removed,
+         string_agg(CASE WHEN NOT coalesce(last + 35 > p, false) THEN d.w[p] END, ' ' ORDER BY p) AS kept
+  FROM marked m JOIN d USING (doc_id) GROUP BY m.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN agg USING (doc_id)
+""")
+def op10(spark, sf_dir):
+    out = substring_dedup.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
