@@ -170,17 +170,16 @@ def gmm_sweep(df: DataFrame, cols, k_values=range(2, 11), seed: int = 42) -> Dat
     return out.withColumn("best", F.row_number().over(w) == 1)
 
 
-def dbscan(df: DataFrame, id_col: str, cols, eps: float = 0.5, min_samples: int = 5,
-           max_iter: int = 100) -> DataFrame:
+def dbscan(df: DataFrame, id_col: str, cols, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
     """DBSCAN (the point itself counts towards ``min_samples``; noise = −1).
 
     Exact duplicates are first collapsed into one weighted point, so a hot
     location costs one row.  Neighbourhoods come from the eps grid join, core
-    points are linked by min-label propagation over core–core edges, border
+    points are linked by connected components over core–core edges, border
     points take the smallest label of their core neighbours.  A cluster's label
     is the smallest id among its core points.
     """
-    from .graph import _materialize
+    from .graph import _materialize, components
     cols = list(cols)
     pts = df.select(F.col(id_col).alias("_id"), *[F.col(c).cast("double").alias(c) for c in cols]).dropna()
     grp = _materialize(pts.groupBy(*cols).agg(F.min("_id").alias("i"), F.count(F.lit(1)).alias("_wt")))
@@ -190,16 +189,9 @@ def dbscan(df: DataFrame, id_col: str, cols, eps: float = 0.5, min_samples: int
     core = _materialize(grp.join(cnt, "i", "left")
                         .where(F.col("_wt") + F.coalesce(F.col("_nw"), F.lit(0)) >= min_samples).select("i"))
     cc = nb.join(core, "i").join(core.withColumnRenamed("i", "j"), "j")
-    lab = core.select("i", F.col("i").alias("label"))
-    for _ in range(max_iter):
-        m = (cc.join(lab.withColumnRenamed("i", "j").withColumnRenamed("label", "_l"), "j")
-             .groupBy("i").agg(F.min("_l").alias("_m")))
-        nl = _materialize(lab.join(m, "i", "left")
-                          .select("i", F.least("label", F.coalesce("_m", "label")).alias("label")))
-        stable = nl.join(lab.withColumnRenamed("label", "_o"), "i").where(F.col("label") != F.col("_o")).isEmpty()
-        lab = nl
-        if stable:
-            break
+    linked = components(cc.select(F.col("i").alias("src"), F.col("j").alias("dst")))
+    lab = _materialize(core.join(linked.withColumnRenamed("id", "i"), "i", "left")
+                       .select("i", F.coalesce("component", "i").alias("label")))
     border = (nb.join(lab.withColumnRenamed("i", "j"), "j").join(core, "i", "left_anti")
               .groupBy("i").agg(F.min("label").alias("label")))
     grp_lab = grp.select("i", *cols).join(lab.unionByName(border), "i", "left")
