@@ -31,7 +31,7 @@ from .shared import BASE, Words, blank_words, materialize, mix, release, slices,
 
 U = np.uint64
 CHUNK_BYTES = 16 << 20
-BUCKET_KEYS = 1 << 19
+BUCKET_KEYS = 1 << 17
 #: An id that stands for null: the largest.
 NULL_ID = (1 << 63) - 1
 
@@ -177,6 +177,18 @@ def _hash_at(levels: dict[int, np.ndarray], length: int, at=None) -> np.ndarray:
     return total
 
 
+def window_hashes(symbols: np.ndarray, at: np.ndarray, length: int, piece: int = 1 << 19) -> np.ndarray:
+    """Hashes of the ``length`` symbols from each position in ``at`` (ascending), piece by piece of the symbols."""
+    out = np.empty(len(at), U)
+    for lo in range(0, len(symbols), piece):
+        a, b = np.searchsorted(at, [lo, lo + piece])
+        if a < b:
+            with np.errstate(over="ignore"):
+                levels = _doubling(_symbol_hash(symbols[lo:lo + piece + length]), length)
+                out[a:b] = _hash_at(levels, length, at[a:b] - lo)
+    return out
+
+
 def _power(n: int) -> np.uint64:
     return U(pow(int(BASE), n, 1 << 64))
 

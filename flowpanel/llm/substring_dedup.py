@@ -79,10 +79,8 @@ def decide(c: Contexts) -> np.ndarray:
     size = c.count + c.spec.window - 1
     first = c.offsets()
     # equal contexts of several chunks are indexed once
-    with np.errstate(over="ignore"):
-        levels = repeats._doubling(c.symbols, c.spec.window)
-        head = repeats._hash_at(levels, c.spec.window, first)
-        tail = repeats._hash_at(levels, c.spec.window, first + c.count - 1)
+    head = repeats.window_hashes(c.symbols, first, c.spec.window)
+    tail = repeats.window_hashes(c.symbols, first + c.count - 1, c.spec.window)
     _, example, inverse = np.unique(np.stack([head, tail, c.count.astype(np.uint64)], axis=1), axis=0,
                                     return_index=True, return_inverse=True)
     inverse = inverse.ravel()

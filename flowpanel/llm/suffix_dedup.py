@@ -24,12 +24,10 @@ def suffix_order(symbols: np.ndarray, at: np.ndarray, length: int) -> tuple[np.n
     """(order of the suffixes at ``at`` by their first ``length`` bytes, common prefix with the one before, up to that)."""
     n = len(at)
     view = np.lib.stride_tricks.sliding_window_view(symbols, length)
-    # equal suffixes are sorted once: classes by two hashes of their bytes, then the classes' strings
-    with np.errstate(over="ignore"):
-        levels = repeats._doubling(repeats._symbol_hash(symbols), length)
-        h = repeats._hash_at(levels, length, at)
+    # equal suffixes are sorted once: classes by a hash of their bytes, then the classes' strings
+    h = repeats.window_hashes(symbols, at, length)
     _, example, inverse = np.unique(h, return_index=True, return_inverse=True)
-    del levels, h
+    del h
     strings = np.ascontiguousarray(view[at[example]])
     by = np.argsort(strings.view(f"S{length}").ravel(), kind="stable")
     strings = strings[by]
