@@ -61,8 +61,8 @@ class Spec:
         return self.window
 
 
-def chunks(docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
-    """Chunks of documents: (chunk, ids, sizes, blob, keys: an estimate's base, the bytes of text)."""
+def chunks(docs: DataFrame, id_col: str, text_col: str, name: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Chunks of documents: (chunk, ids, sizes, blob, bytes of text)."""
     def run(batches):
         part, seq = TaskContext.get().partitionId(), 0
         ids: list[int] = []
@@ -83,7 +83,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
             for lo in range(0, batch.num_rows, 256):
                 own = utf8(batch.column(1).slice(lo, 256).to_pylist())
                 for i, t in zip(batch.column(0).slice(lo, 256).to_pylist(), own):
-                    if size and size + len(t) > CHUNK_BYTES:
+                    if size and size + len(t) > chunk_bytes:
                         yield from flush()
                     ids.append(NULL_ID if i is None else i)
                     texts.append(t)
