@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .shared import BASE, Words, blank_words, materialize, mix, release, slices, utf8
 
 U = np.uint64
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 BUCKET_KEYS = 1 << 17
 #: An id that stands for null: the largest.
 NULL_ID = (1 << 63) - 1
@@ -120,7 +120,7 @@ class Chunk:
     def _runs(self) -> None:
         """Contexts: start, windows, key, document, and a hash of the content."""
         start, count, key, content, twice = [], [], [], [], []
-        for a, b in slices(np.diff(self.first).tolist(), 1 << 20):
+        for a, b in slices(np.diff(self.first).tolist(), 1 << 19):
             lo, hi = self.first[a], self.first[b]
             for out, x in zip((start, count, key, content, twice), _runs(self.spec, self.symbols[lo:hi], self.first[a:b + 1] - lo)):
                 out.append(x + lo if out is start else x)
@@ -241,7 +241,7 @@ def _runs(spec: Spec, symbols: np.ndarray, first: np.ndarray):
         if len(many):
             equal = grams[spread(start[many], size)] == np.repeat(low[start[many]], size)
             twice[many] = np.add.reduceat(equal, np.cumsum(size) - size, dtype=np.int64) > 1
-    return start, count, low[start], content, twice
+    return start, count, mix(low[start]), content, twice  # minima are small numbers: spread them over all buckets
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
