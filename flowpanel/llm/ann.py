@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .shared import materialize
 
 #: Tables, and axes that a query probes in each.
-TABLES, PROBES = 20, 4
+TABLES, PROBES = 24, 8
 #: Query vectors of a block.
 BLOCK = 8192
 #: Candidates of a query that a task ranks exactly beyond those it returns: cosines of equal vectors differ in

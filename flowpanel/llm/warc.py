@@ -29,6 +29,7 @@ ARCHIVE_BYTES = 16 << 20
 SALTS = 16
 ID_PREFIX, END = "urn:x-record:", b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+MANDATORY = {"warc-type", "warc-record-id", "warc-date", "content-length"}
 MEMBER, VERSION = b"\x1f\x8b\x08", re.compile(rb"WARC/1\.[01]\r?\n")
 
 
@@ -136,7 +137,9 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
         if not colon:
             raise ValueError("bad header line")
         headers[name.strip().lower()] = value.strip()
-    length = headers.get("content-length", "")
+    if missing := MANDATORY - headers.keys():
+        raise ValueError(f"no {min(missing)}")
+    length = headers["content-length"]
     if not length.isdigit():
         raise ValueError("no length")
     begin = split + len(END)

