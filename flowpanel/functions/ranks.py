@@ -10,7 +10,8 @@ average ranks, Gini, Lorenz points) goes through :func:`ranked_values`:
    aggregate;
 2. cut each group's value range into ``n_buckets`` ranges at approximate
    quantiles of the distinct values (``percentile_approx``: one small row per
-   group) — the bucket id is a pure expression of the value, so a lost task
+   group, copied to ``SALTS`` salts so that a group's values don't meet in one
+   task) — the bucket id is a pure expression of the value, so a lost task
    recomputes the same bucket without any checkpoint;
 3. total counts per (group, bucket) — ``groups × n_buckets`` rows — give each
    bucket its offset through a small window;
@@ -26,7 +27,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 64
+#: Fewest value ranges of a group; there are as many as shuffle partitions if those are more.
+LEAST_BUCKETS = 64
+#: Copies of a small table over which the rows of one key spread.
+SALTS = 32
+
+
+def spread_join(df: DataFrame, small: DataFrame, keys, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """Join a table of one row per key to many rows: each key's rows are dealt to ``salts`` salts by
+    their content and meet a copy of the small row there, so a hot key is not one task's work."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salts)).cast("int")
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return df.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
 def _group_cols(df: DataFrame, group_cols):
@@ -38,7 +51,7 @@ def _group_cols(df: DataFrame, group_cols):
 
 
 def ranked_values(df: DataFrame, group_cols, value: str,
-                  n_buckets: int = DEFAULT_BUCKETS, accuracy: int = 10000) -> DataFrame:
+                  n_buckets: int | None = None, accuracy: int = 10000) -> DataFrame:
     """Distinct values per group with their exact global position.
 
     Returns ``group_cols + [value, cnt, below, sum_below, n, total]`` where
@@ -46,6 +59,8 @@ def ranked_values(df: DataFrame, group_cols, value: str,
     smaller value, ``sum_below`` their sum, ``n`` the group's non-null count
     and ``total`` its sum.
     """
+    if n_buckets is None:
+        n_buckets = max(LEAST_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     src, g = _group_cols(df, group_cols)
     d = (src.where(F.col(value).isNotNull())
          .groupBy(*g, value).agg(F.count(F.lit(1)).alias("cnt")))
@@ -54,7 +69,7 @@ def ranked_values(df: DataFrame, group_cols, value: str,
         bounds = d.groupBy(*g).agg(
             F.percentile_approx(value, probs, accuracy).alias("_bounds"))
         v = F.col(value)
-        d = (d.join(bounds, g)
+        d = (spread_join(d, bounds, g)
              .withColumn("_b", F.size(F.filter("_bounds", lambda b: b < v)))
              .drop("_bounds"))
     else:
@@ -80,7 +95,7 @@ def ranked_values(df: DataFrame, group_cols, value: str,
 
 
 def exact_quantiles(df: DataFrame, group_cols, value: str, probs,
-                    n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                    n_buckets: int | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles (numpy ``linear`` / DuckDB
     ``quantile_cont`` / Spark ``percentile``) per group, long form
     ``group_cols + [p, q]``."""
@@ -109,7 +124,7 @@ def exact_quantiles(df: DataFrame, group_cols, value: str, probs,
 
 
 def quantiles_wide(df: DataFrame, group_cols, value: str, probs: dict,
-                   n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                   n_buckets: int | None = None) -> DataFrame:
     """Exact quantiles, one column per entry of ``probs`` ({name: p})."""
     g = list(group_cols or [])
     long = exact_quantiles(df, g, value, list(probs.values()), n_buckets)
@@ -122,7 +137,7 @@ def quantiles_wide(df: DataFrame, group_cols, value: str, probs: dict,
 
 
 def average_rank(df: DataFrame, group_cols, value: str, out: str,
-                 ascending: bool = True, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                 ascending: bool = True, n_buckets: int | None = None) -> DataFrame:
     """Append the average (tie-shared) 1-based rank of ``value`` within each group.
 
     NULL values get a NULL rank.  Descending rank = n + 1 - ascending rank.

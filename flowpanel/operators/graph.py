@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import safe_div
 from ..session import ensure_checkpoint_dir
 
 CHECKPOINT_EVERY = 1  # state is referenced twice per round: cut lineage every round
@@ -76,7 +77,7 @@ def clustering(edges: DataFrame, directed: bool = True) -> DataFrame:
     und = to_undirected(edges) if directed else edges
     wmax = und.agg(F.max("w").alias("_wmax"))
     e = (und.withColumn("_k", F.lit(1)).join(F.broadcast(wmax.withColumn("_k", F.lit(1))), "_k")
-         .select("src", "dst", (F.col("w") / F.col("_wmax")).alias("w")))
+         .select("src", "dst", F.coalesce(safe_div("w", "_wmax"), F.lit(0.0)).alias("w")))
     simple = e.where(F.col("src") != F.col("dst"))
     both = simple.union(simple.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
     deg = both.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("deg"))
@@ -141,8 +142,11 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: fl
     edges = _materialize(edges)
     v = _materialize(vertices(edges))
     n = v.count()
+    if not n:
+        return v.select("id", F.lit(0.0).alias("pagerank"))
     outw = edges.groupBy("src").agg(F.sum("w").alias("_ow"))
-    tr = edges.join(outw, "src").select("src", "dst", (F.col("w") / F.col("_ow")).alias("p"))
+    tr = edges.join(outw, "src").select("src", "dst", F.coalesce(safe_div("w", "_ow"), F.lit(0.0)).alias("p"))
+    tr = _materialize(tr.repartition("src"))  # once: a round joins only the state to it
     x = v.select("id", F.lit(1.0 / n).alias("x"))
     dangling_ids = _materialize(v.join(outw.withColumnRenamed("src", "id"), "id", "left_anti"))
     has_dangling = not dangling_ids.isEmpty()
@@ -177,15 +181,15 @@ def eigenvector(edges: DataFrame, max_iter: int = 500, tol: float = 1e-6) -> Dat
     edges = _materialize(edges)
     v = _materialize(vertices(edges))
     n = v.count()
-    x = v.select("id", F.lit(1.0 / n).alias("x"))
+    x = v.select("id", F.lit(1.0 / max(n, 1)).alias("x"))
     for i in range(max_iter):
         acc = (edges.join(x.withColumnRenamed("id", "src"), "src")
                .groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("x") * F.col("w")).alias("_a")))
-        raw = x.join(acc, "id", "left").select("id", (F.col("x") + F.coalesce(F.col("_a"), F.lit(0.0))).alias("x"))
+        raw = _materialize(x.join(acc, "id", "left")
+                           .select("id", (F.col("x") + F.coalesce(F.col("_a"), F.lit(0.0))).alias("x")))
         norm = raw.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_n"))
         nx = (raw.withColumn("_k", F.lit(1)).join(F.broadcast(norm.withColumn("_k", F.lit(1))), "_k")
               .select("id", (F.col("x") / F.when(F.col("_n") != 0, F.col("_n")).otherwise(1.0)).alias("x")))
-        nx = _maybe_checkpoint(nx, i)
         if tol > 0:
             err = nx.join(x.withColumnRenamed("x", "_old"), "id").agg(
                 F.sum(F.abs(F.col("x") - F.col("_old")))).first()[0]

@@ -17,6 +17,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import safe_div
 from .prep import apply_scale, scale_params
 
 
@@ -70,7 +71,7 @@ def metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction
                  F.sum(e * e).alias("_sse"), F.var_pop(y).alias("_vy"), F.count(F.lit(1)).alias("_n"),
                  F.count_if(y == 0).alias("_z"), F.avg(F.abs(e / F.when(y != 0, y))).alias("_mape"))
     return s.select("mse", F.sqrt("mse").alias("rmse"), "mae",
-                    (1 - F.col("_sse") / (F.col("_vy") * F.col("_n"))).alias("r2"),
+                    (1 - safe_div(F.col("_sse"), F.col("_vy") * F.col("_n"))).alias("r2"),  # NULL for a constant label
                     F.when(F.col("_z") == 0, F.col("_mape") * 100).alias("mape"))
 
 

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranks import quantiles_wide
-from ..functions.scalar import clip, log1p_shift
-from .stats import to_long
+from ..functions.scalar import clip, log1p_shift, safe_div
+from .stats import _stack, to_long
 
 
 def _attach(df: DataFrame, params: DataFrame) -> DataFrame:
@@ -46,31 +46,31 @@ def impute(df: DataFrame, cols, method: str = "mean") -> DataFrame:
 
 def outlier_report(df: DataFrame, cols, method: str = "iqr", threshold: float = 1.5) -> DataFrame:
     """R5 IQR fences / R6 z-score (population std) / R7 modified z-score:
-    count and percent of outliers per column, ordered by percent."""
-    long = to_long(df, cols).where(F.col("value").isNotNull())
-    x = F.col("value")
+    count and percent of outliers per column (no order; a constant column has none, a column
+    without values no row).
+
+    The parameters are one row, attached to every row; the counts are one wide aggregate with partial sums."""
+    x = {c: F.col(c).cast("double") for c in cols}
     if method == "iqr":
-        q = quantiles_wide(long, ["variable"], "value", {"q1": 0.25, "q3": 0.75})
-        j = long.join(q, "variable")
-        iqr = F.col("q3") - F.col("q1")
-        flag = (x < F.col("q1") - threshold * iqr) | (x > F.col("q3") + threshold * iqr)
+        j = _attach(df, _wide_quantiles(df, cols, {"q1": 0.25, "q3": 0.75}))
+        flags = {}
+        for c in cols:
+            q1, q3 = F.col(f"{c}__q1"), F.col(f"{c}__q3")
+            flags[c] = (x[c] < q1 - threshold * (q3 - q1)) | (x[c] > q3 + threshold * (q3 - q1))
     elif method == "zscore":
-        m = long.groupBy("variable").agg(F.avg("value").alias("_mu"), F.stddev_pop("value").alias("_sd"))
-        j = long.join(m, "variable")
-        flag = F.abs((x - F.col("_mu")) / F.col("_sd")) > threshold
+        p = df.agg(*[a for c in cols for a in (F.avg(x[c]).alias(f"{c}__mu"), F.stddev_pop(x[c]).alias(f"{c}__sd"))])
+        j = _attach(df, p)
+        flags = {c: F.abs(safe_div(x[c] - F.col(f"{c}__mu"), F.col(f"{c}__sd"))) > threshold for c in cols}
     elif method == "modified_zscore":
-        med = quantiles_wide(long, ["variable"], "value", {"_med": 0.5})
-        dev = long.join(med, "variable").withColumn("value", F.abs(x - F.col("_med")))
-        mad = quantiles_wide(dev.select("variable", "value"), ["variable"], "value", {"_mad": 0.5})
-        j = long.join(med, "variable").join(mad, "variable")
-        mz = F.when(F.col("_mad") != 0, 0.6745 * (x - F.col("_med")) / F.col("_mad")).otherwise(0.0)
-        flag = F.abs(mz) > threshold
+        j = _attach(df, _wide_quantiles(df, cols, {"med": 0.5}))
+        dev = j.select(*[F.abs(x[c] - F.col(f"{c}__med")).alias(c) for c in cols])
+        j = _attach(j, _wide_quantiles(dev, cols, {"mad": 0.5}))
+        flags = {c: F.abs(safe_div(0.6745 * (x[c] - F.col(f"{c}__med")), F.col(f"{c}__mad"))) > threshold for c in cols}
     else:
         raise ValueError(f"unknown outlier method {method}")
-    return (j.groupBy("variable")
-            .agg(F.count_if(flag).alias("outliers_count"), F.count(F.lit(1)).alias("_n"))
-            .select("variable", "outliers_count",
-                    (F.col("outliers_count") / F.col("_n") * 100).alias("outliers_pct")))
+    wide = j.agg(*[a for c in cols for a in (F.count_if(flags[c]).alias(f"{c}__outliers_count"), F.count(x[c]).alias(f"{c}__n"))])
+    return _stack(wide, cols, ["outliers_count", "n"]).where("n > 0").select(
+        "variable", "outliers_count", (F.col("outliers_count") / F.col("n") * 100).alias("outliers_pct"))
 
 
 def cap_percentiles(df: DataFrame, cols, low: float = 0.01, high: float = 0.99, min_n: int = 10) -> DataFrame:

@@ -14,6 +14,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import spread_join
+from ..functions.scalar import safe_div
 from . import pairs
 
 
@@ -68,7 +70,7 @@ def moran_global(w: DataFrame, df: DataFrame, id_col: str, cols) -> DataFrame:
     long = (df.select(id_col, *[F.col(c).cast("double").alias(c) for c in cols])
             .unpivot([id_col], list(cols), "variable", "value").where(F.col("value").isNotNull()))
     mom = long.groupBy("variable").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("_mu"))
-    z = long.join(mom, "variable").select("variable", F.col(id_col).alias("id"),
+    z = spread_join(long, mom, "variable").select("variable", F.col(id_col).alias("id"),
                                           (F.col("value") - F.col("_mu")).alias("z"), "n")
     # W restricted to points present for the variable, re-row-standardised
     wv = (w.join(z.select("variable", F.col("id").alias("i")), "i")
@@ -93,18 +95,19 @@ def moran_global(w: DataFrame, df: DataFrame, id_col: str, cols) -> DataFrame:
     s = cross.join(s1, "variable").join(s2, "variable").join(zz, "variable")
     n = F.col("n").cast("double")
     S0, S1, S2 = F.col("S0"), F.col("S1"), F.col("S2")
-    I = n / S0 * F.col("zwz") / F.col("m2s")
-    EI = -1.0 / (n - 1)
-    vnorm = (n * n * S1 - n * S2 + 3 * S0 * S0) / ((n * n - 1) * S0 * S0) - EI * EI
-    kk = (F.col("m4s") / n) / (F.col("m2s") / n) ** 2
-    vrand = ((n * ((n * n - 3 * n + 3) * S1 - n * S2 + 3 * S0 * S0)
-              - kk * ((n * n - n) * S1 - 2 * n * S2 + 6 * S0 * S0))
-             / ((n - 1) * (n - 2) * (n - 3) * S0 * S0) - EI * EI)
+    # a constant variable, or too few points for a moment, gives NULL
+    I = safe_div(n * F.col("zwz"), S0 * F.col("m2s"))
+    EI = safe_div(F.lit(-1.0), n - 1)
+    vnorm = safe_div(n * n * S1 - n * S2 + 3 * S0 * S0, (n * n - 1) * S0 * S0) - EI * EI
+    kk = safe_div(F.col("m4s") / n, (F.col("m2s") / n) ** 2)
+    vrand = (safe_div(n * ((n * n - 3 * n + 3) * S1 - n * S2 + 3 * S0 * S0)
+                      - kk * ((n * n - n) * S1 - 2 * n * S2 + 6 * S0 * S0),
+                      (n - 1) * (n - 2) * (n - 3) * S0 * S0) - EI * EI)
     out = s.select("variable", F.col("n").alias("n"), I.alias("I"), EI.alias("EI"),
                    vnorm.alias("VI_norm"), vrand.alias("VI_rand"))
     return out.select("*",
-                      ((F.col("I") - F.col("EI")) / F.sqrt("VI_norm")).alias("z_norm"),
-                      ((F.col("I") - F.col("EI")) / F.sqrt("VI_rand")).alias("z_rand")) \
+                      safe_div(F.col("I") - F.col("EI"), F.sqrt("VI_norm")).alias("z_norm"),
+                      safe_div(F.col("I") - F.col("EI"), F.sqrt("VI_rand")).alias("z_rand")) \
               .withColumn("p_norm", two_sided_p(F.col("z_norm"))) \
               .withColumn("p_rand", two_sided_p(F.col("z_rand")))
 
@@ -115,7 +118,7 @@ def moran_local(w: DataFrame, df: DataFrame, id_col: str, value: str) -> DataFra
     y = df.select(F.col(id_col).alias("id"), F.col(value).cast("double").alias("y")).where(F.col("y").isNotNull())
     st = y.agg(F.avg("y").alias("_mu"), F.stddev_pop("y").alias("_sd"), F.count(F.lit(1)).alias("_n"))
     z = (y.withColumn("_k", F.lit(1)).join(F.broadcast(st.withColumn("_k", F.lit(1))), "_k")
-         .select("id", ((F.col("y") - F.col("_mu")) / F.col("_sd")).alias("z"), "_n"))
+         .select("id", safe_div(F.col("y") - F.col("_mu"), F.col("_sd")).alias("z"), "_n"))
     lag = (w.join(z.select(F.col("id").alias("j"), F.col("z").alias("zj")), "j")
            .groupBy(F.col("i").alias("id")).agg(F.sum(F.col("w") * F.col("zj")).alias("lag_z")))
     j = z.join(lag, "id", "left").withColumn("lag_z", F.coalesce("lag_z", F.lit(0.0)))
@@ -124,7 +127,7 @@ def moran_local(w: DataFrame, df: DataFrame, id_col: str, value: str) -> DataFra
     zp, lp = F.col("z") > 0, F.col("lag_z") > 0
     q = F.when(zp & lp, 1).when(~zp & lp, 2).when(~zp & ~lp, 3).otherwise(4)
     return j.select(F.col("id").alias(id_col), "z", "lag_z",
-                    ((F.col("_n") - 1) * F.col("z") * F.col("lag_z") / F.col("_den")).alias("Is"),
+                    safe_div((F.col("_n") - 1) * F.col("z") * F.col("lag_z"), F.col("_den")).alias("Is"),
                     q.alias("q"))
 
 
@@ -179,7 +182,7 @@ def moran_permutation(w: DataFrame, df: DataFrame, id_col: str, value: str,
                 F.count_if(F.col("I_sim") >= F.col("I")).alias("_larger"), F.count(F.lit(1)).alias("_m"))
     larger = F.least(F.col("_larger"), F.col("_m") - F.col("_larger"))
     return agg.select("I", "EI_sim", "seI_sim",
-                      ((F.col("I") - F.col("EI_sim")) / F.col("seI_sim")).alias("z_sim"),
+                      safe_div(F.col("I") - F.col("EI_sim"), F.col("seI_sim")).alias("z_sim"),
                       ((larger + 1) / (F.col("_m") + 1)).alias("p_sim")) \
               .withColumn("significant", F.col("p_sim") < 0.05)
 

@@ -13,7 +13,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import exact_quantiles, quantiles_wide, ranked_values
+from ..functions.ranks import exact_quantiles, quantiles_wide, ranked_values, spread_join
+from ..functions.scalar import safe_div
 
 
 def to_long(df: DataFrame, cols, ids=(), var: str = "variable", value: str = "value") -> DataFrame:
@@ -100,7 +101,7 @@ def group_stats_back(df: DataFrame, cols, by: str) -> DataFrame:
     wide = st.groupBy(by).agg(*[
         F.max(F.when(F.col("variable") == c, F.col(s))).alias(f"{c}_{s}")
         for c in cols for s in stat_names])
-    return df.join(wide, by, "left")
+    return spread_join(df, wide, by, "left")
 
 
 def corr_matrix(df: DataFrame, cols, method: str = "pearson", id_col: str | None = None) -> DataFrame:
@@ -146,7 +147,7 @@ def average_ranks(df: DataFrame, cols, id_col: str) -> DataFrame:
         F.max(F.when(F.col("variable") == c, F.col("rk"))).alias(c) for c in cols])
 
 
-def kendall_tau(df: DataFrame, cols, max_bits: int = 40) -> DataFrame:
+def kendall_tau(df: DataFrame, cols) -> DataFrame:
     """Kendall tau-b for every column pair, exact, without enumerating row pairs.
 
     With order keys rx, ry (distributed ranking), the discordant count is
@@ -170,8 +171,8 @@ def kendall_tau(df: DataFrame, cols, max_bits: int = 40) -> DataFrame:
     ky = ranked_values(xy.select("pair", "y"), ["pair"], "y").select("pair", "y", F.col("below").alias("ry"))
     t = xy.join(kx, ["pair", "x"]).join(ky, ["pair", "y"]).select("pair", "rx", "ry", "w")
     mx, my = t.agg(F.max("rx"), F.max("ry")).first()
-    bx = min(max_bits, max(1, int(mx or 0).bit_length()))
-    by = min(max_bits, max(1, int(my or 0).bit_length()))
+    bx = max(1, int(mx or 0).bit_length())
+    by = max(1, int(my or 0).bit_length())
     levels = F.array(*[F.struct(F.lit(l).alias("l"), F.lit(m).alias("m"))
                        for l in range(bx) for m in range(by)])
     e = t.select("pair", "rx", "ry", "w", F.explode(levels).alias("lm")).select(
@@ -191,7 +192,7 @@ def kendall_tau(df: DataFrame, cols, max_bits: int = 40) -> DataFrame:
     s = disc.join(n, "pair").join(tie("x", "n1"), "pair").join(tie("y", "n2"), "pair").join(txy, "pair")
     n0 = F.col("n") * (F.col("n") - 1) / 2
     cd = n0 - F.col("n1") - F.col("n2") + F.col("n3")  # C + D
-    tau = (cd - 2 * F.col("D")) / F.sqrt((n0 - F.col("n1")) * (n0 - F.col("n2")))
+    tau = safe_div(cd - 2 * F.col("D"), F.sqrt((n0 - F.col("n1")) * (n0 - F.col("n2"))))  # NULL for a constant column
     return s.select(F.split("pair", r"\|").getItem(0).alias("var1"),
                     F.split("pair", r"\|").getItem(1).alias("var2"), tau.alias("tau"))
 
@@ -204,21 +205,19 @@ def gini_theil(df: DataFrame, cols, eps: float = 1e-10) -> DataFrame:
     of equal values at positions below+1 … below+cnt is x·cnt·(2·below + cnt − n).
     Theil T = mean(r·ln(r + eps)), r = (x + eps)/mean(x + eps).
     """
-    long = to_long(df, cols)
-    r = ranked_values(long, ["variable"], "value")
-    mins = long.groupBy("variable").agg(F.min("value").alias("_min"),
-                                        F.avg(F.col("value") + eps).alias("_mean"))
-    r = r.join(mins, "variable")
-    shift = F.when(F.col("_min") < 0, -F.col("_min")).otherwise(0.0) + eps
-    xs = F.col("value") + shift
-    g = r.groupBy("variable").agg(
+    r = ranked_values(to_long(df, cols), ["variable"], "value")
+    # one row of minima, looked up by name: no join of the values on their column's name
+    low = df.agg(*[F.min(F.col(c).cast("double")).alias(f"{c}__min") for c in cols]).withColumn("_k", F.lit(1))
+    r = r.withColumn("_k", F.lit(1)).join(F.broadcast(low), "_k")
+    low_of = F.coalesce(*[F.when(F.col("variable") == c, F.col(f"`{c}__min`")) for c in cols])
+    xs = F.col("value") + F.when(low_of < 0, -low_of).otherwise(0.0) + eps
+    rr = safe_div(F.col("value") + eps, F.col("total") / F.col("n") + eps)
+    return r.groupBy("variable").agg(
         F.sum(xs * F.col("cnt") * (2 * F.col("below") + F.col("cnt") - F.col("n"))).alias("_num"),
-        F.sum(xs * F.col("cnt")).alias("_sum"), F.max("n").alias("_n"))
-    gini = g.select("variable", (F.col("_num") / (F.col("_n") * F.col("_sum"))).alias("gini"))
-    rr = (F.col("value") + eps) / F.col("_mean")
-    theil = (long.where(F.col("value").isNotNull()).join(mins, "variable")
-             .groupBy("variable").agg(F.avg(rr * F.log(rr + eps)).alias("theil")))
-    return gini.join(theil, "variable")
+        F.sum(xs * F.col("cnt")).alias("_sum"), F.max("n").alias("_n"),
+        F.sum(F.col("cnt") * rr * F.log(rr + eps)).alias("_theil")) \
+        .select("variable", safe_div(F.col("_num"), F.col("_n") * F.col("_sum")).alias("gini"),
+                (F.col("_theil") / F.col("_n")).alias("theil"))
 
 
 def lorenz(df: DataFrame, col: str) -> DataFrame:
@@ -234,13 +233,15 @@ def box_summary(df: DataFrame, col: str, by: str) -> DataFrame:
     """Five-number box summary per group with 1.5·IQR whiskers."""
     long = df.select(by, F.col(col).cast("double").alias("value"))
     q = quantiles_wide(long, [by], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    j = long.join(q, by)
+    # equal values of a group are one row before the quartiles join them
+    cells = long.where("value is not null").groupBy(by, "value").agg(F.count(F.lit(1)).alias("_n"))
+    j = spread_join(cells, q, by)
     iqr = F.col("q3") - F.col("q1")
     inside = (F.col("value") >= F.col("q1") - 1.5 * iqr) & (F.col("value") <= F.col("q3") + 1.5 * iqr)
     return j.groupBy(by, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
-        F.count_if(~inside).alias("n_outliers"))
+        F.sum(F.when(~inside, F.col("_n")).otherwise(0)).alias("n_outliers"))
 
 
 def histogram(df: DataFrame, col: str, bins: int = 15) -> DataFrame:
@@ -327,7 +328,7 @@ def normality(df: DataFrame, cols, min_n: int = 8) -> DataFrame:
                F.sum(F.col("cnt") * F.col("value") * F.col("m")).alias("sxm")))
     nn = F.col("n").cast("double")
     cov = F.col("sxm") - F.col("sx") * F.col("sm") / nn
-    w = cov * cov / ((F.col("sxx") - F.col("sx") ** 2 / nn) * (F.col("smm") - F.col("sm") ** 2 / nn))
+    w = safe_div(cov * cov, (F.col("sxx") - F.col("sx") ** 2 / nn) * (F.col("smm") - F.col("sm") ** 2 / nn))
     lnn = F.log(nn)
     mu = -1.2725 + 1.0521 * (F.log(lnn) - lnn)
     sd = 1.0308 - 0.26758 * (F.log(lnn) + 2 / lnn)
