@@ -13,10 +13,15 @@ import math
 import numpy as np
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import spread_join
+from ..functions.scalar import safe_div
 from . import pairs
+from .graph import _materialize
 from .prep import scale
 
 
@@ -55,37 +60,51 @@ def kmeans(df: DataFrame, cols, id_col: str, k: int, restarts: int = 10, seed: i
     return out, float(cost)
 
 
+def _points(df: DataFrame, cols, keep) -> DataFrame:
+    """(keep..., v array<double>) of the rows without a NULL coordinate: one column whatever the dimension."""
+    v = F.array(*[F.col(c).cast("double") for c in cols])
+    return df.dropna(subset=list(cols)).select(*keep, v.alias("v"))
+
+
+def _mean(v: str = "v"):
+    """Mean vector of a group, as an array (partial sums on the map side)."""
+    return vector_to_array(Summarizer.mean(array_to_vector(F.col(v))))
+
+
+def _sq(a, b):
+    """Squared distance of two arrays."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
+
+
+#: Clusters whose summaries may be broadcast as one row; more raise.
+MAX_CLUSTERS = 10_000
+
+
+def _with_summaries(df: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Add the array ``_all`` of the clusters' summaries to every row, if there are at most ``MAX_CLUSTERS``."""
+    if clusters.limit(MAX_CLUSTERS + 1).count() > MAX_CLUSTERS:
+        raise ValueError(f"more than {MAX_CLUSTERS} clusters")
+    one = clusters.agg(F.collect_list(F.struct(*clusters.columns)).alias("_all")).withColumn("_k", F.lit(1))
+    return df.withColumn("_k", F.lit(1)).join(F.broadcast(one), "_k").drop("_k")
+
+
 def quality(df: DataFrame, cols, label: str) -> DataFrame:
     """C10 inertia, C12 Calinski–Harabasz, C13 Davies–Bouldin (one row)."""
-    cols = list(cols)
-    pts = df.select(label, *[F.col(c).cast("double").alias(c) for c in cols]).dropna()
-    cent = pts.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(f"_m_{c}") for c in cols])
-    glob = pts.agg(*[F.avg(c).alias(f"_g_{c}") for c in cols], F.count(F.lit(1)).alias("_total"))
-    j = pts.join(F.broadcast(cent), label)
-    d2 = sum((F.col(c) - F.col(f"_m_{c}")) ** 2 for c in cols)
-    per = j.groupBy(label).agg(F.sum(d2).alias("_w"), F.avg(F.sqrt(d2)).alias("_s"))
-    cl = cent.join(per, label)
-    # the k centroid rows as one array (k is a model parameter), broadcast to every cluster
-    arr = cl.agg(F.collect_list(F.struct(F.col(label).alias("l"), F.col("_s").alias("s"),
-                                         F.array(*[F.col(f"_m_{c}") for c in cols]).alias("m"))).alias("_all"))
-    me = F.array(*[F.col(f"_m_{c}") for c in cols])
-    cl2 = cl.withColumn("_me", me).withColumn("_k", F.lit(1)).join(
-        F.broadcast(arr.withColumn("_k", F.lit(1))), "_k")
-    other = F.filter("_all", lambda o: o["l"] != F.col(label))
-
-    def dist(o):
-        return F.sqrt(F.aggregate(F.zip_with(o["m"], F.col("_me"), lambda a, b: (a - b) * (a - b)),
-                                  F.lit(0.0), lambda acc, v: acc + v))
-
-    ratio = F.transform(other, lambda o: (o["s"] + F.col("_s")) / dist(o))
-    cl2 = cl2.withColumn("_db", F.array_max(ratio))
-    gl = glob.withColumn("_k", F.lit(1))
-    between = sum(F.col("_n") * (F.col(f"_m_{c}") - F.col(f"_g_{c}")) ** 2 for c in cols)
-    s = (cl2.join(F.broadcast(gl), "_k")
-         .agg(F.sum("_w").alias("inertia"), F.sum(between).alias("_b"), F.avg("_db").alias("davies_bouldin"),
-              F.count(F.lit(1)).alias("k"), F.max("_total").alias("n")))
+    pts = _points(df, cols, [label])
+    cent = pts.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), _mean().alias("_m"))
+    glob = pts.agg(_mean().alias("_g"), F.count(F.lit(1)).alias("_total"))
+    j = spread_join(pts, cent, label).select(label, _sq("v", F.col("_m")).alias("_d2"))
+    per = j.groupBy(label).agg(F.sum("_d2").alias("_w"), F.avg(F.sqrt("_d2")).alias("_s"))
+    cl = _materialize(cent.join(per, label))
+    both = _with_summaries(cl, cl.select(F.col(label).alias("l"), F.col("_s").alias("s"), F.col("_m").alias("m")))
+    ratio = F.transform(F.filter("_all", lambda o: o["l"] != F.col(label)),
+                        lambda o: safe_div(o["s"] + F.col("_s"), F.sqrt(_sq(o["m"], F.col("_m")))))
+    k = F.lit(1)
+    s = (both.withColumn("_db", F.array_max(ratio)).withColumn("_k", k).join(F.broadcast(glob.withColumn("_k", k)), "_k")
+         .agg(F.sum("_w").alias("inertia"), F.sum(F.col("_n") * _sq("_m", F.col("_g"))).alias("_b"),
+              F.avg("_db").alias("davies_bouldin"), F.count(F.lit(1)).alias("k"), F.max("_total").alias("n")))
     return s.select("k", "n", "inertia",
-                    ((F.col("_b") / (F.col("k") - 1)) / (F.col("inertia") / (F.col("n") - F.col("k"))))
+                    safe_div(safe_div(F.col("_b"), F.col("k") - 1), safe_div(F.col("inertia"), F.col("n") - F.col("k")))
                     .alias("calinski_harabasz"), "davies_bouldin")
 
 
@@ -93,28 +112,23 @@ def silhouette_sq(df: DataFrame, cols, label: str, id_col: str) -> DataFrame:
     """C11 (squared-Euclidean form): per-point silhouette from cluster moments.
 
     Mean squared distance from x to the points of cluster C is
-    |x|² − 2·x·S_C/n_C + Q_C/n_C (S_C = Σx, Q_C = Σ|x|²); for the own cluster
-    the point itself is excluded (× n_C / (n_C − 1)).  Exact, O(n·k·p), no pairs.
+    |x − m_C|² + Q_C (m_C the centroid, Q_C the mean squared distance to it); for the own cluster
+    the point itself is excluded (× n_C / (n_C − 1)).  Exact, O(n·k·p), no pairs of points.
     Returns (id, label, silhouette); a singleton cluster gets 0.
     """
-    cols = list(cols)
-    pts = df.select(id_col, label, *[F.col(c).cast("double").alias(c) for c in cols]).dropna()
-    sq = sum(F.col(c) ** 2 for c in cols)
-    mom = pts.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.sum(sq).alias("q"),
-                                 F.array(*[F.sum(c) for c in cols]).alias("s"))
-    arr = mom.agg(F.collect_list(F.struct(F.col(label).alias("l"), "n", "q", "s")).alias("_all"))
-    x = F.array(*[F.col(c) for c in cols])
-    j = (pts.withColumn("_x", x).withColumn("_xx", sq).withColumn("_k", F.lit(1))
-         .join(F.broadcast(arr.withColumn("_k", F.lit(1))), "_k"))
-
-    def mean_d(o):
-        dot = F.aggregate(F.zip_with(o["s"], F.col("_x"), lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-        return F.col("_xx") - 2 * dot / o["n"] + o["q"] / o["n"]
-
-    own = F.filter("_all", lambda o: o["l"] == F.col(label))[0]
-    a = F.when(own["n"] > 1, mean_d(own) * own["n"] / (own["n"] - 1))
-    b = F.array_min(F.transform(F.filter("_all", lambda o: o["l"] != F.col(label)), mean_d))
-    sil = F.when(own["n"] <= 1, F.lit(0.0)).otherwise((b - a) / F.greatest(a, b))
+    pts = _points(df, cols, [id_col, label])
+    cent = pts.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), _mean().alias("_m"))
+    q = spread_join(pts, cent, label).groupBy(label).agg(F.avg(_sq("v", F.col("_m"))).alias("_q"))
+    cl = _materialize(cent.join(q, label).select(F.col(label).alias("l"), F.col("_n").alias("n"),
+                                                 F.col("_m").alias("m"), F.col("_q").alias("q")))
+    d = F.transform("_all", lambda o: F.struct(o["l"].alias("l"), o["n"].alias("n"),
+                                               (_sq(F.col("v"), o["m"]) + o["q"]).alias("d")))
+    j = _with_summaries(pts, cl).select(id_col, label, d.alias("_d"))
+    own = F.filter("_d", lambda o: o["l"] == F.col(label))[0]
+    j = j.select(id_col, label, F.when(own["n"] > 1, own["d"] * own["n"] / (own["n"] - 1)).alias("_a"),
+                 F.array_min(F.transform(F.filter("_d", lambda o: o["l"] != F.col(label)), lambda o: o["d"])).alias("_b"))
+    a, b = F.col("_a"), F.col("_b")
+    sil = F.when(a.isNull(), F.lit(0.0)).otherwise(F.coalesce(safe_div(b - a, F.greatest(a, b)), F.lit(0.0)))
     return j.select(id_col, label, sil.alias("silhouette"))
 
 
@@ -179,7 +193,7 @@ def dbscan(df: DataFrame, id_col: str, cols, eps: float = 0.5, min_samples: int
     points take the smallest label of their core neighbours.  A cluster's label
     is the smallest id among its core points.
     """
-    from .graph import _materialize, components
+    from .graph import components
     cols = list(cols)
     pts = df.select(F.col(id_col).alias("_id"), *[F.col(c).cast("double").alias(c) for c in cols]).dropna()
     grp = _materialize(pts.groupBy(*cols).agg(F.min("_id").alias("i"), F.count(F.lit(1)).alias("_wt")))
@@ -255,34 +269,26 @@ def _cut(merges, m: int, k: int) -> np.ndarray:
     return np.array([order[r] for r in roots])
 
 
-def ward(df: DataFrame, cols, id_col: str, k_values=(3,), max_items: int = 500, seed: int = 42):
+def ward(df: DataFrame, cols, id_col: str, k_values=(3,), n_micro: int = 200, seed: int = 42):
     """C3 + C4: Ward hierarchical clustering.
 
-    Up to ``max_items`` rows the tree is exact on the points; above it the data
-    is first summarised by k-means micro-clusters (distributed), and Ward merges
-    their weighted centroids.  Only the ≤ ``max_items`` centroids reach the
-    driver; labels go back through a join with the bounded item → cluster map.
-    Returns {k: DataFrame(id, label)}.
+    The data is summarised by ``n_micro`` k-means micro-clusters on the executors (as many as there
+    are distinct points, if those are fewer), and Ward merges their weighted centroids; only those
+    reach the driver, whatever the number of rows.  Labels go back through a join with the item →
+    cluster map.  Returns {k: DataFrame(id, label)}.
     """
     cols = list(cols)
     x = df.select(id_col, *cols).dropna()
     z, _ = scale(x, cols, "standard")
-    n = z.count()
     spark = df.sparkSession
-    if n <= max_items:
-        rows = z.select(id_col, *cols).collect()  # bounded by max_items
-        item = spark.createDataFrame([(r[id_col], i) for i, r in enumerate(rows)], f"{id_col} {dict(z.dtypes)[id_col]}, item int")
-        cent = np.array([[r[c] for c in cols] for r in rows])
-        wts = np.ones(len(rows))
-    else:
-        lab, _ = kmeans(z, cols, id_col, k=max_items, restarts=1, seed=seed, standardize=False)
-        item = lab.select(id_col, F.col("label").alias("item"))
-        cs = (z.join(item, id_col).groupBy("item")
-              .agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(c) for c in cols]).orderBy("item").collect())
-        cent = np.array([[r[c] for c in cols] for r in cs])
-        wts = np.array([r["_n"] for r in cs], dtype=float)
-        remap = {r["item"]: i for i, r in enumerate(cs)}
-        item = item.withColumn("item", F.create_map(*[x for a, b in remap.items() for x in (F.lit(a), F.lit(b))])[F.col("item")])
+    lab, _ = kmeans(z, cols, id_col, k=n_micro, restarts=1, seed=seed, standardize=False)
+    item = lab.select(id_col, F.col("label").alias("item"))
+    cs = (z.join(item, id_col).groupBy("item")
+          .agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(c) for c in cols]).orderBy("item").collect())
+    cent = np.array([[r[c] for c in cols] for r in cs])
+    wts = np.array([r["_n"] for r in cs], dtype=float)
+    remap = {r["item"]: i for i, r in enumerate(cs)}
+    item = item.withColumn("item", F.create_map(*[x for a, b in remap.items() for x in (F.lit(a), F.lit(b))])[F.col("item")])
     merges = _ward_tree(cent, wts)
     out = {}
     for k in k_values:
@@ -292,12 +298,12 @@ def ward(df: DataFrame, cols, id_col: str, k_values=(3,), max_items: int = 500,
     return out
 
 
-def ward_sweep(df: DataFrame, cols, id_col: str, k_values=range(2, 11), max_items: int = 500) -> DataFrame:
+def ward_sweep(df: DataFrame, cols, id_col: str, k_values=range(2, 11), n_micro: int = 200) -> DataFrame:
     """C4: one Ward tree, cut at every k, with silhouette (squared), CH and DB."""
     cols = list(cols)
     z, _ = scale(df.select(id_col, *cols).dropna(), cols, "standard")
     z = z.cache()
-    cuts = ward(z, cols, id_col, list(k_values), max_items)
+    cuts = ward(z, cols, id_col, list(k_values), n_micro)
     rows = []
     for k, lab in cuts.items():
         j = z.join(lab, id_col)
@@ -317,7 +323,8 @@ def spectral(df: DataFrame, cols, id_col: str, k: int, n_neighbors: int = 10, ga
     cols = list(cols)
     z, _ = scale(df.select(id_col, *cols).dropna(), cols, "standard")
     nn = pairs.knn(z, id_col, cols, k=n_neighbors)
-    e = nn.select(F.col(id_col).cast("long").alias("src"), F.col("nbr").cast("long").alias("dst"),
-                  F.exp(-gamma * F.col("dist") ** 2).alias("weight"))
+    # an undirected edge per pair, whether one or both are the other's neighbour
+    e = nn.groupBy(F.least(id_col, "nbr").cast("long").alias("src"), F.greatest(id_col, "nbr").cast("long").alias("dst")) \
+        .agg(F.max(F.exp(-gamma * F.col("dist") ** 2)).alias("weight"))
     pic = PowerIterationClustering(k=k, maxIter=max_iter, weightCol="weight", initMode="degree")
     return pic.assignClusters(e).select(F.col("id").alias(id_col), F.col("cluster").alias("label"))

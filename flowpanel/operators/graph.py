@@ -14,6 +14,8 @@ endpoints.  Everything is joins and aggregates:
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -170,6 +172,8 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: fl
             x = nx
             if err < n * tol:
                 break
+            if i == max_iter - 1:
+                warnings.warn(f"pagerank: not converged after {max_iter} rounds")
         else:
             x = nx
     return x.withColumnRenamed("x", "pagerank")
@@ -196,6 +200,8 @@ def eigenvector(edges: DataFrame, max_iter: int = 500, tol: float = 1e-6) -> Dat
             x = nx
             if err < n * tol:
                 break
+            if i == max_iter - 1:
+                warnings.warn(f"eigenvector: not converged after {max_iter} rounds")
         else:
             x = nx
     return x.withColumnRenamed("x", "eigenvector")
@@ -227,8 +233,7 @@ def components(edges: DataFrame) -> DataFrame:
         "id", F.coalesce("v", "id").alias("component"))
 
 
-def shortest_distances(edges: DataFrame, reverse: bool = False, max_iter: int = 1000,
-                       hop: bool = False) -> DataFrame:
+def shortest_distances(edges: DataFrame, reverse: bool = False, hop: bool = False) -> DataFrame:
     """All-pairs shortest paths by synchronous Bellman–Ford relaxation on
     (source, node) rows — one join + min-aggregate per round until no distance
     improves.  ``reverse`` follows edges backwards (distances *to* a node);
@@ -238,11 +243,10 @@ def shortest_distances(edges: DataFrame, reverse: bool = False, max_iter: int =
     e = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w") if reverse else edges
     e = e.where(F.col("src") != F.col("dst")).select("src", "dst", (F.lit(1.0) if hop else F.col("w")).alias("w"))
     d = vertices(edges).select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0.0).alias("dist"))
-    for i in range(max_iter):
+    while True:
         step = (d.join(e, d.node == e.src).select("source", F.col("dst").alias("node"),
                                                   (F.col("dist") + F.col("w")).alias("dist")))
-        nd = d.unionByName(step).groupBy("source", "node").agg(F.min("dist").alias("dist"))
-        nd = _maybe_checkpoint(nd, i)
+        nd = _materialize(d.unionByName(step).groupBy("source", "node").agg(F.min("dist").alias("dist")))
         stable = (nd.join(d.withColumnRenamed("dist", "_old"), ["source", "node"], "left")
                   .where(F.col("_old").isNull() | (F.col("dist") < F.col("_old"))).isEmpty())
         d = nd
@@ -279,8 +283,7 @@ def path_stats(edges: DataFrame) -> DataFrame:
                     connected.alias("is_connected"))
 
 
-def betweenness(edges: DataFrame, pivots: int = 20, normalized: bool = True, seed: int = 42,
-                max_rounds: int = 1000) -> DataFrame:
+def betweenness(edges: DataFrame, pivots: int = 20, normalized: bool = True, seed: int = 42) -> DataFrame:
     """Weighted betweenness (edge weight as distance) by Brandes'
     accumulation from ``min(pivots, n)`` source pivots chosen by a seeded hash
     order, all pivots processed together as (source, node) rows:
@@ -290,15 +293,18 @@ def betweenness(edges: DataFrame, pivots: int = 20, normalized: bool = True, see
     3. path counts σ propagated down the DAG, dependencies δ back up it, one
        join + aggregate per round until nothing changes;
     4. bc(v) = Σ_s δ(s, v), scaled by 1/((n−1)(n−2)) and n/k when normalised.
+
+    Edges must have a positive length (others would make the shortest paths cyclic): the rest and
+    self loops are left out.  All loops run until nothing changes.
     """
-    edges = _materialize(edges.where(F.col("src") != F.col("dst")))
     v = _materialize(vertices(edges))
+    edges = _materialize(edges.where((F.col("src") != F.col("dst")) & (F.col("w") > 0)))
     n = v.count()
     k = min(pivots, n)
-    piv = v.orderBy(F.xxhash64(F.lit(seed), F.col("id")), "id").limit(k).select(F.col("id").alias("source"))
-    d = vertices(edges).select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0.0).alias("dist")) \
+    piv = v.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), "id").limit(k).select(F.col("id").alias("source"))
+    d = v.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0.0).alias("dist")) \
         .join(piv, "source", "left_semi")
-    for i in range(max_rounds):
+    while True:
         step = d.join(edges, d.node == edges.src).select("source", F.col("dst").alias("node"),
                                                          (F.col("dist") + F.col("w")).alias("dist"))
         nd = _materialize(d.unionByName(step).groupBy("source", "node").agg(F.min("dist").alias("dist")))
@@ -313,7 +319,7 @@ def betweenness(edges: DataFrame, pivots: int = 20, normalized: bool = True, see
                        .where(F.col("du") + F.col("w") == F.col("dv")).select("source", "src", "dst"))
     sigma = d.select("source", "node", F.when(F.col("node") == F.col("source"), F.lit(1.0))
                      .otherwise(F.lit(0.0)).alias("sigma"))
-    for i in range(max_rounds):
+    while True:
         inc = (dag.join(sigma.select("source", F.col("node").alias("src"), F.col("sigma").alias("_s")), ["source", "src"])
                .groupBy("source", F.col("dst").alias("node")).agg(F.sum("_s").alias("_in")))
         ns = _materialize(sigma.join(inc, ["source", "node"], "left").select(
@@ -325,7 +331,7 @@ def betweenness(edges: DataFrame, pivots: int = 20, normalized: bool = True, see
         if stable:
             break
     delta = sigma.select("source", "node", F.lit(0.0).alias("delta"))
-    for i in range(max_rounds):
+    while True:
         back = (dag.join(sigma.select("source", F.col("node").alias("src"), F.col("sigma").alias("sv")), ["source", "src"])
                 .join(sigma.select("source", F.col("node").alias("dst"), F.col("sigma").alias("sw")), ["source", "dst"])
                 .join(delta.select("source", F.col("node").alias("dst"), F.col("delta").alias("dw")), ["source", "dst"])
@@ -374,7 +380,7 @@ def modularity(edges: DataFrame, labels: DataFrame) -> float | None:
     return float(q)
 
 
-def louvain(edges: DataFrame, max_levels: int = 5, max_rounds: int = 12, seed: int = 42) -> DataFrame:
+def louvain(edges: DataFrame, max_levels: int = 50, max_rounds: int = 100, seed: int = 42) -> DataFrame:
     """Louvain communities on the undirected weighted graph.
 
     Local moving is synchronous but split by a seeded hash parity per round (only
@@ -382,7 +388,7 @@ def louvain(edges: DataFrame, max_levels: int = 5, max_rounds: int = 12, seed: i
     each other's community at once); a node moves to the neighbouring community
     with the largest positive modularity gain (ties → smaller community id).
     After a level converges the graph is contracted by ``groupBy`` of community
-    pairs and the next level starts.  Returns (id, community) with communities
+    pairs and the next level starts; a level that still moves after ``max_rounds`` warns.  Returns (id, community) with communities
     named by their smallest member id.
     """
     g = _materialize(to_undirected(edges))
@@ -421,6 +427,8 @@ def louvain(edges: DataFrame, max_levels: int = 5, max_rounds: int = 12, seed: i
             comm = nc
             if changed:
                 moved_any = True
+                if rnd == max_rounds - 1:
+                    warnings.warn(f"louvain: level {level} still moved after {max_rounds} rounds")
             elif rnd > 0:
                 break
         if not moved_any:

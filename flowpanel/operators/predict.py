@@ -21,15 +21,21 @@ from ..functions.scalar import safe_div
 from .prep import apply_scale, scale_params
 
 
+def _hash_mod(id_col: str, seed: int, n: int):
+    """Bucket 0..n−1 of an id by a hash that any SQL engine has."""
+    h = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), 1, 8)
+    return F.pmod(F.conv(h, 16, 10).cast("long"), F.lit(n))
+
+
 def split(df: DataFrame, id_col: str, test: float = 0.2, seed: int = 42):
-    """M1: deterministic hash split (pmod(xxhash64(id, seed), 100) < 100·(1 − test) → train)."""
-    b = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(100))
+    """M1: deterministic hash split (first 32 bits of md5("seed:id") mod 100 < 100·(1 − test) → train)."""
+    b = _hash_mod(id_col, seed, 100)
     cut = int(round(100 * (1 - test)))
     return df.where(b < cut), df.where(b >= cut)
 
 
 def fold_col(df: DataFrame, id_col: str, k: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
-    return df.withColumn(out, F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + 1)), F.lit(k)).cast("int"))
+    return df.withColumn(out, _hash_mod(id_col, seed + 1, k).cast("int"))
 
 
 def _assemble(df: DataFrame, x_cols, out="features"):
@@ -56,10 +62,10 @@ def estimators(n_train: int) -> dict:
         "lasso": LinearRegression(regParam=1.0, elasticNetParam=1.0, standardization=False),
         "elastic_net": LinearRegression(regParam=1.0, elasticNetParam=0.5, standardization=False),
         "decision_tree": DecisionTreeRegressor(maxDepth=30, seed=42),
-        "random_forest": RandomForestRegressor(numTrees=100, seed=42),
+        "random_forest": RandomForestRegressor(numTrees=100, maxDepth=15, seed=42),
         "gradient_boosting": GBTRegressor(maxIter=100, seed=42),
-        "xgboost": GBTRegressor(maxIter=100, stepSize=0.1, maxDepth=3, seed=42),
-        "lightgbm": GBTRegressor(maxIter=100, stepSize=0.1, maxDepth=3, seed=42),
+        # shallow boosted trees; histogram-boosting libraries' presets are this one estimator here
+        "boosted_shallow": GBTRegressor(maxIter=100, stepSize=0.1, maxDepth=3, seed=42),
     }
 
 
@@ -75,22 +81,43 @@ def metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction
                     F.when(F.col("_z") == 0, F.col("_mape") * 100).alias("mape"))
 
 
-def train_all(df: DataFrame, id_col: str, y: str, x_cols, names=None) -> DataFrame:
-    """Fit each preset on the train split, evaluate on the test split;
-    one row per model, sorted by R² (best first)."""
+def fit_all(df: DataFrame, id_col: str, y: str, x_cols, names=None) -> dict:
+    """Fit each preset on the train split and evaluate it on the test split.
+
+    Returns {name: (fitted model, one-row metrics)}, best R² first: the first is the best model."""
     train, test = prepare(df, id_col, y, x_cols)
-    train = train.cache()
-    n = train.count()
-    est = estimators(n)
-    rows = []
+    train, test = train.cache(), test.cache()
+    est = estimators(train.count())
+    got = {}
     for name in (names or list(est)):
         model = est[name].fit(train)
-        m = metrics(model.transform(test)).first()
-        rows.append((name, *[None if m[c] is None else float(m[c]) for c in ("mse", "rmse", "mae", "r2", "mape")]))
+        got[name] = (model, metrics(model.transform(test)).first())
     train.unpersist()
-    out = df.sparkSession.createDataFrame(rows, "model string, mse double, rmse double, mae double, r2 double, "
-                                                "mape double")
-    return out.orderBy(F.col("r2").desc_nulls_last(), "model")
+    test.unpersist()
+    low = float("-inf")
+    return dict(sorted(got.items(), key=lambda kv: (-(low if kv[1][1]["r2"] is None else kv[1][1]["r2"]), kv[0])))
+
+
+def train_all(df: DataFrame, id_col: str, y: str, x_cols, names=None) -> DataFrame:
+    """One row of test metrics per model, sorted by R² (best first)."""
+    rows = [(name, *[None if m[c] is None else float(m[c]) for c in ("mse", "rmse", "mae", "r2", "mape")], i == 0)
+            for i, (name, (_, m)) in enumerate(fit_all(df, id_col, y, x_cols, names).items())]
+    return df.sparkSession.createDataFrame(rows, "model string, mse double, rmse double, mae double, r2 double, "
+                                                 "mape double, best boolean")
+
+
+def coefficients(spark, fitted: dict, x_cols) -> DataFrame:
+    """M2–M5: intercept and coefficients (on the standardised features) of the linear models of :func:`fit_all`."""
+    rows = [(name, term, float(v)) for name, (m, _) in fitted.items() if hasattr(m, "coefficients")
+            for term, v in [("intercept", m.intercept), *zip(x_cols, m.coefficients)]]
+    return spark.createDataFrame(rows, "model string, term string, coef double")
+
+
+def importances(spark, fitted: dict, x_cols) -> DataFrame:
+    """Feature importances of the tree models of :func:`fit_all`, largest first within a model."""
+    rows = [(name, c, float(v)) for name, (m, _) in fitted.items() if hasattr(m, "featureImportances")
+            for c, v in sorted(zip(x_cols, m.featureImportances.toArray()), key=lambda t: (-t[1], t[0]))]
+    return spark.createDataFrame(rows, "model string, feature string, importance double")
 
 
 def cross_validate(df: DataFrame, id_col: str, y: str, x_cols, name: str = "linear_regression",
@@ -111,20 +138,28 @@ def cross_validate(df: DataFrame, id_col: str, y: str, x_cols, name: str = "line
     return out.withColumn("mean_r2", F.lit(float(scores.mean()))).withColumn("std_r2", F.lit(float(scores.std())))
 
 
-def grid_search(df: DataFrame, id_col: str, y: str, x_cols, k: int = 3, parallelism: int = 4) -> DataFrame:
-    """Grid search for a random forest by k-fold R² (CrossValidator with a
-    deterministic fold column)."""
+def grid_search(df: DataFrame, id_col: str, y: str, x_cols, name: str = "random_forest", grid: dict | None = None,
+                k: int = 5, parallelism: int = 4) -> DataFrame:
+    """Grid search of a preset by k-fold R² (CrossValidator with a deterministic fold column).
+
+    ``grid`` maps parameter names of the estimator to lists of values (default: a small forest grid).
+    One row per combination, best first."""
+    grid = grid or {"numTrees": [20, 50], "maxDepth": [3, 5]}
     data = _assemble(df.select(id_col, F.col(y).cast("double").alias("label"),
                                *[F.col(c).cast("double").alias(c) for c in x_cols]).dropna(), x_cols)
-    data = fold_col(data, id_col, k)
-    rf = RandomForestRegressor(seed=42)
-    grid = ParamGridBuilder().addGrid(rf.numTrees, [20, 50]).addGrid(rf.maxDepth, [3, 5]).build()
-    cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, evaluator=RegressionEvaluator(metricName="r2"),
-                        foldCol="fold", parallelism=parallelism)
-    m = cv.fit(data)
-    rows = [(int(pm[rf.numTrees]), int(pm[rf.maxDepth]), float(s)) for pm, s in zip(grid, m.avgMetrics)]
-    return df.sparkSession.createDataFrame(rows, "num_trees int, max_depth int, mean_r2 double") \
-             .orderBy(F.col("mean_r2").desc(), "num_trees", "max_depth")
+    data = fold_col(data, id_col, k).cache()
+    est = estimators(data.count())[name]
+    build = ParamGridBuilder()
+    for p, values in grid.items():
+        build = build.addGrid(est.getParam(p), values)
+    maps = build.build()
+    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=RegressionEvaluator(metricName="r2"),
+                        numFolds=k, foldCol="fold", parallelism=parallelism)
+    scores = cv.fit(data).avgMetrics
+    data.unpersist()
+    rows = [(*[float(m[est.getParam(p)]) for p in grid], float(s)) for m, s in zip(maps, scores)]
+    return df.sparkSession.createDataFrame(rows, ", ".join(f"{p} double" for p in grid) + ", mean_r2 double") \
+             .orderBy(F.col("mean_r2").desc(), *grid)
 
 
 def ols(df: DataFrame, y: str, x_cols) -> dict:

@@ -242,8 +242,9 @@ def knn_impute(df: DataFrame, cols, id_col: str, k: int = 5) -> DataFrame:
     missing pattern ranks donors like the plain Euclidean distance on the shared
     coordinates — so the exact grid kNN does the search.  Donors that miss one
     of the row's coordinates are not considered (they would be with a shared
-    subset in the single-machine definition).  One search per (column, pattern);
-    patterns are the distinct NULL masks (at most 2^(p−1) per column).
+    subset in the single-machine definition).  A row without a usable coordinate or without a
+    donor gets the column's mean, so no NULL is left in a column that has values.  One search
+    per (column, pattern); patterns are the distinct NULL masks (at most 2^(p−1) per column).
     """
     from .pairs import knn
     cols = list(cols)
@@ -266,6 +267,7 @@ def knn_impute(df: DataFrame, cols, id_col: str, k: int = 5) -> DataFrame:
             vals = donors.select(F.col(id_col).alias("nbr"), F.col(c).alias("_v"))
             fills.append(nn.join(vals, "nbr").groupBy(id_col).agg(F.avg("_v").alias("_fill"))
                          .withColumn("_col", F.lit(c)))
+    means = base.agg(*[F.avg(c).alias(f"{c}__fill") for c in cols])
     out = df
     if fills:
         from functools import reduce as _reduce
@@ -274,7 +276,8 @@ def knn_impute(df: DataFrame, cols, id_col: str, k: int = 5) -> DataFrame:
                                           for c in cols])
         out = out.join(wide, id_col, "left").withColumns({
             c: F.coalesce(F.col(c).cast("double"), F.col(f"_f_{c}")) for c in cols}).drop(*[f"_f_{c}" for c in cols])
-    return out
+    return _attach(out, means).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"{c}__fill")) for c in cols}) \
+        .drop(*[f"{c}__fill" for c in cols])
 
 
 def mice_impute(df: DataFrame, cols, id_col: str, rounds: int = 10, alpha: float = 1e-6) -> DataFrame:

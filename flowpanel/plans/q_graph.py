@@ -14,7 +14,6 @@ from ..sources import testviews as tv
 from .registry import R, query, rounded
 
 THRESHOLD = 500000.0
-COMP_THRESHOLD = 1500000.0
 PR_ITERS = 30
 EV_ITERS = 30
 
@@ -135,8 +134,7 @@ COMP_ROUNDS = 25
 
 
 def _components_sql():
-    et = (f"et AS (SELECT src, dst FROM od WHERE NOT (value < {COMP_THRESHOLD}) OR value IS NULL "
-          "GROUP BY 1, 2)")
+    et = "et AS (SELECT src, dst FROM od GROUP BY 1, 2)"
     vt = "vt AS (SELECT src AS id FROM et UNION SELECT dst FROM et)"
     und = "ue AS (SELECT src, dst FROM et UNION ALL SELECT dst, src FROM et)"
     init = "SELECT id, id AS label FROM vt"
@@ -149,7 +147,7 @@ def _components_sql():
 
 @query("components", _components_sql())
 def q_components(spark, sf):
-    return graph.components(_edges(spark, sf, COMP_THRESHOLD))
+    return graph.components(_edges(spark, sf))
 
 
 SP_ROUNDS = 25
@@ -174,8 +172,7 @@ def q_closeness(spark, sf):
 
 
 def _path_sql():
-    et = (f"et AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM od "
-          f"WHERE NOT (value < {COMP_THRESHOLD}) OR value IS NULL GROUP BY 1, 2)")
+    et = "et AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM od GROUP BY 1, 2)"
     ue = "ue AS (SELECT a AS src, b AS dst FROM et WHERE a <> b UNION ALL SELECT b, a FROM et WHERE a <> b)"
     vt = "vt AS (SELECT a AS id FROM et UNION SELECT b FROM et)"
     init = "SELECT id AS source, id AS node, 0.0 AS dist FROM vt"
@@ -191,18 +188,42 @@ SELECT {R(f'CASE WHEN pairs = {n} * ({n} - 1) THEN av END')} AS avg_path_length,
 
 @query("path_stats", _path_sql())
 def q_path_stats(spark, sf):
-    e = graph.build(tv.od(spark, sf), directed=False, threshold=COMP_THRESHOLD)
+    e = graph.build(tv.od(spark, sf), directed=False)
     return rounded(graph.path_stats(e))
 
 
-@query("betweenness")
+BC_PIVOTS = 20
+
+
+def _betweenness_sql():
+    """Shortest paths from the pivots, enumerated; each gives its inner nodes a share."""
+    le = "le AS (SELECT src, dst, w FROM e WHERE src <> dst AND w > 0)"
+    piv = f"piv AS (SELECT id FROM v ORDER BY md5('42:' || id), id LIMIT {BC_PIVOTS})"
+    init = "SELECT id AS source, id AS node, 0.0 AS dist FROM piv"
+    step = ("SELECT source, node, MIN(dist) AS dist FROM (SELECT * FROM {prev} UNION ALL "
+            "SELECT d.source, r.dst, d.dist + r.w FROM {prev} d JOIN le r ON d.node = r.src) GROUP BY 1, 2")
+    n = "(SELECT COUNT(*) FROM v)"
+    return "WITH RECURSIVE " + tv.with_views(f""", {_unrolled(SP_ROUNDS, init, step, 'd')}
+, dag AS MATERIALIZED (SELECT a.source, le.src, le.dst FROM d{SP_ROUNDS} a JOIN le ON a.node = le.src
+          JOIN d{SP_ROUNDS} b ON b.source = a.source AND b.node = le.dst WHERE a.dist + le.w = b.dist)
+, paths AS (SELECT source, dst AS node, [dst] AS way FROM dag WHERE src = source
+            UNION ALL SELECT p.source, g.dst, list_append(p.way, g.dst)
+            FROM paths p JOIN dag g ON g.source = p.source AND g.src = p.node)
+, sigma AS (SELECT source, node, COUNT(*) AS c FROM paths GROUP BY 1, 2)
+, inner_ AS (SELECT p.source, p.node, UNNEST(list_slice(way, 1, len(way) - 1)) AS id FROM paths p)
+, bc AS (SELECT i.id, SUM(1.0 / c) AS b FROM inner_ i JOIN sigma s ON s.source = i.source AND s.node = i.node GROUP BY 1)
+SELECT v.id, {R(f'COALESCE(b, 0.0) / (({n} - 1.0) * ({n} - 2.0)) * {n} / (SELECT COUNT(*) FROM piv)', 6)} AS betweenness
+FROM v LEFT JOIN bc ON v.id = bc.id""", tv.OD_SQL, EDGES_SQL, V_SQL, le, piv)[len("WITH "):]
+
+
+@query("betweenness", _betweenness_sql())
 def q_betweenness(spark, sf):
-    return graph.betweenness(_edges(spark, sf, COMP_THRESHOLD), pivots=20)
+    return rounded(graph.betweenness(_edges(spark, sf), pivots=BC_PIVOTS), 6)
 
 
 @query("louvain")
 def q_louvain(spark, sf):
-    e = _edges(spark, sf, COMP_THRESHOLD)
+    e = _edges(spark, sf)
     lab = graph.louvain(e)
     q = graph.modularity(e, lab)
     n_c = lab.select("community").distinct().count()

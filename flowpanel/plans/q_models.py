@@ -19,7 +19,8 @@ from ..sources import loaders
 from ..sources import testviews as tv
 from .registry import R, query, rounded
 
-CL_COLS = [f"f{i}" for i in range(1, 11)]
+CL_COLS = [f"f{i}" for i in range(1, tv.VEC_DIM + 1)]
+PANEL_VALUES = ["revenue", "qty", "avg_disc", "n_lines", "n_cust"]
 PROFILE_COLS = [f"f{i}" for i in range(1, 6)]
 PCA_COLS = tv.PARTFEAT_COLS
 ML_X = ["qty", "p_retailprice", "avg_disc", "n_lines", "p_size"]
@@ -78,7 +79,7 @@ SELECT v.vec_id, v.label,
 FROM vec v LEFT JOIN ab ON v.vec_id = ab.vec_id""", tv.VEC_SQL)
 
 
-@query("silhouette_exact", _silhouette_sql())
+@query("silhouette_sq", _silhouette_sql())
 def q_silhouette(spark, sf):
     return rounded(cluster.silhouette_sq(_vec(spark, sf), CL_COLS, "label", "vec_id"))
 
@@ -141,9 +142,23 @@ def q_gmm_sweep(spark, sf):
     return cluster.gmm_sweep(tv.geo(spark, sf), ["x", "y"], range(2, 11))
 
 
-@query("dbscan")
+DB_EPS, DB_MIN = 0.03, 5
+DBSCAN_SQL = "WITH RECURSIVE " + tv.with_views(f"""
+, near AS (SELECT a.vec_id AS i, b.vec_id AS j FROM geo a JOIN geo b
+           ON sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) <= {DB_EPS})
+, core AS (SELECT i FROM near GROUP BY i HAVING COUNT(*) >= {DB_MIN})
+, link AS (SELECT i, j FROM near WHERE i IN (SELECT i FROM core) AND j IN (SELECT i FROM core))
+, reach AS (SELECT i, i AS j FROM core UNION SELECT r.i, l.j FROM reach r JOIN link l ON r.j = l.i)
+, lab AS (SELECT i, MIN(j) AS label FROM reach GROUP BY i)
+, border AS (SELECT near.i, MIN(lab.label) AS label FROM near JOIN lab ON near.j = lab.i
+             WHERE near.i NOT IN (SELECT i FROM core) GROUP BY near.i)
+SELECT g.vec_id, CAST(COALESCE(lab.label, border.label, -1) AS BIGINT) AS label
+FROM geo g LEFT JOIN lab ON g.vec_id = lab.i LEFT JOIN border ON g.vec_id = border.i""", tv.GEO_SQL)[len("WITH "):]
+
+
+@query("dbscan", DBSCAN_SQL)
 def q_dbscan(spark, sf):
-    return cluster.dbscan(tv.geo(spark, sf), "vec_id", ["x", "y"], eps=0.03, min_samples=5)
+    return cluster.dbscan(tv.geo(spark, sf), "vec_id", ["x", "y"], eps=DB_EPS, min_samples=DB_MIN)
 
 
 @query("cluster_compare")
@@ -226,12 +241,7 @@ def q_linear_models(spark, sf):
 @query("tree_models")
 def q_tree_models(spark, sf):
     return predict.train_all(tv.partfeat(spark, sf), "p_partkey", "revenue", ML_X,
-                             ["decision_tree", "random_forest", "gradient_boosting"])
-
-
-@query("boosting")
-def q_boosting(spark, sf):
-    return predict.train_all(tv.partfeat(spark, sf), "p_partkey", "revenue", ML_X, ["xgboost", "lightgbm"])
+                             ["decision_tree", "random_forest", "gradient_boosting", "boosted_shallow"])
 
 
 @query("cross_val")
@@ -260,12 +270,90 @@ def _slm(spark, sf):
     return predict.ols(d, "v", ["x", "y", "lag"])
 
 
-@query("slm")
+def ols_ctes(source: str, y: str, xs, where: str = "TRUE", tag: str = "") -> tuple[str, dict]:
+    """CTEs of an ordinary least-squares fit of a view by sequential orthogonalisation, and the SQL of
+    each coefficient.  The last CTE, ``fit{tag}``, is one row with c1.. (slopes on the orthogonal columns),
+    r{k}_{j} (projections), means, residual variance."""
+    p = len(xs)
+    mean = ", ".join([f"AVG({y}) AS my"] + [f"AVG({x}) AS m{k}" for k, x in enumerate(xs, 1)])
+    ctes = [f"ols_m{tag} AS (SELECT {mean} FROM {source} WHERE {where})",
+            f"ols_0{tag} AS (SELECT {y} - my AS y0, " + ", ".join(f"{x} - m{k} AS a{k}" for k, x in enumerate(xs, 1))
+            + f" FROM {source}, ols_m{tag} WHERE {where})"]
+    for k in range(1, p + 1):  # residual of every later column, and of y, on column k
+        sums = [f"SUM(y0 * a{k}) / SUM(a{k} * a{k}) AS c{k}"] + [
+            f"SUM(a{j} * a{k}) / SUM(a{k} * a{k}) AS r{k}_{j}" for j in range(k + 1, p + 1)]
+        ctes.append(f"ols_s{k}{tag} AS (SELECT {', '.join(sums)} FROM ols_{k - 1}{tag})")
+        keep = [f"y0 - c{k} * a{k} AS y0"] + [f"a{j} - r{k}_{j} * a{k} AS a{j}" for j in range(k + 1, p + 1)]
+        ctes.append(f"ols_{k}{tag} AS (SELECT {', '.join(keep)} FROM ols_{k - 1}{tag}, ols_s{k}{tag})")
+    ctes.append(f"ols_e{tag} AS (SELECT AVG(y0 * y0) AS mse, COUNT(*) AS n FROM ols_{p}{tag})")
+    ctes.append(f"ols_v{tag} AS (SELECT VAR_POP(y0) AS vy FROM ols_0{tag})")
+    ctes.append(f"fit{tag} AS (SELECT * FROM ols_m{tag}, ols_e{tag}, ols_v{tag}, "
+                + ", ".join(f"ols_s{k}{tag}" for k in range(1, p + 1)) + ")")
+    beta: dict[int, str] = {}
+    for k in range(p, 0, -1):
+        beta[k] = "(c%d%s)" % (k, "".join(f" - r{k}_{j} * {beta[j]}" for j in range(k + 1, p + 1)))
+    out = {x: beta[k] for k, x in enumerate(xs, 1)}
+    out["intercept"] = "(my" + "".join(f" - m{k} * {beta[k]}" for k in range(1, p + 1)) + ")"
+    return ", ".join(ctes), out
+
+
+def _slm_sql():
+    from .q_spatial import KNN_W_SQL, PAIRS_SQL
+    ctes, beta = ols_ctes("d", "v", ["x", "y", "lag"])
+    rows = " UNION ALL ".join(
+        f"SELECT '{t}' AS term, {R(beta[t])} AS coef, {R('1 - mse / vy')} AS r2, {R('mse')} AS mse, n FROM fit"
+        for t in ("intercept", "x", "y", "lag"))
+    d = ("d AS (SELECT g.v, g.x, g.y, l.lag FROM geo g JOIN (SELECT w.i, SUM(w.w * g.v) AS lag FROM w JOIN geo g "
+         "ON w.j = g.vec_id GROUP BY w.i) l ON g.vec_id = l.i)")
+    return tv.with_views(rows, tv.GEO_SQL, PAIRS_SQL, KNN_W_SQL, d, ctes)
+
+
+@query("slm", _slm_sql())
 def q_slm(spark, sf):
     r = _slm(spark, sf)
     rows = [("intercept", r["intercept"])] + [(k, v) for k, v in r["coefs"].items()]
-    return spark.createDataFrame(rows, "term string, coef double").select(
-        "*", F.lit(r["r2"]).alias("r2"), F.lit(r["mse"]).alias("mse"), F.lit(r["n"]).alias("n"))
+    return rounded(spark.createDataFrame(rows, "term string, coef double").select(
+        "*", F.lit(r["r2"]).alias("r2"), F.lit(r["mse"]).alias("mse"), F.lit(r["n"]).cast("long").alias("n")))
+
+
+def _ols_coefs_sql():
+    """The linear regression on the train part (standardised by it) and its test R²."""
+    used = " AND ".join(f"{c} IS NOT NULL" for c in ["revenue", *ML_X])
+    h = "CAST('0x' || substr(md5('42:' || p_partkey), 1, 8) AS BIGINT) % 100"
+    base = f"pt AS (SELECT *, {h} AS b FROM partfeat WHERE {used})"
+    sc = ("sc AS (SELECT " + ", ".join(f"AVG({c}) AS mu_{c}, STDDEV_POP({c}) AS sd_{c}" for c in ML_X)
+          + " FROM pt WHERE b < 80)")
+    z = ("z AS (SELECT b, CAST(revenue AS DOUBLE) AS revenue, "
+         + ", ".join(f"CASE WHEN sd_{c} > 0 THEN ({c} - mu_{c}) / sd_{c} ELSE 0.0 END AS {c}" for c in ML_X) + " FROM pt, sc)")
+    ctes, beta = ols_ctes("z", "revenue", ML_X, "b < 80")
+    pred = beta["intercept"] + " + " + " + ".join(f"{beta[c]} * z.{c}" for c in ML_X)
+    test = (f"t AS (SELECT revenue AS y, {pred} AS yhat FROM z, fit WHERE b >= 80), "
+            "q AS (SELECT 1 - SUM(power(y - yhat, 2)) / (VAR_POP(y) * COUNT(*)) AS r2 FROM t)")
+    rows = " UNION ALL ".join(f"SELECT '{t}' AS term, {R(beta[t], 2)} AS coef, {R('r2')} AS test_r2 FROM fit, q"
+                              for t in ("intercept", *ML_X))
+    return tv.with_views(rows, tv.PARTFEAT_SQL, base, sc, z, ctes, test)
+
+
+@query("ols_coefs", _ols_coefs_sql())
+def q_ols_coefs(spark, sf):
+    """Split, standardisation, linear regression: coefficients and test R²."""
+    fitted = predict.fit_all(tv.partfeat(spark, sf), "p_partkey", "revenue", ML_X, ["linear_regression"])
+    r2 = float(fitted["linear_regression"][1]["r2"])
+    out = predict.coefficients(spark, fitted, ML_X).drop("model").withColumn("coef", F.round("coef", 2) + F.lit(0.0))
+    return out.withColumn("test_r2", F.lit(r2)).select(
+        "term", "coef", (F.round(F.col("test_r2") * 1e4, 0) / 1e4).alias("test_r2"))
+
+
+@query("linear_coefs")
+def q_linear_coefs(spark, sf):
+    fitted = predict.fit_all(tv.partfeat(spark, sf), "p_partkey", "revenue", ML_X, ["ridge", "lasso", "elastic_net"])
+    return predict.coefficients(spark, fitted, ML_X)
+
+
+@query("tree_importances")
+def q_tree_importances(spark, sf):
+    fitted = predict.fit_all(tv.partfeat(spark, sf), "p_partkey", "revenue", ML_X, ["decision_tree", "boosted_shallow"])
+    return predict.importances(spark, fitted, ML_X)
 
 
 @query("spatial_models")
@@ -281,12 +369,40 @@ def q_spatial_models(spark, sf):
 
 # --- rows-only: sink, composites ---------------------------------------------------------
 
-@query("write_read")
+def _panel_select():
+    return "SELECT nation, year, " + ", ".join(R(f"CAST({c} AS DOUBLE)") + f" AS {c}" for c in PANEL_VALUES) + " FROM panel"
+
+
+@query("write_read", tv.with_views(_panel_select(), tv.PANEL_SQL))
 def q_write_read(spark, sf):
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/flowpanel-out/panel-{uuid.uuid4().hex}"
     loaders.write_table(tv.panel(spark, sf), path, "parquet", partition_by=["year"])
-    return spark.read.parquet(path)
+    back = spark.read.parquet(path)
+    return rounded(back.select("nation", "year", *[F.col(c).cast("double").alias(c) for c in PANEL_VALUES]))
+
+
+MISSING_YEAR = 1900
+CSV_SQL = tv.with_views(f"""
+SELECT src, dst, year, sn.name AS src_name, dn.name AS dst_name, {R('value')} AS value
+FROM od LEFT JOIN dim sn ON sn.nation = src LEFT JOIN dim dn ON dn.nation = dst
+WHERE value IS NOT NULL""", tv.OD_SQL, tv.DIM_SQL)
+
+
+@query("csv_od_round_trip", CSV_SQL)
+def q_csv_od(spark, sf):
+    """Yearly wide CSV matrices and a JSON dimension, written and read back, with one of
+    the asked years missing."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    folder = f"{base}/flowpanel-out/od-{uuid.uuid4().hex}"
+    od, dim = tv.od(spark, sf), tv.dim(spark, sf)
+    years = loaders.write_wide_od(od, folder)
+    dim.write.json(f"{folder}/dim.json")
+    back = loaders.read_yearly_od(spark, folder, [MISSING_YEAR, *years])
+    back = loaders.rename(back, {"value": "flow", "absent": "ignored"})  # load_od finds it under its other name
+    entities = loaders.read_dimension(spark, f"{folder}/dim.json")
+    out = loaders.load_od(back, entities, "nation", "name")
+    return rounded(out.select("src", "dst", "year", "src_name", "dst_name", "value"))
 
 
 @query("full_pipeline")

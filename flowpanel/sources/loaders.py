@@ -36,11 +36,11 @@ def read_wide_od(spark: SparkSession, paths, origin_col: str | None = None) -> D
     """S2 + P10: yearly wide OD matrices → long ``(src, dst, year, value)``.
 
     One scan over all files; files must share the column order (else read per
-    file and :func:`union_by_name`).  The year is the first 4-digit run of the
-    file name.
+    file and :func:`union_by_name`).  The year is the
+    number in ``od_matrix_{year}``.
     """
     wide = read_csv(spark, paths).withColumn(
-        "year", F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4})", 1).cast("int"))
+        "year", F.regexp_extract(F.col("_metadata.file_path"), r"od_matrix_(\d{4})", 1).cast("int"))
     origin = origin_col or wide.columns[0]
     dests = [c for c in wide.columns if c not in (origin, "year")]
     wide = wide.select(F.col(origin).alias("src"), "year",
@@ -48,6 +48,38 @@ def read_wide_od(spark: SparkSession, paths, origin_col: str | None = None) -> D
     return unpivot_od(wide, ["src", "year"], dests)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Does the path exist in the file system that Spark reads?"""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def read_yearly_od(spark: SparkSession, folder: str, years, origin_col: str | None = None) -> DataFrame:
+    """The wide matrices ``od_matrix_{year}.csv`` of the asked years as long rows; a year
+    without a file is skipped.  Raises if none of them exists."""
+    found = [p for y in years if _exists(spark, p := f"{folder.rstrip('/')}/od_matrix_{y}.csv")]
+    if not found:
+        raise FileNotFoundError(f"no od_matrix_*.csv of the years {list(years)} in {folder}")
+    return union_by_name([read_wide_od(spark, p, origin_col) for p in found])
+
+
+def write_wide_od(od: DataFrame, folder: str, value: str = "value") -> list[int]:
+    """One wide CSV matrix per year, a row per origin and a column per destination (entities of a
+    dimension: bounded); returns the years written."""
+    keys = [r[0] for r in od.select("dst").distinct().orderBy("dst").collect()]
+    years = [r[0] for r in od.select("year").distinct().orderBy("year").collect()]
+    wide = od_wide(od, keys, value)
+    for y in years:
+        wide.where(F.col("year") == y).drop("year").write.option("header", True).csv(f"{folder.rstrip('/')}/od_matrix_{y}.csv")
+    return years
+
+
+def read_dimension(spark: SparkSession, path: str) -> DataFrame:
+    """S3: a dimension (entities and their names) from JSON, one object per line or one array."""
+    lines = spark.read.json(path)
+    return lines if "_corrupt_record" not in lines.columns else spark.read.option("multiLine", True).json(path)
+
+
 def od_wide(od: DataFrame, dst_values, value: str = "value") -> DataFrame:
     """Long → wide OD matrix per (src, year), one column per destination."""
     return (od.groupBy("src", "year").pivot("dst", list(dst_values)).agg(F.first(value))
