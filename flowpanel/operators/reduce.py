@@ -267,28 +267,23 @@ def factor_scores(df: DataFrame, cols, id_col: str, k: int | None = None, weight
 def parallel_analysis(df: DataFrame, cols, id_col: str, permutations: int = 100, seed: int = 42,
                       percentile: float = 95.0) -> dict:
     """Horn's parallel analysis.  Each draw permutes every column
-    independently with a seeded bijection of the dense row index
-    ((a·d + b) mod n, per draw and column) — an ``explode``, no sort; the
+    independently with a keyed random permutation of the dense row index
+    (:mod:`flowpanel.functions.perms`, per draw and column) — an ``explode``, no sort; the
     p×p cross-products of all draws come from one aggregate keyed by draw.
     Returns the count of real eigenvalues above the percentile of the
     permuted ones, plus both eigenvalue lists."""
-    from ..operators.spatial import _affine_perms, _dense_ids
+    from ..functions.perms import permuted
+    from ..operators.spatial import _dense_ids
     cols = list(cols)
     z, _ = scale(df.select(id_col, *cols).dropna(), cols, "standard")
     n = z.count()
     dense = _dense_ids(z, id_col)
     zd = z.join(dense, id_col)
-    perms = _affine_perms(n, permutations * len(cols), seed)
     long = zd.select("d", F.explode(F.array(*[
         F.struct(F.lit(c).alias("col"), F.col(c).alias("z")) for c in cols])).alias("_c")).select("d", "_c.*")
-    # per column: the array of its (draw, a, b) bijections, looked up by column name
-    by_col = F.create_map(*[x for ci, c in enumerate(cols) for x in (
-        F.lit(c), F.array(*[F.struct(F.lit(p).alias("perm"), F.lit(perms[p * len(cols) + ci][0]).cast("long").alias("a"),
-                                     F.lit(perms[p * len(cols) + ci][1]).cast("long").alias("b"))
-                            for p in range(permutations)]))])
-    moved = (long.select("d", "col", "z", F.explode(F.element_at(by_col, F.col("col"))).alias("_p"))
-             .select(F.col("_p.perm").alias("perm"), "col",
-                     F.pmod(F.col("_p.a") * F.col("d") + F.col("_p.b"), F.lit(n)).alias("q"), "z"))
+    draws = F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm")
+    moved = long.select("d", "col", "z", draws).withColumn(
+        "q", permuted(F.col("d"), F.xxhash64(F.lit(seed), F.col("perm"), F.col("col")), n))
     wide = moved.groupBy("perm", "q").agg(*[F.max(F.when(F.col("col") == c, F.col("z"))).alias(c) for c in cols])
     aggs = [F.sum(F.col(a) * F.col(b)).alias(f"{a}__{b}") for i, a in enumerate(cols) for b in cols[i:]]
     rows = wide.groupBy("perm").agg(*aggs).collect()

@@ -14,9 +14,14 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.perms import permuted
 from ..functions.ranks import spread_join
 from ..functions.scalar import safe_div
 from . import pairs
+from .graph import _materialize
+
+#: Permutation draws that travel together as one array.
+DRAWS = 50
 
 
 def knn_weights(pts: DataFrame, id_col: str, coords, k: int = 4) -> DataFrame:
@@ -137,25 +142,14 @@ def _dense_ids(df: DataFrame, id_col: str) -> DataFrame:
     return ranked_values(df.select(id_col), [], id_col).select(id_col, F.col("below").alias("d"))
 
 
-def _affine_perms(n: int, permutations: int, seed: int):
-    """Deterministic permutations of 0..n−1 as i ↦ (a·i + b) mod n with gcd(a, n) = 1."""
-    import random
-    rnd = random.Random(seed)
-    out = []
-    while len(out) < permutations:
-        a = rnd.randrange(1, max(n, 2))
-        if math.gcd(a, n) == 1:
-            out.append((a, rnd.randrange(0, n)))
-    return out
-
-
 def moran_permutation(w: DataFrame, df: DataFrame, id_col: str, value: str,
                       permutations: int = 999, seed: int = 42) -> DataFrame:
     """Permutation inference for global Moran's I (z_sim, p_sim, significant).
 
-    Each draw moves the value of dense point d to position (a·d + b) mod n — a
-    seeded bijection computed per row, so draws are an ``explode`` of the points
-    (no sort, no cross join); the statistic per draw is one W join + aggregate.
+    Each draw moves the value of dense point d to its place in a keyed random permutation
+    (:mod:`flowpanel.functions.perms`, one value at a time: no sort).  ``DRAWS`` draws go
+    together as an array per point, so the weights join n·(draws / DRAWS) rows, not
+    n·draws; the statistic of each draw is an aggregate over the arrays' slots.
     p_sim = (min(#sim ≥ I, draws − #sim ≥ I) + 1) / (draws + 1).
     """
     y = df.select(id_col, F.col(value).cast("double").alias("y")).where(F.col("y").isNotNull())
@@ -167,15 +161,20 @@ def moran_permutation(w: DataFrame, df: DataFrame, id_col: str, value: str,
           .join(dense.select(F.col(id_col).alias("j"), F.col("d").alias("dj")), "j").select("di", "dj", "w"))
     s = wd.agg(F.sum("w").alias("S0")).first()["S0"]
     zz = z.agg(F.sum(F.col("z") ** 2)).first()[0]
-    perms = _affine_perms(n, permutations, seed)
-    arr = F.array(*[F.struct(F.lit(k).alias("p"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"))
-                    for k, (a, b) in enumerate(perms)])
-    moved = z.select("z", "d", F.explode(arr).alias("_p")).select(
-        F.col("_p.p").alias("perm"), F.pmod(F.col("_p.a") * F.col("d") + F.col("_p.b"), F.lit(n)).alias("q"), "z")
-    zi = moved.select("perm", F.col("q").alias("di"), F.col("z").alias("zi"))
-    zj = moved.select("perm", F.col("q").alias("dj"), F.col("z").alias("zj"))
-    sims = (wd.join(zi, "di").join(zj, ["perm", "dj"])
-            .groupBy("perm").agg((n / s * F.sum(F.col("w") * F.col("zi") * F.col("zj")) / zz).alias("I_sim")))
+    # the value at point q in draw p is z at the point that p's permutation moves q to
+    draws = F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm")
+    at = z.select(F.col("d").alias("q"), draws).withColumn(
+        "d", permuted(F.col("q"), F.xxhash64(F.lit(seed), F.col("perm")), n))
+    moved = at.join(z.select("d", "z"), "d").withColumn("b", F.floor(F.col("perm") / DRAWS).cast("int"))
+    moved = _materialize(moved.groupBy("q", "b").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("perm", "z"))), lambda s_: s_["z"]).alias("z")))
+    zi = moved.select("b", F.col("q").alias("di"), F.col("z").alias("zi"))
+    zj = moved.select("b", F.col("q").alias("dj"), F.col("z").alias("zj"))
+    both = wd.join(zi, "di").join(zj, ["b", "dj"])
+    sims = (both.groupBy("b").agg(*[F.sum(F.col("w") * F.get("zi", F.lit(k)) * F.get("zj", F.lit(k))).alias(f"s{k}")
+                                    for k in range(DRAWS)])
+            .select(F.explode(F.array(*[f"s{k}" for k in range(DRAWS)])).alias("_s")).where("_s is not null")
+            .select((n / s * F.col("_s") / zz).alias("I_sim")))
     obs = moran_global(w, df, id_col, [value]).select("I")
     j = sims.withColumn("_k", F.lit(1)).join(F.broadcast(obs.withColumn("_k", F.lit(1))), "_k")
     agg = j.agg(F.first("I").alias("I"), F.avg("I_sim").alias("EI_sim"), F.stddev_pop("I_sim").alias("seI_sim"),
@@ -191,10 +190,9 @@ def local_permutation(w: DataFrame, df: DataFrame, id_col: str, value: str,
                       permutations: int = 999, seed: int = 42) -> DataFrame:
     """X8 + X9: conditional-permutation p-values for local Moran and LISA labels.
 
-    For draw p and point i, each neighbour slot s of i receives the value of a
-    pseudo-random other point (xxhash64(seed, p, i, s) mod (n − 1), skipping i);
-    the simulated I_i uses i's own weights.  Slots are drawn independently
-    (with replacement across slots).
+    For draw p and point i, slot s of i's neighbours receives the value of the s-th point of a
+    keyed random permutation of the other n − 1 points: a draw without replacement that
+    leaves i out.  The simulated I_i uses i's own weights.
     """
     from ..functions.scalar import lisa_label
     loc = moran_local(w, df, id_col, value)
@@ -207,8 +205,9 @@ def local_permutation(w: DataFrame, df: DataFrame, id_col: str, value: str,
           .join(dense.select(F.col(id_col).alias("i"), F.col("d").alias("di")), "i"))
     pr = F.array(*[F.lit(k) for k in range(permutations)])
     draw = ws.select("i", "di", "s", "w", F.explode(pr).alias("perm"))
-    raw = F.pmod(F.xxhash64(F.lit(seed), F.col("perm"), F.col("i"), F.col("s")), F.lit(max(n - 1, 1)))
-    draw = draw.withColumn("r", F.when(raw >= F.col("di"), raw + 1).otherwise(raw))
+    draw = draw.withColumn("raw", permuted(
+        (F.col("s") - 1).cast("long"), F.xxhash64(F.lit(seed), F.col("perm"), F.col("i")), max(n - 1, 1)))
+    draw = draw.withColumn("r", F.when(F.col("raw") >= F.col("di"), F.col("raw") + 1).otherwise(F.col("raw")))
     lag = (draw.join(zt, "r").groupBy("i", "perm").agg(F.sum(F.col("w") * F.col("zr")).alias("lag_sim")))
     obs = loc.select(F.col(id_col).alias("i"), "z", "Is", "q")
     j = lag.join(obs, "i").withColumn("I_sim", (n - 1) * F.col("z") * F.col("lag_sim") / den)
