@@ -195,3 +195,119 @@ def test_knn_impute_bruteforce(spark):
         d = sorted((float(np.sqrt(((x[j, present] - x[i, present]) ** 2).sum())), j) for j in complete)[:3]
         expect = np.mean([x[j, c] for _, j in d])
         assert got[i]["abc"[c]] == pytest.approx(expect, abs=1e-12)
+
+
+def test_components_of_a_long_path(spark):
+    import random
+    from flowpanel.operators.graph import components
+    ids = list(range(1000))
+    random.Random(1).shuffle(ids)
+    edges = [(a, b, 1.0) for a, b in zip(ids, ids[1:])] + [(5000, 5001, 1.0), (7000, 7000, 1.0)]
+    got = dict(_rows(components(spark.createDataFrame(edges, "src long, dst long, w double")), "id", "component"))
+    assert got == {**{i: 0 for i in range(1000)}, 5000: 5000, 5001: 5000, 7000: 7000}
+
+
+def test_dbscan_long_chain(spark):
+    from flowpanel.operators.cluster import dbscan
+    df = spark.createDataFrame([(i, float(i), 0.0) for i in range(300)], "id long, x double, y double")
+    assert {r["label"] for r in dbscan(df, "id", ["x", "y"], 1.5, 2).collect()} == {0}
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """A constant, an all-NULL and a usual column."""
+    return spark.createDataFrame([(i, 3.0, None, float(i % 5)) for i in range(20)], "id int, k double, n double, v double")
+
+
+@pytest.mark.parametrize("method", ["iqr", "zscore", "modified_zscore"])
+def test_outliers_of_awkward_columns(awkward, method):
+    from flowpanel.operators.prep import outlier_report
+    got = dict(_rows(outlier_report(awkward, ["k", "n", "v"], method), "variable", "outliers_count"))
+    assert got == {"k": 0, "v": 0}
+    assert outlier_report(awkward.limit(0), ["k", "v"], method).collect() == []
+
+
+def test_statistics_of_awkward_columns(awkward):
+    from flowpanel.operators import stats
+    assert {r["tau"] for r in stats.kendall_tau(awkward, ["k", "v"]).collect()} == {None}
+    got = {r["variable"]: r for r in stats.gini_theil(awkward, ["k", "n", "v"]).collect()}
+    assert abs(got["k"]["gini"]) < 1e-9 and abs(got["k"]["theil"]) < 1e-6 and "n" not in got
+    assert {r["variable"] for r in stats.describe(awkward, ["k", "n", "v"]).collect()} == {"k", "n", "v"}
+    assert stats.box_summary(awkward, "k", "v").count() == 5
+
+
+def test_moran_and_metrics_of_constants(spark):
+    from flowpanel.operators import predict, spatial
+    pts = spark.createDataFrame([(i, float(i), float(i % 3), 2.0, float(i)) for i in range(12)],
+                                "id long, x double, y double, k double, v double")
+    w = spatial.knn_weights(pts, "id", ["x", "y"], 3)
+    got = {r["variable"]: r["I"] for r in spatial.moran_global(w, pts, "id", ["k", "v"]).collect()}
+    assert got["k"] is None and got["v"] > 0
+    assert {r["Is"] for r in spatial.moran_local(w, pts, "id", "k").collect()} == {None}
+    p = spark.createDataFrame([(1.0, 1.0), (1.0, 2.0)], "label double, prediction double")
+    assert predict.metrics(p).first()["r2"] is None
+
+
+def test_knn_impute_leaves_no_null(spark):
+    from flowpanel.operators.prep import knn_impute
+    rows = [(0, None, None, None), (1, 1.0, None, 2.0), (2, 2.0, 5.0, None), (3, 3.0, 7.0, 4.0), (4, None, 6.0, 5.0)]
+    got = knn_impute(spark.createDataFrame(rows, "id long, a double, b double, c double"), ["a", "b", "c"], "id", k=2)
+    got = {r["id"]: r for r in got.collect()}
+    assert all(v is not None for r in got.values() for v in r)
+    assert got[0]["b"] == pytest.approx(6.0) and got[1]["b"] == pytest.approx(6.0 + 1.0)
+
+
+def test_permutations_are_bijections_and_many():
+    from flowpanel.functions.perms import permute
+    for n in (1, 2, 11, 25, 1000):
+        for key in (0, -5, 1 << 62):
+            assert sorted(permute(np.arange(n), np.full(n, key), n)) == list(range(n))
+    assert len({tuple(permute(np.arange(11), np.full(11, k), 11)) for k in range(999)}) == 999
+    spread = np.bincount(permute(np.zeros(22000, int), np.arange(22000), 11))
+    assert abs(spread - 2000).max() < 250
+
+
+def test_yearly_csv_with_bom_and_a_missing_year(spark, tmp_path):
+    from flowpanel.sources import loaders
+    for year, cells in ((2020, "1,2\n10,,3\n20,4,"), (2022, "1,2\n10,5,6")):
+        head, *lines = cells.split("\n")
+        (tmp_path / f"od_matrix_{year}.csv").write_bytes(("﻿origin," + head + "\n" + "\n".join(lines)).encode())
+    got = loaders.read_yearly_od(spark, str(tmp_path), [2020, 2021, 2022])
+    assert sorted(_rows(got, "src", "dst", "year", "value")) == [
+        (10, 1, 2022, 5.0), (10, 2, 2020, 3.0), (10, 2, 2022, 6.0), (20, 1, 2020, 4.0)]
+    with pytest.raises(FileNotFoundError):
+        loaders.read_yearly_od(spark, str(tmp_path), [1999])
+    (tmp_path / "dim.json").write_text('[{"nation": 1, "name": "a"}, {"nation": 2, "name": "b"}]')
+    assert sorted(_rows(loaders.read_dimension(spark, str(tmp_path / "dim.json")), "nation", "name")) == [(1, "a"), (2, "b")]
+
+
+def test_hot_group_is_spread(spark):
+    """One group with nearly all rows: no task of the bounds join reads it whole."""
+    from flowpanel.functions.ranks import spread_join
+    df = spark.range(20000).selectExpr("if(id % 50 = 0, id % 7, -1) as g", "id as v")
+    small = df.groupBy("g").agg(F.max("v").alias("m"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        out = spread_join(df, small, "g").withColumn("p", F.spark_partition_id())
+        sizes = [r["count"] for r in out.groupBy("p").count().collect()]
+    finally:
+        for k, v in (("adaptive.enabled", "true"), ("autoBroadcastJoinThreshold", "10485760"), ("shuffle.partitions", "8")):
+            spark.conf.set(f"spark.sql.{k}", v)
+    assert sum(sizes) == 20000 and max(sizes) < 0.12 * 20000
+
+
+def test_sweeps_with_few_fits(spark):
+    from flowpanel.operators import cluster, predict
+    rng = np.random.default_rng(5)
+    pts = [(i, float(c[0] + rng.normal(0, .2)), float(c[1] + rng.normal(0, .2)))
+           for i, c in enumerate([(0, 0), (5, 5), (0, 5)] * 20)]
+    df = spark.createDataFrame(pts, "id long, x double, y double")
+    best = [r for r in cluster.kmeans_sweep(df, ["x", "y"], "id", range(2, 5), restarts=2).collect() if r["best"]]
+    assert [r["k"] for r in best] == [3]
+    ward = cluster.ward(df, ["x", "y"], "id", (3,), n_micro=12)[3].collect()
+    assert {len({r["label"] for r in ward if r["id"] % 3 == k}) for k in range(3)} == {1}
+    y = spark.createDataFrame([(i, float(i % 7), 3.0 * (i % 7) + 1) for i in range(120)], "id long, a double, y double")
+    grid = predict.grid_search(y, "id", "y", ["a"], "decision_tree", {"maxDepth": [1, 4]}, k=3).collect()
+    assert [r["maxDepth"] for r in grid] == [4.0, 1.0]

@@ -1,5 +1,7 @@
 """Every registered query with an oracle SQL must equal DuckDB on the sf0.001 tables;
-rows-only queries must run and return rows."""
+the others must keep the invariants stated here."""
+
+import re
 
 import pytest
 
@@ -11,8 +13,71 @@ import __spark_entry__ as entry_mod  # noqa: E402
 
 QUERIES = entry_mod.queries()
 SQL = entry_mod.oracle_sql()
-SLOW_ROWS = {"kmeans_sweep", "gmm_sweep", "tree_models", "boosting", "cluster_evolution", "grid_search",
-             "cluster_compare"}
+VECTORS, PARTS = 500, 200
+
+
+def labels(n, low=0):
+    """One label in low..n-1 for each distinct id."""
+    return lambda rows: len({r[0] for r in rows}) == len(rows) > 0 and all(low <= r["label"] < n for r in rows)
+
+
+def metrics(*names):
+    return lambda rows: {r["model"] for r in rows} == set(names) and all(
+        r["mse"] >= 0 and abs(r["rmse"] ** 2 - r["mse"]) <= 1e-6 * r["mse"] and r["r2"] <= 1 for r in rows) and \
+        [r["r2"] for r in rows] == sorted((r["r2"] for r in rows), reverse=True)
+
+
+def sweep(low, high):
+    return lambda rows: sorted(r["k"] for r in rows) == list(range(low, high + 1)) and sum(r["best"] for r in rows) == 1
+
+
+def falling(name, places=1e-9):
+    return lambda rows: all(a[name] >= b[name] - places for a, b in zip(rows, rows[1:]))
+
+
+def correlations(rows):
+    """Loadings of the first component are bounded by one."""
+    return len(rows) > 0 and all(abs(v) <= 1 + 1e-9 for r in rows for v in r if isinstance(v, float))
+
+
+INVARIANTS = {
+    "boxcox": lambda rows: len(rows) > 0,
+    "normality": lambda rows: all(0 < r["shapiro_francia_w"] <= 1 and 0 <= r["shapiro_francia_p"] <= 1
+                                  and 0 <= r["ks_p"] <= 1 for r in rows) and len(rows) > 0,
+    "auto_transform": lambda rows: len(rows) == PARTS,
+    "impute_mice": lambda rows: len(rows) == PARTS and all(v is not None for r in rows for v in r),
+    "louvain": lambda rows: len({r["id"] for r in rows}) == 25 and all(
+        r["n_communities"] == len({x["community"] for x in rows}) and -0.5 <= r["modularity"] <= 1
+        and r["community"] <= r["id"] for r in rows),
+    "moran_perm": lambda rows: len(rows) == 1 and 1 / 1000 <= rows[0]["p_sim"] <= 0.501 and abs(rows[0]["EI_sim"]) < 0.02,
+    "lisa": lambda rows: len(rows) == VECTORS and all(1 / 1000 <= r["p_sim"] <= 0.501 for r in rows),
+    "kmeans": lambda rows: labels(10)(rows) and len(rows) == VECTORS,
+    "pca_summary": lambda rows: falling("eigenvalue")(rows) and abs(rows[-1]["cumulative_ratio"] - 1) < 1e-9
+    if "cumulative_ratio" in rows[0].asDict() else len(rows) > 0,
+    "pca_loadings": lambda rows: len(rows) > 0,
+    "pca_scores": lambda rows: len(rows) == PARTS and abs(sum(r["PC1"] for r in rows)) < 1e-6,
+    "component_rules": lambda rows: len(rows) == 1 and all(v >= 0 for v in rows[0]),
+    "kmo_bartlett": lambda rows: all(0 <= r["kmo_variable"] <= 1 and r["bartlett_chi2"] >= 0 for r in rows),
+    "linear_models": metrics("linear_regression", "ridge", "lasso", "elastic_net"),
+    "linear_coefs": lambda rows: len(rows) == 18,
+    "tree_importances": lambda rows: all(
+        abs(sum(r["importance"] for r in rows if r["model"] == m) - 1) < 1e-9 for m in {r["model"] for r in rows}),
+    "cross_val": lambda rows: sorted(r["fold"] for r in rows) == list(range(5)) and all(
+        abs(r["mean_r2"] - sum(x["r2"] for x in rows) / 5) < 1e-9 for r in rows),
+    "spatial_models": lambda rows: [r["model"] for r in rows] == ["SLM", "SEM", "SDM"],
+    "factor_scores": lambda rows: len(rows) == PARTS,
+    "parallel_analysis": lambda rows: falling("eigenvalue")(rows) and all(
+        r["retained"] == (r["eigenvalue"] > r["threshold_95"]) for r in rows),
+    "spectral": labels(5),
+    "full_pipeline": lambda rows: labels(3)(rows),
+    "kernel_pca": lambda rows: len(rows) == VECTORS,
+    "robust_pca": lambda rows: falling("robust_eigenvalue")(rows),
+}
+#: Sweeps of many fits: their operators are tested with fewer fits in test_operators.py.
+MANY_FITS = {"kmeans_sweep", "gmm_sweep", "tree_models", "cluster_evolution", "grid_search", "cluster_compare", "ward",
+             "model_summary"}
+#: Tested in tests/llm.
+TRAINING_DATA = {n for n in QUERIES if re.match(r"op\d+_|pipeline$", n)}
 
 
 @pytest.fixture(scope="module")
@@ -34,6 +99,10 @@ def test_every_oracle_has_a_query():
     assert set(SQL) <= set(QUERIES)
 
 
+def test_every_other_query_has_an_invariant():
+    assert set(QUERIES) - set(SQL) - MANY_FITS - TRAINING_DATA == set(INVARIANTS)
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_oracle(spark, duck, name):
     sdf = QUERIES[name](spark, SF_SMALL)
@@ -47,6 +116,6 @@ def test_query_matches_oracle(spark, duck, name):
     assert rows_of(scols, srows) == rows_of(dcols, drows)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW_ROWS))
-def test_rows_only_query_runs(spark, name):
-    assert QUERIES[name](spark, SF_SMALL).count() >= 0
+@pytest.mark.parametrize("name", sorted(INVARIANTS))
+def test_invariants(spark, name):
+    assert INVARIANTS[name](QUERIES[name](spark, SF_SMALL).collect())
