@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from ..functions.scalar import safe_div
 from ..session import ensure_checkpoint_dir
 
+#: Edges of a task in the rounds of :func:`components`.
+EDGES_PER_TASK = 100_000
 CHECKPOINT_EVERY = 1  # state is referenced twice per round: cut lineage every round
 
 
@@ -216,15 +218,17 @@ def components(edges: DataFrame) -> DataFrame:
     edges = _materialize(edges.select("src", "dst"))
     star = _materialize(edges.where("src != dst").select(
         F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    # partitions follow the edges: a small graph's rounds are a few tasks, not one for each shuffle partition
+    parts = max(1, min(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), star.count() // EDGES_PER_TASK + 1))
     mark = None
     while True:
         both = star.union(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("_m", "u").alias("_m"))
         large = _materialize(both.where("v > u").join(low, "u")
-                             .select(F.col("v").alias("u"), F.col("_m").alias("v")).distinct())
+                             .select(F.col("v").alias("u"), F.col("_m").alias("v")).distinct().coalesce(parts))
         low = large.groupBy("u").agg(F.min("v").alias("_m"))
         star = _materialize(large.join(low, "u").select(F.col("v").alias("u"), F.col("_m").alias("v")).where("u != v")
-                            .union(low).distinct())
+                            .union(low).distinct().coalesce(parts))
         new = star.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if new == mark:
             break
