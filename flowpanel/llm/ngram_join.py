@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import spread_join
 from ..operators.graph import components
 from .repeats import _MESSAGE, NULL_ID, _batches, _by_bucket, _gather, _rows, chunks, pack, unpack
 from .repeats import _doubling, _hash_at
@@ -296,7 +297,7 @@ def _cross(rows: list[dict], split: bool, percent: int, nearest: bool):
         yield pa.RecordBatch.from_arrays([pa.array(p[lo:lo + 8192, k]) for k in range(3)], ["a", "b", "gap"])
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int, known: DataFrame | None = None) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked, by exact intersection of their grams."""
     one = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb"))
@@ -362,24 +363,39 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     release(spark)
     # equal sets of several chunks become one, under the smallest id
     standing = rows.where("prefix is not null")
-    first = standing.groupBy("content").agg(F.min("doc_id").alias("first"))
-    same = materialize(standing.select("doc_id", "content").join(first, "content").select("doc_id", "first"), "join-same")
-    sets = materialize(standing.join(same.where("doc_id = first").select("doc_id").distinct(), "doc_id", "left_semi")
-                       .dropDuplicates(["content"]).select("doc_id", "n", "prefix", "grams"), "join-distinct")
+    first = materialize(standing.groupBy("content").agg(F.min("doc_id").alias("first")), "join-first")
+    sets = materialize(standing.join(first, "content").where("doc_id = first").dropDuplicates(["content"])
+                       .select("doc_id", "n", "prefix", "grams"), "join-distinct")
     signs = materialize(sets.select("doc_id", "grams").mapInArrow(_sign, "doc_id long, n long, sig binary"), "join-signs")
-    labels = _linked(sets, signs, percent)
-    # a row's component: through the set that stands for it in its chunk, and that set's first copy
-    whole = same.join(labels.withColumnRenamed("doc_id", "first"), "first", "left") \
-        .select(F.col("doc_id").alias("stands"), F.coalesce("label", "first").alias("component"))
-    whole = whole.groupBy("stands").agg(F.min("component").alias("component"))
-    out = rows.select("doc_id", "n", "stands").join(whole, "stands", "left")
+    # a row's node: the first copy of its set, or else the row that stands for it in its chunk
+    nodes = spread_join(rows.select("doc_id", "n", "stands", "content"), first, "content", "left") \
+        .select("doc_id", "n", "content", F.coalesce("first", "stands").alias("node"))
+    ids = _shared_ids(rows, nodes)
+    labels = _linked(sets, signs, percent, ids)
+    named = first.join(labels.withColumnRenamed("doc_id", "first"), "first", "left")
+    out = spread_join(rows.select("doc_id", "n", "stands", "content"), named, "content", "left").select(
+        "doc_id", "n", F.coalesce("first", "stands").alias("node"), F.coalesce("label", "first", "stands").alias("component"))
+    if ids is not None:  # sets without a partner whose row shares its id
+        own = labels.join(ids.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        out = out.join(own.select(F.col("doc_id").alias("node"), "label"), "node", "left") \
+            .withColumn("component", F.coalesce("label", "component"))
     null = lambda c: F.when(c != NULL_ID, c)
     return out.select(null(F.col("doc_id")).alias(id_col), F.col("n").alias("n_shingles"),
-                      null(F.coalesce("component", "stands")).alias("component_id"))
+                      null(F.col("component")).alias("component_id"))
 
 
-def _linked(sets: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, label) of the sets that have links."""
+def _shared_ids(rows: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """Links (a, b) between an id and the nodes of its rows, for ids whose rows differ; None if there is no such id."""
+    several = rows.groupBy("doc_id").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo != hi")
+    several = materialize(several.select("doc_id"), "join-ids")
+    if several.isEmpty():
+        return None
+    links = nodes.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    return materialize(links.distinct(), "join-ids")
+
+
+def _linked(sets: DataFrame, signs: DataFrame, percent: int, known: DataFrame | None = None) -> DataFrame:
+    """(doc_id, label) of the sets that have links; ``known`` are links from the start."""
     spark = sets.sparkSession
     parts = partitions(spark)
     near = tiles(sets.select("doc_id", "n", "prefix")).select("gram", "band", "own", "doc_id", "n") \
@@ -393,6 +409,7 @@ def _linked(sets: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     best = Window.partitionBy("b").orderBy(F.desc("tiles"), "a")
     near = near.withColumn("k", F.row_number().over(best)).where("k <= 2")
     links = materialize(_verify(near, sets, percent), "join-links")
+    links = links if known is None else links.unionByName(known)
     labels = _labels(links)
     for nearest in (True, False):
         release(spark)

@@ -49,6 +49,18 @@ def test_ngram_join_near_threshold(spark):
     assert got == component
 
 
+def test_ngram_join_rows_that_share_an_id(spark):
+    """An id with two texts joins the groups of both, also through texts that have no partner."""
+    rng = random.Random(3)
+    texts = [" ".join(f"q{rng.randrange(500)}" for _ in range(50)) for _ in range(6)]
+    table = [(9, texts[0]), (2, texts[0]), (9, texts[1]), (4, texts[1]), (9, texts[2]), (7, texts[3]), (7, texts[4]),
+             (4, texts[5]), (1, "a b"), (8, "a b"), (8, "")]
+    got = {(r.doc_id, r.component_id) for r in
+           ngram_join.join(spark.createDataFrame(table, "doc_id long, text string").repartition(3)).collect()}
+    component, _ = brute.jaccard_components(table)
+    assert got == set(component.items())
+
+
 def test_bound_never_below_intersection():
     rng = np.random.default_rng(2)
     for _ in range(200):
