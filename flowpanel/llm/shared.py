@@ -34,8 +34,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and a lost executor
-    costs no recomputation.  The shuffles below it are no longer needed; two collections of
-    garbage let Spark's cleaner remove their files."""
+    costs no recomputation."""
     spark = df.sparkSession
     path = new_path(spark, name)
     schema = df.schema
