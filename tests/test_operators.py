@@ -311,3 +311,15 @@ def test_sweeps_with_few_fits(spark):
     y = spark.createDataFrame([(i, float(i % 7), 3.0 * (i % 7) + 1) for i in range(120)], "id long, a double, y double")
     grid = predict.grid_search(y, "id", "y", ["a"], "decision_tree", {"maxDepth": [1, 4]}, k=3).collect()
     assert [r["maxDepth"] for r in grid] == [4.0, 1.0]
+
+
+def test_knn_with_half_of_the_points_on_one_spot(spark):
+    from flowpanel.operators.pairs import knn
+    rng = np.random.default_rng(6)
+    pts = [(i, 1.0, 1.0) for i in range(0, 400, 2)] + [(i, float(rng.random() * 3), float(rng.random() * 3)) for i in range(1, 400, 2)]
+    got = {}
+    for r in knn(spark.createDataFrame(pts, "id long, x double, y double"), "id", ["x", "y"], k=4).collect():
+        got.setdefault(r["id"], {})[r["rank"]] = r["nbr"]
+    for i, x, y in pts:
+        want = [j for _, j in sorted((math.dist((x, y), (a, b)), j) for j, a, b in pts if j != i)[:4]]
+        assert [got[i][k] for k in range(1, 5)] == want
