@@ -244,11 +244,6 @@ def q_tree_models(spark, sf):
                              ["decision_tree", "random_forest", "gradient_boosting", "boosted_shallow"])
 
 
-@query("cross_val")
-def q_cross_val(spark, sf):
-    return predict.cross_validate(tv.partfeat(spark, sf), "p_partkey", "revenue", ML_X)
-
-
 @query("grid_search")
 def q_grid_search(spark, sf):
     return predict.grid_search(tv.partfeat(spark, sf), "p_partkey", "revenue", ML_X)
@@ -344,6 +339,50 @@ def q_ols_coefs(spark, sf):
         "term", "coef", (F.round(F.col("test_r2") * 1e4, 0) / 1e4).alias("test_r2"))
 
 
+CV_FOLDS = 5
+
+
+def _cross_val_sql():
+    """Each fold's R² under the least-squares fit of the others."""
+    used = " AND ".join(f"{c} IS NOT NULL" for c in ["revenue", *ML_X])
+    z = ("z AS (SELECT CAST(revenue AS DOUBLE) AS revenue, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in ML_X)
+         + f", CAST('0x' || substr(md5('43:' || p_partkey), 1, 8) AS BIGINT) % {CV_FOLDS} AS fold FROM partfeat WHERE {used})")
+    parts, rows = [z], []
+    for f in range(CV_FOLDS):
+        ctes, beta = ols_ctes("z", "revenue", ML_X, f"fold <> {f}", f"_f{f}")
+        pred = beta["intercept"] + " + " + " + ".join(f"{beta[c]} * z.{c}" for c in ML_X)
+        parts += [ctes, f"t{f} AS (SELECT revenue AS y, {pred} AS yhat FROM z, fit_f{f} WHERE fold = {f})"]
+        rows.append(f"SELECT {f} AS fold, 1 - SUM(power(y - yhat, 2)) / (VAR_POP(y) * COUNT(*)) AS r2 FROM t{f}")
+    parts.append("folds AS (" + " UNION ALL ".join(rows) + ")")
+    return tv.with_views(f"SELECT fold, {R('r2')} AS r2, {R('AVG(r2) OVER ()')} AS mean_r2, "
+                         f"{R('STDDEV_POP(r2) OVER ()')} AS std_r2 FROM folds", tv.PARTFEAT_SQL, *parts)
+
+
+@query("cross_val", _cross_val_sql())
+def q_cross_val(spark, sf):
+    return rounded(predict.cross_validate(tv.partfeat(spark, sf), "p_partkey", "revenue", ML_X, k=CV_FOLDS))
+
+
+def _bartlett_sql():
+    """The determinant of the correlations is the product of the columns' unexplained shares, one after another."""
+    ctes, _ = ols_ctes("pc", PCA_COLS[0], PCA_COLS)
+    used = " AND ".join(f"{c} IS NOT NULL" for c in PCA_COLS)
+    pc = ("pc AS (SELECT " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in PCA_COLS) + f" FROM partfeat WHERE {used})")
+    p = len(PCA_COLS)
+    logs = " + ".join(f"(SELECT ln(SUM(a{k} * a{k})) FROM ols_{k - 1}) - (SELECT ln(SUM(a{k} * a{k})) FROM ols_0)"
+                      for k in range(1, p + 1))
+    return tv.with_views(f"SELECT {R(f'-((SELECT COUNT(*) FROM pc) - 1 - (2.0 * {p} + 5) / 6) * ({logs})', 3)} AS bartlett_chi2, "
+                         f"CAST({p * (p - 1) // 2} AS BIGINT) AS bartlett_df", tv.PARTFEAT_SQL, pc, ctes)
+
+
+@query("bartlett", _bartlett_sql())
+def q_bartlett(spark, sf):
+    """D14 alone: the sphericity statistic and its degrees of freedom."""
+    r = reduce.kmo_bartlett(tv.partfeat(spark, sf), PCA_COLS)
+    out = spark.createDataFrame([(float(r["bartlett_chi2"]), int(r["bartlett_df"]))], "bartlett_chi2 double, bartlett_df long")
+    return rounded(out, 3)
+
+
 @query("linear_coefs")
 def q_linear_coefs(spark, sf):
     fitted = predict.fit_all(tv.partfeat(spark, sf), "p_partkey", "revenue", ML_X, ["ridge", "lasso", "elastic_net"])

@@ -62,8 +62,6 @@ INVARIANTS = {
     "linear_coefs": lambda rows: len(rows) == 18,
     "tree_importances": lambda rows: all(
         abs(sum(r["importance"] for r in rows if r["model"] == m) - 1) < 1e-9 for m in {r["model"] for r in rows}),
-    "cross_val": lambda rows: sorted(r["fold"] for r in rows) == list(range(5)) and all(
-        abs(r["mean_r2"] - sum(x["r2"] for x in rows) / 5) < 1e-9 for r in rows),
     "spatial_models": lambda rows: [r["model"] for r in rows] == ["SLM", "SEM", "SDM"],
     "factor_scores": lambda rows: len(rows) == PARTS,
     "parallel_analysis": lambda rows: falling("eigenvalue")(rows) and all(
