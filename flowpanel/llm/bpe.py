@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 
 #: Characters of a piece up to which the rank array is scanned.
 SHORT = 64
-#: Pieces whose ids a task remembers.
-REMEMBERED = 400_000
+#: Pieces whose ids a task remembers, in each of two generations: a full young one becomes the old one.
+REMEMBERED = 100_000
 NO_RANK = 1 << 60
 
 
@@ -57,6 +57,7 @@ class Vocabulary:
         self.cut = regex.compile("(" + "|".join(
             regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.known: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def merge(self, raw: bytes) -> list[int]:
         """Ids of one piece."""
@@ -113,9 +114,11 @@ class Vocabulary:
             for piece in self.pieces(part):
                 ids = known.get(piece)
                 if ids is None:
+                    ids = self.old.get(piece) or tuple(self.merge(piece.encode()))
                     if len(known) >= REMEMBERED:
-                        known.clear()
-                    ids = known[piece] = tuple(self.merge(piece.encode()))
+                        self.old, self.known = known, {}
+                        known = self.known
+                    known[piece] = ids
                 out += ids
         return out
 

@@ -27,7 +27,7 @@ ROUNDS, SMOOTHING = 2, 0.1
 #: Probability of a character that no piece has.
 UNKNOWN = 1e-7
 #: Words whose scores a task remembers.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 UNDECIDED = "und"
 
 _words = re.compile(r"[^\W\d_]+").findall
