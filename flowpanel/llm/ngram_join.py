@@ -358,7 +358,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     levels = materialize(_gather(answers, "levels"), "join-levels")
     del answers
     release(spark)
-    rows = materialize(text.join(levels, "chunk", "left").select("chunk", "ids", "sizes", "blob", "levels")
+    rows = materialize(text.join(levels.hint("merge"), "chunk", "left").select("chunk", "ids", "sizes", "blob", "levels")
                        .mapInArrow(_prefixes(n, percent), _SETS), "join-sets")
     release(spark)
     # equal sets of several chunks become one, under the smallest id

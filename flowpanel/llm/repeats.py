@@ -411,10 +411,11 @@ def remove(docs: DataFrame, spec: Spec, finish, schema: str, id_col: str, text_c
     known = materialize(_gather(sent.groupBy("bucket").applyInArrow(_answer_keys, _MESSAGE[0]), "known"), "repeats-keys")
     del sent
     release(spark)
-    both = text.join(known, "chunk", "left").select("chunk", "ids", "sizes", "blob", "known")
+    # the answers grow with the corpus: they meet their chunks by a shuffle at every size, never by broadcast
+    both = text.join(known.hint("merge"), "chunk", "left").select("chunk", "ids", "sizes", "blob", "known")
     sent = both.mapInArrow(_send_contexts(spec, buckets), _MESSAGE[0])
     gone = sent.groupBy("bucket").applyInArrow(_answer_contexts(spec), _MESSAGE[0])
-    answers = materialize(known.join(_gather(gone, "gone"), "chunk", "left"), "repeats-windows")
+    answers = materialize(known.join(_gather(gone, "gone").hint("merge"), "chunk", "left"), "repeats-windows")
     del sent, gone, both
     release(spark)
 
@@ -423,4 +424,4 @@ def remove(docs: DataFrame, spec: Spec, finish, schema: str, id_col: str, text_c
             chunk = Chunk(spec, ids, sizes, blob)
             yield from finish(chunk, covered(chunk, _known(chunk, known_, buckets), gone_, buckets))
 
-    return text.join(answers, "chunk", "left").select("chunk", "ids", "sizes", "blob", "known", "gone").mapInArrow(last, schema)
+    return text.join(answers.hint("merge"), "chunk", "left").select("chunk", "ids", "sizes", "blob", "known", "gone").mapInArrow(last, schema)
