@@ -35,11 +35,6 @@ def falling(name, places=1e-9):
     return lambda rows: all(a[name] >= b[name] - places for a, b in zip(rows, rows[1:]))
 
 
-def correlations(rows):
-    """Loadings of the first component are bounded by one."""
-    return len(rows) > 0 and all(abs(v) <= 1 + 1e-9 for r in rows for v in r if isinstance(v, float))
-
-
 INVARIANTS = {
     "boxcox": lambda rows: len(rows) > 0,
     "normality": lambda rows: all(0 < r["shapiro_francia_w"] <= 1 and 0 <= r["shapiro_francia_p"] <= 1
@@ -52,8 +47,7 @@ INVARIANTS = {
     "moran_perm": lambda rows: len(rows) == 1 and 1 / 1000 <= rows[0]["p_sim"] <= 0.501 and abs(rows[0]["EI_sim"]) < 0.02,
     "lisa": lambda rows: len(rows) == VECTORS and all(1 / 1000 <= r["p_sim"] <= 0.501 for r in rows),
     "kmeans": lambda rows: labels(10)(rows) and len(rows) == VECTORS,
-    "pca_summary": lambda rows: falling("eigenvalue")(rows) and abs(rows[-1]["cumulative_ratio"] - 1) < 1e-9
-    if "cumulative_ratio" in rows[0].asDict() else len(rows) > 0,
+    "pca_summary": lambda rows: falling("eigenvalue")(rows) and abs(rows[-1]["cumulative_variance"] - 1) < 1e-9,
     "pca_loadings": lambda rows: len(rows) > 0,
     "pca_scores": lambda rows: len(rows) == PARTS and abs(sum(r["PC1"] for r in rows)) < 1e-6,
     "component_rules": lambda rows: len(rows) == 1 and all(v >= 0 for v in rows[0]),
