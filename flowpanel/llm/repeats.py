@@ -4,15 +4,18 @@ The smallest hash among a window's q-grams is its key: equal windows have equal
 stand.  Consecutive windows of one key form a context (a piece of text, about 13 windows).
 
 1. Documents are packed into chunks (a written table, compressed).
-2. Each chunk sends the 32 low bits of its distinct keys to buckets, dealt by the high bits; a bucket
-   answers one bit for each key: does another chunk have it?
+2. Each chunk sends the 32 low bits of its distinct keys to buckets, dealt by the high bits, and their
+   numbers of distinct contexts; a bucket answers two bits for each key: does another chunk have it, and has
+   it more than ``HOT_CONTEXTS`` contexts?  Contexts of such hot keys are divided into windows, whose keys are
+   the hashes of their whole content, and step 2 is done once more for these.
 3. Each chunk sends the distinct contexts of repeated keys (equal ones within a chunk once, with their
    number or smallest id) to the buckets; a bucket, the shard of the operators, decides each window
    exactly from the contexts' symbols and answers one bit for each window.
 4. Each chunk spreads the bits over its documents.
 
 A passage that a third of the documents share reaches its bucket once for each chunk, not once for each
-document.  Buckets are as many as keys need at ``BUCKET_KEYS`` each, chunks hold ``CHUNK_BYTES`` of text.
+document; so does each window around a phrase that many documents hold between different neighbours, if the
+window repeats at all.  Buckets are as many as keys need at ``BUCKET_KEYS`` each, chunks hold ``CHUNK_BYTES`` of text.
 Repeated keys that differ in symbols (32-bit collisions included) cost time only, for step 3 compares symbols.
 """
 
@@ -32,6 +35,8 @@ from .shared import BASE, Words, blank_words, materialize, mix, release, slices,
 U = np.uint64
 CHUNK_BYTES = 8 << 20
 BUCKET_KEYS = 1 << 17
+#: Contexts of a key (distinct within a chunk, over all chunks) up to which they go to one bucket.
+HOT_CONTEXTS = 1 << 12
 #: An id that stands for null: the largest.
 NULL_ID = (1 << 63) - 1
 
@@ -132,6 +137,28 @@ class Chunk:
     def keys(self) -> np.ndarray:
         return np.unique(self.key)
 
+    def distinct(self) -> np.ndarray:
+        """Number of distinct contexts of each key, in the order of ``keys``."""
+        order = np.lexsort((self.content, self.key))
+        key, content = self.key[order], self.content[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
+        return np.unique(key[new], return_counts=True)[1]
+
+    def divide(self, hot: np.ndarray) -> np.ndarray:
+        """Contexts of the keys that ``hot`` marks (in the order of ``keys``) become single windows with keys of
+        their own, which are returned sorted."""
+        if not hot.any():
+            return np.zeros(0, U)
+        many = hot[np.searchsorted(self.keys(), self.key)]
+        at = spread(self.start[many], self.count[many])
+        own = mix(window_hashes(self.symbols, at, self.spec.window) + U(1))
+        for name, new in (("start", at), ("count", np.ones(len(at), np.int64)), ("key", own), ("content", own),
+                          ("twice", np.zeros(len(at), bool))):
+            setattr(self, name, np.concatenate([getattr(self, name)[~many], new]))
+        self.doc = np.searchsorted(self.first, self.start, side="right") - 1
+        return np.unique(own)
+
     def candidates(self, answer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Contexts of repeated keys (in another chunk by ``answer``, or here; also twice in one context, where
         repeats within a document count): (their indices, index of the distinct content of each, an example of each content in the order of bucket and hash, its weight)."""
@@ -285,30 +312,71 @@ def _rows(batches, columns: int):
 def _send_keys(spec: Spec, buckets: int):
     def run(batches):
         def rows():
-            for chunk, ids, sizes, blob in _rows(batches, 4):
-                keys = Chunk(spec, ids, sizes, blob).keys()
+            for number, ids, sizes, blob in _rows(batches, 4):
+                chunk = Chunk(spec, ids, sizes, blob)
+                keys = chunk.keys()
+                low = (keys & U(0xFFFFFFFF)).astype("<u4")
+                count = np.minimum(chunk.distinct(), 65535).astype("<u2")
+                for b, lo, hi in _by_bucket(keys, buckets):
+                    yield b, number, np.array([hi - lo], "<u4").tobytes() + low[lo:hi].tobytes() + pack(count[lo:hi].tobytes())
+        yield from _batches(rows(), *_MESSAGE[1:])
+    return run
+
+
+def _send_windows(spec: Spec, buckets: int):
+    """The keys of the windows into which contexts of hot keys are divided."""
+    def run(batches):
+        def rows():
+            for number, ids, sizes, blob, parts in _rows(batches, 5):
+                chunk = Chunk(spec, ids, sizes, blob)
+                keys = chunk.divide(_known(chunk, parts, buckets)[1])
                 low = (keys & U(0xFFFFFFFF)).astype("<u4")
                 for b, lo, hi in _by_bucket(keys, buckets):
-                    yield b, chunk, low[lo:hi].tobytes()
+                    yield b, number, low[lo:hi].tobytes()
         yield from _batches(rows(), *_MESSAGE[1:])
     return run
 
 
-def _answer_keys(table: pa.Table) -> pa.Table:
-    """One bit for each key of each chunk: another chunk has it too."""
+def _elsewhere(bodies: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the distinct key, another chunk has it) of each key in turn."""
+    _, inverse, n = np.unique(np.concatenate(bodies), return_inverse=True, return_counts=True)
+    return inverse, (n > 1)[inverse]
+
+
+_KEYS = _MESSAGE[0] + ", hot long"
+
+
+def _answer_keys(most: int):
+    """Two bits for each key of each chunk: another chunk has it too; it has more than ``most`` contexts."""
+    def run(table: pa.Table) -> pa.Table:
+        low, count = [], []
+        for body in table.column("body").to_pylist():
+            n = int(np.frombuffer(body, "<u4", 1)[0])
+            low.append(np.frombuffer(body, "<u4", n, 4))
+            count.append(np.frombuffer(unpack(body[4 + 4 * n:]), "<u2"))
+        inverse, many = _elsewhere(low)
+        hot = (np.bincount(inverse, np.concatenate(count)) > most)[inverse]
+        ends = np.cumsum([len(b) for b in low])
+        own = [slice(e - len(b), e) for b, e in zip(low, ends)]
+        bits = [np.packbits(np.concatenate([many[x], hot[x]])).tobytes() for x in own]
+        return pa.table([table.column("bucket"), table.column("chunk"), pa.array(bits, pa.binary()),
+                         pa.array([int(hot[x].sum()) for x in own], pa.int64())], names=[*_MESSAGE[1], "hot"])
+    return run
+
+
+def _answer_windows(table: pa.Table) -> pa.Table:
+    """One bit for each window's key of each chunk: another chunk has it too."""
     bodies = [np.frombuffer(b, "<u4") for b in table.column("body").to_pylist()]
-    flat = np.concatenate(bodies)
-    _, inverse, n = np.unique(flat, return_inverse=True, return_counts=True)
-    many = (n > 1)[inverse]
+    _, many = _elsewhere(bodies)
     ends = np.cumsum([len(b) for b in bodies])
     bits = [np.packbits(many[e - len(b):e]).tobytes() for b, e in zip(bodies, ends)]
     return pa.table([table.column("bucket"), table.column("chunk"), pa.array(bits, pa.binary())], names=_MESSAGE[1])
 
 
-def _gather(answers: DataFrame, name: str) -> DataFrame:
+def _gather(answers: DataFrame, name: str, *more) -> DataFrame:
     """The answers for each chunk in the order of buckets: one row per chunk, a few bits for each key."""
-    got = answers.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "body"))).alias("parts"))
-    return got.select("chunk", F.col("parts.body").alias(name))
+    got = answers.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "body"))).alias("parts"), *more)
+    return got.withColumn("parts", F.col("parts.body")).withColumnRenamed("parts", name)
 
 
 def _bits(parts, sizes) -> np.ndarray:
@@ -316,10 +384,28 @@ def _bits(parts, sizes) -> np.ndarray:
     return np.concatenate(out).astype(bool) if out else np.zeros(0, bool)
 
 
-def _known(chunk: Chunk, parts, buckets: int) -> np.ndarray:
-    """Of the chunk's sorted keys those that another chunk has."""
+def _known(chunk: Chunk, parts, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the chunk's sorted keys those that another chunk has, and those that are hot."""
     keys = chunk.keys()
-    return _bits(parts or (), [hi - lo for _, lo, hi in _by_bucket(keys, buckets)]) if len(keys) else np.zeros(0, bool)
+    if not len(keys):
+        return np.zeros(0, bool), np.zeros(0, bool)
+    sizes = [hi - lo for _, lo, hi in _by_bucket(keys, buckets)]
+    both = [_bits([p], [2 * n]) for p, n in zip(parts, sizes)]
+    return np.concatenate([x[:n] for x, n in zip(both, sizes)]), np.concatenate([x[n:] for x, n in zip(both, sizes)])
+
+
+def _divided(chunk: Chunk, parts, windows, buckets: int) -> np.ndarray:
+    """Divides the contexts of hot keys; of the chunk's sorted keys after that those that another chunk has."""
+    before = chunk.keys()
+    known, hot = _known(chunk, parts, buckets)
+    own = chunk.divide(hot)
+    if not len(own):
+        return known
+    keys = chunk.keys()
+    out = np.zeros(len(keys), bool)
+    out[np.searchsorted(keys, before[~hot])] = known[~hot]
+    out[np.searchsorted(keys, own)] |= _bits(windows, [hi - lo for _, lo, hi in _by_bucket(own, buckets)])
+    return out
 
 
 @dataclass
@@ -360,9 +446,9 @@ def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 def _send_contexts(spec: Spec, buckets: int):
     def run(batches):
         def rows():
-            for number, ids, sizes, blob, parts in _rows(batches, 5):
+            for number, ids, sizes, blob, parts, windows in _rows(batches, 6):
                 chunk = Chunk(spec, ids, sizes, blob)
-                _, _, example, weight = chunk.candidates(_known(chunk, parts, buckets))
+                _, _, example, weight = chunk.candidates(_divided(chunk, parts, windows, buckets))
                 for b, lo, hi in _by_bucket(chunk.key[example], buckets):
                     own = example[lo:hi]
                     at = spread(chunk.start[own], chunk.count[own] + spec.window - 1)
@@ -408,11 +494,22 @@ def remove(docs: DataFrame, spec: Spec, finish, schema: str, id_col: str, text_c
     buckets = max(1, int(keys / BUCKET_KEYS) + 1)
     text = table.select("chunk", "ids", "sizes", "blob")
     sent = text.mapInArrow(_send_keys(spec, buckets), _MESSAGE[0])
-    known = materialize(_gather(sent.groupBy("bucket").applyInArrow(_answer_keys, _MESSAGE[0]), "known"), "repeats-keys")
+    known = materialize(_gather(sent.groupBy("bucket").applyInArrow(_answer_keys(HOT_CONTEXTS), _KEYS), "known",
+                                F.sum("hot").alias("hot")), "repeats-keys")
     del sent
     release(spark)
+    hot = known.where("hot > 0").select("chunk", "known")
+    if hot.isEmpty():
+        known = known.select("chunk", "known", F.lit(None).cast("array<binary>").alias("windows"))
+    else:
+        both = text.join(hot.hint("merge"), "chunk").select("chunk", "ids", "sizes", "blob", "known")
+        sent = both.mapInArrow(_send_windows(spec, buckets), _MESSAGE[0])
+        windows = _gather(sent.groupBy("bucket").applyInArrow(_answer_windows, _MESSAGE[0]), "windows")
+        known = materialize(known.select("chunk", "known").join(windows.hint("merge"), "chunk", "left"), "repeats-hot")
+        del sent, both, windows
+        release(spark)
     # the answers grow with the corpus: they meet their chunks by a shuffle at every size, never by broadcast
-    both = text.join(known.hint("merge"), "chunk", "left").select("chunk", "ids", "sizes", "blob", "known")
+    both = text.join(known.hint("merge"), "chunk", "left").select("chunk", "ids", "sizes", "blob", "known", "windows")
     sent = both.mapInArrow(_send_contexts(spec, buckets), _MESSAGE[0])
     gone = sent.groupBy("bucket").applyInArrow(_answer_contexts(spec), _MESSAGE[0])
     answers = materialize(known.join(_gather(gone, "gone").hint("merge"), "chunk", "left"), "repeats-windows")
@@ -420,8 +517,9 @@ def remove(docs: DataFrame, spec: Spec, finish, schema: str, id_col: str, text_c
     release(spark)
 
     def last(batches):
-        for _, ids, sizes, blob, known_, gone_ in _rows(batches, 6):
+        for _, ids, sizes, blob, known_, windows_, gone_ in _rows(batches, 7):
             chunk = Chunk(spec, ids, sizes, blob)
-            yield from finish(chunk, covered(chunk, _known(chunk, known_, buckets), gone_, buckets))
+            yield from finish(chunk, covered(chunk, _divided(chunk, known_, windows_, buckets), gone_, buckets))
 
-    return text.join(answers.hint("merge"), "chunk", "left").select("chunk", "ids", "sizes", "blob", "known", "gone").mapInArrow(last, schema)
+    return text.join(answers.hint("merge"), "chunk", "left") \
+        .select("chunk", "ids", "sizes", "blob", "known", "windows", "gone").mapInArrow(last, schema)

@@ -11,6 +11,7 @@ from flowpanel.llm import decontaminate, ngram_join, repeats, substring_dedup, s
 from flowpanel.llm.fmindex import FMIndex, WaveletMatrix, suffix_array
 
 from . import brute
+from .conftest import prose
 
 
 def some(rows):
@@ -114,6 +115,37 @@ def test_short_windows(spark, length):
     assert some(map(tuple, substring_dedup.dedup(df, length=length).collect())) == some(brute.repeated_words(table, length))
 
 
+@pytest.mark.parametrize("most", [0, 2])
+def test_contexts_divided_into_windows(docs, rows, small_pieces, monkeypatch, most):
+    """All keys hot, or many."""
+    monkeypatch.setattr(repeats, "HOT_CONTEXTS", most)
+    assert some((*tuple(r)[:4], bytes(r.kept)) for r in suffix_dedup.dedup(docs).collect()) == some(brute.earlier_bytes(rows))
+    assert some(map(tuple, substring_dedup.dedup(docs).collect())) == some(brute.repeated_words(rows))
+
+
+@pytest.mark.parametrize("words", [True, False])
+def test_hot_phrase_between_unique_neighbours(spark, monkeypatch, words):
+    """A phrase shorter than a window, in each document between other words: no bucket gets all its windows."""
+    monkeypatch.setattr(repeats, "HOT_CONTEXTS", 5, raising=False)
+    rng = random.Random(8)
+    phrase = prose(rng, 32 if words else 8)[:1000 if words else 46]
+    table = [(i, f"{prose(rng, 40, 10 ** 9)} {phrase} {prose(rng, 40, 10 ** 9)}") for i in range(600)]
+    table.append((1000, table[0][1]))
+    module = substring_dedup if words else suffix_dedup
+
+    def bounded(contexts):
+        assert contexts.count.sum() < 4000, "a bucket holds a window for each document"
+        return module.decide(contexts)
+
+    spec = repeats.Spec(module.LENGTH, module.GRAM, words, "count" if words else "first", bounded)
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
+    got = repeats.remove(df, spec, module._finish, module._SCHEMA, "doc_id", "text").collect()
+    if words:
+        assert some(map(tuple, got)) == some(brute.repeated_words(table))
+    else:
+        assert some((*tuple(r)[:4], bytes(r.kept)) for r in got) == some(brute.earlier_bytes(table))
+
+
 def test_empty_tables(empty):
     bench = empty.selectExpr("doc_id as item_id", "text")
     assert ngram_join.join(empty).collect() == []
