@@ -1,7 +1,9 @@
 """Corpus pipeline: language ID, n-gram Jaccard join, suffix-array dedup, decontamination, BPE.
 
 Each stage takes the documents its predecessor kept and works on all of them.  ``run`` writes every
-stage's result to the shared folder and reads it back.
+stage's result to the shared folder and reads it back.  Every row is a document of its own, also with a null
+``doc_id`` or one that other rows have.  "First" and "smallest" mean the order of ``doc_id``, nulls last; rows of one
+id follow in the order of their text's SHA-256, then of ``lang`` and ``source``.
 """
 
 from __future__ import annotations
@@ -11,32 +13,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowpanel.llm import bpe, decontaminate, langid, ngram_join, queries, suffix_dedup
-from flowpanel.llm.shared import materialize
+from flowpanel.llm.shared import materialize, partitions
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Posterior under which a text counts as no language's.
 LEAST_SCORE = 0.5
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Documents with a number ``row`` of their own: the id if no row lacks one or shares it, else the row's place in
+    the order above (with gaps), written once."""
+    docs = docs.select(*COLUMNS)
+    shared = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("doc_id is null or n > 1")
+    if shared.isEmpty():
+        return docs.withColumn("row", F.col("doc_id").cast("long"))
+    order = [F.asc_nulls_last("doc_id"), F.sha2("text", 256), F.col("lang"), F.col("source"), F.col("place")]
+    placed = docs.withColumn("place", F.monotonically_increasing_id()) \
+        .repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return materialize(placed.drop("place").withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
+
+
 def _with(docs: DataFrame, change: DataFrame) -> DataFrame:
-    """Documents with the texts of ``change`` (doc_id, text); one row for each id."""
-    rest = docs.drop("text", "n_chars").dropDuplicates(["doc_id"])
-    change = change.dropDuplicates(["doc_id"])
-    return rest.join(change, rest["doc_id"].eqNullSafe(change["doc_id"])).drop(change["doc_id"]) \
+    """Numbered documents with the texts of ``change`` (row, text)."""
+    return docs.drop("text", "n_chars").join(change, "row") \
         .withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a learned language; texts that are null, have no letter or are no language's go."""
-    found = langid.predict(docs, queries.language_model(docs))
-    keep = found.where((F.col("lang_pred") != langid.UNDECIDED) & (F.col("score") >= LEAST_SCORE)).select("doc_id")
-    return docs.join(keep.distinct(), "doc_id", "left_semi").select(*COLUMNS)
+    """Documents whose text has a learned language; texts that are null, have no letter or are no language's go.
+    Each row is judged by its own text, whatever its id."""
+    found = langid.predict(docs, queries.language_model(docs), others=[c for c in COLUMNS if c not in ("doc_id", "text")])
+    return found.where((F.col("lang_pred") != langid.UNDECIDED) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: that with the smallest id."""
-    groups = ngram_join.join(docs).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One document of each group of linked ones: the first."""
+    docs = _numbered(docs)
+    groups = ngram_join.join(docs, "row").where("component_id = row").select("row")
+    return docs.join(groups, "row", "left_semi").select(*COLUMNS)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,24 +60,26 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         for batch in batches:
             texts = [b.decode("utf-8", "ignore") for b in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2)],
-                                             ["doc_id", "text", "n_removed"])
+                                             ["row", "text", "n_removed"])
 
-    kept = suffix_dedup.dedup(docs).select("doc_id", "kept", "n_removed").mapInArrow(whole, "doc_id long, text string, n_removed long")
+    docs = _numbered(docs)
+    kept = suffix_dedup.dedup(docs, "row").select("doc_id", "kept", "n_removed").mapInArrow(whole, "row long, text string, n_removed long")
     return _with(docs, kept.where("n_removed = 0 or trim(text) != ''").drop("n_removed"))
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words that benchmark windows cover; documents with no word left through that go."""
-    found = decontaminate.find(docs, queries.table(spark, sf_dir, "benchmark"))
+    docs = _numbered(docs)
+    found = decontaminate.find(docs, queries.table(spark, sf_dir, "benchmark"), id_col="row")
 
     def cut(batches):
         for batch in batches:
             texts = [t if not s else decontaminate.cut(t, [(x["start"], x["end"]) for x in s])
                      for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
 
-    left = found.where("n_hit = 0 or n_hit < n_words").select("doc_id", "text", "spans")
-    return _with(docs, left.mapInArrow(cut, "doc_id long, text string"))
+    left = found.where("n_hit = 0 or n_hit < n_words").select("row", "text", "spans")
+    return _with(docs, left.mapInArrow(cut, "row long, text string"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

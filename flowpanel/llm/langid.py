@@ -219,14 +219,17 @@ class Scorer:
         return out
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
+            others: list[str] | None = None) -> DataFrame:
     """(id, lang_pred, score) for every row: the likeliest learned language of the whole text and its
     posterior under equal priors.
 
     ``und`` with score 0 if the text is null or has no letter, or if no language was learned.  Equal
-    likelihoods go to the first language in order of name.  Repeated rows are scored each; other
-    columns are left out.
+    likelihoods go to the first language in order of name.  Repeated rows are scored each.  With a
+    list of ``others`` the text and these columns follow; else other columns are left out.
     """
+    more = [] if others is None else [text_col, *others]
+
     def run(batches):
         score = Scorer(model)
         for batch in batches:
@@ -235,8 +238,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 got = score(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([g[0] for g in got], pa.string()),
-                     pa.array([g[1] for g in got], pa.float64())], ["id", "lang_pred", "score"])
+                     pa.array([g[1] for g in got], pa.float64()), *part.columns[2:]], ["id", "lang_pred", "score", *kept])
 
-    own = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    kept = [f"_{k}" for k in range(len(more))]
+    own = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *[docs[c].alias(k) for c, k in zip(more, kept)])
     kind = own.schema["id"].dataType.simpleString()
-    return own.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    types = [f", {k} {own.schema[k].dataType.simpleString()}" for k in kept]
+    return own.mapInArrow(run, f"id {kind}, lang_pred string, score double{''.join(types)}") \
+        .withColumnsRenamed({"id": id_col} | dict(zip(kept, more)))

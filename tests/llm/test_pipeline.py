@@ -71,6 +71,24 @@ def test_tokens(stages):
         assert np.frombuffer(r.ids, "<u4").tolist() == ids and r.decoded_sha256 == brute.sha(texts[r.doc_id])
 
 
+def test_rows_without_an_id_of_their_own(spark, stages):
+    """Clean texts with a null or a shared id stay, each with its own text; a rejected text of the same id goes."""
+    clean = [r.text for r in stages[4] if len(r.text) > 500 and r.lang][:6]
+    lang = {r.text: r.lang for r in stages[4]}
+    rows = [(None, clean[0]), (None, clean[1]), (None, clean[0]), (5, clean[2]), (5, clean[3]), (5, "12 34"), (7, clean[4]),
+            (None, "%%%"), (8, clean[5])]
+    start = spark.createDataFrame([(i, t, lang.get(t, "en"), "s", len(t)) for i, t in rows],
+                                  "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    d, out = start, []
+    for name, f in pipeline.STAGES[:4]:
+        d = materialize(f(spark, d, SF), "ids")
+        out.append(sorted(((r.doc_id, r.text) for r in d.collect()), key=repr))
+    good = sorted([r for r in rows if r[1] in clean], key=repr)
+    assert out[0] == good
+    assert out[1] == sorted(set(good), key=repr)
+    assert [i for i, _ in out[3]] == [i for i, _ in out[1]]
+
+
 def test_edge_rows(spark, docs, empty):
     """Nulls, repeated rows and empty tables go through every stage."""
     for start in (docs.select(*pipeline.COLUMNS), empty):
