@@ -28,6 +28,8 @@ ROUNDS, SMOOTHING = 2, 0.1
 UNKNOWN = 1e-7
 #: Words whose scores a task remembers.
 REMEMBERED = 1 << 18
+#: Sums of products below this are formed again in logarithms: nothing that counts has underflowed above it.
+TINY = 1e-250
 UNDECIDED = "und"
 
 _words = re.compile(r"[^\W\d_]+").findall
@@ -98,6 +100,30 @@ class Pieces:
         return b
 
 
+    def forward_log(self, table: list[np.ndarray], p: np.ndarray) -> np.ndarray:
+        """Logarithm of ``forward``, which can't underflow."""
+        n, m = table[0].shape
+        with np.errstate(divide="ignore"):
+            logs = np.log(p)
+        a = np.full((n, m + 1, p.shape[1]), -np.inf)
+        a[:, 0] = 0
+        for e in range(1, m + 1):
+            for size in range(1, min(e, len(table)) + 1):
+                a[:, e] = np.logaddexp(a[:, e], a[:, e - size] + logs[table[size - 1][:, e - size]])
+        return a
+
+    def backward_log(self, table: list[np.ndarray], p: np.ndarray) -> np.ndarray:
+        n, m = table[0].shape
+        with np.errstate(divide="ignore"):
+            logs = np.log(p)
+        b = np.full((n, m + 1, p.shape[1]), -np.inf)
+        b[:, m] = 0
+        for s in range(m - 1, -1, -1):
+            for size in range(1, min(m - s, len(table)) + 1):
+                b[:, s] = np.logaddexp(b[:, s], logs[table[size - 1][:, s]] + b[:, s + size])
+        return b
+
+
 def _by_length(words: list[str], rows: int = 4096):
     """(indices into words, array of characters) for parts of words of the same length, the mark first."""
     groups: dict[int, tuple[list[int], list[str]]] = {}
@@ -119,7 +145,13 @@ def score_words(words: list[str], pieces: Pieces, p: np.ndarray) -> np.ndarray:
     """Log-likelihood of each word under each language, summed over all its segmentations."""
     out = np.zeros((len(words), p.shape[1]))
     for at, codes in _by_length(words):
-        np.add.at(out, at, np.log(pieces.forward(pieces.table(codes), p)[:, -1]))
+        table = pieces.table(codes)
+        total = pieces.forward(table, p)[:, -1]
+        low = (total < TINY).any(axis=1)
+        logs = np.log(np.where(low[:, None], 1.0, total))
+        if low.any():
+            logs[low] = pieces.forward_log([t[low] for t in table], p)[:, -1]
+        np.add.at(out, at, logs)
     return out
 
 
@@ -178,7 +210,17 @@ def _expectation(langs: list[str], names: list[str], p: np.ndarray):
                 for at, codes in _by_length([words[i] for i in own]):
                     table = pieces.table(codes)
                     a, b = pieces.forward(table, q)[..., 0], pieces.backward(table, q)[..., 0]
-                    scale = weight[at] / a[:, -1]
+                    low = a[:, -1] < TINY
+                    scale = np.where(low, 0.0, weight[at]) / np.where(low, 1.0, a[:, -1])
+                    if low.any():
+                        own_table, own_weight = [t[low] for t in table], weight[at][low]
+                        la, lb = pieces.forward_log(own_table, q)[..., 0], pieces.backward_log(own_table, q)[..., 0]
+                        with np.errstate(divide="ignore"):
+                            lq = np.log(q[:, 0])
+                        for size, ids in enumerate(own_table, 1):
+                            share = np.exp(la[:, :la.shape[1] - size] + lq[ids] + lb[:, size:] - la[:, -1:])
+                            mass = share * own_weight[:, None]
+                            total[place[k]] += np.bincount(ids.ravel(), mass.ravel(), len(names) + 2)
                     for size, ids in enumerate(table, 1):
                         ends = a.shape[1] - size
                         mass = a[:, :ends] * q[ids, 0] * b[:, size:] * scale[:, None]

@@ -7,6 +7,7 @@ import struct
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,3 +173,16 @@ def test_normal_equations_by_partition(spark):
     df = spark.createDataFrame(data, "stats array<double>, label int, fold int")
     a, b = (quality.train(df.repartition(k), features=16) for k in (1, 7))
     assert np.allclose(a.weights, b.weights)
+
+
+def test_language_of_pieces_too_rare_for_a_product():
+    """32 letters of pieces that a large corpus never held: the product underflows, the likelihood doesn't."""
+    p = np.array([[1e-12, 1e-11], [1e-7, 1e-7], [0, 0]])
+    model = langid.Model(["a", "b"], ["ж"], p)
+    got = langid.score_words(["ж" * 64, "ж"], langid.Pieces(model.pieces), p)
+    assert np.allclose(got, [np.log(1e-7) + 64 * np.log(p[0]), np.log(1e-7) + np.log(p[0])])
+    (lang, score), = langid.Scorer(model)(["ж" * 64])
+    assert lang == "b" and 0 <= score <= 1
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "a"]), pa.array(["ж" * 64, "ж"]), pa.array([3, 1])], ["lang", "word", "n"])
+    (out,) = langid._expectation(["a"], ["ж"], p[:, :1])([batch])
+    assert out.column(1).to_pylist() == [0] and np.isclose(out.column(2)[0].as_py(), 3 * 64 + 1)
