@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, langid, ngram_join, quality, sharding, substring_dedup, suffix_dedup, warc
+from . import (ann, bpe, decontaminate, langid, merkle, ngram_join, quality, sharding, spelling, substring_dedup, suffix_dedup,
+               tokencount, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -225,3 +226,112 @@ FROM d LEFT JOIN agg USING (doc_id)
 def op10(spark, sf_dir):
     out = substring_dedup.dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+def crc_sql(text: str) -> str:
+    """CRC-32 of a string's UTF-8 bytes; needs the one-row CTE ``crc`` (its table ``t``)."""
+    codes = f"list_transform(range(strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), CAST(2 * i + 1 AS INTEGER), 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)])), 4294967295)"
+
+
+CRC_TABLE = """crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+         lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t)"""
+
+LEAF_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def _leaf_sql(n_chars: str) -> str:
+    values = [f"CAST({n_chars if c == 'n_chars' else c} AS VARCHAR)" for c in LEAF_FIELDS]
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+
+@query("op11_merkle", f"""
+WITH RECURSIVE {CRC_TABLE},
+lf AS (
+  SELECT doc_id, leaf, g, CASE WHEN {crc_sql("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN other ELSE leaf END AS own,
+         row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY g) AS n
+  FROM (SELECT doc_id, {_leaf_sql("n_chars")} AS leaf, {_leaf_sql("(n_chars + 1)")} AS other,
+               dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM documents), crc),
+tree(g, lvl, idx, dig, n) AS (
+  SELECT g, 0, idx, leaf, n FROM lf
+  UNION ALL
+  SELECT g, lvl + 1, idx // 2, sha256(string_agg(dig, '' ORDER BY idx)), (n + 1) // 2 FROM tree WHERE n > 1 GROUP BY g, lvl, idx // 2, n),
+sub AS (SELECT g, dig, count(*) OVER () AS n FROM tree WHERE n = 1),
+top(lvl, idx, dig, n) AS (
+  SELECT 0, g, dig, n FROM sub
+  UNION ALL
+  SELECT lvl + 1, idx // 2, sha256(string_agg(dig, '' ORDER BY idx)), (n + 1) // 2 FROM top WHERE n > 1 GROUP BY lvl, idx // 2, n),
+low(doc_id, leaf, g, first, lvl, idx, n, v, p) AS (
+  SELECT doc_id, leaf, g, idx, 0, idx, n, own, '' FROM lf
+  UNION ALL
+  SELECT l.doc_id, l.leaf, l.g, l.first, l.lvl + 1, l.idx // 2, (l.n + 1) // 2,
+         sha256(CASE WHEN t.dig IS NULL THEN l.v WHEN l.idx % 2 = 0 THEN l.v || t.dig ELSE t.dig || l.v END), l.p || coalesce(t.dig, '')
+  FROM low l LEFT JOIN tree t ON t.g = l.g AND t.lvl = l.lvl AND t.idx = xor(l.idx, 1) WHERE l.n > 1),
+high(doc_id, leaf, g, first, lvl, idx, n, v, p) AS (
+  SELECT low.doc_id, leaf, low.g, first, 0, low.g, sub.n, v, p FROM low JOIN sub ON low.g = sub.g WHERE low.n = 1
+  UNION ALL
+  SELECT l.doc_id, l.leaf, l.g, l.first, l.lvl + 1, l.idx // 2, (l.n + 1) // 2,
+         sha256(CASE WHEN t.dig IS NULL THEN l.v WHEN l.idx % 2 = 0 THEN l.v || t.dig ELSE t.dig || l.v END), l.p || coalesce(t.dig, '')
+  FROM high l LEFT JOIN top t ON t.lvl = l.lvl AND t.idx = xor(l.idx, 1) WHERE l.n > 1)
+SELECT h.doc_id, h.leaf, sub.dig AS subroot, r.dig AS root, sha256(h.p) AS proof_sha256, h.v AS folded_root, h.v = r.dig AS verified
+FROM high h JOIN sub ON h.g = sub.g, (SELECT dig FROM top WHERE n = 1) r WHERE h.n = 1
+""")
+def op11(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").withColumn("more", F.col("n_chars") + 1).select(
+        "doc_id", "lang", merkle.field_digest(LEAF_FIELDS).alias("leaf_hex"),
+        F.when(crc_mod("doc_id", 7) == 0, merkle.field_digest(["more" if c == "n_chars" else c for c in LEAF_FIELDS])).alias("changed_hex"))
+    out = merkle.prove(merkle.manifest(rows, "leaf_hex", "lang", ["doc_id"]), "changed_hex", ["doc_id"])
+    return out.select("doc_id", "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), F.col("folded").alias("folded_root"),
+                      (F.col("folded") == F.col("root")).alias("verified"))
+
+
+SPELLING_SLIPS = 199
+
+
+def _cut_sql(word: str, at: str) -> str:
+    return f"substr({word}, 1, CAST({at} AS INTEGER)) || substr({word}, CAST({at} AS INTEGER) + 2)"
+
+
+@query("op12_spelling", rf"""
+WITH RECURSIVE {CRC_TABLE},
+found AS (
+  SELECT doc_id, r, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all({LOWER}, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS r FROM documents)
+  WHERE length(r) >= 6 GROUP BY ALL),
+crcs AS (SELECT r, n, {crc_sql("(CAST(doc_id AS VARCHAR) || ':' || r)")} AS h FROM found, crc),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % {SPELLING_SLIPS} = 0 THEN {_cut_sql("r", "h % length(r)")} ELSE r END AS word, n FROM crcs)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cuts AS (
+  SELECT word, n, i, {_cut_sql("word", "i")} AS k FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+pairs AS (
+  SELECT a.word AS a, b.word AS b FROM cuts a JOIN cuts b ON a.i = b.i AND a.k = b.k AND a.word < b.word
+  UNION
+  SELECT a.word, b.word FROM cuts a JOIN words b ON a.k = b.word),
+near AS (SELECT a AS w, b AS o FROM pairs UNION SELECT b, a FROM pairs),
+best AS (
+  SELECT w, count(*) AS n_near, max(n) AS m, arg_min(o, (-n, o)) AS o FROM near JOIN words ON o = word GROUP BY w),
+forms AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN o END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n
+  FROM words LEFT JOIN best ON word = w),
+walk(word, here, lvl) AS (
+  SELECT word, word, 0 FROM forms
+  UNION ALL
+  SELECT walk.word, f.form, lvl + 1 FROM walk JOIN forms f ON f.word = walk.here WHERE f.form IS NOT NULL),
+ends AS (SELECT word, arg_max(here, lvl) AS root FROM walk GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
+""")
+def op12(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"), slips=SPELLING_SLIPS) \
+        .select("word", "form", "root", "n", "n_near", "form_n")
+
+
+#: Tokens that a training context holds.
+TOKEN_LIMIT = 4096
+
+
+@query("op13_token_counts")
+def op13(spark, sf_dir):
+    found = tokencount.count(table(spark, sf_dir, "documents"), vocab_path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "n_chunks")
