@@ -170,7 +170,7 @@ def _climb(blocks: DataFrame, above: DataFrame) -> DataFrame:
 
 
 class Manifest:
-    """Leaves (grp, idx, digest and the rows' columns), block tables of the groups by stage, of the tree over the
+    """Leaves (grp, idx, digest and the rows), block tables of the groups by stage, of the tree over the
     subroots, and the subroots."""
 
     def __init__(self, leaves: DataFrame, stages: list[DataFrame], upper: list[DataFrame], subroots: DataFrame, height: int):
@@ -208,11 +208,12 @@ def manifest(rows: DataFrame, digest: str, group: str, order: list[str], height:
     """Merkle manifest of rows by their hex digest column, a tree for each group.
 
     Leaves ascend by ``order`` (null first), ties by digest; equal rows are leaves each, a null digest raises.  Groups
-    ascend bytewise, null first.  An empty table has no root.  Columns of ``rows`` stay with the leaves.
+    ascend bytewise, null first.  An empty table has no root.  Columns of ``rows`` stay with the leaves, as ``row``.
     """
-    own = rows.select("*", F.coalesce(F.concat(F.lit("1"), F.col(group).cast("string")), F.lit("0")).alias("grp"),
-                      F.unhex(F.col(digest)).alias("digest"))
-    leaves = ranked(own, "grp", [*order, "digest"], "merkle-leaves")
+    places = [f"o{k}" for k in range(len(order))]
+    own = rows.select(F.struct("*").alias("row"), F.coalesce(F.concat(F.lit("1"), F.col(group).cast("string")), F.lit("0")).alias("grp"),
+                      F.unhex(F.col(digest)).alias("digest"), *[F.col(c).alias(k) for c, k in zip(order, places)])
+    leaves = ranked(own, "grp", [*places, "digest"], "merkle-leaves")
     stages, tops = forest(leaves.select("grp", "idx", "digest", "size"), height)
     placed = ranked(tops.withColumn("tree", F.lit("")), "tree", ["grp"], "merkle-subroots")
     upper, _ = forest(placed.select(F.col("tree").alias("grp"), "idx", "digest", "size"), height)
@@ -229,8 +230,8 @@ def prove(m: Manifest, changed: str | None = None, keep: list[str] | None = None
     keep = list(keep or [])
     kept = [f"c{k}" for k in range(len(keep))]
     rows = m.leaves.select("grp", F.expr(f"shiftright(idx, {m.height})").alias("blk"), "idx", "digest",
-                           (F.unhex(F.col(changed)) if changed else F.lit(None).cast("binary")).alias("other"),
-                           *[F.col(c).alias(k) for c, k in zip(keep, kept)])
+                           (F.unhex(F.col(f"row.{changed}")) if changed else F.lit(None).cast("binary")).alias("other"),
+                           *[F.col(f"row.{c}").alias(k) for c, k in zip(keep, kept)])
     blocks = m.stages[0].select("grp", "blk", "k", "levels", "nodes").join(m.paths(), ["grp", "blk"])
     types = "".join(f", {k} {rows.schema[k].dataType.simpleString()}" for k in kept)
 
