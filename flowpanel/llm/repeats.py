@@ -133,48 +133,77 @@ class Chunk:
         self.start, self.count = cat(start, np.int64), cat(count, np.int64)
         self.key, self.content, self.twice = cat(key, U), cat(content, U), cat(twice, bool)
         self.doc = np.searchsorted(self.first, self.start, side="right") - 1
+        self._index = None
+
+    def index(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sorted distinct keys, index of every context's key, contexts of each key), sorted once."""
+        if self._index is None:
+            self._index = np.unique(self.key, return_inverse=True, return_counts=True)
+        return self._index
 
     def keys(self) -> np.ndarray:
-        return np.unique(self.key)
+        return self.index()[0]
+
+    def _order(self, own: np.ndarray) -> np.ndarray:
+        """Contexts ``own`` in the order of their keys, equal contents next to each other: one sort by the key's index
+        and as many bits of the content as fit.  Contents that agree in these bits may come mixed."""
+        keys, inverse, _ = self.index()
+        bits = max(1, len(keys).bit_length())
+        return own[np.argsort((inverse[own].astype(U) << U(64 - bits)) | (self.content[own] >> U(bits)), kind="stable")]
+
+    def _new(self, own: np.ndarray) -> np.ndarray:
+        """Of ordered contexts: differs from the one before."""
+        new = np.ones(len(own), bool)
+        new[1:] = (self.content[own[1:]] != self.content[own[:-1]]) | (self.key[own[1:]] != self.key[own[:-1]])
+        return new
 
     def distinct(self) -> np.ndarray:
         """Number of distinct contexts of each key, in the order of ``keys``."""
-        order = np.lexsort((self.content, self.key))
-        key, content = self.key[order], self.content[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
-        return np.unique(key[new], return_counts=True)[1]
+        own = self._order(np.arange(len(self.key)))
+        return np.bincount(self.index()[1][own[self._new(own)]], minlength=len(self.keys()))
 
     def divide(self, hot: np.ndarray) -> np.ndarray:
         """Contexts of the keys that ``hot`` marks (in the order of ``keys``) become single windows with keys of
         their own, which are returned sorted."""
         if not hot.any():
             return np.zeros(0, U)
-        many = hot[np.searchsorted(self.keys(), self.key)]
+        keys, inverse, n = self.index()
+        many = hot[inverse]
         at = spread(self.start[many], self.count[many])
         own = mix(window_hashes(self.symbols, at, self.spec.window) + U(1))
+        doc = np.searchsorted(self.first, at, side="right") - 1
         for name, new in (("start", at), ("count", np.ones(len(at), np.int64)), ("key", own), ("content", own),
-                          ("twice", np.zeros(len(at), bool))):
+                          ("twice", np.zeros(len(at), bool)), ("doc", doc)):
             setattr(self, name, np.concatenate([getattr(self, name)[~many], new]))
-        self.doc = np.searchsorted(self.first, self.start, side="right") - 1
-        return np.unique(own)
+        # the index of what stays is known, only the windows' keys are sorted
+        fresh, fresh_inverse, fresh_n = np.unique(own, return_inverse=True, return_counts=True)
+        stay = keys[~hot]
+        every = np.concatenate([stay, fresh])
+        every.sort(kind="stable")  # merges the two sorted parts
+        every = every[np.concatenate([every[:1] == every[:1], every[1:] != every[:-1]])]
+        a, b = np.searchsorted(every, stay), np.searchsorted(every, fresh)
+        total = np.zeros(len(every), np.int64)
+        total[a] = n[~hot]
+        total[b] += fresh_n
+        place = np.cumsum(~hot) - 1
+        self._index = every, np.concatenate([a[place[inverse[~many]]], b[fresh_inverse]]), total
+        return fresh
 
     def candidates(self, answer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Contexts of repeated keys (in another chunk by ``answer``, or here; also twice in one context, where
-        repeats within a document count): (their indices, index of the distinct content of each, an example of each content in the order of bucket and hash, its weight)."""
-        keys, inverse, n = np.unique(self.key, return_inverse=True, return_counts=True)
+        repeats within a document count): (their indices, index of the distinct content of each, an example of each
+        content in the order of bucket and hash, its weight)."""
+        keys, inverse, n = self.index()
         live = np.flatnonzero((answer | (n > 1))[inverse] | self.twice) if len(keys) else np.zeros(0, np.int64)
-        order = np.lexsort((live, self.content[live], self.key[live]))
-        own = live[order]
-        new = np.ones(len(own), bool)
-        new[1:] = (self.content[own[1:]] != self.content[own[:-1]]) | (self.key[own[1:]] != self.key[own[:-1]])
+        own = self._order(live)
+        new = self._new(own)
         which = np.cumsum(new) - 1
         example = own[new]
         if self.spec.weigh == "count":
             weight = np.bincount(which, minlength=len(example)).astype(np.int64)
         else:
-            weight = np.full(len(example), NULL_ID)
-            np.minimum.at(weight, which, self.ids[self.doc[own]])
+            ids = self.ids[self.doc[own]]
+            weight = np.minimum.reduceat(ids, np.flatnonzero(new)) if len(own) else np.zeros(0, np.int64)
         return own, which, example, weight
 
 
@@ -204,26 +233,59 @@ def _hash_at(levels: dict[int, np.ndarray], length: int, at=None) -> np.ndarray:
     return total
 
 
-def window_hashes(symbols: np.ndarray, at: np.ndarray, length: int, piece: int = 1 << 19) -> np.ndarray:
+def _power(n: int) -> np.uint64:
+    return U(pow(int(BASE), n, 1 << 64))
+
+
+#: Symbols up to which the tables of powers are kept.
+PIECE = 1 << 19
+_INVERSE = U(pow(int(BASE), -1, 1 << 64))
+
+
+def _accumulated(base: np.uint64, n: int) -> np.ndarray:
+    p = np.full(n, base, U)
+    p[:1] = 1
+    return np.multiply.accumulate(p)
+
+
+_TABLES = [_accumulated(b, PIECE + (1 << 10)) for b in (BASE, _INVERSE)]
+
+
+class Sums:
+    """Polynomial hashes of any length from prefix sums: sum of s[i + j] B^j is the prefixes' difference over B^i, and an
+    odd base has an inverse modulo 2^64."""
+
+    def __init__(self, h: np.ndarray):
+        n = len(h)
+        power, self.inverse = (t if n < len(t) else _accumulated(b, n + 1) for t, b in zip(_TABLES, (BASE, _INVERSE)))
+        self.prefix = np.zeros(n + 1, U)
+        np.cumsum(h * power[:n], out=self.prefix[1:])
+
+    def every(self, length: int) -> np.ndarray:
+        """Hash of the ``length`` symbols from each position that has so many."""
+        out = self.prefix[length:] - self.prefix[:-length]
+        out *= self.inverse[:len(out)]
+        return out
+
+    def at(self, length: int, at: np.ndarray) -> np.ndarray:
+        return (self.prefix[at + length] - self.prefix[at]) * self.inverse[at]
+
+
+def window_hashes(symbols: np.ndarray, at: np.ndarray, length: int, piece: int = PIECE) -> np.ndarray:
     """Hashes of the ``length`` symbols from each position in ``at`` (ascending), piece by piece of the symbols."""
     out = np.empty(len(at), U)
     for lo in range(0, len(symbols), piece):
         a, b = np.searchsorted(at, [lo, lo + piece])
         if a < b:
-            with np.errstate(over="ignore"):
-                levels = _doubling(_symbol_hash(symbols[lo:lo + piece + length]), length)
-                out[a:b] = _hash_at(levels, length, at[a:b] - lo)
+            out[a:b] = Sums(_symbol_hash(symbols[lo:lo + piece + length])).at(length, at[a:b] - lo)
     return out
 
 
-def _power(n: int) -> np.uint64:
-    return U(pow(int(BASE), n, 1 << 64))
+_BYTE_HASH = mix(np.arange(1, 257, dtype=U) * BASE)
 
 
 def _symbol_hash(symbols: np.ndarray) -> np.ndarray:
-    if symbols.dtype == np.uint8:
-        return mix(np.arange(1, 257, dtype=U) * BASE)[symbols]
-    return symbols
+    return _BYTE_HASH[symbols] if symbols.dtype == np.uint8 else symbols
 
 
 def _runs(spec: Spec, symbols: np.ndarray, first: np.ndarray):
@@ -231,9 +293,8 @@ def _runs(spec: Spec, symbols: np.ndarray, first: np.ndarray):
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U), np.zeros(0, bool)
     if n < w:
         return none
-    with np.errstate(over="ignore"):
-        levels = _doubling(_symbol_hash(symbols), w)
-        low = grams = mix(_hash_at(levels, q))
+    sums = Sums(_symbol_hash(symbols))
+    low = grams = mix(sums.every(q))
     # smallest of w - q + 1 neighbouring grams
     span, width = w - q + 1, 1
     while width * 2 <= span:
@@ -258,8 +319,8 @@ def _runs(spec: Spec, symbols: np.ndarray, first: np.ndarray):
         rank = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         count = np.minimum(np.repeat(count, pieces) - rank * spec.longest, spec.longest)
         start = np.repeat(start, pieces) + rank * spec.longest
+    a, b = sums.at(w, start), sums.at(w, start + count - 1)
     with np.errstate(over="ignore"):
-        a, b = _hash_at(levels, w, start), _hash_at(levels, w, start + count - 1)
         content = mix(a + mix(b + U(1)) * BASE + count.astype(U))
     twice = np.zeros(len(start), bool)
     if spec.weigh == "count":  # can a window repeat within the context? only if its key's gram does
