@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .shared import materialize
 
-#: Characters up to which the sum runs over a word at once; longer ones are cut into such parts.
+#: Characters up to which sums are formed as plain products; longer words are rescaled at every step.
 LONGEST = 32
 #: Rounds of expectation maximisation and the pseudo-count of every piece.
 ROUNDS, SMOOTHING = 2, 0.1
@@ -28,7 +28,7 @@ ROUNDS, SMOOTHING = 2, 0.1
 UNKNOWN = 1e-7
 #: Words whose scores a task remembers.
 REMEMBERED = 1 << 18
-#: Sums of products below this are formed again in logarithms: nothing that counts has underflowed above it.
+#: Sums of products below this are formed again with rescaling: nothing that counts has underflowed above it.
 TINY = 1e-250
 UNDECIDED = "und"
 
@@ -101,44 +101,42 @@ class Pieces:
 
 
     def forward_log(self, table: list[np.ndarray], p: np.ndarray) -> np.ndarray:
-        """Logarithm of ``forward``, which can't underflow."""
+        """Logarithm of ``forward`` for words of any length: only the last columns are held, relative to the newest, so
+        that nothing underflows."""
         n, m = table[0].shape
-        with np.errstate(divide="ignore"):
-            logs = np.log(p)
-        a = np.full((n, m + 1, p.shape[1]), -np.inf)
-        a[:, 0] = 0
+        out = np.zeros((n, m + 1, p.shape[1]))
+        last = [np.ones((n, p.shape[1]))]  # the columns before e, newest first, divided by the newest
         for e in range(1, m + 1):
-            for size in range(1, min(e, len(table)) + 1):
-                a[:, e] = np.logaddexp(a[:, e], a[:, e - size] + logs[table[size - 1][:, e - size]])
-        return a
+            new = sum(last[size - 1] * p[table[size - 1][:, e - size]] for size in range(1, min(e, len(table)) + 1))
+            out[:, e] = out[:, e - 1] + np.log(new)
+            last = [np.ones_like(new), *[c / new for c in last[:len(table) - 1]]]
+        return out
 
     def backward_log(self, table: list[np.ndarray], p: np.ndarray) -> np.ndarray:
         n, m = table[0].shape
-        with np.errstate(divide="ignore"):
-            logs = np.log(p)
-        b = np.full((n, m + 1, p.shape[1]), -np.inf)
-        b[:, m] = 0
+        out = np.zeros((n, m + 1, p.shape[1]))
+        last = [np.ones((n, p.shape[1]))]
         for s in range(m - 1, -1, -1):
-            for size in range(1, min(m - s, len(table)) + 1):
-                b[:, s] = np.logaddexp(b[:, s], logs[table[size - 1][:, s]] + b[:, s + size])
-        return b
+            new = sum(p[table[size - 1][:, s]] * last[size - 1] for size in range(1, min(m - s, len(table)) + 1))
+            out[:, s] = out[:, s + 1] + np.log(new)
+            last = [np.ones_like(new), *[c / new for c in last[:len(table) - 1]]]
+        return out
 
 
-def _by_length(words: list[str], rows: int = 4096):
-    """(indices into words, array of characters) for parts of words of the same length, the mark first."""
+def _by_length(words: list[str], cells: int = 4096 * LONGEST):
+    """(indices into words, array of characters) for words of the same length, the mark first, in blocks of so many
+    characters (one word at least)."""
     groups: dict[int, tuple[list[int], list[str]]] = {}
     for i, w in enumerate(words):
-        w = "▁" + w
-        for a in range(0, len(w), LONGEST):
-            part = w[a:a + LONGEST]
-            own = groups.setdefault(len(part), ([], []))
-            own[0].append(i)
-            own[1].append(part)
-    for m, (at, parts) in groups.items():
-        for lo in range(0, len(parts), rows):
-            own = parts[lo:lo + rows]
-            codes = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-            yield np.array(at[lo:lo + rows]), codes.reshape(len(own), m)
+        own = groups.setdefault(len(w) + 1, ([], []))
+        own[0].append(i)
+        own[1].append("▁" + w)
+    for m, (at, own) in groups.items():
+        rows = max(1, cells // m)
+        for lo in range(0, len(own), rows):
+            part = own[lo:lo + rows]
+            codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            yield np.array(at[lo:lo + rows]), codes.reshape(len(part), m)
 
 
 def score_words(words: list[str], pieces: Pieces, p: np.ndarray) -> np.ndarray:
@@ -146,12 +144,14 @@ def score_words(words: list[str], pieces: Pieces, p: np.ndarray) -> np.ndarray:
     out = np.zeros((len(words), p.shape[1]))
     for at, codes in _by_length(words):
         table = pieces.table(codes)
+        if codes.shape[1] > LONGEST:
+            out[at] = pieces.forward_log(table, p)[:, -1]
+            continue
         total = pieces.forward(table, p)[:, -1]
         low = (total < TINY).any(axis=1)
-        logs = np.log(np.where(low[:, None], 1.0, total))
+        out[at] = np.log(np.where(low[:, None], 1.0, total))
         if low.any():
-            logs[low] = pieces.forward_log([t[low] for t in table], p)[:, -1]
-        np.add.at(out, at, logs)
+            out[at[low]] = pieces.forward_log([t[low] for t in table], p)[:, -1]
     return out
 
 
@@ -208,10 +208,16 @@ def _expectation(langs: list[str], names: list[str], p: np.ndarray):
                 own = [i for i, x in enumerate(lang) if x == k]
                 q, weight = p[:, [place[k]]], n[own]
                 for at, codes in _by_length([words[i] for i in own]):
-                    table = pieces.table(codes)
-                    a, b = pieces.forward(table, q)[..., 0], pieces.backward(table, q)[..., 0]
-                    low = a[:, -1] < TINY
-                    scale = np.where(low, 0.0, weight[at]) / np.where(low, 1.0, a[:, -1])
+                    table, long = pieces.table(codes), codes.shape[1] > LONGEST
+                    low = np.ones(len(at), bool)
+                    if not long:
+                        a, b = pieces.forward(table, q)[..., 0], pieces.backward(table, q)[..., 0]
+                        low = a[:, -1] < TINY
+                        scale = np.where(low, 0.0, weight[at]) / np.where(low, 1.0, a[:, -1])
+                        for size, ids in enumerate(table, 1):
+                            ends = a.shape[1] - size
+                            mass = a[:, :ends] * q[ids, 0] * b[:, size:] * scale[:, None]
+                            total[place[k]] += np.bincount(ids.ravel(), mass.ravel(), len(names) + 2)
                     if low.any():
                         own_table, own_weight = [t[low] for t in table], weight[at][low]
                         la, lb = pieces.forward_log(own_table, q)[..., 0], pieces.backward_log(own_table, q)[..., 0]
@@ -221,10 +227,6 @@ def _expectation(langs: list[str], names: list[str], p: np.ndarray):
                             share = np.exp(la[:, :la.shape[1] - size] + lq[ids] + lb[:, size:] - la[:, -1:])
                             mass = share * own_weight[:, None]
                             total[place[k]] += np.bincount(ids.ravel(), mass.ravel(), len(names) + 2)
-                    for size, ids in enumerate(table, 1):
-                        ends = a.shape[1] - size
-                        mass = a[:, :ends] * q[ids, 0] * b[:, size:] * scale[:, None]
-                        total[place[k]] += np.bincount(ids.ravel(), mass.ravel(), len(names) + 2)
         at, piece = np.nonzero(total[:, :len(names)])
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(piece, pa.int32()),
                                           pa.array(total[at, piece])], ["lang", "piece", "n"])

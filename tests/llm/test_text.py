@@ -86,10 +86,27 @@ def test_language_edge_cases(docs, empty, rows):
     assert langid.predict(empty, model).collect() == []
 
 
-def test_long_word_is_summed_in_parts():
-    model = langid.Model(["x"], ["▁", "a", "aa"], np.array([[.2], [.5], [.3], [1e-7], [0]]))
-    (lang, score), = langid.Scorer(model)(["a" * 5000])
-    assert (lang, score) == ("x", 1.0)
+def test_long_word_is_summed_whole():
+    """A word of any length is one sum over all its segmentations."""
+    p = np.array([[.2, .1], [.5, .3], [.3, .6], [1e-7, 1e-7], [0, 0]])
+    model = langid.Model(["x", "y"], ["▁", "a", "aa"], p)
+    n = 5000
+    for k in range(2):  # sums relative to the last one: f(m) = f(m - 1) p(a) + f(m - 2) p(aa)
+        log, ratio = np.log(p[0, k]), 0.0
+        for _ in range(n):
+            step = p[1, k] + (p[2, k] * ratio)
+            log, ratio = log + np.log(step), 1 / step
+        got = langid.score_words(["a" * n], langid.Pieces(model.pieces), p)[0, k]
+        assert abs(got - log) < 1e-6 * abs(log)
+    (lang, score), = langid.Scorer(model)(["a" * n])
+    assert lang == "y" and score == 1.0
+
+
+def test_long_words_raise_expected_counts(spark):
+    learn = spark.createDataFrame([("x", "ab" * 60 + " a"), ("y", "b" * 90)], "lang string, text string")
+    model = langid.train(learn, ["▁", "a", "b", "ab", "bb"], rounds=3)
+    assert np.allclose(model.p[:5].sum(axis=0), 1)
+    assert model.p[3, 0] > model.p[4, 0] and model.p[4, 1] > model.p[3, 1]
 
 
 def test_language_accuracy(spark):
