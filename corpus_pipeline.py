@@ -41,9 +41,11 @@ def _with(docs: DataFrame, change: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a learned language; texts that are null, have no letter or are no language's go.
-    Each row is judged by its own text, whatever its id."""
-    found = langid.predict(docs, queries.language_model(docs), others=[c for c in COLUMNS if c not in ("doc_id", "text")])
-    return found.where((F.col("lang_pred") != langid.UNDECIDED) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    Each row is judged by its own text, whatever its id.  Only the rows to go are written, texts stay in the JVM."""
+    docs = _numbered(docs)
+    found = langid.predict(docs, queries.language_model(docs), "row")
+    kept = (F.col("lang_pred") != langid.UNDECIDED) & (F.col("score") >= LEAST_SCORE)
+    return docs.join(materialize(found.where(~kept).select("row"), "pipeline-rejected"), "row", "left_anti").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
