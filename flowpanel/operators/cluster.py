@@ -1,9 +1,8 @@
-"""Clustering and cluster quality.
+"""Clustering and cluster quality.
 
-Fitting uses spark.ml estimators on a ``VectorAssembler`` column; quality
-measures are aggregates over per-cluster moments: the only per-cluster state
-that meets other clusters is the k × p centroid table (k is a parameter), held
-as one array row and broadcast — never a pairwise join of points.
+Points are one array column from the scan on (:mod:`.vectors`); fits of all restarts and all k share their passes
+(:mod:`.fits`).  Quality measures are aggregates over per-cluster moments: the only per-cluster state that meets other
+clusters is the k × p centroid table (k is a parameter) — never a pairwise join of points.
 """
 
 from __future__ import annotations
@@ -11,8 +10,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.ml.clustering import GaussianMixture, KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -20,50 +17,27 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import spread_join
 from ..functions.scalar import safe_div
-from . import pairs
+from . import fits, pairs, vectors
 from .graph import _materialize
-from .prep import scale
 
 
-def _assemble(df: DataFrame, cols, out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="skip").transform(df)
+def _by(df: DataFrame, cols, id_col: str, standardize: bool = True) -> DataFrame:
+    """(id, v) of the complete rows, scaled if asked, written once: every pass of a fit reads it."""
+    x = vectors.points(df, cols, [id_col])
+    return _materialize(vectors.standardised(x) if standardize else x)
 
 
 def kmeans(df: DataFrame, cols, id_col: str, k: int, restarts: int = 10, seed: int = 42,
-           standardize: bool = True, max_iter: int = 300, parallelism: int = 8) -> tuple[DataFrame, float]:
-    """K-means with ``restarts`` seeded runs, keeping the lowest cost.
+           standardize: bool = True, max_iter: int = 300) -> tuple[DataFrame, float]:
+    """K-means with ``restarts`` seeded runs, keeping the lowest cost; ``cols`` names the columns, or one array.
 
-    Labels are canonical: clusters are numbered by the order of their centroids
-    (lexicographic on the coordinates), so reruns and restarts agree.
+    All runs move in the same passes (:mod:`.fits`).  Labels are canonical: clusters are numbered by the order of their
+    centroids (lexicographic on the coordinates), so reruns and restarts agree.
     Returns (``id, label`` DataFrame, cost).
     """
-    x = df.select(id_col, *cols).dropna()
-    if standardize:
-        x, _ = scale(x, list(cols), "standard")
-    data = _assemble(x, cols).select(id_col, "features").cache()
-
-    def fit(r):
-        m = KMeans(k=k, seed=seed + r, maxIter=max_iter, initMode="k-means||").fit(data)
-        return r, m, m.summary.trainingCost
-
-    # restarts are independent jobs: submit them concurrently (Spark schedules
-    # jobs from several driver threads), keep the lowest cost, ties → first seed
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=min(parallelism, restarts)) as ex:
-        fits = sorted(ex.map(fit, range(restarts)), key=lambda t: (t[2], t[0]))
-    _, model, cost = fits[0]
-    centers = [list(map(float, c)) for c in model.clusterCenters()]
-    order = sorted(range(len(centers)), key=lambda i: centers[i])
-    relabel = F.create_map(*[x for new, old in enumerate(order) for x in (F.lit(old), F.lit(new))])
-    out = model.transform(data).select(id_col, relabel[F.col("prediction")].alias("label"))
-    data.unpersist()
-    return out, float(cost)
-
-
-def _points(df: DataFrame, cols, keep) -> DataFrame:
-    """(keep..., v array<double>) of the rows without a NULL coordinate: one column whatever the dimension."""
-    v = F.array(*[F.col(c).cast("double") for c in cols])
-    return df.dropna(subset=list(cols)).select(*keep, v.alias("v"))
+    x = _by(df, cols, id_col, standardize)
+    centers, cost = fits.kmeans_best(x, id_col, [k], restarts, seed, max_iter)[k]
+    return fits.labelled(x, [centers], [id_col]).select(id_col, F.col("labels")[0].alias("label")), cost
 
 
 def _mean(v: str = "v"):
@@ -90,7 +64,7 @@ def _with_summaries(df: DataFrame, clusters: DataFrame) -> DataFrame:
 
 def quality(df: DataFrame, cols, label: str) -> DataFrame:
     """C10 inertia, C12 Calinski–Harabasz, C13 Davies–Bouldin (one row)."""
-    pts = _points(df, cols, [label])
+    pts = vectors.points(df, cols, [label])
     cent = pts.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), _mean().alias("_m"))
     glob = pts.agg(_mean().alias("_g"), F.count(F.lit(1)).alias("_total"))
     j = spread_join(pts, cent, label).select(label, _sq("v", F.col("_m")).alias("_d2"))
@@ -116,7 +90,7 @@ def silhouette_sq(df: DataFrame, cols, label: str, id_col: str) -> DataFrame:
     the point itself is excluded (× n_C / (n_C − 1)).  Exact, O(n·k·p), no pairs of points.
     Returns (id, label, silhouette); a singleton cluster gets 0.
     """
-    pts = _points(df, cols, [id_col, label])
+    pts = vectors.points(df, cols, [id_col, label])
     cent = pts.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), _mean().alias("_m"))
     q = spread_join(pts, cent, label).groupBy(label).agg(F.avg(_sq("v", F.col("_m"))).alias("_q"))
     cl = _materialize(cent.join(q, label).select(F.col(label).alias("l"), F.col("_n").alias("n"),
@@ -143,45 +117,63 @@ def profile(df: DataFrame, cols, label: str, noise=-1) -> DataFrame:
                     *[y for c in cols for y in (f"{c}_mean", f"{c}_std")])
 
 
+def _sweep_table(spark, ks, rows: list[dict], names) -> DataFrame:
+    got = [(int(k), *[None if r[n] is None else float(r[n]) for n in names]) for k, r in zip(ks, rows)]
+    return spark.createDataFrame(got, "k int, " + ", ".join(f"{n} double" for n in names))
+
+
+def _best(out: DataFrame, *order) -> DataFrame:
+    """``best`` marks the first row of a sweep's table (a row for each k) by the order."""
+    return out.withColumn("best", F.row_number().over(Window.orderBy(*order)) == 1)
+
+
 def kmeans_sweep(df: DataFrame, cols, id_col: str, k_values=range(2, 11), restarts: int = 10,
                  seed: int = 42) -> DataFrame:
     """C2 + C9: k-means for each k with inertia, squared-Euclidean silhouette,
     Calinski–Harabasz and Davies–Bouldin; ``best`` marks the max silhouette
-    (first k on ties)."""
-    x = df.select(id_col, *cols).dropna()
-    z, _ = scale(x, list(cols), "standard")
-    z = z.cache()
-    rows = []
-    for k in k_values:
-        lab, cost = kmeans(z, cols, id_col, k, restarts=restarts, seed=seed, standardize=False)
-        j = z.join(lab, id_col)
-        q = quality(j, cols, "label").first()
-        sil = silhouette_sq(j, cols, "label", id_col).agg(F.avg("silhouette")).first()[0]
-        rows.append((int(k), float(cost), float(sil), float(q["calinski_harabasz"]), float(q["davies_bouldin"])))
-    z.unpersist()
-    spark = df.sparkSession
-    out = spark.createDataFrame(rows, "k int, inertia double, silhouette double, calinski_harabasz double, "
-                                      "davies_bouldin double")
-    w = Window.orderBy(F.col("silhouette").desc(), F.col("k"))  # k_values rows only
-    return out.withColumn("best", F.row_number().over(w) == 1)
-
-
-def gmm_sweep(df: DataFrame, cols, k_values=range(2, 11), seed: int = 42) -> DataFrame:
-    """C5 + C6: Gaussian mixtures (full covariance) for each k with log-likelihood,
-    BIC and AIC; params = (k−1) + k·p + k·p(p+1)/2."""
-    x = _assemble(df.select(*cols).dropna(), cols).select("features").cache()
-    n = x.count()
-    p = len(cols)
-    rows = []
-    for k in k_values:
-        m = GaussianMixture(k=k, seed=seed, maxIter=100).fit(x)
-        ll = float(m.summary.logLikelihood)
-        npar = (k - 1) + k * p + k * p * (p + 1) / 2
-        rows.append((int(k), ll, -2 * ll + npar * math.log(n), -2 * ll + 2 * npar))
-    x.unpersist()
-    out = df.sparkSession.createDataFrame(rows, "k int, log_likelihood double, bic double, aic double")
-    w = Window.orderBy(F.col("bic"), F.col("k"))
-    return out.withColumn("best", F.row_number().over(w) == 1)
+    (first k on ties).  Every restart of every k moves in the same passes, two more passes score all of them."""
+    x, ks = _by(df, cols, id_col), list(k_values)
+    found = fits.kmeans_best(x, id_col, ks, restarts, seed)
+    rows = fits.evaluate(fits.labelled(x, [found[k][0] for k in ks]), len(ks))
+    out = _sweep_table(df.sparkSession, ks, rows, ["inertia", "silhouette", "calinski_harabasz", "davies_bouldin"])
+    return _best(out, F.col("silhouette").desc_nulls_last(), "k")
+
+
+def _mixtures(x: DataFrame, id_col: str, ks, seed: int, restarts: int = 1) -> list:
+    """Gaussian mixtures from the k-means solutions of the same seed."""
+    found = fits.kmeans_best(x, id_col, ks, restarts, seed)
+    return fits.mixtures(x, [found[k][0] for k in ks])
+
+
+def gmm(df: DataFrame, cols, id_col: str, k: int, seed: int = 42, standardize: bool = True):
+    """Gaussian mixture with full covariances; (labels (id, label), :class:`.fits.Mixture`)."""
+    x = _by(df, cols, id_col, standardize)
+    m = _mixtures(x, id_col, [k], seed)[0]
+    return fits.labelled(x, [m], [id_col]).select(id_col, F.col("labels")[0].alias("label")), m
+
+
+def gmm_sweep(df: DataFrame, cols, id_col: str, k_values=range(1, 11), seed: int = 42) -> DataFrame:
+    """C5 + C6: Gaussian mixtures (full covariance) on standardised points for each k, with log-likelihood, BIC, AIC and
+    squared-Euclidean silhouette (null for k = 1, whose fit is the points' own mean and covariance);
+    params = (k−1) + k·p + k·p(p+1)/2; ``best`` marks the least BIC."""
+    x, ks = _by(df, cols, id_col), list(k_values)
+    models = _mixtures(x, id_col, ks, seed)
+    rows = fits.evaluate(fits.labelled(x, models), len(ks))
+    for m, r in zip(models, rows):
+        r |= {"log_likelihood": m.loglik, "bic": -2 * m.loglik + m.parameters() * math.log(r["n"]), "aic": -2 * m.loglik + 2 * m.parameters()}
+    return _best(_sweep_table(df.sparkSession, ks, rows, ["log_likelihood", "bic", "aic", "silhouette"]), "bic", "k")
+
+
+def compare(df: DataFrame, cols, id_col: str, k: int, seed: int = 42, n_micro: int = 200) -> DataFrame:
+    """C14: k-means, Ward and Gaussian mixture at the same k by mean silhouette (squared-Euclidean form)."""
+    x = _by(df, cols, id_col)
+    centers = fits.kmeans_best(x, id_col, [k], 10, seed)[k][0]
+    tree = _ward_centers(x, id_col, [k], n_micro, seed)[k]
+    mixture = _mixtures(x, id_col, [k], seed)[0]
+    rows = fits.evaluate(fits.labelled(x, [centers, tree, mixture]), 3)
+    got = [(name, r["silhouette"]) for name, r in zip(("kmeans", "ward", "gmm"), rows)]
+    out = df.sparkSession.createDataFrame(got, "method string, silhouette double")
+    return out.withColumn("best", F.col("silhouette") == max(s for _, s in got if s is not None))
 
 
 def dbscan(df: DataFrame, id_col: str, cols, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
@@ -195,7 +187,7 @@ def dbscan(df: DataFrame, id_col: str, cols, eps: float = 0.5, min_samples: int
     """
     from .graph import components
     cols = list(cols)
-    pts = df.select(F.col(id_col).alias("_id"), *[F.col(c).cast("double").alias(c) for c in cols]).dropna()
+    pts = vectors.complete(df.select(F.col(id_col).alias("_id"), *[F.col(c).cast("double").alias(c) for c in cols]))
     grp = _materialize(pts.groupBy(*cols).agg(F.min("_id").alias("i"), F.count(F.lit(1)).alias("_wt")))
     nb = _materialize(pairs.within(grp, "i", cols, eps).select("i", F.col("nbr").alias("j")))
     wt = grp.select(F.col("i").alias("j"), "_wt")
@@ -269,62 +261,32 @@ def _cut(merges, m: int, k: int) -> np.ndarray:
     return np.array([order[r] for r in roots])
 
 
+def _ward_centers(x: DataFrame, id_col: str, k_values, n_micro: int, seed: int) -> dict:
+    """{k: model} of one Ward tree over ``n_micro`` micro-clusters of the points, cut at each k."""
+    centers, _ = fits.kmeans_best(x, id_col, [n_micro], 1, seed)[n_micro]
+    weights = fits.sizes(x, centers)
+    centers = centers[weights > 0]
+    merges = _ward_tree(centers, weights[weights > 0])
+    return {k: fits.Grouped(centers, _cut(merges, len(centers), min(k, len(centers)))) for k in k_values}
+
+
 def ward(df: DataFrame, cols, id_col: str, k_values=(3,), n_micro: int = 200, seed: int = 42):
     """C3 + C4: Ward hierarchical clustering.
 
-    The data is summarised by ``n_micro`` k-means micro-clusters on the executors (as many as there
-    are distinct points, if those are fewer), and Ward merges their weighted centroids; only those
-    reach the driver, whatever the number of rows.  Labels go back through a join with the item →
-    cluster map.  Returns {k: DataFrame(id, label)}.
+    The points are summarised by ``n_micro`` k-means micro-clusters (the distinct points themselves, if those are fewer),
+    and Ward merges their weighted centroids; only those reach the driver, whatever the number of rows.  A point's label
+    is its micro-cluster's.  Returns {k: DataFrame(id, label)}.
     """
-    cols = list(cols)
-    x = df.select(id_col, *cols).dropna()
-    z, _ = scale(x, cols, "standard")
-    spark = df.sparkSession
-    lab, _ = kmeans(z, cols, id_col, k=n_micro, restarts=1, seed=seed, standardize=False)
-    item = lab.select(id_col, F.col("label").alias("item"))
-    cs = (z.join(item, id_col).groupBy("item")
-          .agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(c) for c in cols]).orderBy("item").collect())
-    cent = np.array([[r[c] for c in cols] for r in cs])
-    wts = np.array([r["_n"] for r in cs], dtype=float)
-    remap = {r["item"]: i for i, r in enumerate(cs)}
-    item = item.withColumn("item", F.create_map(*[x for a, b in remap.items() for x in (F.lit(a), F.lit(b))])[F.col("item")])
-    merges = _ward_tree(cent, wts)
-    out = {}
-    for k in k_values:
-        labels = _cut(merges, len(wts), k)
-        m = spark.createDataFrame([(i, int(l)) for i, l in enumerate(labels)], "item int, label int")
-        out[k] = item.join(F.broadcast(m), "item").select(id_col, "label")
-    return out
-
-
-def ward_sweep(df: DataFrame, cols, id_col: str, k_values=range(2, 11), n_micro: int = 200) -> DataFrame:
+    x, ks = _by(df, cols, id_col), list(k_values)
+    models = _ward_centers(x, id_col, ks, n_micro, seed)
+    lab = fits.labelled(x, [models[k] for k in ks], [id_col])
+    return {k: lab.select(id_col, F.col("labels")[i].alias("label")) for i, k in enumerate(ks)}
+
+
+def ward_sweep(df: DataFrame, cols, id_col: str, k_values=range(2, 11), n_micro: int = 200, seed: int = 42) -> DataFrame:
     """C4: one Ward tree, cut at every k, with silhouette (squared), CH and DB."""
-    cols = list(cols)
-    z, _ = scale(df.select(id_col, *cols).dropna(), cols, "standard")
-    z = z.cache()
-    cuts = ward(z, cols, id_col, list(k_values), n_micro)
-    rows = []
-    for k, lab in cuts.items():
-        j = z.join(lab, id_col)
-        q = quality(j, cols, "label").first()
-        sil = silhouette_sq(j, cols, "label", id_col).agg(F.avg("silhouette")).first()[0]
-        rows.append((int(k), float(sil), float(q["calinski_harabasz"]), float(q["davies_bouldin"])))
-    z.unpersist()
-    out = df.sparkSession.createDataFrame(rows, "k int, silhouette double, calinski_harabasz double, davies_bouldin double")
-    return out.withColumn("best", F.row_number().over(Window.orderBy(F.col("silhouette").desc(), "k")) == 1)
-
-
-def spectral(df: DataFrame, cols, id_col: str, k: int, n_neighbors: int = 10, gamma: float = 1.0,
-             max_iter: int = 30) -> DataFrame:
-    """Spectral clustering re-aimed to power iteration clustering on a
-    kNN-sparsified RBF affinity graph (exact grid kNN, symmetrised)."""
-    from pyspark.ml.clustering import PowerIterationClustering
-    cols = list(cols)
-    z, _ = scale(df.select(id_col, *cols).dropna(), cols, "standard")
-    nn = pairs.knn(z, id_col, cols, k=n_neighbors)
-    # an undirected edge per pair, whether one or both are the other's neighbour
-    e = nn.groupBy(F.least(id_col, "nbr").cast("long").alias("src"), F.greatest(id_col, "nbr").cast("long").alias("dst")) \
-        .agg(F.max(F.exp(-gamma * F.col("dist") ** 2)).alias("weight"))
-    pic = PowerIterationClustering(k=k, maxIter=max_iter, weightCol="weight", initMode="degree")
-    return pic.assignClusters(e).select(F.col("id").alias(id_col), F.col("cluster").alias("label"))
+    x, ks = _by(df, cols, id_col), list(k_values)
+    models = _ward_centers(x, id_col, ks, n_micro, seed)
+    rows = fits.evaluate(fits.labelled(x, [models[k] for k in ks]), len(ks))
+    out = _sweep_table(df.sparkSession, ks, rows, ["silhouette", "calinski_harabasz", "davies_bouldin"])
+    return _best(out, F.col("silhouette").desc_nulls_last(), "k")

@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import safe_div
+from .boosting import BoostedRegressor, Preset
 from .prep import apply_scale, scale_params
+from .vectors import complete
 
 
 def _hash_mod(id_col: str, seed: int, n: int):
@@ -44,8 +46,8 @@ def _assemble(df: DataFrame, x_cols, out="features"):
 
 def prepare(df: DataFrame, id_col: str, y: str, x_cols, test: float = 0.2):
     """M1: split, then standard-scale with parameters fitted on the train part only."""
-    data = df.select(id_col, F.col(y).cast("double").alias("label"),
-                     *[F.col(c).cast("double").alias(c) for c in x_cols]).dropna()
+    data = complete(df.select(id_col, F.col(y).cast("double").alias("label"),
+                              *[F.col(c).cast("double").alias(c) for c in x_cols]))
     train, test_ = split(data, id_col, test)
     p = scale_params(train, list(x_cols), "standard")
     return (_assemble(apply_scale(train, list(x_cols), p), x_cols),
@@ -64,8 +66,10 @@ def estimators(n_train: int) -> dict:
         "decision_tree": DecisionTreeRegressor(maxDepth=30, seed=42),
         "random_forest": RandomForestRegressor(numTrees=100, maxDepth=15, seed=42),
         "gradient_boosting": GBTRegressor(maxIter=100, seed=42),
-        # shallow boosted trees; histogram-boosting libraries' presets are this one estimator here
         "boosted_shallow": GBTRegressor(maxIter=100, stepSize=0.1, maxDepth=3, seed=42),
+        # second-order boosting on histograms: 100 rounds, rate 0.1, depth 3
+        "boosted_depth_wise": BoostedRegressor(Preset.depth_wise()),
+        "boosted_leaf_wise": BoostedRegressor(Preset.leaf_wise()),
     }
 
 
@@ -123,8 +127,8 @@ def importances(spark, fitted: dict, x_cols) -> DataFrame:
 def cross_validate(df: DataFrame, id_col: str, y: str, x_cols, name: str = "linear_regression",
                    k: int = 5) -> DataFrame:
     """K-fold R² on hash folds: per-fold score, then mean and population std."""
-    data = _assemble(df.select(id_col, F.col(y).cast("double").alias("label"),
-                               *[F.col(c).cast("double").alias(c) for c in x_cols]).dropna(), x_cols)
+    data = _assemble(complete(df.select(id_col, F.col(y).cast("double").alias("label"),
+                                        *[F.col(c).cast("double").alias(c) for c in x_cols])), x_cols)
     data = fold_col(data, id_col, k).cache()
     est = estimators(data.count())[name]
     rows = []
@@ -145,8 +149,8 @@ def grid_search(df: DataFrame, id_col: str, y: str, x_cols, name: str = "random_
     ``grid`` maps parameter names of the estimator to lists of values (default: a small forest grid).
     One row per combination, best first."""
     grid = grid or {"numTrees": [20, 50], "maxDepth": [3, 5]}
-    data = _assemble(df.select(id_col, F.col(y).cast("double").alias("label"),
-                               *[F.col(c).cast("double").alias(c) for c in x_cols]).dropna(), x_cols)
+    data = _assemble(complete(df.select(id_col, F.col(y).cast("double").alias("label"),
+                                        *[F.col(c).cast("double").alias(c) for c in x_cols])), x_cols)
     data = fold_col(data, id_col, k).cache()
     est = estimators(data.count())[name]
     build = ParamGridBuilder()
@@ -166,8 +170,8 @@ def ols(df: DataFrame, y: str, x_cols) -> dict:
     """Normal-equation OLS with intercept: one Gramian aggregate, driver solve of
     (k+1)²; then R² and MSE from a second aggregate with the coefficients as literals."""
     cols = ["_one"] + list(x_cols)
-    d = df.select(F.lit(1.0).alias("_one"), F.col(y).cast("double").alias("_y"),
-                  *[F.col(c).cast("double").alias(c) for c in x_cols]).dropna()
+    d = complete(df.select(F.lit(1.0).alias("_one"), F.col(y).cast("double").alias("_y"),
+                           *[F.col(c).cast("double").alias(c) for c in x_cols]))
     aggs = [F.sum(F.col(a) * F.col(b)).alias(f"g_{i}_{j}") for i, a in enumerate(cols)
             for j, b in enumerate(cols) if j >= i]
     aggs += [F.sum(F.col(a) * F.col("_y")).alias(f"r_{i}") for i, a in enumerate(cols)]

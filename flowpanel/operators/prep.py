@@ -9,7 +9,7 @@ through the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import quantiles_wide
@@ -236,48 +236,51 @@ def auto_transform(df: DataFrame, cols) -> DataFrame:
 
 
 def knn_impute(df: DataFrame, cols, id_col: str, k: int = 5) -> DataFrame:
-    """kNN imputation (uniform weights).  For a row missing column c, the
-    donors are rows having c and every coordinate the row has; the distance is
-    the NaN-Euclidean one, sqrt(p/|shared| · Σ shared Δ²), which for a fixed
-    missing pattern ranks donors like the plain Euclidean distance on the shared
-    coordinates — so the exact grid kNN does the search.  Donors that miss one
-    of the row's coordinates are not considered (they would be with a shared
-    subset in the single-machine definition).  A row without a usable coordinate or without a
-    donor gets the column's mean, so no NULL is left in a column that has values.  One search
-    per (column, pattern); patterns are the distinct NULL masks (at most 2^(p−1) per column).
+    """kNN imputation (uniform weights) with every donor.  The donors of a row's missing column are all rows that have
+    it and share a coordinate with the row; their distance is the NaN-Euclidean one, sqrt(p/|shared| · Σ shared Δ²), ties
+    go to the smaller id.
+
+    Rows are grouped by their NULL mask.  A pair of masks (of a row, of a donor) fixes the shared coordinates, so it is
+    one group of an exact nearest-neighbour search over these coordinates; the pairs' lists of ``k`` are scaled by
+    sqrt(p/|shared|) and merged into the ``k`` nearest of a column.  All pairs are searched in one job of
+    :func:`.neighbours.nearest`.  Only masks that occur count: rows are copied once for each mask they can meet.
+
+    A row without a coordinate or without a donor gets the column's mean, so no NULL (or NaN) is left in a column that
+    has values.  Ids must be distinct and not null.
     """
-    from .pairs import knn
+    from .graph import _materialize
+    from .neighbours import nearest
     cols = list(cols)
-    base = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in cols])
-    mask = F.concat(*[F.when(F.col(c).isNull(), F.lit("0")).otherwise(F.lit("1")) for c in cols])
-    patterns = [r[0] for r in base.select(mask.alias("m")).distinct().collect()]  # ≤ 2^p strings
-    fills = []
-    for ci, c in enumerate(cols):
-        for pat in patterns:
-            if pat[ci] != "0":
-                continue
-            present = [o for oi, o in enumerate(cols) if oi != ci and pat[oi] == "1"]
-            if not present:
-                continue
-            q = base.where(mask == pat).select(id_col, *present)
-            donors = base.where(F.col(c).isNotNull())
-            for o in present:
-                donors = donors.where(F.col(o).isNotNull())
-            nn = knn(q, id_col, present, k=k, candidates=donors.select(id_col, *present))
-            vals = donors.select(F.col(id_col).alias("nbr"), F.col(c).alias("_v"))
-            fills.append(nn.join(vals, "nbr").groupBy(id_col).agg(F.avg("_v").alias("_fill"))
-                         .withColumn("_col", F.lit(c)))
-    means = base.agg(*[F.avg(c).alias(f"{c}__fill") for c in cols])
-    out = df
-    if fills:
-        from functools import reduce as _reduce
-        allf = _reduce(lambda a, b: a.unionByName(b), fills)
-        wide = allf.groupBy(id_col).agg(*[F.max(F.when(F.col("_col") == c, F.col("_fill"))).alias(f"_f_{c}")
-                                          for c in cols])
-        out = out.join(wide, id_col, "left").withColumns({
-            c: F.coalesce(F.col(c).cast("double"), F.col(f"_f_{c}")) for c in cols}).drop(*[f"_f_{c}" for c in cols])
-    return _attach(out, means).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"{c}__fill")) for c in cols}) \
-        .drop(*[f"{c}__fill" for c in cols])
+    p = len(cols)
+    value = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
+    base = _materialize(df.select(
+        F.col(id_col).alias("i"), F.array(*[value[c] for c in cols]).alias("x"),
+        F.concat(*[F.when(value[c].isNull(), "0").otherwise("1") for c in cols]).alias("mask")))
+    masks = base.select("mask").distinct()
+    bits = [(F.substring("mask", j + 1, 1) == "1", F.substring("donor", j + 1, 1) == "1") for j in range(p)]
+    shared = sum((a & b).cast("int") for a, b in bits)
+    gives = F.lit(False)
+    for a, b in bits:
+        gives = gives | (~a & b)
+    pairs = _materialize(masks.join(masks.withColumnRenamed("mask", "donor"), gives & (shared > 0)).select(
+        "mask", "donor", F.concat_ws(":", "mask", "donor").alias("g"), shared.alias("shared")))
+    on_both = F.transform("x", lambda x, j: F.when((F.substring(F.col("mask"), j + 1, F.lit(1)) == "1") & (F.substring(F.col("donor"), j + 1, F.lit(1)) == "1"), x)
+                          .otherwise(F.lit(0.0)))
+    rows = _materialize(base.join(pairs, "mask").select("g", "i", on_both.alias("v"), "mask", "donor", "shared"))
+    donors = base.withColumnRenamed("mask", "donor").join(pairs, "donor").select("g", "i", on_both.alias("v"))
+    near = nearest(rows, donors, k)
+    lists = rows.join(near, ["g", "v"]).select("i", "mask", "shared", F.explode("near").alias("d")).select(
+        "i", "mask", (F.col("d.dist") * F.sqrt(F.lit(float(p)) / F.col("shared"))).alias("dist"), F.col("d.i").alias("donor"))
+    met = lists.join(base.select(F.col("i").alias("donor"), "x"), "donor").select(
+        "i", "dist", "donor", "mask", F.posexplode("x").alias("j", "value"))
+    met = met.where((F.substring(F.col("mask"), F.col("j") + 1, F.lit(1)) == "0") & F.col("value").isNotNull())
+    w = Window.partitionBy("i", "j").orderBy("dist", "donor")
+    fill = met.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+    wide = fill.groupBy(F.col("i").alias(id_col)).agg(
+        *[F.avg(F.when(F.col("j") == j, F.col("value"))).alias(f"_f_{c}") for j, c in enumerate(cols)])
+    out = df.withColumns(value).join(wide, id_col, "left").withColumns({c: F.coalesce(c, f"_f_{c}") for c in cols}).drop(*[f"_f_{c}" for c in cols])
+    means = base.agg(*[F.avg(F.col("x")[j]).alias(f"{c}__fill") for j, c in enumerate(cols)])
+    return _attach(out, means).withColumns({c: F.coalesce(F.col(c), F.col(f"{c}__fill")) for c in cols}).drop(*[f"{c}__fill" for c in cols])
 
 
 def mice_impute(df: DataFrame, cols, id_col: str, rounds: int = 10, alpha: float = 1e-6) -> DataFrame:

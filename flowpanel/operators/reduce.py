@@ -16,7 +16,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import fits, vectors
+from .graph import _materialize
 from .prep import scale
+from .vectors import complete
 
 MAX_P = 2000
 
@@ -56,7 +59,7 @@ def pca_fit(df: DataFrame, cols) -> PcaResult:
     """Z-score with the population std, covariance with divisor n − 1, eigen
     decomposition (descending); each component's sign makes its largest
     |loading| positive."""
-    z, _ = scale(df.select(*cols).dropna(), list(cols), "standard")
+    z, _ = scale(complete(df.select(*cols)), list(cols), "standard")
     n, xtx = cross_products(z, cols)
     cov = xtx / (n - 1)
     vals, vecs = np.linalg.eigh(cov)
@@ -91,7 +94,7 @@ def pca_loadings(spark, res: PcaResult, k: int | None = None) -> DataFrame:
 
 def pca_scores(df: DataFrame, res: PcaResult, id_col: str, k: int = 3) -> DataFrame:
     """D3: scores of every row — k dot products as column expressions."""
-    z, _ = scale(df.select(id_col, *res.cols).dropna(), res.cols, "standard")
+    z, _ = scale(complete(df.select(id_col, *res.cols)), res.cols, "standard")
     exprs = []
     for j in range(k):
         e = None
@@ -119,7 +122,7 @@ def component_rules(res: PcaResult, var_target: float = 0.85) -> dict:
 
 
 def correlation_matrix(df: DataFrame, cols):
-    z, _ = scale(df.select(*cols).dropna(), list(cols), "standard")
+    z, _ = scale(complete(df.select(*cols)), list(cols), "standard")
     n, xtx = cross_products(z, cols)
     d = np.sqrt(np.diag(xtx))
     d[d == 0] = 1.0
@@ -248,7 +251,7 @@ def factor_scores(df: DataFrame, cols, id_col: str, k: int | None = None, weight
     k = k or factor_count(df, cols)
     load, r, _ = factor_fit(df, cols, k)
     coef = np.linalg.solve(r, load)  # R⁻¹ L
-    z, _ = scale(df.select(id_col, *cols).dropna(), list(cols), "standard")
+    z, _ = scale(complete(df.select(id_col, *cols)), list(cols), "standard")
     exprs = []
     for j in range(k):
         e = None
@@ -275,7 +278,7 @@ def parallel_analysis(df: DataFrame, cols, id_col: str, permutations: int = 100,
     from ..functions.perms import permuted
     from ..operators.spatial import _dense_ids
     cols = list(cols)
-    z, _ = scale(df.select(id_col, *cols).dropna(), cols, "standard")
+    z, _ = scale(complete(df.select(id_col, *cols)), cols, "standard")
     n = z.count()
     dense = _dense_ids(z, id_col)
     zd = z.join(dense, id_col)
@@ -302,32 +305,64 @@ def parallel_analysis(df: DataFrame, cols, id_col: str, permutations: int = 100,
 
 # --- kernel and robust PCA (D10–D12) -----------------------------------------------
 
-def kernel_pca(df: DataFrame, cols, id_col: str, gamma: float | None = None, n_features: int = 100,
-               k: int = 3, seed: int = 42):
-    """D10 re-aimed: RBF kernel PCA through seeded random Fourier features
-    z(x) = √(2/D)·cos(Wx + b), W ~ N(0, 2γ), computed as D column expressions on
-    the standardised data; spark.ml ``PCA`` then forms the D×D covariance with a
-    distributed tree aggregate and decomposes it on the driver (D is a parameter).
-    Returns (explained-variance ratios, scores DataFrame with KPC1..KPCk)."""
-    from pyspark.ml.feature import PCA, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-    cols = list(cols)
-    p = len(cols)
-    gamma = gamma or 1.0 / p
-    rng = np.random.default_rng(seed)
-    w = rng.normal(scale=math.sqrt(2 * gamma), size=(p, n_features))
-    b = rng.uniform(0, 2 * math.pi, size=n_features)
-    z, _ = scale(df.select(id_col, *cols).dropna(), cols, "standard")
-    feats = []
-    for j in range(n_features):
-        lin = sum(F.col(c) * float(w[i, j]) for i, c in enumerate(cols)) + float(b[j])
-        feats.append((math.sqrt(2.0 / n_features) * F.cos(lin)).alias(f"rff{j}"))
-    names = [f"rff{j}" for j in range(n_features)]
-    zf = VectorAssembler(inputCols=names, outputCol="_rff").transform(z.select(id_col, *feats))
-    model = PCA(k=k, inputCol="_rff", outputCol="_kpc").fit(zf)
-    arr = vector_to_array(F.col("_kpc"))
-    scores = model.transform(zf).select(id_col, *[arr[j].alias(f"KPC{j + 1}") for j in range(k)])
-    return [float(v) for v in model.explainedVariance], scores
+def kernel(name: str, gamma: float, degree: int = 3, coef0: float = 1.0):
+    """Kernel matrix function of two point matrices."""
+    def unit(x):
+        return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
+
+    kinds = {
+        "linear": lambda a, b: a @ b.T,
+        "poly": lambda a, b: (gamma * (a @ b.T) + coef0) ** degree,
+        "rbf": lambda a, b: np.exp(-gamma * np.maximum((a * a).sum(axis=1)[:, None] - 2 * a @ b.T + (b * b).sum(axis=1), 0)),
+        "sigmoid": lambda a, b: np.tanh(gamma * (a @ b.T) + coef0),
+        "cosine": lambda a, b: unit(a) @ unit(b).T,
+    }
+    if name not in kinds:
+        raise ValueError(f"unknown kernel {name}")
+    return kinds[name]
+
+
+#: Landmarks of :func:`kernel_pca`.
+LANDMARKS = 256
+
+
+def kernel_pca(df: DataFrame, cols, id_col: str, kind: str = "rbf", gamma: float | None = None, degree: int = 3,
+               coef0: float = 1.0, landmarks: int = LANDMARKS, k: int = 3, seed: int = 42):
+    """Kernel PCA of the standardised points through ``landmarks`` hash-chosen ones (Nyström).
+
+    A point's features are its kernel values to the landmarks times K_mm^(-1/2) (positive eigenvalues only, so an
+    indefinite kernel keeps its positive part); their covariance is summed in one pass, landmarks squared numbers a task.
+    With as many landmarks as points this is kernel PCA itself.  ``gamma`` defaults to 1/p.
+    Returns (shares of the features' variance, scores (id, KPC1..KPCk)); scores are 0 beyond the features' rank."""
+    x = vectors.standardised(vectors.points(df, cols, [id_col]))
+    x = _materialize(x)
+    marks = np.unique(fits.seed_pool(x, id_col, seed, landmarks), axis=0)
+    if not len(marks):
+        raise ValueError("no complete row")
+    fn = kernel(kind, gamma or 1.0 / marks.shape[1], degree, coef0)
+    vals, vecs = np.linalg.eigh(fn(marks, marks))
+    keep = vals > max(vals.max(), 0) * 1e-12
+    root = vecs[:, keep] / np.sqrt(vals[keep])
+    m = root.shape[1]
+
+    def moments(z, _):
+        f = fn(z, marks) @ root
+        return {0: np.concatenate([[len(z)], f.sum(axis=0), (f.T @ f).ravel()])}
+
+    s = vectors.summed(x, moments)[0]
+    n, mean = s[0], s[1:m + 1] / s[0]
+    spread = s[m + 1:].reshape(m, m) - n * np.outer(mean, mean)
+    vals, vecs = np.linalg.eigh(spread)
+    order = np.argsort(vals)[::-1]
+    vals, vecs = np.clip(vals[order], 0, None), vecs[:, order]
+    for j in range(m):
+        if vecs[np.argmax(np.abs(vecs[:, j])), j] < 0:
+            vecs[:, j] = -vecs[:, j]
+    axes = np.zeros((m, k))
+    axes[:, :min(m, k)] = vecs[:, :k]
+    scores = vectors.mapped(x, lambda z: [vectors.lists((fn(z, marks) @ root - mean) @ axes)], "s array<double>", [id_col])
+    total = vals.sum()
+    return [float(v / total) if total else 0.0 for v in vals[:k]], scores.select(id_col, *[F.col("s")[j].alias(f"KPC{j + 1}") for j in range(k)])
 
 
 def robust_pca(df: DataFrame, cols, max_steps: int = 20, support: float | None = None) -> tuple:
@@ -338,7 +373,7 @@ def robust_pca(df: DataFrame, cols, max_steps: int = 20, support: float | None =
     Returns (PcaResult on the robust correlation, classical PcaResult)."""
     from ..functions.ranks import quantiles_wide
     cols = list(cols)
-    z, _ = scale(df.select(*cols).dropna(), cols, "standard")
+    z, _ = scale(complete(df.select(*cols)), cols, "standard")
     n = z.count()
     p = len(cols)
     h = int(support * n) if support else (n + p + 1) // 2

@@ -12,8 +12,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import cluster, predict, reduce, spatial
+from ..operators import cluster, predict, reduce, spatial, spectral
 from ..operators.ranking import top_entities
+from ..operators.vectors import complete
 from ..session import ensure_checkpoint_dir
 from ..sources import loaders
 from ..sources import testviews as tv
@@ -96,7 +97,7 @@ SELECT """ + R("AVG((y - yhat) * (y - yhat))", 0) + " AS mse, " + R("sqrt(AVG((y
 
 @query("regression_metrics", REG_METRICS_SQL)
 def q_reg_metrics(spark, sf):
-    p = tv.partfeat(spark, sf).select(F.col("revenue").alias("label"), "qty").dropna()
+    p = complete(tv.partfeat(spark, sf).select(F.col("revenue").alias("label"), "qty"))
     fit = p.agg(F.regr_slope("label", "qty").alias("_b"), F.regr_intercept("label", "qty").alias("_a"))
     pred = (p.withColumn("_k", F.lit(1)).join(F.broadcast(fit.withColumn("_k", F.lit(1))), "_k")
             .withColumn("prediction", F.col("_a") + F.col("_b") * F.col("qty")))
@@ -139,7 +140,7 @@ def q_kmeans_sweep(spark, sf):
 
 @query("gmm_sweep")
 def q_gmm_sweep(spark, sf):
-    return cluster.gmm_sweep(tv.geo(spark, sf), ["x", "y"], range(2, 11))
+    return cluster.gmm_sweep(_vec(spark, sf), CL_COLS, "vec_id", range(1, 11))
 
 
 DB_EPS, DB_MIN = 0.03, 5
@@ -163,19 +164,8 @@ def q_dbscan(spark, sf):
 
 @query("cluster_compare")
 def q_cluster_compare(spark, sf):
-    """C14: k-means vs Gaussian mixture at the same k, compared by silhouette."""
-    from pyspark.ml.clustering import GaussianMixture
-    v = _vec(spark, sf)
-    k = 10
-    lab, _ = cluster.kmeans(v, CL_COLS, "vec_id", k=k, restarts=10)
-    from ..operators.prep import scale
-    zs, _ = scale(v.select("vec_id", *CL_COLS), CL_COLS, "standard")
-    km = cluster.silhouette_sq(zs.join(lab, "vec_id"), CL_COLS, "label", "vec_id").agg(F.avg("silhouette")).first()[0]
-    g = GaussianMixture(k=k, seed=42).fit(cluster._assemble(zs, CL_COLS))
-    gl = g.transform(cluster._assemble(zs, CL_COLS)).select("vec_id", F.col("prediction").alias("label"))
-    gm = cluster.silhouette_sq(zs.join(gl, "vec_id"), CL_COLS, "label", "vec_id").agg(F.avg("silhouette")).first()[0]
-    out = spark.createDataFrame([("kmeans", float(km)), ("gmm", float(gm))], "method string, silhouette double")
-    return out.withColumn("best", F.col("silhouette") == max(km, gm))
+    """C14: k-means, Ward and Gaussian mixture at the same k, compared by silhouette."""
+    return cluster.compare(_vec(spark, sf), CL_COLS, "vec_id", k=10)
 
 
 @query("cluster_evolution")
@@ -244,6 +234,15 @@ def q_tree_models(spark, sf):
                              ["decision_tree", "random_forest", "gradient_boosting", "boosted_shallow"])
 
 
+@query("boosted_trees")
+def q_boosted_trees(spark, sf):
+    """M9 + M10: the two second-order boosted presets, 100 rounds each: test R² and importances."""
+    names = ["boosted_depth_wise", "boosted_leaf_wise"]
+    fitted = predict.fit_all(tv.partfeat(spark, sf), "p_partkey", "revenue", ML_X, names)
+    scores = spark.createDataFrame([(n, float(m["r2"]), float(m["rmse"])) for n, (_, m) in fitted.items()], "model string, r2 double, rmse double")
+    return predict.importances(spark, fitted, ML_X).join(scores, "model")
+
+
 @query("grid_search")
 def q_grid_search(spark, sf):
     return predict.grid_search(tv.partfeat(spark, sf), "p_partkey", "revenue", ML_X)
@@ -486,7 +485,7 @@ def q_ward(spark, sf):
 
 @query("spectral")
 def q_spectral(spark, sf):
-    return cluster.spectral(tv.geo(spark, sf), ["x", "y"], "vec_id", k=5)
+    return spectral.spectral(_vec(spark, sf), CL_COLS, "vec_id", k=5, gamma=1.0 / len(CL_COLS))
 
 
 @query("kernel_pca")

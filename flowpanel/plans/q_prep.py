@@ -489,18 +489,17 @@ def q_feature_pipeline(spark, sf):
 # --- rows-only: model-based imputation ------------------------------------------------
 
 def _knn_sql(k=5):
+    """NaN-Euclidean distances to every row that has the column and shares a coordinate."""
+    d2 = " + ".join(f"COALESCE((q.{o} - d.{o}) * (q.{o} - d.{o}), 0.0)" for o in NULL_COLS)
+    shared = " + ".join(f"CAST(q.{o} IS NOT NULL AND d.{o} IS NOT NULL AS INTEGER)" for o in NULL_COLS)
     fills = []
     for c in NULL_COLS:
-        rest = [o for o in NULL_COLS if o != c]
-        d2 = " + ".join(f"COALESCE(power(q.{o} - d.{o}, 2), 0.0)" for o in rest)
-        shared = " AND ".join(f"(q.{o} IS NULL OR d.{o} IS NOT NULL)" for o in rest)
-        some = " OR ".join(f"q.{o} IS NOT NULL" for o in rest)
         fills.append(f"""
 n_{c} AS (SELECT id, AVG(v) AS fill FROM (
     SELECT q.p_partkey AS id, d.{c} AS v,
-           ROW_NUMBER() OVER (PARTITION BY q.p_partkey ORDER BY sqrt({d2}), d.p_partkey) AS rn
+           ROW_NUMBER() OVER (PARTITION BY q.p_partkey ORDER BY sqrt({d2}) * sqrt({float(len(NULL_COLS))} / ({shared})), d.p_partkey) AS rn
     FROM partfeat_null q JOIN partfeat_null d ON q.p_partkey <> d.p_partkey
-    WHERE q.{c} IS NULL AND d.{c} IS NOT NULL AND {shared} AND ({some})) WHERE rn <= {k} GROUP BY 1)""")
+    WHERE q.{c} IS NULL AND d.{c} IS NOT NULL AND {shared} > 0) WHERE rn <= {k} GROUP BY 1)""")
     sel = ", ".join(R(f"COALESCE(CAST(p.{c} AS DOUBLE), n_{c}.fill, (SELECT AVG({c}) FROM partfeat_null))") + f" AS {c}"
                     for c in NULL_COLS)
     joins = " ".join(f"LEFT JOIN n_{c} ON n_{c}.id = p.p_partkey" for c in NULL_COLS)

@@ -189,10 +189,16 @@ def test_knn_impute_bruteforce(spark):
         rows.append((i, *r))
     df = spark.createDataFrame(rows, "id int, a double, b double, c double")
     got = {r["id"]: r for r in knn_impute(df, ["a", "b", "c"], "id", k=3).collect()}
-    complete = [i for i in range(60) if i not in {m for m, _ in miss}]
+    known = np.ones((60, 3), bool)
+    for mi, mc in miss:
+        known[mi, mc] = False
     for i, c in miss:
-        present = [j for j in range(3) if j != c]
-        d = sorted((float(np.sqrt(((x[j, present] - x[i, present]) ** 2).sum())), j) for j in complete)[:3]
+        d = []
+        for j in range(60):  # every row that has the column, over the coordinates both have
+            both = known[i] & known[j]
+            if known[j, c] and both.any():
+                d.append((float(np.sqrt(((x[j, both] - x[i, both]) ** 2).sum() * 3 / both.sum())), j))
+        d = sorted(d)[:3]
         expect = np.mean([x[j, c] for _, j in d])
         assert got[i]["abc"[c]] == pytest.approx(expect, abs=1e-12)
 

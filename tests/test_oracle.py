@@ -31,6 +31,10 @@ def sweep(low, high):
     return lambda rows: sorted(r["k"] for r in rows) == list(range(low, high + 1)) and sum(r["best"] for r in rows) == 1
 
 
+def by_k(rows):
+    return sorted(rows, key=lambda r: r["k"])
+
+
 def falling(name, places=1e-9):
     return lambda rows: all(a[name] >= b[name] - places for a, b in zip(rows, rows[1:]))
 
@@ -60,14 +64,22 @@ INVARIANTS = {
     "factor_scores": lambda rows: len(rows) == PARTS,
     "parallel_analysis": lambda rows: falling("eigenvalue")(rows) and all(
         r["retained"] == (r["eigenvalue"] > r["threshold_95"]) for r in rows),
-    "spectral": labels(5),
+    "spectral": lambda rows: labels(5)(rows) and len(rows) == VECTORS and len({r["label"] for r in rows}) == 5,
     "full_pipeline": lambda rows: labels(3)(rows),
-    "kernel_pca": lambda rows: len(rows) == VECTORS,
+    "kernel_pca": lambda rows: len(rows) == VECTORS and abs(sum(r["KPC1"] for r in rows)) < 1e-6 and
+    sum(r["KPC1"] ** 2 for r in rows) >= sum(r["KPC2"] ** 2 for r in rows) >= sum(r["KPC3"] ** 2 for r in rows) > 0,
+    "kmeans_sweep": lambda rows: sweep(2, 10)(rows) and all(a["inertia"] > b["inertia"] for a, b in zip(by_k(rows), by_k(rows)[1:])),
+    "gmm_sweep": lambda rows: sweep(1, 10)(rows) and all(r["bic"] > r["aic"] for r in rows)
+    and [r["k"] for r in rows if r["silhouette"] is None] == [1] and min(rows, key=lambda r: r["bic"])["best"],
+    "ward": lambda rows: sweep(2, 10)(rows) and all(-1 <= r["silhouette"] <= 1 for r in rows),
+    "cluster_compare": lambda rows: {r["method"] for r in rows} == {"kmeans", "ward", "gmm"} and sum(r["best"] for r in rows) == 1,
+    "boosted_trees": lambda rows: {r["model"] for r in rows} == {"boosted_depth_wise", "boosted_leaf_wise"} and all(
+        abs(sum(r["importance"] for r in rows if r["model"] == m) - 1) < 1e-9 for m in {r["model"] for r in rows})
+    and all(r["r2"] > 0.9 for r in rows),
     "robust_pca": lambda rows: falling("robust_eigenvalue")(rows),
 }
 #: Sweeps of many fits: their operators are tested with fewer fits in test_operators.py.
-MANY_FITS = {"kmeans_sweep", "gmm_sweep", "tree_models", "cluster_evolution", "grid_search", "cluster_compare", "ward",
-             "model_summary"}
+MANY_FITS = {"tree_models", "cluster_evolution", "grid_search", "model_summary"}
 #: Tested in tests/llm.
 TRAINING_DATA = {n for n in QUERIES if re.match(r"op\d+_|pipeline$", n)}
 
