@@ -8,7 +8,6 @@ id follow in the order of their text's SHA-256, then of ``lang`` and ``source``.
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,14 +57,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document has.  Characters cut in part go whole; documents with
     nothing but white space left go, unless they came so."""
-    def whole(batches):
-        for batch in batches:
-            texts = [b.decode("utf-8", "ignore") for b in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2)],
-                                             ["row", "text", "n_removed"])
-
     docs = _numbered(docs)
-    kept = suffix_dedup.dedup(docs, "row").select("doc_id", "kept", "n_removed").mapInArrow(whole, "row long, text string, n_removed long")
+    kept = suffix_dedup.dedup(docs, "row", as_text=True).select(F.col("doc_id").alias("row"), F.col("kept").alias("text"), "n_removed")
     return _with(docs, kept.where("n_removed = 0 or trim(text) != ''").drop("n_removed"))
 
 
@@ -74,14 +67,8 @@ def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = _numbered(docs)
     found = decontaminate.find(docs, queries.table(spark, sf_dir, "benchmark"), id_col="row")
 
-    def cut(batches):
-        for batch in batches:
-            texts = [t if not s else decontaminate.cut(t, [(x["start"], x["end"]) for x in s])
-                     for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
-
-    left = found.where("n_hit = 0 or n_hit < n_words").select("row", "text", "spans")
-    return _with(docs, left.mapInArrow(cut, "row long, text string"))
+    left = found.where("n_hit = 0 or n_hit < n_words")
+    return _with(docs, left.select("row", decontaminate.without().alias("text")))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .fmindex import FMIndex
 from .shared import Words, text_slices, utf8, word_table
@@ -141,18 +142,20 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str =
     own = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = own.schema["id"].dataType.simpleString()
     own = own.selectExpr("id", "text", "cast(null as binary) as hit", "cast(array() as array<string>) as items")
-    for block in _blocks(items, item_id_col, item_text_col, block_bytes):
-        own = own.mapInArrow(_searcher(block, window), f"id {kind}, text string, hit binary, items array<string>")
-    return own.mapInArrow(_finish, f"id {kind}, text string, n_words long, n_hit long, items array<string>, "
+    blocks = list(_blocks(items, item_id_col, item_text_col, block_bytes))
+
+    def run(batches):  # one Python pass whatever the number of blocks: every further one would be a worker more a task
+        for block in blocks:
+            batches = _searched(batches, Windows(block, window))
+        yield from _finish(batches)
+
+    return own.mapInArrow(run, f"id {kind}, text string, n_words long, n_hit long, items array<string>, "
                           "spans array<struct<start: long, end: long>>").withColumnRenamed("id", id_col)
 
 
-def _searcher(block, window: int):
-    def run(batches):
-        windows = Windows(block, window)
-        for batch in batches:
-            yield from _search(batch, windows)
-    return run
+def _searched(batches, windows: Windows):
+    for batch in batches:
+        yield from _search(batch, windows)
 
 
 def _search(batch: pa.RecordBatch, windows: Windows):
@@ -231,6 +234,17 @@ def _finish(batches):
                 ["id", "text", "n_words", "n_hit", "items", "spans"])
 
 
+def without(text: str = "text", spans: str = "spans"):
+    """Column of the text without the byte spans of :func:`find`, which lie between characters; the text itself without
+    spans."""
+    raw = F.encode(F.col(text), "UTF-8")
+    piece = lambda a, b: F.substring(raw, (a + 1).cast("int"), (b - a).cast("int"))
+    start = F.struct(F.lit(b"").alias("out"), F.lit(0).cast("long").alias("at"))
+    left = F.aggregate(spans, start, lambda s, x: F.struct(F.concat(s["out"], piece(s["at"], x["start"])).alias("out"), x["end"].alias("at")),
+                       lambda s: F.concat(s["out"], piece(s["at"], F.octet_length(raw).cast("long"))))
+    return F.when(F.size(spans) > 0, left.cast("string")).otherwise(F.col(text))
+
+
 def cut(text: str, spans) -> str:
     """``text`` without the byte spans."""
     raw, out, at = utf8([text])[0], [], 0

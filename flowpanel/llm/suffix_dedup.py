@@ -9,6 +9,8 @@ Where that reaches the window's length, an earlier document has the passage.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -82,10 +84,10 @@ def decide(c: Contexts) -> np.ndarray:
     return out
 
 
-_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept "
 
 
-def _finish(chunk: Chunk, gone: np.ndarray):
+def _finish(chunk: Chunk, gone: np.ndarray, as_text: bool = False):
     for lo in range(0, len(chunk.rows), 1024):
         rows = []
         for i in range(lo, min(lo + 1024, len(chunk.rows))):
@@ -95,14 +97,15 @@ def _finish(chunk: Chunk, gone: np.ndarray):
             spans = int((own[1:] & ~own[:-1]).sum() + own[:1].sum()) if n else 0
             kept = chunk.symbols[a:b][~own].tobytes() if n else chunk.rows[i]
             ident = int(chunk.ids[i])
-            rows.append((None if ident == NULL_ID else ident, int(b - a), n, spans, kept))
+            rows.append((None if ident == NULL_ID else ident, int(b - a), n, spans, kept.decode("utf-8", "ignore") if as_text else kept))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(x, t) for x, t in zip(zip(*rows), [*[pa.int64()] * 4, pa.binary()])],
+            [pa.array(x, t) for x, t in zip(zip(*rows), [*[pa.int64()] * 4, pa.string() if as_text else pa.binary()])],
             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept binary) for every row of ``docs``.
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, as_text: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept binary) for every row of ``docs``; with ``as_text`` ``kept`` is a string,
+    from which characters cut in part are left out.
 
     A byte is removed if a string of ``length`` bytes that covers it also starts in a row with a smaller id;
     strings are judged on the input.  ``n_spans`` counts maximal removed runs; ``kept`` is what is left, in
@@ -110,4 +113,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     with equal ids don't take from each other; an empty table gives an empty result; other columns are left out.
     """
     spec = Spec(window=length, gram=min(GRAM, max(1, length // 2)), words=False, weigh="first", decide=decide)
-    return repeats.remove(docs, spec, _finish, _SCHEMA, id_col, text_col)
+    finish = functools.partial(_finish, as_text=as_text)
+    return repeats.remove(docs, spec, finish, _SCHEMA + ("string" if as_text else "binary"), id_col, text_col)
