@@ -7,6 +7,7 @@ clusters is the k × p centroid table (k is a parameter) — never a pairwise jo
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -176,19 +177,31 @@ def compare(df: DataFrame, cols, id_col: str, k: int, seed: int = 42, n_micro: i
     return out.withColumn("best", F.col("silhouette") == max(s for _, s in got if s is not None))
 
 
+#: Core points of two neighbouring cells whose product is compared directly; beyond it their nearest pair is searched.
+DIRECT = 4096
+
+
 def dbscan(df: DataFrame, id_col: str, cols, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
     """DBSCAN (the point itself counts towards ``min_samples``; noise = −1).
 
-    Exact duplicates are first collapsed into one weighted point, so a hot
-    location costs one row.  Neighbourhoods come from the eps grid join, core
-    points are linked by connected components over core–core edges, border
-    points take the smallest label of their core neighbours.  A cluster's label
-    is the smallest id among its core points.
+    Exact duplicates are first collapsed into one weighted point, so a hot location costs one row.  Border points take the
+    smallest label of their core neighbours; a cluster's label is the smallest id among its core points.
+
+    In up to three dimensions no list of pairs is formed (:func:`_dbscan_cells`); beyond, neighbourhoods come from the eps
+    grid join.  Ids must be distinct.
     """
-    from .graph import components
     cols = list(cols)
     pts = vectors.complete(df.select(F.col(id_col).alias("_id"), *[F.col(c).cast("double").alias(c) for c in cols]))
     grp = _materialize(pts.groupBy(*cols).agg(F.min("_id").alias("i"), F.count(F.lit(1)).alias("_wt")))
+    lab = _dbscan_cells(grp, cols, eps, min_samples) if len(cols) <= 3 else _dbscan_pairs(grp, cols, eps, min_samples)
+    grp_lab = grp.select("i", *cols).join(lab, "i", "left")
+    return (pts.join(grp_lab, cols)
+            .select(F.col("_id").alias(id_col), F.coalesce(F.col("label"), F.lit(-1)).cast("long").alias("label")))
+
+
+def _dbscan_pairs(grp: DataFrame, cols, eps: float, min_samples: int) -> DataFrame:
+    """(i, label) of core and border points from all pairs within eps."""
+    from .graph import components
     nb = _materialize(pairs.within(grp, "i", cols, eps).select("i", F.col("nbr").alias("j")))
     wt = grp.select(F.col("i").alias("j"), "_wt")
     cnt = nb.join(wt, "j").groupBy("i").agg(F.sum("_wt").alias("_nw"))
@@ -200,9 +213,75 @@ def dbscan(df: DataFrame, id_col: str, cols, eps: float = 0.5, min_samples: int
                        .select("i", F.coalesce("component", "i").alias("label")))
     border = (nb.join(lab.withColumnRenamed("i", "j"), "j").join(core, "i", "left_anti")
               .groupBy("i").agg(F.min("label").alias("label")))
-    grp_lab = grp.select("i", *cols).join(lab.unionByName(border), "i", "left")
-    return (pts.join(grp_lab, cols)
-            .select(F.col("_id").alias(id_col), F.coalesce(F.col("label"), F.lit(-1)).cast("long").alias("label")))
+    return lab.unionByName(border)
+
+
+def _dbscan_cells(grp: DataFrame, cols, eps: float, min_samples: int) -> DataFrame:
+    """(i, label) of core and border points over cells whose diagonal is eps.
+
+    Points of one cell are neighbours.  A cell of ``min_samples`` points or more has only core points; the others hold
+    fewer than that, so comparing their points with the cells around is linear in the points.  Two cells with core points
+    are linked if their bounding boxes say so, else if some pair lies within eps: compared directly while the product of
+    their sizes is small, otherwise by a nearest-neighbour search of the smaller one's points in the larger one.
+    Clusters are the components of the cells' graph.
+    """
+    from .graph import components
+    from .neighbours import distance, nearest
+    d = len(cols)
+    side = eps / math.sqrt(d) * (1 - 1e-9)
+    reach = math.ceil(math.sqrt(d) * (1 + 1e-9))
+    v = F.array(*[F.col(c) for c in cols])
+    pts = _materialize(grp.select("i", "_wt", v.alias("v"), F.array(*[F.floor(F.col(c) / F.lit(side)).cast("long") for c in cols]).alias("c")))
+    weight = pts.groupBy("c").agg(F.sum("_wt").alias("_cw"))
+    around = F.array(*[F.array(*[F.lit(o).cast("long") for o in off]) for off in itertools.product(range(-reach, reach + 1), repeat=d)])
+
+    def beside(rows: DataFrame) -> DataFrame:
+        """Rows times the cells around their own (its own left out), as ``n``."""
+        out = rows.withColumn("_o", F.explode(around)).where(F.exists("_o", lambda x: x != 0))
+        return out.withColumn("n", F.zip_with("c", "_o", lambda a, b: a + b)).drop("_o")
+
+    both = pts.join(weight, "c")
+    sparse = _materialize(both.where(F.col("_cw") < min_samples))
+    near = beside(sparse.select("i", "v", "c")).join(pts.select(F.col("c").alias("n"), F.col("v").alias("_v"), "_wt"), "n") \
+        .where(distance(F.col("v"), F.col("_v")) <= eps).groupBy("i").agg(F.sum("_wt").alias("_nw"))
+    few = _materialize(sparse.join(near, "i", "left").withColumn("core", F.col("_cw") + F.coalesce("_nw", F.lit(0)) >= min_samples))
+    core = _materialize(both.where(F.col("_cw") >= min_samples).select("i", "v", "c").unionByName(few.where("core").select("i", "v", "c")))
+
+    vec = array_to_vector("v")
+    cells = _materialize(core.groupBy("c").agg(
+        F.min("i").alias("first"), F.count(F.lit(1)).alias("k"),
+        vector_to_array(Summarizer.min(vec)).alias("lo"), vector_to_array(Summarizer.max(vec)).alias("hi")))
+    other = cells.select(*[F.col(x).alias(f"n_{x}" if x != "c" else "n") for x in cells.columns])
+    pair = beside(cells).where(F.col("c") < F.col("n")).join(other, "n")
+    least = F.sqrt(F.aggregate(F.zip_with(F.zip_with("n_lo", "hi", lambda a, b: a - b), F.zip_with("lo", "n_hi", lambda a, b: a - b),
+                                          lambda a, b: F.greatest(a, b, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x * x))
+    most = F.sqrt(F.aggregate(F.zip_with(F.zip_with("n_hi", "lo", lambda a, b: a - b), F.zip_with("hi", "n_lo", lambda a, b: a - b),
+                                         lambda a, b: F.greatest(F.abs(a), F.abs(b))), F.lit(0.0), lambda s, x: s + x * x))
+    pair = _materialize(pair.withColumn("least", least).where(F.col("least") <= eps * (1 + 1e-9)).withColumn("sure", most <= eps * (1 - 1e-9))
+                        .withColumn("large", F.col("k").cast("double") * F.col("n_k") > DIRECT))
+    sure = pair.where("sure").select("first", "n_first")
+    open_ = pair.where("not sure").select("c", "n", "first", "n_first", "k", "n_k", "large")
+    mine, theirs = core.select("c", "v"), core.select(F.col("c").alias("n"), F.col("v").alias("_v"))
+    small = open_.where("not large").join(mine, "c").join(theirs, "n") \
+        .where(distance(F.col("v"), F.col("_v")) <= eps).select("first", "n_first").distinct()
+    links = sure.unionByName(small)
+    wide = open_.where("large")
+    if not wide.isEmpty():
+        g = F.concat_ws(":", "first", "n_first").alias("g")
+        less = F.col("k") <= F.col("n_k")
+        ends = wide.select(g, "first", "n_first", F.when(less, F.col("c")).otherwise(F.col("n")).alias("a"), F.when(less, F.col("n")).otherwise(F.col("c")).alias("b"))
+        one = ends.join(core.select(F.col("c").alias("a"), "i", "v"), "a").select("g", "i", "v")
+        two = ends.join(core.select(F.col("c").alias("b"), "i", "v"), "b").select("g", "i", "v")
+        hit = nearest(one, two, 1).where(F.col("near")[0]["dist"] <= eps).select("g").distinct()
+        links = links.unionByName(ends.join(hit, "g").select("first", "n_first"))
+    linked = components(links.select(F.col("first").alias("src"), F.col("n_first").alias("dst")))
+    named = cells.join(linked.withColumnRenamed("id", "first"), "first", "left").select("c", F.coalesce("component", "first").alias("label"))
+    lab = _materialize(core.join(named, "c").select("i", "label", "v", "c"))
+    rest = few.where("not core").select("i", "v", "c")
+    own = rest.select("i", "v", F.col("c").alias("n")).unionByName(beside(rest).select("i", "v", "n"))
+    border = own.join(lab.select(F.col("c").alias("n"), F.col("v").alias("_v"), "label"), "n") \
+        .where(distance(F.col("v"), F.col("_v")) <= eps).groupBy("i").agg(F.min("label").alias("label"))
+    return lab.select("i", "label").unionByName(border)
 
 
 def _ward_tree(cent: np.ndarray, wts: np.ndarray):

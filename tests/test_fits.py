@@ -311,3 +311,30 @@ def test_knn_imputation_uses_every_donor(spark):
     df = spark.createDataFrame(rows, "id long, a double, b double, c double, d double").withColumn("donor", F.lit("clash")).repartition(3)
     got = {r.id: [r[c] for c in cols] for r in prep.knn_impute(df, cols, "id", k=3).collect()}
     assert np.allclose([got[i] for i in range(len(x))], want)
+
+
+@pytest.mark.parametrize("dims", [1, 2, 3])
+def test_dbscan_of_dense_cells_equals_brute_force(spark, dims):
+    """Half of the points, all different, within one cell; chains, border points and noise around."""
+    rng = np.random.default_rng(12 + dims)
+    x = np.concatenate([rng.random((150, dims)) * 12, 3 + rng.random((150, dims)) * .2, 3.35 + rng.random((120, dims)) * .2, [[3.0] * dims] * 4])
+    eps, least = 0.5, 5
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    core = (d <= eps).sum(axis=1) >= least
+    label = {}
+    for i in np.flatnonzero(core):
+        if i in label:
+            continue
+        seen, todo = {i}, [i]
+        while todo:
+            for j in np.flatnonzero((d[todo.pop()] <= eps) & core):
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        label |= {j: min(seen) for j in seen}
+    for i in np.flatnonzero(~core):
+        label[i] = min((label[j] for j in np.flatnonzero((d[i] <= eps) & core)), default=-1)
+    names = [f"x{k}" for k in range(dims)]
+    df = frame(spark, x).select("id", *[F.col("v")[k].alias(n) for k, n in enumerate(names)])
+    got = {r.id: r.label for r in cluster.dbscan(df, "id", names, eps, least).collect()}
+    assert got == {int(i): int(v) for i, v in label.items()}
