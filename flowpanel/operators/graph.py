@@ -287,6 +287,57 @@ def path_stats(edges: DataFrame) -> DataFrame:
                     connected.alias("is_connected"))
 
 
+def neighbourhood(edges: DataFrame, lg_k: int = 12, max_hops: int = 1000) -> DataFrame:
+    """G3 for large graphs: (hops, pairs) — ordered pairs of different vertices within so many hops — of an undirected
+    graph, from one HyperLogLog sketch for each vertex.
+
+    A vertex's sketch of the vertices within h + 1 hops is the union of its neighbours' sketches for h hops, so the state
+    is one sketch a vertex (at most 2^lg_k registers) instead of all (source, node) pairs; the relative error of a sketch
+    is about 0.83 / sqrt(2^lg_k), and small counts are exact.  Ends once no sketch grows (``max_hops`` warns).
+    """
+    own = _materialize(edges.where(F.col("src") != F.col("dst")).select("src", "dst"))
+    both = _materialize(own.unionByName(own.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    state = _materialize(vertices(edges).groupBy("id").agg(F.hll_sketch_agg(F.col("id").cast("string"), F.lit(lg_k)).alias("s")))
+    rows, before = [], None
+    for hop in range(max_hops + 1):
+        within = state.agg(F.sum(F.hll_sketch_estimate("s") - 1).cast("double")).first()[0] or 0.0
+        rows.append((hop, float(within)))
+        if before is not None and within <= before:
+            rows.pop()
+            break
+        before = within
+        met = both.join(state.select(F.col("id").alias("dst"), "s"), "dst").select(F.col("src").alias("id"), "s")
+        state = _materialize(state.unionByName(met).groupBy("id").agg(F.hll_union_agg("s").alias("s")))
+    else:
+        warnings.warn(f"neighbourhood: still growing after {max_hops} hops")
+    return edges.sparkSession.createDataFrame(rows, "hops int, pairs double")
+
+
+def path_estimates(edges: DataFrame, lg_k: int = 12) -> DataFrame:
+    """G3 for large graphs: estimated mean path length over connected pairs, diameter, effective diameter (90 % of the
+    pairs, interpolated) and share of connected pairs, from :func:`neighbourhood`; the exact form is :func:`path_stats`."""
+    n = vertices(edges).count()
+    got = [(r["hops"], r["pairs"]) for r in neighbourhood(edges, lg_k).orderBy("hops").collect()]  # one row a hop
+    total = got[-1][1]
+    mean = sum(h * (b - a) for (_, a), (h, b) in zip(got, got[1:])) / total if total else None
+    effective = None
+    for (h0, a), (_, b) in zip(got, got[1:]):
+        if b >= 0.9 * total > a:
+            effective = h0 + (0.9 * total - a) / (b - a)
+    return edges.sparkSession.createDataFrame(
+        [(mean, got[-1][0], effective, total / (n * (n - 1)) if n > 1 else None)],
+        "avg_path_length double, diameter int, effective_diameter double, connected_share double")
+
+
+def summary(edges: DataFrame, directed: bool = True) -> DataFrame:
+    """One row of basic statistics with the mean path length, one of the small-world measures."""
+    k = F.lit(1)
+    paths = path_stats(to_undirected(edges) if directed else edges).select("avg_path_length", k.alias("_k"))
+    first = basic(edges, directed).withColumn("_k", k).join(paths, "_k").drop("_k").withColumn("metric", F.lit("basic"))
+    second = small_world(edges, directed).withColumn("metric", F.lit("small_world"))
+    return first.unionByName(second, allowMissingColumns=True)
+
+
 def betweenness(edges: DataFrame, pivots: int = 20, normalized: bool = True, seed: int = 42) -> DataFrame:
     """Weighted betweenness (edge weight as distance) by Brandes'
     accumulation from ``min(pivots, n)`` source pivots chosen by a seeded hash
@@ -406,7 +457,7 @@ def louvain(edges: DataFrame, max_levels: int = 50, max_rounds: int = 100, seed:
             break
         m = two_m / 2.0
         comm = deg.select("id", F.col("id").alias("c"))
-        moved_any = False
+        moved_any, quiet = False, 0
         for rnd in range(max_rounds):
             tot = deg.join(comm, "id").groupBy("c").agg(F.sum("k").alias("tot"))
             nb = (b.where(F.col("src") != F.col("dst"))
@@ -422,18 +473,20 @@ def louvain(edges: DataFrame, max_levels: int = 50, max_rounds: int = 100, seed:
             gain = ((F.col("k_ic") - F.col("k_id")) / m
                     - F.col("k") * (F.col("tot_c") - tot_d_wo) / (2 * m * m))
             cand = cand.where(F.col("cj") != F.col("c")).withColumn("gain", gain).where(F.col("gain") > 1e-12)
-            parity = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.lit(rnd), F.col("id")), F.lit(2)) == 0
+            # the two rounds of a pair let the two halves move in turn
+            parity = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.lit(rnd // 2), F.col("id")), F.lit(2)) == rnd % 2
             best = (cand.where(parity).groupBy("id")
                     .agg(F.min_by("cj", F.struct(-F.col("gain"), F.col("cj"))).alias("new_c")))
             nc = _materialize(comm.join(best, "id", "left")
                               .select("id", F.coalesce("new_c", "c").alias("c")))
             changed = not nc.join(comm.withColumnRenamed("c", "_o"), "id").where(F.col("c") != F.col("_o")).isEmpty()
             comm = nc
+            quiet = 0 if changed else quiet + 1
             if changed:
                 moved_any = True
                 if rnd == max_rounds - 1:
                     warnings.warn(f"louvain: level {level} still moved after {max_rounds} rounds")
-            elif rnd > 0:
+            elif quiet >= 2 and rnd % 2:  # both halves of a pair had nothing to move
                 break
         if not moved_any:
             break

@@ -105,8 +105,10 @@ def pca_scores(df: DataFrame, res: PcaResult, id_col: str, k: int = 3) -> DataFr
     return z.select(id_col, *exprs)
 
 
-def component_rules(res: PcaResult, var_target: float = 0.85) -> dict:
-    """Eigenvalue > 1, cumulative ≥ target, scree elbow, and their max."""
+def component_rules(res: PcaResult, var_target: float = 0.85, parallel: int | None = None) -> dict:
+    """Eigenvalue > 1, cumulative ≥ target, scree elbow, and their max, with the count of
+    :func:`parallel_analysis` as the fourth rule if it is given; ``n_limited`` is the variant max(2, min(eigenvalue,
+    variance, 4))."""
     ev = res.eigenvalues
     p = len(ev)
     kaiser = int((ev > 1).sum())
@@ -117,8 +119,9 @@ def component_rules(res: PcaResult, var_target: float = 0.85) -> dict:
         scree = int(min(max(int(np.argmax(d2)) + 2, 1), p))
     else:
         scree = 1
-    return {"eigenvalue_rule": kaiser, "variance_rule": var_rule, "scree_rule": scree,
-            "n_components": max(kaiser, var_rule, scree)}
+    return {"eigenvalue_rule": kaiser, "variance_rule": var_rule, "scree_rule": scree} | (
+        {} if parallel is None else {"parallel_rule": parallel}) | {
+        "n_components": max(kaiser, var_rule, scree, parallel or 0), "n_limited": max(2, min(kaiser, var_rule, 4))}
 
 
 def correlation_matrix(df: DataFrame, cols):

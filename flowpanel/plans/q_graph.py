@@ -192,6 +192,24 @@ def q_path_stats(spark, sf):
     return rounded(graph.path_stats(e))
 
 
+@query("path_estimates")
+def q_path_estimates(spark, sf):
+    """G3 for large graphs: path lengths from sketches, over customers, suppliers and the nations' flows."""
+    return rounded(graph.path_estimates(tv.trade_edges(spark, sf)))
+
+
+def _summary_sql():
+    return f"""
+SELECT 'basic' AS metric, b.*, p.avg_path_length FROM ({GRAPH_BASIC_SQL}) b, ({_path_sql()}) p
+UNION ALL BY NAME SELECT 'small_world' AS metric, s.* FROM ({SMALL_WORLD_SQL}) s"""
+
+
+@query("network_summary", _summary_sql())
+def q_network_summary(spark, sf):
+    """Basic and small-world rows in one table."""
+    return rounded(graph.summary(_edges(spark, sf)))
+
+
 BC_PIVOTS = 20
 
 

@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import cluster, predict, reduce, spatial, spectral
-from ..operators.ranking import top_entities
+from ..operators.ranking import arg_best, top_entities
 from ..operators.vectors import complete
 from ..session import ensure_checkpoint_dir
 from ..sources import loaders
@@ -183,6 +183,27 @@ def q_cluster_evolution(spark, sf):
     return out.select((F.col("key") / 10000).cast("int").alias("nation"), "year", "label")
 
 
+@query("cluster_table")
+def q_cluster_table(spark, sf):
+    """The label table, a row for each nation and a column for each year (years of too few rows left out)."""
+    lab = q_cluster_evolution(spark, sf)
+    years = sorted(r[0] for r in lab.select("year").distinct().collect())
+    return lab.groupBy("nation").pivot("year", years).agg(F.first("label")).withColumnsRenamed({str(y): f"y{y}" for y in years})
+
+
+BEST_SQL = tv.with_views("""
+, m AS (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, regr_r2(CAST(revenue AS DOUBLE), CAST({c} AS DOUBLE)) AS r2 FROM partfeat" for c in ML_X) + """)
+SELECT feature, """ + R("r2") + " AS r2 FROM m ORDER BY m.r2 DESC, feature LIMIT 1", tv.PARTFEAT_SQL)
+
+
+@query("best_predictor", BEST_SQL)
+def q_best_predictor(spark, sf):
+    """T5: the feature whose own regression explains most of the revenue."""
+    wide = tv.partfeat(spark, sf).agg(*[F.regr_r2(F.col("revenue").cast("double"), F.col(c).cast("double")).alias(c) for c in ML_X])
+    return rounded(arg_best(wide.unpivot([], ML_X, "feature", "r2"), "r2", "feature"))
+
+
 # --- rows-only: PCA / factor adequacy --------------------------------------------
 
 def _pca(spark, sf):
@@ -207,7 +228,9 @@ def q_pca_scores(spark, sf):
 
 @query("component_rules")
 def q_component_rules(spark, sf):
-    r = reduce.component_rules(_pca(spark, sf))
+    pf = tv.partfeat(spark, sf)
+    p = reduce.parallel_analysis(pf, PCA_COLS, "p_partkey", permutations=100)["n_components"]
+    r = reduce.component_rules(_pca(spark, sf), parallel=p)
     return spark.createDataFrame([tuple(r.values())], ", ".join(f"{k} int" for k in r))
 
 

@@ -13,6 +13,15 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+def _driver_memory() -> str:
+    """Half of the machine's memory, at most 16 GB: Python workers and the system need the rest."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    except (ValueError, OSError):
+        return "4g"
+    return f"{max(1, min(16, total // 2 // (1 << 30)))}g"
+
+
 def get_session(master: str | None = None, shuffle_partitions: int = 8,
                 app: str = "flowpanel") -> SparkSession:
     master = master or os.environ.get("FLOWPANEL_MASTER", "local[8]")
@@ -26,7 +35,7 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("FLOWPANEL_DRIVER_MEM", "16g"))
+        .config("spark.driver.memory", os.environ.get("FLOWPANEL_DRIVER_MEM") or _driver_memory())
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()

@@ -142,6 +142,15 @@ def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.element_at("embedding", 3).cast("double").alias("v"))
 
 
+def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Undirected trade graph of customers ('c' + key) and suppliers ('s' + key): an edge for each pair with an order line,
+    weighted by the number of lines."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    e = li.join(o, li.l_orderkey == o.o_orderkey).groupBy("o_custkey", "l_suppkey").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    return e.select(F.concat(F.lit("c"), F.col("o_custkey")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("dst"), "w")
+
+
 def dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").alias("nation"), F.col("n_name").alias("name"))

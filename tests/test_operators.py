@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from flowpanel.operators import graph
+
 
 def _rows(df, *cols):
     return [tuple(r[c] for c in cols) for r in df.collect()]
@@ -329,3 +331,32 @@ def test_knn_with_half_of_the_points_on_one_spot(spark):
     for i, x, y in pts:
         want = [j for _, j in sorted((math.dist((x, y), (a, b)), j) for j, a, b in pts if j != i)[:4]]
         assert [got[i][k] for k in range(1, 5)] == want
+
+
+def test_path_estimates_from_sketches(spark):
+    """A path graph: counts are small, so the sketches are exact."""
+    n = 40
+    e = spark.createDataFrame([(i, i + 1, 1.0) for i in range(n - 1)] + [(100, 101, 1.0), (5, 5, 1.0)], "src long, dst long, w double")
+    got = {r["hops"]: r["pairs"] for r in graph.neighbourhood(e).collect()}
+    assert got == {h: float(sum(min(i, h) + min(n - 1 - i, h) for i in range(n)) + (2 if h else 0)) for h in range(n)}
+    r = graph.path_estimates(e).first()
+    pairs = [abs(i - j) for i in range(n) for j in range(n) if i != j] + [1, 1]
+    assert r["diameter"] == n - 1 and abs(r["avg_path_length"] - np.mean(pairs)) < 1e-9
+    assert abs(r["connected_share"] - len(pairs) / ((n + 2) * (n + 1))) < 1e-9
+
+
+def test_louvain_finds_a_chain_of_cliques(spark):
+    """Every clique is one community, whichever half of the vertices moves first."""
+    rows = [(8 * c + i, 8 * c + j, 1.0) for c in range(6) for i in range(8) for j in range(i)]
+    rows += [(8 * c, 8 * c + 8, 1.0) for c in range(5)]
+    for seed in (1, 2, 3):
+        got = {r["id"]: r["community"] for r in graph.louvain(spark.createDataFrame(rows, "src long, dst long, w double"), seed=seed).collect()}
+        assert all(got[8 * c + i] == got[8 * c] for c in range(6) for i in range(8))
+
+
+def test_component_rules_take_the_parallel_count():
+    from flowpanel.operators.reduce import PcaResult, component_rules
+    res = PcaResult(["a", "b", "c", "d"], np.array([2.5, 1.2, 0.2, 0.1]), np.eye(4), 100)
+    r = component_rules(res)
+    assert (r["eigenvalue_rule"], r["variance_rule"], r["n_limited"]) == (2, 2, 2) and "parallel_rule" not in r
+    assert component_rules(res, parallel=4)["n_components"] == 4

@@ -64,6 +64,8 @@ INVARIANTS = {
     "factor_scores": lambda rows: len(rows) == PARTS,
     "parallel_analysis": lambda rows: falling("eigenvalue")(rows) and all(
         r["retained"] == (r["eigenvalue"] > r["threshold_95"]) for r in rows),
+    "path_estimates": lambda rows: len(rows) == 1 and 1 <= rows[0]["avg_path_length"] <= rows[0]["diameter"]
+    and rows[0]["effective_diameter"] <= rows[0]["diameter"] and 0.95 <= rows[0]["connected_share"] <= 1.05,
     "spectral": lambda rows: labels(5)(rows) and len(rows) == VECTORS and len({r["label"] for r in rows}) == 5,
     "full_pipeline": lambda rows: labels(3)(rows),
     "kernel_pca": lambda rows: len(rows) == VECTORS and abs(sum(r["KPC1"] for r in rows)) < 1e-6 and
@@ -79,7 +81,7 @@ INVARIANTS = {
     "robust_pca": lambda rows: falling("robust_eigenvalue")(rows),
 }
 #: Sweeps of many fits: their operators are tested with fewer fits in test_operators.py.
-MANY_FITS = {"tree_models", "cluster_evolution", "grid_search", "model_summary"}
+MANY_FITS = {"tree_models", "cluster_evolution", "cluster_table", "grid_search", "model_summary"}
 #: Tested in tests/llm.
 TRAINING_DATA = {n for n in QUERIES if re.match(r"op\d+_|pipeline$", n)}
 
