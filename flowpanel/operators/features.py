@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import interaction_cols, poly_cols, ratio_cols, safe_div
 from . import pairs
+from .neighbours import nearest_by
+from .vectors import points
 from .stats import group_stats_back
 
 
@@ -76,22 +78,23 @@ def polynomial(df: DataFrame, cols, degree: int = 2, interaction_only: bool = Fa
 
 def nearest_entity(df: DataFrame, cols, id_col: str, t: str, metric: str = "euclidean") -> DataFrame:
     """E1 + J4: on the latest period, distance to and id of the nearest other
-    entity (exact grid kNN, ties → smaller id), joined back to every period.
+    entity (exact, ties → smaller id) under a metric of :func:`.neighbours.nearest_by`, joined back to every period.
 
     The latest period comes from a 1-row aggregate joined on equality
     (a broadcast scalar subquery).  With fewer than 2 entities the input is
     returned unchanged.
     """
-    if metric != "euclidean":
-        raise ValueError("only the euclidean metric is implemented")
     latest = df.agg(F.max(t).alias(t))
     cur = df.join(F.broadcast(latest), t)
     # first row per entity, deterministic
     w = Window.partitionBy(id_col).orderBy(*[F.col(c).asc_nulls_last() for c in cols])
     cur = cur.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
-    nn = pairs.knn(cur, id_col, cols, k=1).select(
-        id_col, F.col("dist").alias(f"distance_to_nearest_{metric}"),
-        F.col("nbr").alias("nearest_city"))
+    if metric == "euclidean":
+        nn = pairs.knn(cur, id_col, cols, k=1)
+    else:
+        own = points(cur, cols, [id_col]).withColumnRenamed(id_col, "i")
+        nn = nearest_by(own, 1, metric).withColumnRenamed("i", id_col)
+    nn = nn.select(id_col, F.col("dist").alias(f"distance_to_nearest_{metric}"), F.col("nbr").alias("nearest_city"))
     return df.join(nn, id_col, "left")
 
 

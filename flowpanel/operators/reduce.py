@@ -368,45 +368,124 @@ def kernel_pca(df: DataFrame, cols, id_col: str, kind: str = "rbf", gamma: float
     return [float(v / total) if total else 0.0 for v in vals[:k]], scores.select(id_col, *[F.col("s")[j].alias(f"KPC{j + 1}") for j in range(k)])
 
 
-def robust_pca(df: DataFrame, cols, max_steps: int = 20, support: float | None = None) -> tuple:
-    """PCA of the minimum covariance determinant estimate, by concentration
-    steps: mean and covariance on the current subset (one aggregate), squared
-    Mahalanobis distance as a column expression, keep the h smallest (exact
-    distributed quantile), repeat until the determinant stops decreasing.
-    Returns (PcaResult on the robust correlation, classical PcaResult)."""
+#: Rows on which the first steps of :func:`mcd` are made, and the disjoint parts they are dealt to.
+MCD_SAMPLE, MCD_PARTS = 1500, 5
+
+
+def _chi2_ppf(q: float, k: float) -> float:
+    lo, hi = 0.0, 10.0 * k + 100.0
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if 1 - _chi2_sf(mid, k) < q else (lo, mid)
+    return (lo + hi) / 2
+
+
+def _mahalanobis(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    c = x - mean
+    return ((c @ np.linalg.pinv(cov)) * c).sum(axis=1)
+
+
+def _logdet(cov: np.ndarray) -> float:
+    sign, value = np.linalg.slogdet(cov)
+    return value if sign > 0 else -np.inf
+
+
+def _concentrated(x: np.ndarray, mean: np.ndarray, cov: np.ndarray, h: int, steps: int = 2):
+    """(log determinant, mean, covariance) after steps that keep the ``h`` rows nearest to the estimate."""
+    for _ in range(steps):
+        near = x[np.argsort(_mahalanobis(x, mean, cov), kind="stable")[:h]]
+        mean, cov = near.mean(axis=0), np.cov(near.T, bias=True).reshape(x.shape[1], -1)
+    return _logdet(cov), mean, cov
+
+
+def _first_candidates(pool: np.ndarray, share: float, starts: int, best: int, seed: int):
+    """The ``best`` estimates of many random starts: two steps each on disjoint parts of the pool, the best of each part
+    two more on the whole pool."""
+    n, p = pool.shape
+    rng = np.random.default_rng(seed)
+    parts = np.array_split(np.arange(n), MCD_PARTS if n >= 2 * MCD_PARTS * (p + 1) else 1)
+    kept = []
+    for rows in parts:
+        x, got = pool[rows], []
+        for _ in range(max(1, starts // len(parts))):
+            few = x[rng.choice(len(x), min(len(x), p + 1), replace=False)]
+            got.append(_concentrated(x, few.mean(axis=0), np.cov(few.T, bias=True).reshape(p, p), max(p + 1, math.ceil(share * len(x)))))
+        kept += sorted(got, key=lambda t: t[0])[:best]
+    whole = [_concentrated(pool, m, c, max(p + 1, math.ceil(share * n))) for _, m, c in kept]
+    return sorted(whole, key=lambda t: t[0])[:best]
+
+
+def mcd(pts: DataFrame, id_col: str, support: float | None = None, starts: int = 500, best: int = 10, seed: int = 42,
+        max_steps: int = 30) -> dict:
+    """Minimum covariance determinant of points (id, v): the ``h`` rows whose covariance has the least determinant.
+
+    ``starts`` random starts take two concentration steps each on disjoint parts of ``MCD_SAMPLE`` hash-chosen rows, the
+    ``best`` go on over all rows: two steps for all of them together, then the best one until its determinant no longer
+    falls.  A step over all rows cuts at the exact h-th smallest distance.  The covariance is made consistent by the
+    median distance over the chi-square median, and mean and covariance are estimated once more from the rows within the
+    97.5 % point.  Returns raw and reweighted estimates: ``raw_mean``, ``raw_cov``, ``mean``, ``cov``, ``h``, ``used``.
+    """
     from ..functions.ranks import quantiles_wide
-    cols = list(cols)
-    z, _ = scale(complete(df.select(*cols)), cols, "standard")
-    n = z.count()
-    p = len(cols)
-    h = int(support * n) if support else (n + p + 1) // 2
-    sub = z
-    det_old = np.inf
+    pool = fits.seed_pool(pts, id_col, seed, MCD_SAMPLE)
+    n, p = pts.count(), pool.shape[1]
+    h = max(p + 1, min(n, int(support * n) if support else (n + p + 1) // 2))
+    own = pts.select("v")
+
+    def cut(cands, share):
+        """Exact quantile of every candidate's distances."""
+        far = vectors.mapped(own, lambda x: [vectors.lists(np.stack([_mahalanobis(x, m, c) for _, m, c in cands], axis=1))], "d array<double>")
+        q = quantiles_wide(far.select(F.posexplode("d").alias("j", "d")), ["j"], "d", {"q": share}).collect()  # a row each
+        return {r["j"]: r["q"] for r in q}
+
+    def estimated(cands, limits):
+        def step(x, _):
+            out = {}
+            for j, (_, m, c) in enumerate(cands):
+                near = x[_mahalanobis(x, m, c) <= limits[j]]
+                out[j] = np.concatenate([[len(near)], near.sum(axis=0), (near.T @ near).ravel()])
+            return out
+        got = []
+        for j, s in sorted(vectors.summed(own, step).items()):
+            mean = s[1:p + 1] / s[0]
+            cov = s[p + 1:].reshape(p, p) / s[0] - np.outer(mean, mean)
+            got.append((_logdet(cov), mean, cov, int(s[0])))
+        return got
+
+    share = (h - 1) / max(n - 1, 1)
+    cands = _first_candidates(pool, h / n, starts, best, seed)
+    for _ in range(2):
+        cands = [t[:3] for t in estimated(cands, cut(cands, share))]
+    top = min(cands, key=lambda t: t[0])
     for _ in range(max_steps):
-        m = sub.agg(*[F.avg(c).alias(c) for c in cols]).first()
-        mu = np.array([m[c] for c in cols])
-        cen = sub.select(*[(F.col(c) - float(mu[i])).alias(c) for i, c in enumerate(cols)])
-        cnt, xtx = cross_products(cen, cols)
-        cov = xtx / max(cnt - 1, 1)
-        sign, logdet = np.linalg.slogdet(cov)
-        inv = np.linalg.pinv(cov)
-        d2 = sum((F.col(a) - float(mu[i])) * (F.col(b) - float(mu[j])) * float(inv[i, j])
-                 for i, a in enumerate(cols) for j, b in enumerate(cols))
-        scored = z.withColumn("_d2", d2)
-        cut = quantiles_wide(scored, [], "_d2", {"q": min(1.0, (h - 1) / max(n - 1, 1))}).first()["q"]
-        sub = scored.where(F.col("_d2") <= cut).drop("_d2")
-        if not logdet < det_old - 1e-10:
+        after = estimated([top], cut([top], share))[0][:3]
+        if not after[0] < top[0] - 1e-10:
             break
-        det_old = logdet
+        top = after
+    _, raw_mean, raw_cov = top
+    middle = cut([top], 0.5)[0]
+    consistent = raw_cov * (middle / _chi2_ppf(0.5, p)) if middle > 0 else raw_cov
+    _, mean, cov, used = estimated([(0.0, raw_mean, consistent)], {0: _chi2_ppf(0.975, p)})[0]
+    return {"raw_mean": raw_mean, "raw_cov": raw_cov, "mean": mean, "cov": cov, "h": h, "used": used}
+
+
+def robust_pca(df: DataFrame, cols, id_col: str | None = None, support: float | None = None, seed: int = 42) -> tuple:
+    """PCA of the reweighted minimum covariance determinant estimate (:func:`mcd`) of the standardised columns.
+
+    Returns (PcaResult on the robust correlation, classical PcaResult)."""
+    cols = list(cols)
+    own = df if id_col else df.withColumn("_id", F.xxhash64(*cols))
+    x = _materialize(vectors.standardised(vectors.points(own, cols, [id_col or "_id"])))
+    est = mcd(x, id_col or "_id", support, seed=seed)
+    cov = est["cov"]
     sd = np.sqrt(np.diag(cov))
     corr = cov / np.outer(sd, sd)
     vals, vecs = np.linalg.eigh(corr)
     order = np.argsort(vals)[::-1]
     vals, vecs = np.clip(vals[order], 0, None), vecs[:, order]
-    for j in range(p):
+    for j in range(len(cols)):
         if vecs[np.argmax(np.abs(vecs[:, j])), j] < 0:
             vecs[:, j] = -vecs[:, j]
-    return PcaResult(cols, vals, vecs, h), pca_fit(df, cols)
+    return PcaResult(cols, vals, vecs, est["used"]), pca_fit(df, cols)
 
 
 def loading_agreement(a: PcaResult, b: PcaResult, k: int = 2) -> list:

@@ -304,6 +304,59 @@ def norm_ppf(p):
     return F.when(p < lo, tail_lo).when(p <= 1 - lo, central).otherwise(tail_hi)
 
 
+#: Values of a column up to which the Shapiro–Wilk weights and p-values are defined.
+SHAPIRO_N = 5000
+
+
+def _poly(coefs, x):
+    """c0 + c1·x + c2·x² + ..."""
+    out = F.lit(coefs[-1])
+    for c in coefs[-2::-1]:
+        out = out * x + c
+    return out
+
+
+def shapiro_wilk(df: DataFrame, cols) -> DataFrame:
+    """(variable, n, shapiro_w, shapiro_p) by Royston's 1995 algorithm, for 3 to 5000 values of a column; other columns
+    and constant ones have NULL.
+
+    Its weights come from the normal scores of the ranks and two polynomials, so no covariance of order statistics is
+    formed: the distributed ranks give every value its places, one aggregate sums scores and score times value, and the
+    two largest weights are applied to the extreme values.
+    """
+    from ..operators.spatial import erfc
+    r = ranked_values(to_long(df, cols), ["variable"], "value").where(F.col("n").between(3, SHAPIRO_N))
+    i, n = F.col("i"), F.col("n")
+    at = r.withColumn("i", F.explode(F.sequence(F.col("below") + 1, F.col("below") + F.col("cnt"))))
+    m = norm_ppf((i - 0.375) / (n + 0.25))
+    ends = F.when(n > 5, 2).otherwise(1)
+    mid = (i > ends) & (i <= n - ends)
+    s = at.withColumn("m", m).groupBy("variable").agg(
+        F.max("n").alias("n"), F.sum(F.col("m") ** 2).alias("mm"), F.sum(F.when(mid, F.col("m") * F.col("value"))).alias("mx"),
+        F.var_pop("value").alias("var"),
+        *[F.max(F.when(i == place, F.col(x))).alias(name) for x, place, name in (
+            ("value", F.lit(1), "x1"), ("value", F.lit(2), "x2"), ("value", n - 1, "xn1"), ("value", n, "xn"), ("m", n, "mn"), ("m", n - 1, "mn1"))])
+    n = F.col("n").cast("double")
+    u, root = 1 / F.sqrt(n), F.sqrt("mm")
+    # fixed coefficients of the published algorithm
+    an = F.when(n == 3, F.lit(math.sqrt(0.5))).otherwise(
+        F.col("mn") / root + _poly([0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056], u))
+    an1 = F.when(n > 5, F.col("mn1") / root + _poly([0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633], u)).otherwise(0.0)
+    left = F.when(n > 5, F.col("mm") - 2 * F.col("mn") ** 2 - 2 * F.col("mn1") ** 2).otherwise(F.col("mm") - 2 * F.col("mn") ** 2)
+    scale = F.sqrt(F.col("left") / (1 - 2 * F.col("an") ** 2 - 2 * F.col("an1") ** 2))
+    s = s.withColumns({"an": an, "an1": an1, "left": left})
+    b = F.col("an") * (F.col("xn") - F.col("x1")) + F.col("an1") * (F.col("xn1") - F.col("x2")) + F.when(n > 3, F.coalesce("mx", F.lit(0.0)) / scale).otherwise(0.0)
+    s = s.withColumn("w", F.least(safe_div(b * b, F.col("var") * n), F.lit(1.0)))
+    y, ln = F.log(1 - F.col("w")), F.log(n)
+    gamma = _poly([-2.273, 0.459], n)
+    few = (-F.log(gamma - y) - _poly([0.5440, -0.39978, 0.025054, -6.714e-4], n)) / F.exp(_poly([1.3822, -0.77857, 0.062767, -0.0020322], n))
+    many = (y - _poly([-1.5861, -0.31082, -0.083751, 0.0038915], ln)) / F.exp(_poly([-0.4803, -0.082676, 0.0030302], ln))
+    tail = lambda z: 0.5 * erfc(z / math.sqrt(2.0))
+    p = F.when(n == 3, F.greatest(F.lit(0.0), 6 / math.pi * (F.asin(F.sqrt("w")) - math.asin(math.sqrt(0.75))))) \
+        .when(F.col("w") == 1, F.lit(1.0)).when((n <= 11) & (y >= gamma), F.lit(0.0)).when(n <= 11, tail(few)).otherwise(tail(many))
+    return s.select("variable", F.col("n"), F.col("w").alias("shapiro_w"), F.when(F.col("w").isNotNull(), p).alias("shapiro_p"))
+
+
 def normality(df: DataFrame, cols, min_n: int = 8) -> DataFrame:
     """Per variable Kolmogorov–Smirnov against N(mean, sd n−1)
     (spark.ml), Shapiro–Francia W' (squared correlation of the sorted values with
@@ -311,8 +364,8 @@ def normality(df: DataFrame, cols, min_n: int = 8) -> DataFrame:
     approximation of ln(1 − W'), population skewness / excess kurtosis, and
     ``is_normal`` = p > .05 and |skew| < 2 and |kurt| < 7.
 
-    W' replaces the Shapiro–Wilk W (whose coefficients need an n×n covariance);
-    it is the standard large-sample approximation of W.
+    The p of ``is_normal`` is Shapiro–Wilk's (:func:`shapiro_wilk`) up to 5000 values, beyond that W''s, its standard
+    large-sample approximation.
     """
     from pyspark.ml.stat import KolmogorovSmirnovTest
     from ..operators.spatial import erfc
@@ -351,5 +404,6 @@ def normality(df: DataFrame, cols, min_n: int = 8) -> DataFrame:
         ks_rows.append((c, float(t.statistic), float(t.pValue)))
     ks = spark.createDataFrame(ks_rows, "variable string, ks_stat double, ks_p double")
     out = sf.join(ks, "variable").join(mom.drop("mean", "std"), "variable").where(F.col("n") >= min_n)
-    return out.withColumn("is_normal", (F.col("shapiro_francia_p") > 0.05)
+    out = out.join(shapiro_wilk(df, cols).drop("n"), "variable", "left")
+    return out.withColumn("is_normal", (F.coalesce("shapiro_p", "shapiro_francia_p") > 0.05)
                           & (F.abs(F.col("skewness")) < 2) & (F.abs(F.col("kurtosis")) < 7))

@@ -519,7 +519,7 @@ def q_kernel_pca(spark, sf):
 
 @query("robust_pca")
 def q_robust_pca(spark, sf):
-    rob, cls = reduce.robust_pca(tv.partfeat(spark, sf), PCA_COLS)
+    rob, cls = reduce.robust_pca(tv.partfeat(spark, sf), PCA_COLS, "p_partkey")
     agree = reduce.loading_agreement(rob, cls, 2)
     rows = [(f"PC{j + 1}", float(rob.eigenvalues[j]), float(rob.ratios[j]), float(cls.eigenvalues[j]),
              agree[j] if j < 2 else None) for j in range(len(PCA_COLS))]

@@ -415,6 +415,20 @@ def q_nearest(spark, sf):
                                            "nation", "year"))
 
 
+def _blocks_sql():
+    """The same with the sum of absolute differences."""
+    d = " + ".join(f"abs(a.{c} - b.{c})" for c in ("revenue", "qty", "avg_disc", "n_lines", "n_cust"))
+    a, b = NEAREST_SQL.index("sqrt(power(a.revenue"), NEAREST_SQL.index(" AS dist\n         FROM cur a")
+    return (NEAREST_SQL[:a] + f"({d})" + NEAREST_SQL[b:]).replace("distance_to_nearest_euclidean", "distance_to_nearest_cityblock")
+
+
+@query("nearest_cityblock", _blocks_sql())
+def q_nearest_cityblock(spark, sf):
+    """J4 under another metric."""
+    p = tv.panel(spark, sf)
+    return rounded(features.nearest_entity(p, ["revenue", "qty", "avg_disc", "n_lines", "n_cust"], "nation", "year", "cityblock"))
+
+
 # --- E2: the full feature pipeline ------------------------------------------------
 
 FP_COLS = ["revenue", "qty", "avg_disc", "n_lines", "n_cust"]

@@ -338,3 +338,63 @@ def test_dbscan_of_dense_cells_equals_brute_force(spark, dims):
     df = frame(spark, x).select("id", *[F.col("v")[k].alias(n) for k, n in enumerate(names)])
     got = {r.id: r.label for r in cluster.dbscan(df, "id", names, eps, least).collect()}
     assert got == {int(i): int(v) for i, v in label.items()}
+
+
+def test_mcd_ignores_planted_outliers(spark):
+    rng = np.random.default_rng(13)
+    true = np.array([[2.0, 0.8, 0.0], [0.8, 1.0, 0.3], [0.0, 0.3, 0.5]])
+    clean = rng.multivariate_normal([1, 2, 3], true, 260)
+    x = np.concatenate([clean, rng.normal([15, -12, 9], .3, size=(100, 3))])
+    pts = frame(spark, x)
+    est = reduce.mcd(pts, "id", starts=50)
+    assert est["h"] == 182 and 235 <= est["used"] <= 260
+    assert np.allclose(est["mean"], clean.mean(axis=0), atol=0.15) and np.allclose(est["cov"], np.cov(clean.T), atol=0.35)
+    # a fixed point: the h rows nearest to the raw estimate have its determinant
+    d = reduce._mahalanobis(x, est["raw_mean"], est["raw_cov"])
+    near = x[np.argsort(d)[:182]]
+    assert abs(np.linalg.slogdet(np.cov(near.T, bias=True))[1] - np.linalg.slogdet(est["raw_cov"])[1]) < 1e-6
+    assert abs(reduce._chi2_ppf(0.975, 3) - 9.3484) < 1e-3
+
+
+def test_mcd_finds_the_least_determinant_of_few_rows(spark):
+    """Against every subset of h rows."""
+    import itertools
+    rng = np.random.default_rng(14)
+    x = np.concatenate([rng.normal(size=(7, 2)), rng.normal(size=(3, 2)) + 8])
+    est = reduce.mcd(frame(spark, x), "id", starts=300)
+    least = min(np.linalg.slogdet(np.cov(x[list(c)].T, bias=True))[1] for c in itertools.combinations(range(10), est["h"]))
+    assert abs(np.linalg.slogdet(est["raw_cov"])[1] - least) < 1e-9
+
+
+@pytest.mark.parametrize("metric", neighbours.METRICS)
+def test_nearest_by_metric_equals_brute_force(spark, metric):
+    rng = np.random.default_rng(15)
+    x = np.concatenate([rng.normal(size=(60, 3)) * [1, 5, .2], rng.normal(size=(30, 3)) * 1e-3 + 2, [[0.0, 0.0, 0.0]], [[1.0, 1.0, 1.0]]])
+    inv = np.linalg.inv(np.cov(x.T))
+    live = np.ones(len(x), bool)
+    if metric in ("cosine", "correlation"):
+        u = x - x.mean(axis=1, keepdims=True) if metric == "correlation" else x
+        live = np.linalg.norm(u, axis=1) > 0
+        with np.errstate(invalid="ignore"):
+            u = u / np.linalg.norm(u, axis=1, keepdims=True)
+    diff = x[:, None] - x[None]
+    d = {"euclidean": lambda: np.sqrt((diff ** 2).sum(axis=2)), "sqeuclidean": lambda: (diff ** 2).sum(axis=2),
+         "cityblock": lambda: np.abs(diff).sum(axis=2), "chebyshev": lambda: np.abs(diff).max(axis=2),
+         "seuclidean": lambda: np.sqrt((diff ** 2 / x.var(axis=0, ddof=1)).sum(axis=2)),
+         "mahalanobis": lambda: np.sqrt(np.einsum("ijk,kl,ijl->ij", diff, inv, diff)),
+         "cosine": lambda: 1 - u @ u.T, "correlation": lambda: 1 - u @ u.T}[metric]()
+    d = np.where(live[None] & live[:, None], d, np.inf)
+    np.fill_diagonal(d, np.inf)
+    got = {}
+    for r in neighbours.nearest_by(frame(spark, x).select(F.col("id").alias("i"), "v"), 2, metric).collect():
+        got.setdefault(r.i, []).append((r["rank"], r.dist, r.nbr))
+    assert set(got) == set(np.flatnonzero(live).tolist())
+    for i, own in got.items():
+        near = np.sort(d[i])[:2]
+        assert np.allclose([v for _, v, _ in sorted(own)], near, atol=1e-6)
+        assert all(abs(d[i, j] - v) < 1e-6 for _, v, j in own) and len({j for *_, j in own}) == 2
+
+
+def test_unknown_metric_raises(spark):
+    with pytest.raises(ValueError):
+        neighbours.nearest_by(frame(spark, [[0.0]]).select(F.col("id").alias("i"), "v"), 1, "canberra")

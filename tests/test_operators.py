@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowpanel.operators import graph
+from flowpanel.operators import graph, stats
 
 
 def _rows(df, *cols):
@@ -360,3 +360,21 @@ def test_component_rules_take_the_parallel_count():
     r = component_rules(res)
     assert (r["eigenvalue_rule"], r["variance_rule"], r["n_limited"]) == (2, 2, 2) and "parallel_rule" not in r
     assert component_rules(res, parallel=4)["n_components"] == 4
+
+
+@pytest.mark.parametrize("x, w, p", [
+    ([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236], 0.78881, 0.006704),
+    (list(range(1, 11)), 0.97016, 0.8924),
+    ([1.0, 2.0, 4.0], 0.96429, 0.6369),
+])
+def test_shapiro_wilk_published_values(spark, x, w, p):
+    """Values that the usual statistics packages give."""
+    df = spark.createDataFrame([(float(v),) for v in x], "a double").repartition(2)
+    r = stats.shapiro_wilk(df, ["a"]).first()
+    assert abs(r["shapiro_w"] - w) < 2e-4 and abs(r["shapiro_p"] - p) < 2e-3
+
+
+def test_shapiro_wilk_of_awkward_columns(spark):
+    df = spark.createDataFrame([(1.0, None, 2.0), (1.0, 3.0, 2.0), (1.0, None, 5.0), (1.0, None, 5.0)], "a double, b double, c double")
+    got = {r["variable"]: r["shapiro_w"] for r in stats.shapiro_wilk(df, ["a", "b", "c"]).collect()}
+    assert got["a"] is None and "b" not in got and 0 < got["c"] < 1
