@@ -346,7 +346,8 @@ def shapiro_wilk(df: DataFrame, cols) -> DataFrame:
     scale = F.sqrt(F.col("left") / (1 - 2 * F.col("an") ** 2 - 2 * F.col("an1") ** 2))
     s = s.withColumns({"an": an, "an1": an1, "left": left})
     b = F.col("an") * (F.col("xn") - F.col("x1")) + F.col("an1") * (F.col("xn1") - F.col("x2")) + F.when(n > 3, F.coalesce("mx", F.lit(0.0)) / scale).otherwise(0.0)
-    s = s.withColumn("w", F.least(safe_div(b * b, F.col("var") * n), F.lit(1.0)))
+    ratio = safe_div(b * b, F.col("var") * n)
+    s = s.withColumn("w", F.when(ratio > 1, 1.0).otherwise(ratio))
     y, ln = F.log(1 - F.col("w")), F.log(n)
     gamma = _poly([-2.273, 0.459], n)
     few = (-F.log(gamma - y) - _poly([0.5440, -0.39978, 0.025054, -6.714e-4], n)) / F.exp(_poly([1.3822, -0.77857, 0.062767, -0.0020322], n))
