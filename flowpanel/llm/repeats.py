@@ -404,9 +404,6 @@ def _elsewhere(bodies: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return inverse, (n > 1)[inverse]
 
 
-_KEYS = _MESSAGE[0] + ", hot long"
-
-
 def _answer_keys(most: int):
     """Two bits for each key of each chunk: another chunk has it too; it has more than ``most`` contexts."""
     def run(table: pa.Table) -> pa.Table:
@@ -420,8 +417,7 @@ def _answer_keys(most: int):
         ends = np.cumsum([len(b) for b in low])
         own = [slice(e - len(b), e) for b, e in zip(low, ends)]
         bits = [np.packbits(np.concatenate([many[x], hot[x]])).tobytes() for x in own]
-        return pa.table([table.column("bucket"), table.column("chunk"), pa.array(bits, pa.binary()),
-                         pa.array([int(hot[x].sum()) for x in own], pa.int64())], names=[*_MESSAGE[1], "hot"])
+        return pa.table([table.column("bucket"), table.column("chunk"), pa.array(bits, pa.binary())], names=_MESSAGE[1])
     return run
 
 
@@ -434,9 +430,9 @@ def _answer_windows(table: pa.Table) -> pa.Table:
     return pa.table([table.column("bucket"), table.column("chunk"), pa.array(bits, pa.binary())], names=_MESSAGE[1])
 
 
-def _gather(answers: DataFrame, name: str, *more) -> DataFrame:
+def _gather(answers: DataFrame, name: str) -> DataFrame:
     """The answers for each chunk in the order of buckets: one row per chunk, a few bits for each key."""
-    got = answers.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "body"))).alias("parts"), *more)
+    got = answers.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "body"))).alias("parts"))
     return got.withColumn("parts", F.col("parts.body")).withColumnRenamed("parts", name)
 
 
@@ -555,20 +551,16 @@ def remove(docs: DataFrame, spec: Spec, finish, schema: str, id_col: str, text_c
     buckets = max(1, int(keys / BUCKET_KEYS) + 1)
     text = table.select("chunk", "ids", "sizes", "blob")
     sent = text.mapInArrow(_send_keys(spec, buckets), _MESSAGE[0])
-    known = materialize(_gather(sent.groupBy("bucket").applyInArrow(_answer_keys(HOT_CONTEXTS), _KEYS), "known",
-                                F.sum("hot").alias("hot")), "repeats-keys")
+    known = materialize(_gather(sent.groupBy("bucket").applyInArrow(_answer_keys(HOT_CONTEXTS), _MESSAGE[0]), "known"), "repeats-keys")
     del sent
     release(spark)
-    hot = known.where("hot > 0").select("chunk", "known")
-    if hot.isEmpty():
-        known = known.select("chunk", "known", F.lit(None).cast("array<binary>").alias("windows"))
-    else:
-        both = text.join(hot.hint("merge"), "chunk").select("chunk", "ids", "sizes", "blob", "known")
-        sent = both.mapInArrow(_send_windows(spec, buckets), _MESSAGE[0])
-        windows = _gather(sent.groupBy("bucket").applyInArrow(_answer_windows, _MESSAGE[0]), "windows")
-        known = materialize(known.select("chunk", "known").join(windows.hint("merge"), "chunk", "left"), "repeats-hot")
-        del sent, both, windows
-        release(spark)
+    # every large corpus has hot keys, so this step isn't left out where a small one has none: it costs alike at every size
+    both = text.join(known.hint("merge"), "chunk").select("chunk", "ids", "sizes", "blob", "known")
+    sent = both.mapInArrow(_send_windows(spec, buckets), _MESSAGE[0])
+    windows = _gather(sent.groupBy("bucket").applyInArrow(_answer_windows, _MESSAGE[0]), "windows")
+    known = materialize(known.select("chunk", "known").join(windows.hint("merge"), "chunk", "left"), "repeats-hot")
+    del sent, both, windows
+    release(spark)
     # the answers grow with the corpus: they meet their chunks by a shuffle at every size, never by broadcast
     both = text.join(known.hint("merge"), "chunk", "left").select("chunk", "ids", "sizes", "blob", "known", "windows")
     sent = both.mapInArrow(_send_contexts(spec, buckets), _MESSAGE[0])

@@ -84,7 +84,8 @@ def decide(c: Contexts) -> np.ndarray:
     return out
 
 
-_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept "
+_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+_TEXT_SCHEMA = _SCHEMA.replace("kept binary", "kept string")
 
 
 def _finish(chunk: Chunk, gone: np.ndarray, as_text: bool = False):
@@ -114,4 +115,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     """
     spec = Spec(window=length, gram=min(GRAM, max(1, length // 2)), words=False, weigh="first", decide=decide)
     finish = functools.partial(_finish, as_text=as_text)
-    return repeats.remove(docs, spec, finish, _SCHEMA + ("string" if as_text else "binary"), id_col, text_col)
+    return repeats.remove(docs, spec, finish, _TEXT_SCHEMA if as_text else _SCHEMA, id_col, text_col)
