@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowpanel.llm import bpe, decontaminate, langid, ngram_join, queries, suffix_dedup
-from flowpanel.llm.shared import materialize, partitions
+from flowpanel.llm.shared import TEXT_ROWS, materialize, partitions
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Posterior under which a text counts as no language's.
@@ -44,7 +44,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = _numbered(docs)
     found = langid.predict(docs, queries.language_model(docs), "row")
     kept = (F.col("lang_pred") != langid.UNDECIDED) & (F.col("score") >= LEAST_SCORE)
-    return docs.join(materialize(found.where(~kept).select("row"), "pipeline-rejected"), "row", "left_anti").select(*COLUMNS)
+    return docs.join(materialize(found.where(~kept).select("row"), "pipeline-rejected", TEXT_ROWS), "row", "left_anti").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import TEXT_ROWS, materialize
 
 #: Characters up to which sums are formed as plain products; longer words are rescaled at every step.
 LONGEST = 32
@@ -183,7 +183,7 @@ def word_counts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
 def train(docs: DataFrame, pieces: list[str], lang_col: str = "lang", text_col: str = "text",
           rounds: int = ROUNDS) -> Model:
     """Piece probabilities of each language that has words; none if no row has both."""
-    counts = materialize(word_counts(docs, lang_col, text_col), "lang-words")
+    counts = materialize(word_counts(docs, lang_col, text_col), "lang-words", TEXT_ROWS)
     langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
     p = np.zeros((len(pieces) + 2, len(langs)))
     p[:len(pieces)] = 1.0 / max(1, len(pieces))

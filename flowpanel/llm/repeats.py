@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BASE, Words, blank_words, materialize, mix, release, slices, utf8
+from .shared import BASE, TEXT_ROWS, Words, blank_words, materialize, mix, release, slices, utf8
 
 U = np.uint64
 CHUNK_BYTES = 8 << 20
@@ -96,7 +96,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, name: str, chunk_bytes:
         yield from flush()
 
     own = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    return materialize(own.mapInArrow(run, "chunk long, ids binary, sizes binary, blob binary, bytes long"), name)
+    return materialize(own.mapInArrow(run, "chunk long, ids binary, sizes binary, blob binary, bytes long"), name, TEXT_ROWS)
 
 
 class Chunk:
