@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import gc
 import tempfile
 import time
 import uuid
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one numpy pass works on; intermediate arrays take 8 bytes for each.
@@ -19,20 +16,6 @@ SLICE_BYTES = 2 << 20
 #: Rows of an Arrow batch in passes over whole texts: their bytes lie in the JVM and in the Python worker at once.
 TEXT_ROWS = 1024
 
-
-def _return_memory() -> None:
-    """Freed arrays of a Python worker go back to the system: workers live on from stage to stage, and the C library
-    and Arrow's pool would keep the largest amount that any stage needed.  Nothing where there is no such library."""
-    with contextlib.suppress(OSError, AttributeError):
-        libc = ctypes.CDLL(None)
-        libc.mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD: larger arrays are mapped, and unmapped once freed
-        libc.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD: free memory at the heap's end
-        libc.mallopt(-8, 2)  # M_ARENA_MAX: heaps of threads
-        pa.set_memory_pool(pa.system_memory_pool())
-
-
-_return_memory()
-
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 
