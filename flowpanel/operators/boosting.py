@@ -25,7 +25,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import _materialize
+from .graph import _materialize, _packed
 from .vectors import few, lists, mapped, summed
 
 #: Trees after which the rows' margins are written anew.
@@ -207,7 +207,7 @@ def fit(df: DataFrame, label: str, features, preset: Preset | None = None, max_b
     width = missing + 1
 
     # bins and state of a row as one array: label, margin, bins
-    rows = _materialize(mapped(start, lambda x: [lists(to_bins(x, cuts, missing).astype(float))], "b array<double>", ["y"])
+    rows = _packed(mapped(start, lambda x: [lists(to_bins(x, cuts, missing).astype(float))], "b array<double>", ["y"])
                         .select(F.concat(F.array("y", F.lit(float(base))), "b").alias("v")))
     model = Boosted(features, cuts, float(base), [], p, missing)
     written, direct = 0, few(rows)

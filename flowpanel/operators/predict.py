@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import safe_div
 from .boosting import BoostedRegressor, Preset
+from .graph import tasks_for
 from .prep import apply_scale, scale_params
 from .vectors import complete
 
@@ -91,10 +92,13 @@ def fit_all(df: DataFrame, id_col: str, y: str, x_cols, names=None) -> dict:
     Returns {name: (fitted model, one-row metrics)}, best R² first: the first is the best model."""
     train, test = prepare(df, id_col, y, x_cols)
     train, test = train.cache(), test.cache()
-    est = estimators(train.count())
+    n = train.count()
+    est = estimators(n)
     got = {}
+    # a tree model runs hundreds of passes, and its statistics of every node leave every partition
+    own = train.coalesce(tasks_for(df.sparkSession, n))
     for name in (names or list(est)):
-        model = est[name].fit(train)
+        model = est[name].fit(own)
         got[name] = (model, metrics(model.transform(test)).first())
     train.unpersist()
     test.unpersist()

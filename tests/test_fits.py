@@ -398,3 +398,38 @@ def test_nearest_by_metric_equals_brute_force(spark, metric):
 def test_unknown_metric_raises(spark):
     with pytest.raises(ValueError):
         neighbours.nearest_by(frame(spark, [[0.0]]).select(F.col("id").alias("i"), "v"), 1, "canberra")
+
+
+def test_tree_models_are_fitted_on_no_more_partitions_than_the_rows_need(spark, monkeypatch):
+    from flowpanel.operators import predict
+    rows = [(i, float(i % 7 + i % 3), float(i % 7), float(i % 3)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, y double, a double, b double").repartition(64)
+    real, seen = predict.estimators, []
+
+    class Probe:
+        def __init__(self, est):
+            self.est = est
+
+        def fit(self, train):
+            seen.append((train.rdd.getNumPartitions(), train.count()))
+            return self.est.fit(train)
+
+    monkeypatch.setattr(predict, "estimators", lambda n: {k: Probe(e) for k, e in real(n).items()})
+    got = predict.fit_all(df, "id", "y", ["a", "b"], ["decision_tree", "linear_regression"])
+    n = predict.split(df, "id")[0].count()
+    assert seen == [(1, n), (1, n)] and got["decision_tree"][1]["r2"] > 0.9
+
+
+def test_boosting_passes_read_no_more_partitions_than_the_rows_need(spark, monkeypatch):
+    from flowpanel.operators import boosting
+    rows = [(float(i % 7 + i % 3), float(i % 7), float(i % 3)) for i in range(300)]
+    df = spark.createDataFrame(rows, "y double, a double, b double").repartition(64)
+    real, seen = boosting.summed, []
+
+    def summed(pts, *rest):
+        seen.append(pts.rdd.getNumPartitions())
+        return real(pts, *rest)
+
+    monkeypatch.setattr(boosting, "summed", summed)
+    model = boosting.fit(df, "y", ["a", "b"], boosting.Preset.depth_wise(rounds=2))
+    assert set(seen) == {1} and len(model.trees) == 2
