@@ -433,3 +433,26 @@ def test_boosting_passes_read_no_more_partitions_than_the_rows_need(spark, monke
     monkeypatch.setattr(boosting, "summed", summed)
     model = boosting.fit(df, "y", ["a", "b"], boosting.Preset.depth_wise(rounds=2))
     assert set(seen) == {1} and len(model.trees) == 2
+
+
+def test_long_sums_of_a_fit_are_added_up_before_the_driver(spark, blobs, monkeypatch):
+    real, seen = fits.summed, []
+
+    def summed(pts, step, direct=False):
+        got = real(pts, step, direct)
+        seen.append((direct, sum(len(a) for a in got.values())))
+        return got
+
+    monkeypatch.setattr(fits, "summed", summed)
+    pts = frame(spark, blobs[0])
+    rng = np.random.default_rng(3)
+    wide = frame(spark, rng.normal(size=(90, 40)))
+    starts = [blobs[0][:4], blobs[0][5:9]]
+    few = fits.lloyd(pts, starts, 5)
+    fits.lloyd(wide, [rng.normal(size=(60, 40)) for _ in range(2)], 2)
+    fits.mixtures(wide, [rng.normal(size=(4, 40))], 2)
+    assert any(d for d, _ in seen) and all(n <= 2 * vectors.DIRECT for d, n in seen if d)
+    assert max(n for d, n in seen if not d) > vectors.DIRECT
+    monkeypatch.setattr(fits, "DIRECT", 0)
+    for (a, x), (b, y) in zip(few, fits.lloyd(pts, starts, 5)):
+        assert np.allclose(a, b) and x == pytest.approx(y)
