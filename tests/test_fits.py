@@ -456,3 +456,31 @@ def test_long_sums_of_a_fit_are_added_up_before_the_driver(spark, blobs, monkeyp
     monkeypatch.setattr(fits, "DIRECT", 0)
     for (a, x), (b, y) in zip(few, fits.lloyd(pts, starts, 5)):
         assert np.allclose(a, b) and x == pytest.approx(y)
+
+
+def test_wide_neighbours_compare_blocks_of_pairs(spark, monkeypatch):
+    """From 16 coordinates on no tree is searched; copies, ties and candidates of their own as by brute force."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 3, size=(300, 20)).astype(float)
+    x[40:60] = x[0]
+    cols = [f"f{j}" for j in range(20)]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)] + [(900, None, *map(float, x[0][1:]))],
+                               "id long, " + ", ".join(f"{c} double" for c in cols)).repartition(3)
+
+    def stop(*_):
+        raise AssertionError("a tree was searched")
+
+    monkeypatch.setattr(neighbours, "nearest", stop)
+    monkeypatch.setattr(pairs, "SIDE", 90)
+    monkeypatch.setattr(pairs, "CHUNK", 32)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    got = {}
+    for r in pairs.knn(df, "id", cols, k=4).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["nbr"], r["dist"]))
+    assert len(got) == 300
+    for i in range(300):
+        want = sorted((d[i, j], j) for j in range(300) if j != i)[:4]
+        assert [(r, n) for r, n, _ in sorted(got[i])] == [(r, j) for r, (_, j) in enumerate(want, 1)]
+        assert np.allclose([e for _, _, e in sorted(got[i])], [e for e, _ in want])
+    some = pairs.knn(df, "id", cols, k=2, candidates=df.where("id % 50 = 7")).where("id = 3").orderBy("rank").collect()
+    assert [r["nbr"] for r in some] == [j for _, j in sorted((d[3, j], j) for j in range(7, 300, 50))[:2]]
