@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import safe_div
 from .boosting import BoostedRegressor, Preset
-from .graph import tasks_for
+from .graph import packed
 from .prep import apply_scale, scale_params
 from .vectors import complete
 
@@ -96,7 +96,7 @@ def fit_all(df: DataFrame, id_col: str, y: str, x_cols, names=None) -> dict:
     est = estimators(n)
     got = {}
     # a tree model runs hundreds of passes, and its statistics of every node leave every partition
-    own = train.coalesce(tasks_for(df.sparkSession, n))
+    own = packed(train, n)
     for name in (names or list(est)):
         model = est[name].fit(own)
         got[name] = (model, metrics(model.transform(test)).first())

@@ -418,6 +418,9 @@ def test_tree_models_are_fitted_on_no_more_partitions_than_the_rows_need(spark,
     got = predict.fit_all(df, "id", "y", ["a", "b"], ["decision_tree", "linear_regression"])
     n = predict.split(df, "id")[0].count()
     assert seen == [(1, n), (1, n)] and got["decision_tree"][1]["r2"] > 0.9
+    seen.clear()
+    predict.fit_all(df.coalesce(5), "id", "y", ["a", "b"], ["decision_tree"])
+    assert seen == [(5, n)]
 
 
 def test_boosting_passes_read_no_more_partitions_than_the_rows_need(spark, monkeypatch):
