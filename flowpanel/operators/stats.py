@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,46 +149,80 @@ def average_ranks(df: DataFrame, cols, id_col: str) -> DataFrame:
         F.max(F.when(F.col("variable") == c, F.col("rk"))).alias(c) for c in cols])
 
 
+#: Most value ranges of a column, and fewest rows of a range, in :func:`kendall_tau`.
+KENDALL_RANGES, KENDALL_ROWS = 256, 4096
+
+
+def inversions(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> int:
+    """Sum of w_a·w_b over the pairs of points with x_a < x_b and y_a > y_b, in O(n log n) steps.
+
+    Two different x differ first at one bit: at each bit, points of equal higher bits lie in the order of y, and every
+    point with a 0 there takes the weight of the points with a 1 and a smaller y."""
+    if not len(x):
+        return 0
+    x = np.unique(x, return_inverse=True)[1]
+    y = np.unique(y, return_inverse=True)[1]
+    order = np.argsort(y, kind="stable")
+    x, y, w, total = x[order], y[order], w[order], 0
+    for bit in range(int(x.max()).bit_length() - 1, -1, -1):
+        group, one = x >> (bit + 1), (x >> bit) & 1 == 1
+        before = np.concatenate([[0], np.cumsum(np.where(one, w, 0))])
+        place = np.arange(len(x))
+        group_new = np.concatenate([[True], group[1:] != group[:-1]])
+        run_new = group_new | np.concatenate([[True], y[1:] != y[:-1]])
+        start = np.maximum.accumulate(np.where(group_new, place, 0))
+        run = np.maximum.accumulate(np.where(run_new, place, 0))
+        total += int((w * (before[run] - before[start]))[~one].sum())
+        key = x >> bit
+        order = np.argsort(key.astype(np.uint16) if key[-1] < 1 << 15 else key, kind="stable")
+        x, y, w = x[order], y[order], w[order]
+    return total
+
+
 def kendall_tau(df: DataFrame, cols) -> DataFrame:
     """Kendall tau-b for every column pair, exact, without enumerating row pairs.
 
     With order keys rx, ry (distributed ranking), the discordant count is
-    D = #{x_a < x_b, y_a > y_b}.  Two rows whose x keys first differ at bit l
-    and whose y keys first differ at bit m are counted by grouping on the
-    (x prefix above l, y prefix above m) cell and multiplying the weights of the
-    (x bit 0, y bit 1) and (x bit 1, y bit 0) quarters.  Each distinct (x, y)
-    contributes one key per (l, m) level pair: O(n log² n) aggregation work, no
-    pairs, no group larger than its cell.  Ties on x or y never differ at any
-    bit, so they are excluded as tau-b requires.  All column pairs run in one
-    job, keyed by the pair name.
+    D = #{x_a < x_b, y_a > y_b}.  Each column is cut into at most ``KENDALL_RANGES`` ranges of about as many rows (a value
+    of more rows is a range of its own).  Row pairs of one x range are counted within that range, others of one y range
+    within that y range with the x ranges as keys, and the rest on the ranges' table: a row travels twice, a task holds
+    one range (:func:`inversions`).  Ties on x or y are no inversions, so they are excluded as tau-b requires.  All
+    column pairs run in one job, keyed by the pair name.
     """
+    from .graph import _materialize
     pair_names = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     items = [F.struct(F.lit(f"{a}|{b}").alias("pair"), F.col(a).cast("double").alias("x"),
                       F.col(b).cast("double").alias("y")) for a, b in pair_names]
     pairs = (df.select(F.explode(F.array(*items)).alias("_p")).select("_p.*")
              .where(F.col("x").isNotNull() & F.col("y").isNotNull()))
     # duplicate (x, y) rows collapse to a weight: a hot pair costs one row
-    xy = pairs.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("w"))
-    kx = ranked_values(xy.select("pair", "x"), ["pair"], "x").select("pair", "x", F.col("below").alias("rx"))
-    ky = ranked_values(xy.select("pair", "y"), ["pair"], "y").select("pair", "y", F.col("below").alias("ry"))
-    t = xy.join(kx, ["pair", "x"]).join(ky, ["pair", "y"]).select("pair", "rx", "ry", "w")
-    mx, my = t.agg(F.max("rx"), F.max("ry")).first()
-    bx = max(1, int(mx or 0).bit_length())
-    by = max(1, int(my or 0).bit_length())
-    levels = F.array(*[F.struct(F.lit(l).alias("l"), F.lit(m).alias("m"))
-                       for l in range(bx) for m in range(by)])
-    e = t.select("pair", "rx", "ry", "w", F.explode(levels).alias("lm")).select(
-        "pair", "w", F.col("lm.l").alias("l"), F.col("lm.m").alias("m"),
-        F.expr("shiftright(rx, lm.l + 1)").alias("px"),
-        F.expr("shiftright(ry, lm.m + 1)").alias("py"),
-        F.expr("shiftright(rx, lm.l) & 1").alias("bx"),
-        F.expr("shiftright(ry, lm.m) & 1").alias("by"))
-    cells = e.groupBy("pair", "l", "m", "px", "py").agg(
-        F.sum(F.when((F.col("bx") == 0) & (F.col("by") == 1), F.col("w")).otherwise(0)).alias("c01"),
-        F.sum(F.when((F.col("bx") == 1) & (F.col("by") == 0), F.col("w")).otherwise(0)).alias("c10"))
-    disc = cells.groupBy("pair").agg(F.sum(F.col("c01") * F.col("c10")).alias("D"))
-    n = pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
-    tie = lambda c, name: (pairs.groupBy("pair", c).count().groupBy("pair")
+    xy = _materialize(pairs.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("w")))
+    ranges = F.greatest(F.lit(1), F.least(F.lit(KENDALL_RANGES), F.floor(F.col("n") / KENDALL_ROWS)))
+    hot = F.col("cnt") * ranges >= F.col("n")
+
+    def keys(c):
+        # a hot value's range lies between those of the smaller and the larger values
+        return ranked_values(xy.select("pair", c), ["pair"], c).select(
+            "pair", c, F.col("below").alias(f"r{c}"), hot.alias(f"h{c}"),
+            (F.floor(F.col("below") * ranges / F.col("n")) * 2 + hot.cast("int")).cast("long").alias(f"b{c}"))
+
+    t = _materialize(xy.join(keys("x"), ["pair", "x"]).join(keys("y"), ["pair", "y"]).drop("x", "y"))
+    cells = t.groupBy("pair", "bx", "by").agg(F.sum("w").alias("w"))
+
+    def part(rows, kind, block, x, y):
+        return rows.select("pair", F.lit(kind).alias("kind"), F.lit(block).cast("long").alias("block") if isinstance(block, int) else F.col(block).alias("block"),
+                           F.col(x).alias("x"), F.col(y).alias("y"), "w")
+
+    every = part(t.where("not hx"), "x", "bx", "rx", "ry").unionByName(part(t.where("not hy"), "y", "by", "bx", "ry")) \
+        .unionByName(part(cells, "cells", 0, "bx", "by"))
+
+    def count(rows: pa.Table) -> pa.Table:
+        x, y, w = (rows[c].to_numpy() for c in ("x", "y", "w"))
+        return pa.table({"pair": rows["pair"].slice(0, 1), "D": pa.array([inversions(x, y, w)], pa.int64())})
+
+    disc = every.groupBy("pair", "kind", "block").applyInArrow(count, "pair string, D long").groupBy("pair").agg(F.sum("D").alias("D"))
+    n = xy.groupBy("pair").agg(F.sum("w").alias("n"))
+    tie = lambda c, name: (xy.groupBy("pair", c).agg(F.sum("w").alias("count")).groupBy("pair")
                            .agg(F.sum(F.col("count") * (F.col("count") - 1) / 2).alias(name)))
     txy = xy.groupBy("pair").agg(F.sum(F.col("w") * (F.col("w") - 1) / 2).alias("n3"))
     s = disc.join(n, "pair").join(tie("x", "n1"), "pair").join(tie("y", "n2"), "pair").join(txy, "pair")

@@ -378,3 +378,16 @@ def test_shapiro_wilk_of_awkward_columns(spark):
     df = spark.createDataFrame([(1.0, None, 2.0), (1.0, 3.0, 2.0), (1.0, None, 5.0), (1.0, None, 5.0)], "a double, b double, c double")
     got = {r["variable"]: r["shapiro_w"] for r in stats.shapiro_wilk(df, ["a", "b", "c"]).collect()}
     assert got["a"] is None and "b" not in got and 0 < got["c"] < 1
+
+
+def test_kendall_over_value_ranges_equals_bruteforce(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = np.where(rng.random(300) < 0.3, 7.0, rng.integers(0, 40, 300)).astype(float)  # a hot value gets its own range
+    y = np.round(x / 4 + rng.normal(size=300) * 5)
+    w = rng.integers(1, 4, 300)
+    less = (x[:, None] < x[None]) & (y[:, None] > y[None])
+    assert stats.inversions(x, y, w) == int((less * np.outer(w, w)).sum())
+    monkeypatch.setattr(stats, "KENDALL_ROWS", 10)
+    got = stats.kendall_tau(spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double"), ["x", "y"]).first()["tau"]
+    dx, dy = np.sign(x[:, None] - x[None]), np.sign(y[:, None] - y[None])
+    assert got == pytest.approx((dx * dy).sum() / math.sqrt((dx != 0).sum() * (dy != 0).sum()), rel=1e-12)
