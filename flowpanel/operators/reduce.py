@@ -13,9 +13,13 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.perms import permute
 from . import fits, vectors
 from .graph import _materialize
 from .prep import scale
@@ -270,37 +274,78 @@ def factor_scores(df: DataFrame, cols, id_col: str, k: int | None = None, weight
     return avg_rank_desc(sc, "composite_score", out="rank")
 
 
+#: Places of a permuted table that one task fills at a time, and rows whose values travel together.
+PLACES, TOGETHER = 1 << 15, 1 << 16
+
+
+def _shuffled_moments(zd: DataFrame, keys: dict, n: int, p: int) -> DataFrame:
+    """(perm, s): the p×p cross-products (flat) of rows (d, v) whose columns were permuted, for each draw.
+
+    ``keys`` maps (draw, column) to the key of its permutation of 0..n−1.  Values travel as one binary for each draw,
+    column, chunk of ``TOGETHER`` rows and ``PLACES`` places (10 bytes a value); a place without a value counts as zero."""
+    parts = max(zd.sparkSession.sparkContext.defaultParallelism, -(-n // TOGETHER))
+    blocks = -(-n // PLACES)
+
+    def sent(d, z):
+        for (perm, j), key in keys.items():
+            q = permute(d, np.full(len(d), key), n)
+            block = q // PLACES
+            order = np.argsort(block, kind="stable")
+            ends = np.concatenate([[0], np.cumsum(np.bincount(block, minlength=blocks))])
+            there = np.flatnonzero(np.diff(ends))
+            ends = ends[[*there, blocks]] if len(there) else ends[:1]
+
+            def binary(a):
+                return pa.Array.from_buffers(pa.binary(), len(there), [
+                    None, pa.py_buffer((ends * a.itemsize).astype(np.int32)), pa.py_buffer(a)])
+
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(there), perm), pa.int32()), pa.array(there, pa.int32()), pa.array(np.full(len(there), j), pa.int32()),
+                 binary((q[order] % PLACES).astype(np.uint16)), binary(z[order, j])], ["perm", "block", "j", "at", "z"])
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), vectors.matrix(batch.column(1))))
+            rows += batch.num_rows
+            if rows >= TOGETHER:
+                yield from sent(*map(np.concatenate, zip(*held)))
+                held, rows = [], 0
+        if held and rows:
+            yield from sent(*map(np.concatenate, zip(*held)))
+
+    def products(rows: pa.Table) -> pa.Table:
+        x = np.zeros((PLACES, p))
+        for j, at, z in zip(rows["j"].to_pylist(), rows["at"], rows["z"]):
+            x[np.frombuffer(at.as_buffer(), np.uint16), j] = np.frombuffer(z.as_buffer(), np.float64)
+        return pa.table({"perm": rows["perm"].slice(0, 1), "s": pa.array([(x.T @ x).ravel()], pa.list_(pa.float64()))})
+
+    moved = zd.repartition(parts, "d").mapInArrow(run, "perm int, block int, j int, at binary, z binary")
+    return moved.groupBy("perm", "block").applyInArrow(products, "perm int, s array<double>") \
+        .groupBy("perm").agg(vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s"))
+
+
 def parallel_analysis(df: DataFrame, cols, id_col: str, permutations: int = 100, seed: int = 42,
                       percentile: float = 95.0) -> dict:
     """Horn's parallel analysis.  Each draw permutes every column
     independently with a keyed random permutation of the dense row index
-    (:mod:`flowpanel.functions.perms`, per draw and column) — an ``explode``, no sort; the
-    p×p cross-products of all draws come from one aggregate keyed by draw.
+    (:mod:`flowpanel.functions.perms`, per draw and column), so a value's place needs no sort; the
+    p×p cross-products of all draws come from one shuffle of the values as packed arrays.
     Returns the count of real eigenvalues above the percentile of the
     permuted ones, plus both eigenvalue lists."""
-    from ..functions.perms import permuted
     from ..operators.spatial import _dense_ids
     cols = list(cols)
     z, _ = scale(complete(df.select(id_col, *cols)), cols, "standard")
+    z = _materialize(z)
     n = z.count()
     dense = _dense_ids(z, id_col)
-    zd = z.join(dense, id_col)
-    long = zd.select("d", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("col"), F.col(c).alias("z")) for c in cols])).alias("_c")).select("d", "_c.*")
-    draws = F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm")
-    moved = long.select("d", "col", "z", draws).withColumn(
-        "q", permuted(F.col("d"), F.xxhash64(F.lit(seed), F.col("perm"), F.col("col")), n))
-    wide = moved.groupBy("perm", "q").agg(*[F.max(F.when(F.col("col") == c, F.col("z"))).alias(c) for c in cols])
-    aggs = [F.sum(F.col(a) * F.col(b)).alias(f"{a}__{b}") for i, a in enumerate(cols) for b in cols[i:]]
-    rows = wide.groupBy("perm").agg(*aggs).collect()
+    # rows of one id go to one place, where the largest value counts
+    zd = z.join(dense, id_col).groupBy("d").agg(*[F.max(c).alias(c) for c in cols])
+    zd = zd.select("d", F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols]).alias("v"))
+    named = df.sparkSession.createDataFrame([(k, j, c) for k in range(permutations) for j, c in enumerate(cols)], "perm int, j int, col string")
+    keys = {(r["perm"], r["j"]): r["key"] for r in named.select("perm", "j", F.xxhash64(F.lit(seed), F.col("perm"), F.col("col")).alias("key")).collect()}
     p = len(cols)
-    sims = []
-    for row in rows:
-        m = np.zeros((p, p))
-        for i, a in enumerate(cols):
-            for j in range(i, p):
-                m[i, j] = m[j, i] = row[f"{a}__{cols[j]}"]
-        sims.append(np.sort(np.linalg.eigvalsh(m / (n - 1)))[::-1])
+    sims = [np.sort(np.linalg.eigvalsh(np.array(r["s"]).reshape(p, p) / (n - 1)))[::-1] for r in _shuffled_moments(zd, keys, n, p).collect()]
     thr = np.percentile(np.array(sims), percentile, axis=0)
     real = pca_fit(df, cols).eigenvalues
     return {"n_components": int((real > thr).sum()), "real": real.tolist(), "threshold": thr.tolist()}

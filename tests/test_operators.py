@@ -391,3 +391,20 @@ def test_kendall_over_value_ranges_equals_bruteforce(spark, monkeypatch):
     got = stats.kendall_tau(spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double"), ["x", "y"]).first()["tau"]
     dx, dy = np.sign(x[:, None] - x[None]), np.sign(y[:, None] - y[None])
     assert got == pytest.approx((dx * dy).sum() / math.sqrt((dx != 0).sum() * (dy != 0).sum()), rel=1e-12)
+
+
+def test_shuffled_moments_equal_permuted_columns(spark, monkeypatch):
+    from flowpanel.functions.perms import permute
+    from flowpanel.operators import reduce
+    monkeypatch.setattr(reduce, "PLACES", 16)
+    monkeypatch.setattr(reduce, "TOGETHER", 20)
+    n, p = 70, 3
+    z = np.random.default_rng(5).normal(size=(n, p))
+    keys = {(k, j): 1000 * k + j - 3 for k in range(4) for j in range(p)}
+    zd = spark.createDataFrame([(d, [float(a) for a in row]) for d, row in enumerate(z)], "d long, v array<double>")
+    got = {r["perm"]: np.array(r["s"]).reshape(p, p) for r in reduce._shuffled_moments(zd, keys, n, p).collect()}
+    for k in range(4):
+        x = np.zeros((n, p))
+        for j in range(p):
+            x[permute(np.arange(n), np.full(n, keys[k, j]), n), j] = z[:, j]
+        assert np.allclose(got[k], x.T @ x)
