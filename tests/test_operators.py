@@ -408,3 +408,13 @@ def test_shuffled_moments_equal_permuted_columns(spark, monkeypatch):
         for j in range(p):
             x[permute(np.arange(n), np.full(n, keys[k, j]), n), j] = z[:, j]
         assert np.allclose(got[k], x.T @ x)
+
+
+def test_quantiles_by_digits_are_exact(spark):
+    from flowpanel.operators import reduce, vectors
+    x = np.random.default_rng(8).normal(size=(501, 2)) * np.array([1.0, 1e-9])
+    x[:200, 0] = -0.25
+    pts = vectors.points(spark.createDataFrame([(float(a), float(b)) for a, b in x], "a double, b double"), ["a", "b"])
+    for share in (0.0, 0.3, 0.5, 251.5 / 500, 1.0):
+        got = reduce._quantiles(pts, lambda v: v, 2, len(x), share)
+        assert [got[j] for j in range(2)] == pytest.approx(list(np.quantile(x, share, axis=0)), rel=1e-12, abs=0)
