@@ -11,10 +11,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.perms import permuted
+from ..functions.perms import permute, permuted
 from ..functions.ranks import spread_join
 from ..functions.scalar import safe_div
 from . import pairs
@@ -22,6 +25,10 @@ from .graph import _materialize
 
 #: Permutation draws that travel together as one array.
 DRAWS = 50
+#: Values (8 bytes each) up to which a task of a permutation test looks them up in an array; more are joined.
+LOOKUP = 1 << 21
+#: Points of a part that looks its values up, at least.
+PART = 1 << 14
 
 
 def knn_weights(pts: DataFrame, id_col: str, coords, k: int = 4) -> DataFrame:
@@ -142,14 +149,48 @@ def _dense_ids(df: DataFrame, id_col: str) -> DataFrame:
     return ranked_values(df.select(id_col), [], id_col).select(id_col, F.col("below").alias("d"))
 
 
+def _looked_up(rows: DataFrame, by: str, z: DataFrame, n: int, step, out: str) -> DataFrame:
+    """``step(rows, values)`` on parts of the rows, each beside the array of all values (d, z); d is 0..n−1, at most
+    ``LOOKUP`` of them.  There are four parts a core, or one for ``PART`` points if those are more; each has a copy."""
+    parts = max(4 * rows.sparkSession.sparkContext.defaultParallelism, n // PART)
+    left = rows.withColumn("part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
+    right = z.select("d", "z", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+
+    def run(mine: pa.Table, values: pa.Table) -> pa.Table:
+        at = np.empty(values.num_rows)
+        at[values["d"].to_numpy()] = values["z"].to_numpy()
+        return step(mine, at)
+
+    return left.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(run, out)
+
+
+def _moran_draws(wd: DataFrame, z: DataFrame, n: int, permutations: int, seed: int) -> DataFrame:
+    """(perm, _s): Σ w z z of every draw over edges (di, dj, w) of dense points."""
+    named = wd.sparkSession.createDataFrame([(k,) for k in range(permutations)], "perm int")
+    keys = {r["perm"]: r["key"] for r in named.select("perm", F.xxhash64(F.lit(seed), F.col("perm")).alias("key")).collect()}
+
+    def step(edges: pa.Table, at: np.ndarray) -> pa.Table:
+        w = edges["w"].to_numpy()
+        ends, place = np.unique(np.concatenate([edges["di"].to_numpy(), edges["dj"].to_numpy()]), return_inverse=True)
+        i, j = place[:len(w)], place[len(w):]
+        sums = []
+        for key in keys.values() if len(w) else ():
+            v = at[permute(ends, np.full(len(ends), key), n)]
+            sums.append(float((w * v[i] * v[j]).sum()))
+        return pa.table({"perm": pa.array(list(keys) if sums else [], pa.int32()), "s": pa.array(sums, pa.float64())})
+
+    return _looked_up(wd, "di", z, n, step, "perm int, s double").groupBy("perm").agg(F.sum("s").alias("_s"))
+
+
 def moran_permutation(w: DataFrame, df: DataFrame, id_col: str, value: str,
                       permutations: int = 999, seed: int = 42) -> DataFrame:
     """Permutation inference for global Moran's I (z_sim, p_sim, significant).
 
     Each draw moves the value of dense point d to its place in a keyed random permutation
-    (:mod:`flowpanel.functions.perms`, one value at a time: no sort).  ``DRAWS`` draws go
-    together as an array per point, so the weights join n·(draws / DRAWS) rows, not
-    n·draws; the statistic of each draw is an aggregate over the arrays' slots.
+    (:mod:`flowpanel.functions.perms`, one value at a time: no sort).  Parts of the weights look
+    the moved values up in the array of all values and send one sum a draw.  Beyond ``LOOKUP`` values,
+    or if ids repeat, ``DRAWS`` draws go together as an array per point, so the weights join
+    n·(draws / DRAWS) rows, not n·draws; the statistic of each draw is an aggregate over the arrays' slots.
     p_sim = (min(#sim ≥ I, draws − #sim ≥ I) + 1) / (draws + 1).
     """
     y = df.select(id_col, F.col(value).cast("double").alias("y")).where(F.col("y").isNotNull())
@@ -161,20 +202,22 @@ def moran_permutation(w: DataFrame, df: DataFrame, id_col: str, value: str,
           .join(dense.select(F.col(id_col).alias("j"), F.col("d").alias("dj")), "j").select("di", "dj", "w"))
     s = wd.agg(F.sum("w").alias("S0")).first()["S0"]
     zz = z.agg(F.sum(F.col("z") ** 2)).first()[0]
-    # the value at point q in draw p is z at the point that p's permutation moves q to
-    draws = F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm")
-    at = z.select(F.col("d").alias("q"), draws).withColumn(
-        "d", permuted(F.col("q"), F.xxhash64(F.lit(seed), F.col("perm")), n))
-    moved = at.join(z.select("d", "z"), "d").withColumn("b", F.floor(F.col("perm") / DRAWS).cast("int"))
-    moved = _materialize(moved.groupBy("q", "b").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("perm", "z"))), lambda s_: s_["z"]).alias("z")))
-    zi = moved.select("b", F.col("q").alias("di"), F.col("z").alias("zi"))
-    zj = moved.select("b", F.col("q").alias("dj"), F.col("z").alias("zj"))
-    both = wd.join(zi, "di").join(zj, ["b", "dj"])
-    sims = (both.groupBy("b").agg(*[F.sum(F.col("w") * F.get("zi", F.lit(k)) * F.get("zj", F.lit(k))).alias(f"s{k}")
-                                    for k in range(DRAWS)])
-            .select(F.explode(F.array(*[f"s{k}" for k in range(DRAWS)])).alias("_s")).where("_s is not null")
-            .select((n / s * F.col("_s") / zz).alias("I_sim")))
+    if n <= LOOKUP and dense.count() == n:
+        draws = _moran_draws(wd, z.select("d", "z"), n, permutations, seed)
+    else:
+        # the value at point q in draw p is z at the point that p's permutation moves q to
+        draws = F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm")
+        at = z.select(F.col("d").alias("q"), draws).withColumn(
+            "d", permuted(F.col("q"), F.xxhash64(F.lit(seed), F.col("perm")), n))
+        moved = at.join(z.select("d", "z"), "d").withColumn("b", F.floor(F.col("perm") / DRAWS).cast("int"))
+        moved = _materialize(moved.groupBy("q", "b").agg(F.transform(
+            F.array_sort(F.collect_list(F.struct("perm", "z"))), lambda s_: s_["z"]).alias("z")))
+        zi = moved.select("b", F.col("q").alias("di"), F.col("z").alias("zi"))
+        zj = moved.select("b", F.col("q").alias("dj"), F.col("z").alias("zj"))
+        both = wd.join(zi, "di").join(zj, ["b", "dj"])
+        draws = both.groupBy("b").agg(*[F.sum(F.col("w") * F.get("zi", F.lit(k)) * F.get("zj", F.lit(k))).alias(f"s{k}")
+                                        for k in range(DRAWS)]).select(F.explode(F.array(*[f"s{k}" for k in range(DRAWS)])).alias("_s"))
+    sims = draws.where("_s is not null").select((n / s * F.col("_s") / zz).alias("I_sim"))
     obs = moran_global(w, df, id_col, [value]).select("I")
     j = sims.withColumn("_k", F.lit(1)).join(F.broadcast(obs.withColumn("_k", F.lit(1))), "_k")
     agg = j.agg(F.first("I").alias("I"), F.avg("I_sim").alias("EI_sim"), F.stddev_pop("I_sim").alias("seI_sim"),
@@ -186,13 +229,37 @@ def moran_permutation(w: DataFrame, df: DataFrame, id_col: str, value: str,
               .withColumn("significant", F.col("p_sim") < 0.05)
 
 
+def _lisa_counts(n: int, den: float, permutations: int, kind):
+    """Step of :func:`_looked_up`: (i, draws whose I_i is at least the observed one, draws) of each point."""
+    kind = to_arrow_type(kind)
+
+    def step(points: pa.Table, at: np.ndarray) -> pa.Table:
+        larger = []
+        for rows in points.select(["di", "w", "z", "Is", "keys"]).to_batches(max_chunksize=512):
+            here, slots = rows.column(0).to_numpy(), rows.column(1)
+            z, seen, keys = rows.column(2).to_numpy(), rows.column(3).to_numpy(), rows.column(4).flatten().to_numpy()
+            count, flat = slots.value_lengths().to_numpy(), slots.flatten().to_numpy()
+            first, lag = np.cumsum(count) - count, np.zeros((len(here), permutations))
+            keys = keys.reshape(len(here), permutations)
+            for s in range(int(count.max())):
+                who = np.flatnonzero(count > s)
+                raw = permute(np.full(who.size * permutations, s), keys[who].ravel(), n - 1).reshape(len(who), -1)
+                lag[who] += flat[first[who] + s][:, None] * at[raw + (raw >= here[who][:, None])]
+            larger.append((((n - 1) * z[:, None] * lag / den) >= seen[:, None]).sum(axis=1))
+        got = np.concatenate(larger) if larger else np.zeros(0, np.int64)
+        return pa.table({"i": points["i"].cast(kind), "_larger": pa.array(got, pa.int64()), "_m": pa.array(np.full(len(got), permutations), pa.int64())})
+
+    return step
+
+
 def local_permutation(w: DataFrame, df: DataFrame, id_col: str, value: str,
                       permutations: int = 999, seed: int = 42) -> DataFrame:
     """X8 + X9: conditional-permutation p-values for local Moran and LISA labels.
 
     For draw p and point i, slot s of i's neighbours receives the value of the s-th point of a
     keyed random permutation of the other n − 1 points: a draw without replacement that
-    leaves i out.  The simulated I_i uses i's own weights.
+    leaves i out.  The simulated I_i uses i's own weights.  Up to ``LOOKUP`` points a part of the points looks
+    all its draws' values up in one array; beyond that, or if ids repeat, draws are joined with the values.
     """
     from ..functions.scalar import lisa_label
     loc = moran_local(w, df, id_col, value)
@@ -203,16 +270,22 @@ def local_permutation(w: DataFrame, df: DataFrame, id_col: str, value: str,
     slot = Window.partitionBy("i").orderBy("j")
     ws = (w.withColumn("s", F.row_number().over(slot))
           .join(dense.select(F.col(id_col).alias("i"), F.col("d").alias("di")), "i"))
-    pr = F.array(*[F.lit(k) for k in range(permutations)])
-    draw = ws.select("i", "di", "s", "w", F.explode(pr).alias("perm"))
-    draw = draw.withColumn("raw", permuted(
-        (F.col("s") - 1).cast("long"), F.xxhash64(F.lit(seed), F.col("perm"), F.col("i")), max(n - 1, 1)))
-    draw = draw.withColumn("r", F.when(F.col("raw") >= F.col("di"), F.col("raw") + 1).otherwise(F.col("raw")))
-    lag = (draw.join(zt, "r").groupBy("i", "perm").agg(F.sum(F.col("w") * F.col("zr")).alias("lag_sim")))
     obs = loc.select(F.col(id_col).alias("i"), "z", "Is", "q")
-    j = lag.join(obs, "i").withColumn("I_sim", (n - 1) * F.col("z") * F.col("lag_sim") / den)
-    agg = j.groupBy("i").agg(F.count_if(F.col("I_sim") >= F.col("Is")).alias("_larger"),
-                             F.count(F.lit(1)).alias("_m"))
+    if 1 < n <= LOOKUP and dense.count() == n and den and den == den:
+        own = ws.groupBy("i", "di").agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "w"))), lambda x: x["w"]).alias("w")).join(obs, "i")
+        keys = F.transform(F.sequence(F.lit(0), F.lit(permutations - 1)), lambda k: F.xxhash64(F.lit(seed), k, F.col("i")))
+        agg = _looked_up(own.select("i", "di", "w", "z", "Is", keys.alias("keys")), "i", zt.select(F.col("r").alias("d"), F.col("zr").alias("z")), n,
+                         _lisa_counts(n, float(den), permutations, own.schema["i"].dataType), f"i {own.schema['i'].dataType.simpleString()}, _larger long, _m long")
+    else:
+        pr = F.array(*[F.lit(k) for k in range(permutations)])
+        draw = ws.select("i", "di", "s", "w", F.explode(pr).alias("perm"))
+        draw = draw.withColumn("raw", permuted(
+            (F.col("s") - 1).cast("long"), F.xxhash64(F.lit(seed), F.col("perm"), F.col("i")), max(n - 1, 1)))
+        draw = draw.withColumn("r", F.when(F.col("raw") >= F.col("di"), F.col("raw") + 1).otherwise(F.col("raw")))
+        lag = (draw.join(zt, "r").groupBy("i", "perm").agg(F.sum(F.col("w") * F.col("zr")).alias("lag_sim")))
+        j = lag.join(obs, "i").withColumn("I_sim", (n - 1) * F.col("z") * F.col("lag_sim") / den)
+        agg = j.groupBy("i").agg(F.count_if(F.col("I_sim") >= F.col("Is")).alias("_larger"),
+                                 F.count(F.lit(1)).alias("_m"))
     larger = F.least(F.col("_larger"), F.col("_m") - F.col("_larger"))
     res = agg.select("i", ((larger + 1) / (F.col("_m") + 1)).alias("p_sim"))
     return (obs.join(res, "i", "left")

@@ -418,3 +418,21 @@ def test_quantiles_by_digits_are_exact(spark):
     for share in (0.0, 0.3, 0.5, 251.5 / 500, 1.0):
         got = reduce._quantiles(pts, lambda v: v, 2, len(x), share)
         assert [got[j] for j in range(2)] == pytest.approx(list(np.quantile(x, share, axis=0)), rel=1e-12, abs=0)
+
+
+def test_permutation_tests_look_values_up_as_the_joins_do(spark, monkeypatch):
+    from flowpanel.operators import spatial
+    rng = np.random.default_rng(4)
+    pts = spark.createDataFrame([(3 * i, float(a), float(b), float(a + c)) for i, (a, b, c) in enumerate(rng.normal(size=(60, 3)))],
+                                "id long, x double, y double, v double")
+    w = spatial.knn_weights(pts, "id", ["x", "y"], 3).where("i % 7 != 3 or j % 2 = 0").checkpoint()  # unequal numbers of neighbours
+    looked = [spatial.local_permutation(w, pts, "id", "v", 49), spatial.moran_permutation(w, pts, "id", "v", 49)]
+    got = [sorted(f.collect()) for f in looked]
+    monkeypatch.setattr(spatial, "LOOKUP", 0)
+    joined = [spatial.local_permutation(w, pts, "id", "v", 49), spatial.moran_permutation(w, pts, "id", "v", 49)]
+    for a, f in zip(got, joined):
+        b = sorted(f.collect())
+        assert len(a) == len(b)
+        for r, q in zip(a, b):
+            assert [x for x in r if not isinstance(x, float)] == [x for x in q if not isinstance(x, float)]
+            assert [x for x in r if isinstance(x, float)] == pytest.approx([x for x in q if isinstance(x, float)])
