@@ -487,3 +487,14 @@ def test_wide_neighbours_compare_blocks_of_pairs(spark, monkeypatch):
         assert np.allclose([e for _, _, e in sorted(got[i])], [e for e, _ in want])
     some = pairs.knn(df, "id", cols, k=2, candidates=df.where("id % 50 = 7")).where("id = 3").orderBy("rank").collect()
     assert [r["nbr"] for r in some] == [j for _, j in sorted((d[3, j], j) for j in range(7, 300, 50))[:2]]
+
+
+def test_first_bounds_come_from_the_own_leaf(spark):
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.random((900, 2)), np.repeat([[0.25, 0.25]], 5, axis=0)])
+    df = frame(spark, x).select(F.lit("a").alias("g"), F.col("id").alias("i"), "v")
+    points, levels = neighbours.partition(neighbours.spots(df, 3), 50)
+    got = {tuple(r.v): r.bound for r in neighbours._first_bounds(df.select("g", "v").distinct(), points, levels, 3, "euclidean").collect()}
+    least = {tuple(v): want[2][0] for v, want in zip(x, brute_nearest(x, x, 3))}
+    assert got.keys() == least.keys() and all(got[v] is None or got[v] >= least[v] for v in got)
+    assert sum(got[v] is not None and got[v] < 1.01 * least[v] + 1e-12 for v in got) > len(got) / 2
