@@ -538,8 +538,10 @@ def covered(chunk: Chunk, known: np.ndarray, parts, buckets: int) -> np.ndarray:
     at = spread(chunk.start[own], n)[gone]
     step = np.zeros(len(chunk.symbols) + 1, np.int32)
     np.add.at(step, at, 1)
-    np.add.at(step, at + chunk.spec.window, -1)
-    return np.cumsum(step[:-1]) > 0
+    at += chunk.spec.window
+    np.add.at(step, at, -1)
+    np.cumsum(step, out=step)  # in place: sums of their own would take 8 bytes a symbol
+    return step[:-1] > 0
 
 
 def remove(docs: DataFrame, spec: Spec, finish, schema: str, id_col: str, text_col: str) -> DataFrame:

@@ -199,3 +199,21 @@ def test_longest_previous(pairs):
                     break
         want.append(best if best >= 4 else 0)
     assert suffix_dedup.longest_previous(doc, lcp, 4).tolist() == want
+
+
+def test_covered_takes_few_bytes_a_symbol():
+    """What is removed is found in 32-bit sums, in place."""
+    import tracemalloc
+    rng = np.random.default_rng(5)
+    spec = repeats.Spec(window=50, gram=24, words=False, weigh="first", decide=suffix_dedup.decide)
+    text = rng.integers(97, 123, 1 << 20, dtype=np.uint8).tobytes()
+    chunk = repeats.Chunk(spec, np.array([1, 2], np.int64).tobytes(), np.array([len(text), 100], np.int64).tobytes(), repeats.pack(text + text[:100]))
+    known = np.zeros(len(chunk.keys()), bool)
+    size = chunk.count[chunk.candidates(known)[2]]
+    parts = [np.packbits(np.zeros(int(size.sum()), bool)).tobytes()]
+    tracemalloc.start()
+    gone = repeats.covered(chunk, known, parts, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert gone[-100:].sum() >= 50 and not gone[:-100].any()
+    assert peak < 11 * len(text)
