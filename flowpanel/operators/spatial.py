@@ -40,11 +40,13 @@ def knn_weights(pts: DataFrame, id_col: str, coords, k: int = 4) -> DataFrame:
 
 
 def band_weights(pts: DataFrame, id_col: str, coords, threshold: float, alpha: float = -1.0) -> DataFrame:
-    """Inverse-distance weights d^alpha for 0 < d <= threshold, row-standardised."""
-    b = pairs.within(pts, id_col, coords, threshold)
-    raw = b.select(F.col(id_col).alias("i"), F.col("nbr").alias("j"), F.pow(F.col("dist"), alpha).alias("_w"))
-    tot = raw.groupBy("i").agg(F.sum("_w").alias("_t"))
-    return raw.join(tot, "i").select("i", "j", (F.col("_w") / F.col("_t")).alias("w"))
+    """Inverse-distance weights d^alpha for 0 < d <= threshold, row-standardised.
+
+    Pairs are listed twice and never shuffled: first for each point's sum, then with that sum beside the point."""
+    raw = F.pow(F.col("dist"), alpha)
+    tot = pairs.within(pts, id_col, coords, threshold).groupBy(id_col).agg(F.sum(raw).alias("_t"))
+    b = pairs.within(pts, id_col, coords, threshold, also=tot)
+    return b.select(F.col(id_col).alias("i"), F.col("nbr").alias("j"), (raw / F.col("_t")).alias("w"))
 
 
 def spatial_lag(w: DataFrame, values: DataFrame, id_col: str, value: str) -> DataFrame:
