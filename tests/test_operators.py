@@ -345,6 +345,42 @@ def test_path_estimates_from_sketches(spark):
     assert abs(r["connected_share"] - len(pairs) / ((n + 2) * (n + 1))) < 1e-9
 
 
+def test_sketches_travel_by_block_not_by_edge(spark, monkeypatch):
+    """Few vertices with many neighbours: copies of sketches are far fewer than edges, whatever the blocks, and so are the results."""
+    e = spark.range(4800).selectExpr("concat('c', id % 1200) as src", "concat('s', (id * 7 + id div 1200) % 12) as dst", "1.0D as w").distinct()
+    want = [tuple(r) for r in graph.neighbourhood(e).collect()]
+    both = e.select("src", "dst").unionByName(e.selectExpr("dst as src", "src as dst")).distinct()
+    sent = graph._dealt(both)[0].select("dst", "block").distinct().count()
+    assert sent <= 1200 + 12 * spark.sparkContext.defaultParallelism < both.count() / 4
+    monkeypatch.setattr(graph, "BLOCK", 400)
+    dealt, blocks = graph._dealt(both)
+    assert blocks >= 3 and dealt.select("src", "dst").exceptAll(both).isEmpty() and dealt.count() == both.count()
+    assert dealt.select("block").distinct().count() <= blocks
+    got = [tuple(r) for r in graph.neighbourhood(e).collect()]
+    assert [h for h, _ in got] == [h for h, _ in want]  # estimates depend a little on the order of unions
+    assert all(a == pytest.approx(b, rel=0.01) for (_, a), (_, b) in zip(got, want))
+
+
+def test_band_weights_shuffle_points_not_pairs(spark):
+    """The last join of the plan is the one of the cells; no exchange and no other join stands above it."""
+    from flowpanel.operators.spatial import band_weights
+    pts = spark.createDataFrame([(i, (i % 7) * 0.03, (i % 5) * 0.03) for i in range(60)], "id long, x double, y double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        w = band_weights(pts, "id", ["x", "y"], 0.05)
+        plan = w._jdf.queryExecution().sparkPlan().toString().splitlines()
+        got = {(r["i"], r["j"]): r["w"] for r in w.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    top = next(i for i, line in enumerate(plan) if "Join" in line)
+    assert "_c0" in plan[top] and not any("Exchange" in line for line in plan[:top])
+    at = {i: ((i % 7) * 0.03, (i % 5) * 0.03) for i in range(60)}
+    inverse = {(i, j): 1 / math.dist(at[i], at[j]) for i in at for j in at if 0 < math.dist(at[i], at[j]) <= 0.05}
+    total = {i: sum(v for (a, _), v in inverse.items() if a == i) for i in at}
+    assert got.keys() == inverse.keys() and all(abs(got[k] - v / total[k[0]]) < 1e-12 for k, v in inverse.items())
+
+
 def test_louvain_finds_a_chain_of_cliques(spark):
     """Every clique is one community, whichever half of the vertices moves first."""
     rows = [(8 * c + i, 8 * c + j, 1.0) for c in range(6) for i in range(8) for j in range(i)]
