@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import safe_div
+from . import forest
 from .boosting import BoostedRegressor, Preset
 from .graph import packed
 from .prep import apply_scale, scale_params
@@ -74,6 +75,12 @@ def estimators(n_train: int) -> dict:
     }
 
 
+def _fit(est, rows: DataFrame, n: int):
+    """A fitted preset; trees and forests of more than :data:`.forest.LARGE` rows don't gather their nodes on the driver."""
+    grown = isinstance(est, (DecisionTreeRegressor, RandomForestRegressor)) and n > forest.LARGE
+    return forest.fit(est, rows) if grown else est.fit(rows)
+
+
 def metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """MSE, RMSE, MAE, R², MAPE (NULL when any label is 0), one aggregate."""
     y, p = F.col(label), F.col(prediction)
@@ -98,7 +105,7 @@ def fit_all(df: DataFrame, id_col: str, y: str, x_cols, names=None) -> dict:
     # a tree model runs hundreds of passes, and its statistics of every node leave every partition
     own = packed(train, n)
     for name in (names or list(est)):
-        model = est[name].fit(own)
+        model = _fit(est[name], own, n)
         got[name] = (model, metrics(model.transform(test)).first())
     train.unpersist()
     test.unpersist()

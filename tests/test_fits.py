@@ -498,3 +498,26 @@ def test_first_bounds_come_from_the_own_leaf(spark):
     least = {tuple(v): want[2][0] for v, want in zip(x, brute_nearest(x, x, 3))}
     assert got.keys() == least.keys() and all(got[v] is None or got[v] >= least[v] for v in got)
     assert sum(got[v] is not None and got[v] < 1.01 * least[v] + 1e-12 for v in got) > len(got) / 2
+
+
+def _grid_rows(spark, n=3000):
+    """(id, a, b, c, y) with at most 20 values in a feature, so that all implementations cut at the same places."""
+    rng = np.random.default_rng(3)
+    x = np.stack([rng.integers(0, k, n) for k in (20, 9, 3)], axis=1).astype(float)
+    y = np.sin(x[:, 0]) * 5 + x[:, 1] * (x[:, 2] > 1) + rng.normal(0, 1, n)
+    return spark.createDataFrame([(i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y))],
+                                 "id long, a double, b double, c double, y double")
+
+
+@pytest.mark.parametrize("task_rows", [1 << 20, 500])
+def test_forest_grown_on_executors(spark, monkeypatch, task_rows):
+    from flowpanel.operators import forest, predict
+    df, cols = _grid_rows(spark), ["a", "b", "c"]
+    want, wanted = predict.fit_all(df, "id", "y", cols, ["random_forest"])["random_forest"]
+    monkeypatch.setattr(forest, "LARGE", 0)
+    monkeypatch.setattr(forest, "TASK_ROWS", task_rows)
+    got, metrics = predict.fit_all(df, "id", "y", cols, ["random_forest"])["random_forest"]
+    assert len(got.tops) == 100 and metrics["r2"] == pytest.approx(wanted["r2"], abs=0.02)
+    assert got.featureImportances.toArray() == pytest.approx(want.featureImportances.toArray(), abs=0.05)
+    again, same = predict.fit_all(df, "id", "y", cols, ["random_forest"])["random_forest"]
+    assert same.asDict() == pytest.approx(metrics.asDict(), rel=1e-9)
