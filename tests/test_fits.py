@@ -509,6 +509,20 @@ def _grid_rows(spark, n=3000):
                                  "id long, a double, b double, c double, y double")
 
 
+@pytest.mark.parametrize("task_rows", [1 << 20, 200])
+def test_trees_grown_on_executors_equal_spark_ml(spark, monkeypatch, task_rows):
+    from flowpanel.operators import forest, predict
+    df, cols = _grid_rows(spark), ["a", "b", "c"]
+    want, wanted = predict.fit_all(df, "id", "y", cols, ["decision_tree"])["decision_tree"]
+    monkeypatch.setattr(forest, "LARGE", 0)
+    monkeypatch.setattr(forest, "TASK_ROWS", task_rows)
+    got, metrics = predict.fit_all(df, "id", "y", cols, ["decision_tree"])["decision_tree"]
+    assert isinstance(got, forest.Forest) and not hasattr(got, "toDebugString")
+    assert metrics.asDict() == pytest.approx(wanted.asDict(), rel=1e-9)
+    assert got.featureImportances.toArray() == pytest.approx(want.featureImportances.toArray(), rel=1e-9)
+    assert (len(got.tops[0].feature) > 1) == (task_rows == 200)
+
+
 @pytest.mark.parametrize("task_rows", [1 << 20, 500])
 def test_forest_grown_on_executors(spark, monkeypatch, task_rows):
     from flowpanel.operators import forest, predict
@@ -521,3 +535,19 @@ def test_forest_grown_on_executors(spark, monkeypatch, task_rows):
     assert got.featureImportances.toArray() == pytest.approx(want.featureImportances.toArray(), abs=0.05)
     again, same = predict.fit_all(df, "id", "y", cols, ["random_forest"])["random_forest"]
     assert same.asDict() == pytest.approx(metrics.asDict(), rel=1e-9)
+
+
+def test_trees_of_awkward_rows():
+    from flowpanel.operators import forest
+    rng = np.random.default_rng(0)
+    nodes, gains = forest.grow(np.zeros((5, 2), np.uint8), np.arange(5.0), np.ones(5), 30, 2, 2, rng)
+    assert list(nodes.feature) == [-1] and nodes.value[0] == 2 and not gains.any()  # equal rows
+    bins = np.arange(8, dtype=np.uint8)[:, None]
+    nodes, gains = forest.grow(bins, np.full(8, 7.0), np.ones(8), 30, 8, 1, rng)
+    assert list(nodes.feature) == [-1] and nodes.value[0] == 7  # a constant label
+    nodes, gains = forest.grow(bins, np.arange(8.0) ** 2, np.ones(8), 30, 8, 1, rng)
+    assert np.array_equal(nodes.value[nodes.at(bins)], np.arange(8.0) ** 2)
+    nodes, _ = forest.grow(bins, np.arange(8.0) ** 2, np.ones(8), 1, 8, 1, rng)
+    assert len(nodes.feature) == 3
+    w = forest._weights(np.arange(100_000), 3, 42)
+    assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.03
