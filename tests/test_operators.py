@@ -472,3 +472,24 @@ def test_permutation_tests_look_values_up_as_the_joins_do(spark, monkeypatch):
         for r, q in zip(a, b):
             assert [x for x in r if not isinstance(x, float)] == [x for x in q if not isinstance(x, float)]
             assert [x for x in r if isinstance(x, float)] == pytest.approx([x for x in q if isinstance(x, float)])
+
+
+@pytest.mark.parametrize("least", [1 << 26, 1])
+def test_path_estimates_of_large_graphs_take_registers_in_slices(spark, monkeypatch, least):
+    """Same hops, and sizes within the error of a sketch, whatever the slices; what a slice weighs follows the edges."""
+    from flowpanel.operators import hops
+    e = spark.range(9000).selectExpr("concat('c', id % 1500) as src", "concat('s', (id * 7 + id div 1500 * 31 + id % 13) % 300) as dst", "1.0D as w")
+    e = e.unionByName(spark.createDataFrame([(f"x{i}", f"x{i + 1}", 1.0) for i in range(5)] + [("c1", "c1", 1.0), ("y", "y", 1.0), ("c2", None, 1.0)], e.schema))
+    want = {r["hops"]: r["pairs"] for r in graph.neighbourhood(e, 7).collect()}
+    monkeypatch.setattr(graph, "WHOLE", 100)
+    monkeypatch.setattr(hops, "PART", 256)
+    monkeypatch.setattr(hops, "LEAST", least)
+    monkeypatch.setattr(hops, "HUB", 4)
+    widths, run = [], hops._started
+    monkeypatch.setattr(hops, "_started", lambda own, lo, width: (widths.append(width), run(own, lo, width))[1])
+    got = {r["hops"]: r["pairs"] for r in graph.neighbourhood(e, 7).collect()}
+    assert sum(widths) == 128 and (len(widths) > 1) == (least == 1) and max(widths) * 1800 <= max(least, 16 * 9008)
+    assert got.keys() == want.keys() and got[0] == 0
+    assert all(got[h] == pytest.approx(want[h], rel=0.3) for h in got if h)
+    last = graph.neighbourhood(e, 7, max_hops=2).orderBy("hops").collect()
+    assert [r["hops"] for r in last] == [0, 1, 2] and [r["pairs"] for r in last] == pytest.approx([got[h] for h in range(3)], rel=1e-5)
